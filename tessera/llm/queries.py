@@ -5,13 +5,47 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import quality_rules
+from tessera.llm import quality_rules, url_filters
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: (verdict, host, path)
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+#: The listing of op2: URLs of hosts whose first label is hyphenated, as those of link farms are.
+LISTED_HOST = r"^[a-z]+-[a-z]+\."
+
+
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    listing = pages.where(url_filters.host(F.col("url")).rlike(LISTED_HOST)).select(url_filters.canonical(F.col("url")).alias("canonical"))
+    return url_filters.judge(pages, listing, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "listed")
+
+
+OP2_SQL = r"""
+WITH parsed AS (
+  SELECT page_id, url, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path,
+    list_sort(list_filter(string_split(coalesce(regexp_extract(url, '(?s)^.*?://[^?#]*\?([^#]*)', 1), ''), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[a-z]+|ref|gclid|fbclid)(=|$)'))) AS kept
+  FROM pages
+), named AS (
+  SELECT *, CASE WHEN host <> '' THEN regexp_replace(host, '^www\.|:(80|443)$', '', 'g') || regexp_replace(path, '/+$', '') || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END END AS canonical
+  FROM parsed
+), listing AS (
+  SELECT DISTINCT canonical FROM named WHERE regexp_matches(host, '^[a-z]+-[a-z]+\.')
+), rules(kind, rh, rp) AS (
+  VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')
+), fits AS (
+  SELECT n.*, kind, rh || rp AS rule, coalesce(canonical IN (SELECT canonical FROM listing), false) AS listed
+  FROM named n LEFT JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)
+  QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(rh || rp) DESC) = 1
+)
+SELECT page_id, host, path, rule, coalesce(kind, CASE WHEN listed THEN 'block' ELSE 'allow' END) AS verdict, listed FROM fits
+"""
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = quality_rules.ledger(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.col("failed").bitwiseAND(F.lit(quality_rules.mask("base-1"))) != 0
@@ -48,5 +82,5 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM judged
 """
 
-QUERIES = {"op5_quality_rules": op5_quality_rules}
-ORACLES = {"op5_quality_rules": OP5_SQL}
+QUERIES = {"op2_url_filters": op2_url_filters, "op5_quality_rules": op5_quality_rules}
+ORACLES = {"op2_url_filters": OP2_SQL, "op5_quality_rules": OP5_SQL}
