@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat_format, quality_rules, url_filters
+from tessera.llm import bpe, chat_format, quality_rules, url_filters
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -91,5 +91,18 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM judged
 """
 
-QUERIES = {"op2_url_filters": op2_url_filters, "op4_chat_formatting": op4_chat_formatting, "op5_quality_rules": op5_quality_rules}
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    model = public_tokenizers.path("word_bpe_49k.json")
+    decoded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model).drop("text"), model)
+    return decoded.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+QUERIES = {"op2_url_filters": op2_url_filters, "op4_chat_formatting": op4_chat_formatting, "op5_quality_rules": op5_quality_rules, "op9_bpe": op9_bpe}
 ORACLES = {"op2_url_filters": OP2_SQL, "op5_quality_rules": OP5_SQL}
