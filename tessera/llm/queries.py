@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chat_format, quality_rules, url_filters
+from tessera.llm import bpe, chat_format, decontaminate, quality_rules, url_filters
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -91,6 +91,39 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM judged
 """
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = decontaminate.build_index(table(spark, sf_dir, "documents"))
+    found = decontaminate.search(index, table(spark, sf_dir, "benchmark"))
+    listed = F.array_join(F.array_sort(F.col("items").cast("array<string>")), ",")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(listed, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+OP7_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), items AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), starts AS (
+  SELECT item_id, w, least(10, len(w)) AS n, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM items WHERE len(w) > 0
+), windows AS (
+  SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS k FROM starts
+), places AS (
+  SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM docs, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n
+), keyed AS (
+  SELECT r, n, i, array_to_string(w[i:i + n - 1], ' ') AS k FROM places
+), hits AS (
+  SELECT r, n, i, item_id FROM keyed JOIN windows USING (n, k)
+), covered AS (
+  SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT r, n, i FROM hits)) GROUP BY r
+), listed AS (
+  SELECT r, list_sort(list(DISTINCT item_id::VARCHAR)) AS ids FROM hits GROUP BY r
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(len(ids), 0) AS n_items,
+  sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN covered USING (r) LEFT JOIN listed USING (r)
+"""
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -104,5 +137,5 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op2_url_filters": op2_url_filters, "op4_chat_formatting": op4_chat_formatting, "op5_quality_rules": op5_quality_rules, "op9_bpe": op9_bpe}
-ORACLES = {"op2_url_filters": OP2_SQL, "op5_quality_rules": OP5_SQL}
+QUERIES = {"op2_url_filters": op2_url_filters, "op4_chat_formatting": op4_chat_formatting, "op5_quality_rules": op5_quality_rules, "op7_decontamination": op7_decontamination, "op9_bpe": op9_bpe}
+ORACLES = {"op2_url_filters": OP2_SQL, "op5_quality_rules": OP5_SQL, "op7_decontamination": OP7_SQL}
