@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chat_format, decontaminate, quality_rules, url_filters
+from tessera.llm import bpe, chat_format, decontaminate, quality_classifier, quality_rules, url_filters
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -124,6 +124,13 @@ FROM docs LEFT JOIN covered USING (r) LEFT JOIN listed USING (r)
 """
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_classifier.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    scored = quality_classifier.classify(docs, model).drop("text")
+    return scored.select("doc_id", quality_classifier.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -137,5 +144,5 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op2_url_filters": op2_url_filters, "op4_chat_formatting": op4_chat_formatting, "op5_quality_rules": op5_quality_rules, "op7_decontamination": op7_decontamination, "op9_bpe": op9_bpe}
+QUERIES = {"op2_url_filters": op2_url_filters, "op4_chat_formatting": op4_chat_formatting, "op5_quality_rules": op5_quality_rules, "op7_decontamination": op7_decontamination, "op8_quality_classifier": op8_quality_classifier, "op9_bpe": op9_bpe}
 ORACLES = {"op2_url_filters": OP2_SQL, "op5_quality_rules": OP5_SQL, "op7_decontamination": OP7_SQL}
