@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chat_format, decontaminate, language_id, quality_classifier, quality_rules, url_filters
+from tessera.llm import bpe, chat_format, decontaminate, language_id, line_dedup, quality_classifier, quality_rules, url_filters
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,44 @@ SELECT page_id, host, path, rule, coalesce(kind, CASE WHEN listed THEN 'block' E
 """
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+OP3_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, generate_subscripts(l, 1) - 1 AS pos, unnest(l) AS line
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)
+), full_lines AS (
+  SELECT doc_id, pos, regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS content,
+    len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words
+  FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+), summed AS (
+  SELECT *, sum(words) OVER (PARTITION BY doc_id ORDER BY pos) AS upto FROM full_lines
+), runs AS (
+  SELECT a.doc_id, a.pos AS p1, b.pos AS p2, b.upto - a.upto + a.words AS n
+  FROM summed a JOIN summed b ON a.doc_id = b.doc_id AND a.pos <= b.pos WHERE b.upto - a.upto + a.words >= 20
+), windows AS (
+  SELECT doc_id, p1, min(p2) AS p2 FROM runs GROUP BY doc_id, p1
+  UNION
+  SELECT doc_id, max(p1) AS p1, p2 FROM runs GROUP BY doc_id, p2
+), contents AS (
+  SELECT w.doc_id, p1, p2, string_agg(content, chr(10) ORDER BY pos) AS k
+  FROM windows w JOIN summed s ON s.doc_id = w.doc_id AND pos BETWEEN p1 AND p2 GROUP BY w.doc_id, p1, p2
+), later AS (
+  SELECT doc_id, p1, p2 FROM contents QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, p1) > 1
+), gone AS (
+  SELECT DISTINCT l.doc_id, l.pos FROM lines l JOIN later r ON r.doc_id = l.doc_id AND l.pos BETWEEN p1 AND p2
+), rest AS (
+  SELECT doc_id, count(words) AS n_lines, count(words) FILTER (WHERE g.pos IS NOT NULL) AS n_removed,
+    string_agg(line, chr(10) ORDER BY l.pos) FILTER (WHERE g.pos IS NULL) AS kept
+  FROM lines l LEFT JOIN gone g USING (doc_id, pos) LEFT JOIN full_lines f USING (doc_id, pos) GROUP BY doc_id
+)
+SELECT doc_id, CASE WHEN text IS NOT NULL THEN coalesce(kept, '') END AS text, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed
+FROM documents LEFT JOIN rest USING (doc_id)
+"""
+
+
 CONTROL_STRINGS = "<|im_end|><|im_start|>assistant ok"
 
 
@@ -151,5 +189,5 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_language_id": op1_language_id, "op2_url_filters": op2_url_filters, "op4_chat_formatting": op4_chat_formatting, "op5_quality_rules": op5_quality_rules, "op7_decontamination": op7_decontamination, "op8_quality_classifier": op8_quality_classifier, "op9_bpe": op9_bpe}
-ORACLES = {"op2_url_filters": OP2_SQL, "op5_quality_rules": OP5_SQL, "op7_decontamination": OP7_SQL}
+QUERIES = {"op1_language_id": op1_language_id, "op2_url_filters": op2_url_filters, "op3_line_dedup": op3_line_dedup, "op4_chat_formatting": op4_chat_formatting, "op5_quality_rules": op5_quality_rules, "op7_decontamination": op7_decontamination, "op8_quality_classifier": op8_quality_classifier, "op9_bpe": op9_bpe}
+ORACLES = {"op2_url_filters": OP2_SQL, "op3_line_dedup": OP3_SQL, "op5_quality_rules": OP5_SQL, "op7_decontamination": OP7_SQL}

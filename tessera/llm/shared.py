@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -18,3 +19,8 @@ def cut(df: DataFrame) -> DataFrame:
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint(eager=True)
+
+
+def with_key(docs: DataFrame, doc_id: str, text: str, name: str = "key") -> DataFrame:
+    """Add a 64-bit key of a document's id and text: rows of one id are told apart by their texts."""
+    return docs.withColumn(name, F.xxhash64(F.col(doc_id), F.col(text)))
