@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chat_format, decontaminate, language_id, line_dedup, quality_classifier, quality_rules, url_filters
+from tessera.llm import bpe, chat_format, decontaminate, jaccard_join, language_id, line_dedup, quality_classifier, quality_rules, url_filters
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -189,5 +189,38 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_language_id": op1_language_id, "op2_url_filters": op2_url_filters, "op3_line_dedup": op3_line_dedup, "op4_chat_formatting": op4_chat_formatting, "op5_quality_rules": op5_quality_rules, "op7_decontamination": op7_decontamination, "op8_quality_classifier": op8_quality_classifier, "op9_bpe": op9_bpe}
-ORACLES = {"op2_url_filters": OP2_SQL, "op3_line_dedup": OP3_SQL, "op5_quality_rules": OP5_SQL, "op7_decontamination": OP7_SQL}
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+OP10_SQL = r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS MATERIALIZED (
+  SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS s
+  FROM split WHERE len(w) > 0
+), ones AS MATERIALIZED (
+  SELECT min(doc_id) AS id, s, len(s) AS n FROM sets GROUP BY s
+), items AS (
+  SELECT id, n, unnest(s) AS g FROM ones
+), pairs AS (
+  SELECT a.id AS a, b.id AS b, any_value(a.n) AS an, any_value(b.n) AS bn, count(*) AS c
+  FROM items a JOIN items b ON a.g = b.g AND a.id <> b.id AND 5 * a.n >= 4 * b.n AND 5 * b.n >= 4 * a.n GROUP BY a.id, b.id
+), links AS MATERIALIZED (
+  SELECT a, b FROM pairs WHERE 9 * c >= 4 * (an + bn)
+), reached AS (
+  SELECT id AS a, id AS b FROM ones
+  UNION
+  SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a
+), named AS (
+  SELECT a AS id, min(b) AS class_id FROM reached GROUP BY a
+), counted AS (
+  SELECT a AS id, count(*) AS n_links FROM links GROUP BY a
+)
+SELECT d.doc_id, coalesce(class_id, d.doc_id) AS class_id, coalesce(n_links, 0) AS n_links
+FROM documents d LEFT JOIN sets USING (doc_id) LEFT JOIN ones USING (s) LEFT JOIN named USING (id) LEFT JOIN counted USING (id)
+"""
+
+
+QUERIES = {"op1_language_id": op1_language_id, "op2_url_filters": op2_url_filters, "op3_line_dedup": op3_line_dedup, "op4_chat_formatting": op4_chat_formatting, "op5_quality_rules": op5_quality_rules, "op7_decontamination": op7_decontamination, "op8_quality_classifier": op8_quality_classifier, "op9_bpe": op9_bpe, "op10_jaccard_join": op10_jaccard_join}
+ORACLES = {"op2_url_filters": OP2_SQL, "op3_line_dedup": OP3_SQL, "op5_quality_rules": OP5_SQL, "op7_decontamination": OP7_SQL, "op10_jaccard_join": OP10_SQL}

@@ -17,7 +17,7 @@ U64 = np.uint64
 #: Odd multiplier of the rolling hash and its inverse modulo 2**64.
 BASE = U64(0x9E3779B97F4A7C15)
 BASE_INVERSE = U64(pow(0x9E3779B97F4A7C15, -1, 2**64))
-SLICE_BYTES = 4 << 20
+SLICE_BYTES, SLICE_ROWS = 4 << 20, 1 << 15
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -46,13 +46,13 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut record batches so that each holds about ``limit`` bytes of text, or one row."""
+    """Cut record batches so that each holds about ``limit`` bytes of text, or one row, and SLICE_ROWS rows at most."""
     for batch in batches:
         ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)), dtype=np.int64)
         at = 0
         while at < batch.num_rows:
             used = ends[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, used + limit, "right")))
+            to = max(at + 1, min(at + SLICE_ROWS, int(np.searchsorted(ends, used + limit, "right"))))
             yield batch.slice(at, to - at)
             at = to
 
