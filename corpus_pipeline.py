@@ -1,10 +1,63 @@
-"""Corpus pipeline: stages over ``documents``, each a table that the next one reads."""
+"""Corpus pipeline: five stages over ``documents``, each a table that the next one reads.
+
+Low-quality documents go, then repeated runs of lines, then all but one of each
+group of near copies, then documents with benchmark passages; what is left is
+encoded.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm import bpe, decontaminate, jaccard_join, line_dedup, quality_classifier
+from tessera.llm.shared import cut
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier accepts."""
+    model = quality_classifier.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality_classifier.classify(docs, model).where("predicted = 1").select(COLUMNS)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without later repeated runs of lines; one of which no word is left goes."""
+    found = line_dedup.dedup(docs.select(COLUMNS)).where("n_removed = 0 or n_removed < n_lines")
+    changed = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
+    return found.withColumn("n_chars", changed.cast("bigint")).select(COLUMNS)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return jaccard_join.keep_one(docs.select(COLUMNS))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    found = decontaminate.annotate(docs.select(COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.where("n_hit = 0").select(COLUMNS)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document, and the digest of what they decode to."""
+    import public_tokenizers
+
+    model = public_tokenizers.path("word_bpe_49k.json")
+    encoded = bpe.encode(docs.select(COLUMNS), model).drop("text")
+    decoded = F.sha2("decoded", 256).alias("decoded_sha256")
+    return bpe.decode(encoded, model).select("doc_id", "lang", "source", "n_chars", F.size("ids").cast("bigint").alias("n_tokens"), "ids", decoded)
+
+
+STAGES = [("quality", quality), ("lines", lines), ("near_copies", near_copies), ("decontamination", decontamination), ("tokens", tokens)]
+
+#: Two stages fit a model or call a tokenizer; tests hold the stages against brute force instead.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

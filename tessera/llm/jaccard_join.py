@@ -192,7 +192,7 @@ def verified(texts: DataFrame, threshold: float) -> DataFrame:
 
 
 def classes(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """(key, class_id, n_links) of each document with words: see ``near_duplicates``."""
+    """(key, class_id, keeper, n_links) of each document with words: see ``near_duplicates``; ``keeper`` is the least one's key."""
     depth = depth_for(threshold, recall)
     signed = cut(signatures(docs, depth, text))
     sets = ["set_a", "set_b", "size"]
@@ -211,10 +211,29 @@ def classes(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD, r
     links = cut(verified(pairs, threshold))
     counts = links.groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("n_links"))
     roots = components(links.select("a", "b")).withColumnRenamed("node", "key")
-    known = copies.select(*sets, "one.doc_id", "one.key").join(counts, "key", "left").join(roots, "key", "left")
-    known = cut(known.select(*sets, "doc_id", F.coalesce("root", "key").alias("root"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links")))
-    named = known.groupBy("root").agg(F.min(F.struct("doc_id")).alias("least")).select("root", F.col("least.doc_id").alias("class_id"))
-    return signed.select("key", *sets).dropDuplicates(["key"]).join(known.join(named, "root").select(*sets, "class_id", "n_links"), sets).select("key", "class_id", "n_links")
+    known = copies.select(*sets, "one.doc_id", "one.key", "one").join(counts, "key", "left").join(roots, "key", "left")
+    known = cut(known.select(*sets, "one", F.coalesce("root", "key").alias("root"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links")))
+    named = known.groupBy("root").agg(F.min("one").alias("least")).select("root", F.col("least.doc_id").alias("class_id"), F.col("least.key").alias("keeper"))
+    results = ["class_id", "keeper", "n_links"]
+    return signed.select("key", *sets).dropDuplicates(["key"]).join(known.join(named, "root").select(*sets, *results), sets).select("key", *results)
+
+
+def _with_classes(docs: DataFrame, text: str, threshold: float, recall: float) -> DataFrame:
+    keyed = with_key(docs, "doc_id", text, "__key")
+    found = classes(keyed.select("doc_id", F.col("__key").alias("key"), F.col(text).alias("text")), "text", threshold, recall)
+    return keyed.join(found.select(F.col("key").alias("__key"), "class_id", F.col("keeper").alias("__keeper"), "n_links"), "__key", "left")
+
+
+def keep_one(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """The rows of ``docs`` that stay when one document of each class does: that of the least id.
+
+    Documents without words stay; repeated rows of one id and text become one.
+    """
+    names = [F.col(f"`{n}`") for n in docs.columns]
+    found = _with_classes(docs.withColumnsRenamed({n: f"__{n}" for n in ("class_id", "n_links") if n in docs.columns}), text, threshold, recall)
+    found = found.where(F.coalesce("__keeper", "__key") == F.col("__key")).dropDuplicates(["__key"])
+    back = {f"__{n}": n for n in ("class_id", "n_links") if n in docs.columns}
+    return found.drop("class_id", "n_links").withColumnsRenamed(back).select(*names)
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
@@ -224,7 +243,5 @@ def near_duplicates(docs: DataFrame, text: str = "text", threshold: float = THRE
     ``n_links`` counts the different sets within the threshold of a document's own.
     """
     names = [c for c in docs.columns if c not in ("class_id", "n_links")]
-    keyed = with_key(docs.select(*(F.col(f"`{n}`") for n in names)), "doc_id", text, "__key")
-    found = classes(keyed.select("doc_id", F.col("__key").alias("key"), F.col(text).alias("text")), "text", threshold, recall)
-    joined = keyed.join(found.withColumnRenamed("key", "__key"), "__key", "left")
+    joined = _with_classes(docs.select(*(F.col(f"`{n}`") for n in names)), text, threshold, recall)
     return joined.select(*(F.col(f"`{n}`") for n in names), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
