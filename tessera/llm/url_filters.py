@@ -1,8 +1,8 @@
 """URL filters: a blocked Bloom filter before an exact join, and host and path rules.
 
 A listing is a table of canonical URLs.  Its blocked Bloom filter (one 256-bit
-block for each URL, one bit in each of eight words) has at most ``MAX_BLOCKS``
-rows, so it is broadcast whatever the size of the listing; only pages that pass
+block for each URL, one bit in each of eight words) has a bounded number of
+blocks, so it is broadcast whatever the size of the listing; only pages that pass
 it are shuffled, to an exact join that removes false positives.
 
 Null URLs, and URLs without ``://``, have an empty host and path, fit no rule and
@@ -15,15 +15,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm import bloom
 from tessera.llm.shared import cut
 
-#: Rows of the broadcast filter, about 40 bytes each.
-MAX_BLOCKS = 1 << 18
-#: Bits of the filter for each listed URL, as long as MAX_BLOCKS allows.
-BITS_PER_URL = 16
 #: Rules become one expression; a longer list belongs in a listing.
 MAX_RULES = 1000
-WORDS = [f"_word{i}" for i in range(8)]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Query parameters that don't change what a URL shows.
 TRACKING = r"^(utm_[a-z]+|ref|gclid|fbclid)(=|$)"
@@ -49,41 +45,15 @@ def canonical(url: Column) -> Column:
     return F.when(host(url) != "", shown)
 
 
-def _slots(url: Column, n_blocks: int) -> dict[str, Column]:
-    """The block of a URL and the bit it sets in each word of the block."""
-    bits = F.xxhash64(url, F.lit(1))
-    masks = {w: F.expr("shiftleft(1, cast(shiftrightunsigned(_bits, %d) & 31 as int))" % (5 * i)) for i, w in enumerate(WORDS)}
-    return {"_block": F.pmod(F.xxhash64(url), F.lit(n_blocks)), "_bits": bits} | masks
-
-
-def _with_slots(df: DataFrame, url: str, n_blocks: int) -> DataFrame:
-    slots = _slots(F.col(url), n_blocks)
-    df = df.withColumns({k: slots[k] for k in ("_block", "_bits")})
-    return df.withColumns({w: slots[w] for w in WORDS}).drop("_bits")
-
-
-def bloom(listing: DataFrame, url: str, n_blocks: int) -> DataFrame:
-    """The filter: ``_block`` and its eight words, each the union of its URLs' bits."""
-    return _with_slots(listing.select(url), url, n_blocks).groupBy("_block").agg(*(F.bit_or(w).alias(f"_set{w}") for w in WORDS))
-
-
 def listed(pages: DataFrame, listing: DataFrame, name: str = "listed", url: str = "url") -> DataFrame:
     """Add boolean ``name``: the page's canonical URL is in ``listing`` (its only column used: ``canonical``)."""
-    entries = cut(listing.select("canonical").where(F.col("canonical").isNotNull()).distinct())
-    n_blocks = 1
-    while n_blocks < MAX_BLOCKS and n_blocks * 256 < entries.count() * BITS_PER_URL:
-        n_blocks *= 2
+    entries = cut(listing.select(F.col("canonical").alias("_canonical")).where("_canonical is not null").distinct())
     own = [c for c in pages.columns if c != name]
-    tested = _with_slots(pages.select(*own).withColumn("_canonical", canonical(F.col(url))), "_canonical", n_blocks)
-    tested = tested.join(F.broadcast(bloom(entries, "canonical", n_blocks)), "_block", "left")
-    hit = F.col("_canonical").isNotNull()
-    for w in WORDS:
-        hit = hit & (F.col(f"_set{w}").bitwiseAND(F.col(w)) == F.col(w))
-    hit = F.coalesce(hit, F.lit(False))
-    passed = tested.where(hit).select(*own, "_canonical")
-    exact = passed.join(entries.withColumnRenamed("canonical", "_entry"), F.col("_canonical") == F.col("_entry"), "left")
+    tested = bloom.tested(pages.select(*own).withColumn("_canonical", canonical(F.col(url))), entries, "_canonical", "_hit")
+    passed = tested.where("_hit").select(*own, "_canonical")
+    exact = passed.join(entries.withColumnRenamed("_canonical", "_entry"), F.col("_canonical") == F.col("_entry"), "left")
     found = exact.select(*own, F.col("_entry").isNotNull().alias(name))
-    return tested.where(~hit).select(*own, F.lit(False).alias(name)).unionByName(found)
+    return tested.where("not _hit").select(*own, F.lit(False).alias(name)).unionByName(found)
 
 
 def rule_columns(rules: list[tuple[str, str, str]], host_of: Column, path_of: Column) -> tuple[Column, Column]:
