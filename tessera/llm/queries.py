@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chat_format, decontaminate, jaccard_join, language_id, line_dedup, quality_classifier, quality_rules, url_filters
+from tessera.llm import bpe, chat_format, decontaminate, jaccard_join, language_id, line_dedup, quality_classifier, quality_rules, suffix_dedup, url_filters
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -136,6 +136,11 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM judged
 """
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = decontaminate.build_index(table(spark, sf_dir, "documents"))
     found = decontaminate.search(index, table(spark, sf_dir, "benchmark"))
@@ -222,5 +227,5 @@ FROM documents d LEFT JOIN sets USING (doc_id) LEFT JOIN ones USING (s) LEFT JOI
 """
 
 
-QUERIES = {"op1_language_id": op1_language_id, "op2_url_filters": op2_url_filters, "op3_line_dedup": op3_line_dedup, "op4_chat_formatting": op4_chat_formatting, "op5_quality_rules": op5_quality_rules, "op7_decontamination": op7_decontamination, "op8_quality_classifier": op8_quality_classifier, "op9_bpe": op9_bpe, "op10_jaccard_join": op10_jaccard_join}
+QUERIES = {"op1_language_id": op1_language_id, "op2_url_filters": op2_url_filters, "op3_line_dedup": op3_line_dedup, "op4_chat_formatting": op4_chat_formatting, "op5_quality_rules": op5_quality_rules, "op6_suffix_dedup": op6_suffix_dedup, "op7_decontamination": op7_decontamination, "op8_quality_classifier": op8_quality_classifier, "op9_bpe": op9_bpe, "op10_jaccard_join": op10_jaccard_join}
 ORACLES = {"op2_url_filters": OP2_SQL, "op3_line_dedup": OP3_SQL, "op5_quality_rules": OP5_SQL, "op7_decontamination": OP7_SQL, "op10_jaccard_join": OP10_SQL}
