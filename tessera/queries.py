@@ -1,6 +1,439 @@
-"""Registered queries and their SQL twins."""
+"""Registered queries of the bilingual operators, and their SQL twins.
+
+The tables hold Latin text only, so a fixture makes it bilingual: every word of a
+length divisible by three is lower-cased and written in Arabic letters, in Spark and
+in SQL alike.  A document is a scenario and its lines are the generated sentences.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.functions import ratio, scoring, text
+from tessera.functions.scripts import SCRIPT_RANGES
+from tessera.operators import export, lookup, report, scenarios
+from tessera.plans import agents, pipeline, tools
+from tessera.sources import results
+from tessera.streaming import accept
+
+LATIN, ARABIC = "abcdefghijklmnopqrstuvwxyz", "ابتثجحخدذرزسشصضطظعغفقكلمنه"
+#: The separators of text.WHITE_SPACE in the syntax of RE2.
+WS = text.WHITE_SPACE
+
+CONFIG = {
+    "topics": ["Travel", "Weather", "Market", "Kitchen", "School"],
+    "tense": ["Past", "Present", "Future"],
+    "perspective": ["First Person", "Third Person"],
+    "character_setting": {
+        "gender": ["Male", "Female"],
+        "age": ["8-17", "18-25", "26-35", "56-65", "66+"],
+        "education_level": ["High School", "College", "Master", "Doctor"],
+        "nationality": {"first_language": "Arabic", "second_language": "English"},
+    },
+    "cs_ratio": ["30%", "50%", "70%"],
+    "conversation_type": ["single_turn", "multi-turn"],
+    "cs_function": ["Directive", "Expressive", "Referential", "Phatic", "Metalinguistic", "Poetic"],
+    "cs_type": ["Intersentential", "Intrasentential", "Tag switching"],
+    "use_tools": True,
+}
+
+
+def mixed(line: Column) -> Column:
+    """A line with every word of a length divisible by three in Arabic letters."""
+    word = lambda w: F.when(F.length(w) % 3 == 0, F.translate(F.lower(w), LATIN, ARABIC)).otherwise(w)
+    return F.array_join(F.transform(F.split(line, " "), word), " ")
+
+
+def fixture(spark: SparkSession, sf_dir: str, first: str = "Arabic", second: str = "English") -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    score = lambda k: (F.col("doc_id") * k % 21) / F.lit(2.0)
+    return docs.select(
+        F.col("doc_id").alias("scenario_id"),
+        F.concat(F.lit("topic"), (F.col("doc_id") % 9).cast("string")).alias("topic"),
+        F.element_at(F.array(*map(F.lit, ["70%", "50%", "30%", "Low"])), (F.col("doc_id") % 4 + 1).cast("int")).alias("cs_ratio"),
+        F.lit(first).alias("first_language"),
+        F.lit(second).alias("second_language"),
+        F.transform(F.split("text", "\n"), mixed).alias("instances"),
+        score(7).alias("fluency_score"),
+        score(11).alias("naturalness_score"),
+        score(13).alias("socio_cultural_score"),
+    )
+
+
+FIXTURE = f"""
+fixture AS (
+  SELECT doc_id AS scenario_id, 'topic' || (doc_id % 9) AS topic, ['70%', '50%', '30%', 'Low'][doc_id % 4 + 1] AS cs_ratio,
+    list_transform(string_split(text, chr(10)), lambda l: array_to_string(list_transform(string_split(l, ' '), lambda w: CASE WHEN length(w) % 3 = 0 THEN translate(lower(w), '{LATIN}', '{ARABIC}') ELSE w END), ' ')) AS instances,
+    (doc_id * 7 % 21) / 2.0::DOUBLE AS fluency_score, (doc_id * 11 % 21) / 2.0::DOUBLE AS naturalness_score, (doc_id * 13 % 21) / 2.0::DOUBLE AS socio_cultural_score
+  FROM documents
+), lines AS (
+  SELECT scenario_id, generate_subscripts(instances, 1) - 1 AS sentence, unnest(instances) AS line FROM fixture
+), words AS (
+  SELECT scenario_id, sentence, unnest(list_filter(regexp_split_to_array(line, '{WS}'), lambda w: w <> '')) AS w FROM lines
+), coded AS (
+  SELECT *, CASE WHEN regexp_extract(w, '\\p{{L}}') <> '' THEN unicode(regexp_extract(w, '\\p{{L}}')) END AS code FROM words
+)"""
+
+
+def measured_sql(lo1: int = 0x600, hi1: int = 0x6FF, first: str = "Arabic", second: str = "English", lo2: int = 0, hi2: int = 0xFF) -> str:
+    """CTE ``measured``: counts, shares and ratio text of each scenario."""
+    one, two = f"code BETWEEN {lo1} AND {hi1}", f"code BETWEEN {lo2} AND {hi2}"
+    return f"""{FIXTURE}, counted AS (
+  SELECT scenario_id, count(*) FILTER ({one}) AS n1, count(*) FILTER ({two} AND NOT {one}) AS n2, count(*) AS n FROM coded GROUP BY scenario_id
+), measured AS (
+  SELECT f.*, coalesce(n1, 0) AS lang1_word_count, coalesce(n2, 0) AS lang2_word_count,
+    CASE WHEN n1 + n2 > 0 THEN n - n1 - n2 END AS unknown_words, CASE WHEN n1 + n2 > 0 THEN n1 + n2 END AS total_words,
+    coalesce(n1 / nullif(n1 + n2, 0)::DOUBLE * 100, 0.0) AS lang1_percent, coalesce(n2 / nullif(n1 + n2, 0)::DOUBLE * 100, 0.0) AS lang2_percent,
+    CASE WHEN n1 + n2 > 0 THEN printf('%.1f', n2 / (n1 + n2)::DOUBLE * 100) || '% {second} : ' || printf('%.1f', n1 / (n1 + n2)::DOUBLE * 100) || '% {first}' ELSE '0% : 0%' END AS computed_ratio,
+    CASE WHEN n1 + n2 > 0 THEN 'Counted ' || n1 || ' {first} words and ' || n2 || ' {second} words.' ELSE 'No words detected in text.' END AS details
+  FROM fixture f LEFT JOIN counted USING (scenario_id)
+), scored AS (
+  SELECT *, CASE WHEN cs_ratio = 'Low' THEN 5.0 ELSE greatest(0.0, 10.0 - abs(lang2_percent - rtrim(cs_ratio, '%')::DOUBLE) * 0.5) END AS ratio_score FROM measured
+), finished AS (
+  SELECT *, fluency_score * 0.3::DOUBLE + naturalness_score * 0.25::DOUBLE + ratio_score * 0.2::DOUBLE + socio_cultural_score * 0.25::DOUBLE AS score FROM scored
+)"""
+
+
+COUNTS = ["scenario_id", "lang1_word_count", "lang2_word_count", "unknown_words", "total_words", "lang1_percent", "lang2_percent", "computed_ratio", "details"]
+MEASURED = measured_sql()
+
+
+def finished(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measured, scored and weighted scenarios."""
+    rows = ratio.first_letter(fixture(spark, sf_dir)).withColumn("ratio_score", scoring.linear_score(F.col("lang2_percent"), F.col("cs_ratio")))
+    return rows.withColumn("score", scoring.weighted_score())
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = finished(spark, sf_dir).withColumn("decision", scoring.decision(F.col("score"), F.lit(0)))
+    return done.select("scenario_id", "topic", "cs_ratio", "lang1_word_count", "lang2_word_count", "computed_ratio", F.round("ratio_score", 6).alias("ratio_score"), F.round("score", 6).alias("score"), "decision")
+
+
+def _states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accepted results in the shape that sinks and exports take."""
+    rows = finished(spark, sf_dir)
+    errors = F.when(F.col("scenario_id") % 3 == 0, F.to_json(F.slice("instances", 1, 2))).when(F.col("scenario_id") % 3 == 1, F.to_json(F.create_map(F.lit("sentence_1"), F.col("topic"), F.lit("sentence_2"), F.lit("x"))))
+    return rows.select(
+        "scenario_id", "topic", "cs_ratio", "first_language", "second_language", F.round("score", 6).alias("score"),
+        F.when(F.col("score") < 8, 3).otherwise(0).alias("refine_count"),
+        F.when(F.col("scenario_id") % 5 == 0, F.array().cast("array<string>")).otherwise(F.slice("instances", 1, 3)).alias("instances"),
+        F.struct("fluency_score", errors.alias("errors"), F.lit("fluent").alias("summary")).alias("fluency_result"),
+        F.struct("naturalness_score", F.lit("{}").alias("observations"), F.lit("natural").alias("summary")).alias("naturalness_result"),
+        F.struct(F.round("ratio_score", 6).alias("ratio_score"), "computed_ratio", F.concat(F.lit(" Target:\n"), "cs_ratio").alias("notes")).alias("cs_ratio_result"),
+        F.struct("socio_cultural_score", F.lit("No").alias("issues"), F.lit("polite").alias("summary")).alias("social_cultural_result"),
+    )
+
+
+STATES_SQL = f"""{MEASURED}, states AS (
+  SELECT *, CASE WHEN score < 8 THEN 3 ELSE 0 END AS refine_count,
+    CASE WHEN scenario_id % 5 = 0 THEN [] ELSE instances[1:3] END AS kept,
+    CASE scenario_id % 3 WHEN 0 THEN array_to_string(instances[1:2], '; ') WHEN 1 THEN 'sentence_1; sentence_2' ELSE '' END AS fluency_errors
+  FROM finished
+)"""
+
+
+# --- scenarios ---
+
+
+def q_scenario_product(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scenarios.product(spark, CONFIG)
+
+
+def product_sql() -> str:
+    lists, joins, number = scenarios.lists_of(CONFIG), [], "0"
+    for name, values in lists.items():
+        array = "[" + ", ".join(f"'{v}'" for v in values) + "]"
+        joins.append(f"(SELECT unnest({array}) AS {name}, generate_subscripts({array}, 1) - 1 AS i_{name})")
+        number = f"({number}) * {len(values)} + i_{name}"
+    return f"SELECT ({number})::BIGINT AS scenario_id, {', '.join(lists)}, true AS use_tools, 'Arabic' AS first_language, 'English' AS second_language FROM {' CROSS JOIN '.join(joins)}"
+
+
+def q_scenario_cross_product(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lists = {k: v for k, v in scenarios.lists_of(CONFIG).items() if k in ("topic", "tense", "age")}
+    return scenarios.cross_product(spark, lists).groupBy("topic", "tense").agg(F.count("age").alias("n_ages"))
+
+
+def q_scenario_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scenarios.batches(scenarios.product(spark, CONFIG)).select("scenario_id", "batch_id")
+
+
+def q_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.progress(fixture(spark, sf_dir), "scenario_id", 10)
+
+
+# --- words and ratios ---
+
+
+def q_word_count_tool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixture(spark, sf_dir).select("scenario_id", text.count_words(F.col("instances")).alias("word_count"))
+
+
+def q_tools_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    merged = fixture(spark, sf_dir).select("scenario_id", tools.merged().alias("mcp_result"))
+    return merged.select("scenario_id", F.map_keys("mcp_result")[0].alias("tool"), F.col("mcp_result")["word_count"].alias("value"))
+
+
+def q_word_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = fixture(spark, sf_dir).select("scenario_id", "first_language", "second_language", F.explode("instances").alias("line"))
+    words = lines.select("scenario_id", F.explode(text.words(F.col("line"))).alias("word"), "first_language", "second_language")
+    kind = ratio.word_language(F.col("word"), F.col("first_language"), F.col("second_language"))
+    return words.groupBy("scenario_id", kind.alias("word_language")).agg(F.count("*").alias("n_words"))
+
+
+def q_ratio_first_letter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ratio.first_letter(fixture(spark, sf_dir)).select(*COUNTS)
+
+
+def q_ratio_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ratio.with_shares(ratio.first_letter_grouped(fixture(spark, sf_dir), "scenario_id")).select(*COUNTS)
+
+
+def q_ratio_same_script(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ratio.first_letter(fixture(spark, sf_dir, "French", "English")).select(*COUNTS)
+
+
+def q_ratio_unknown_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ratio.first_letter(fixture(spark, sf_dir, "Cantonese", "Arabic")).select(*COUNTS)
+
+
+def q_ratio_per_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = ratio.per_sentence(fixture(spark, sf_dir), "scenario_id")
+    return counts.withColumn("matrix_pct", ratio.matrix_percent(F.col("matrix"), F.col("embedded"))).withColumn("sentence_number", F.col("sentence") + 1)
+
+
+def q_ratio_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.by_sentence(ratio.per_sentence(fixture(spark, sf_dir), "scenario_id"), "scenario_id")
+
+
+SENTENCES_SQL = """, sentences AS (
+  SELECT scenario_id, sentence, count(*) FILTER (code BETWEEN 1536 AND 1791) AS matrix, count(*) FILTER (code BETWEEN 0 AND 255) AS embedded
+  FROM lines LEFT JOIN coded USING (scenario_id, sentence) GROUP BY ALL
+)"""
+
+
+def q_ratio_script_majority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fixture(spark, sf_dir).withColumn("second_language", F.when(F.col("scenario_id") % 10 == 7, "Klingon").when(F.col("scenario_id") % 10 == 8, " ARABIC").otherwise("English"))
+    return ratio.script_majority(rows).select("scenario_id", "matrix_count", "embedded_count", "computed_ratio", "ratio_score", "notes")
+
+
+SCRIPT_SQL = f"""{FIXTURE}, tokens AS (
+  SELECT scenario_id, unnest(regexp_extract_all(line, '[\\p{{L}}\\p{{N}}_'']+')) AS t FROM lines
+), votes AS (
+  SELECT scenario_id, length(regexp_replace(t, '[^\\x{{0600}}-\\x{{06FF}}\\x{{0750}}-\\x{{077F}}\\x{{08A0}}-\\x{{08FF}}\\x{{FB50}}-\\x{{FDFF}}\\x{{FE70}}-\\x{{FEFF}}]', '', 'g')) AS m,
+    length(regexp_replace(t, '[^\\p{{Latin}}]|[ªº]', '', 'g')) AS e FROM tokens
+), majority AS (
+  SELECT scenario_id, count(*) FILTER (m > e) AS m, count(*) FILTER (e > m) AS e FROM votes GROUP BY scenario_id
+), shares AS (
+  SELECT f.scenario_id, cs_ratio, f.scenario_id % 10 AS k, CASE WHEN f.scenario_id % 10 IN (7, 8) THEN 0 ELSE coalesce(m, 0) END AS m, CASE WHEN f.scenario_id % 10 IN (7, 8) THEN 0 ELSE coalesce(e, 0) END AS e
+  FROM fixture f LEFT JOIN majority USING (scenario_id)
+), pct AS (
+  SELECT *, CASE WHEN m + e > 0 THEN round_even(100 * m / (m + e)::DOUBLE, 0)::INT END AS p, CASE WHEN cs_ratio = 'Low' THEN 0.0 ELSE rtrim(cs_ratio, '%')::DOUBLE END AS target FROM shares
+)
+SELECT scenario_id, m AS matrix_count, e AS embedded_count, coalesce(p || '% : ' || (100 - p) || '%', 'N/A') AS computed_ratio,
+  CASE WHEN p IS NULL THEN 0.0 WHEN abs(p - target) <= 5 THEN 10.0 WHEN abs(p - target) <= 10 THEN 8.0 WHEN abs(p - target) <= 15 THEN 6.0 WHEN abs(p - target) <= 20 THEN 4.0 WHEN abs(p - target) <= 25 THEN 2.0 ELSE 0.0 END::DOUBLE AS ratio_score,
+  CASE WHEN k = 7 THEN 'Unknown script mapping for one or both languages; deterministic ratio not computed.'
+    WHEN k = 8 THEN 'Both languages share the same script; deterministic script-based ratio not possible.'
+    WHEN m + e = 0 THEN 'No identifiable script characters found for either language.'
+    ELSE 'Deterministic script ratio using Arabic/English (arabic/latin).' END AS notes
+FROM pct"""
+
+
+def q_range_join_script(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup.words_by_script(fixture(spark, sf_dir), "scenario_id")
+
+
+RANGES_SQL = ", ".join(f"('{s}', {lo}, {hi})" for s, rs in SCRIPT_RANGES.items() for lo, hi in rs)
+
+
+# --- scores ---
+
+
+def q_score_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return finished(spark, sf_dir).select("scenario_id", "cs_ratio", F.round("ratio_score", 6).alias("ratio_score"))
+
+
+def q_score_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ratio.first_letter(fixture(spark, sf_dir)).select("scenario_id", scoring.step_score(F.col("lang1_percent"), F.col("cs_ratio")).alias("ratio_score"))
+
+
+def q_weighted_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return finished(spark, sf_dir).select("scenario_id", F.round("score", 6).alias("score"))
+
+
+def q_score_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = finished(spark, sf_dir).select("scenario_id", F.inline(scoring.contributions()))
+    return rows.select("scenario_id", "dimension", F.round("score", 6).alias("score"), "weight", F.round("contribution", 6).alias("contribution"))
+
+
+def q_accept_refine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first = scoring.decision(F.col("score"), F.lit(0))
+    rows = finished(spark, sf_dir).withColumn("first_decision", first).withColumn("refine_count", F.when(F.col("first_decision") == "REFINE", 3).otherwise(0))
+    return rows.select("scenario_id", "first_decision", "refine_count", scoring.decision(F.col("score"), F.col("refine_count")).alias("final_decision"))
+
+
+def q_strict_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    least = F.least("fluency_score", "naturalness_score", "ratio_score", "socio_cultural_score")
+    return finished(spark, sf_dir).select("scenario_id", scoring.decision(F.col("score"), F.lit(0), least=least).alias("decision"))
+
+
+# --- sinks, exports and reports ---
+
+
+def q_accept_sink_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _states(spark, sf_dir).select("scenario_id", "topic", F.when(F.col("scenario_id") % 2 == 0, "Arabic").otherwise("English").alias("first_language"), "score", "refine_count", "instances", F.lit(True).alias("use_tools"))
+    path = results.folder(spark, "accepted")
+    results.accept(rows.where("scenario_id % 2 = 0"), path)
+    results.accept(rows.where("scenario_id % 2 = 1"), path)
+    back = results.read_accepted(spark, path, "scenario_id bigint, topic string, first_language string, score double, refine_count int, instances array<string>")
+    return back.select("scenario_id", "topic", "first_language", "score", "refine_count", F.array_join("instances", "|").alias("sentences"))
+
+
+def q_stream_accept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source, sink = results.folder(spark, "scored"), results.folder(spark, "streamed")
+    rows = _states(spark, sf_dir).select("scenario_id", "first_language", "score", (F.col("scenario_id") % 2).cast("int").alias("refine_count"))
+    rows.repartition(4).write.json(source)
+    schema = "scenario_id bigint, first_language string, score double, refine_count int"
+    accept.accept_stream(spark, source, schema, sink, results.folder(spark, "progress"), files_per_batch=2)
+    return accept.accepted(spark, sink, schema)
+
+
+def q_export_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return export.sentences(_states(spark, sf_dir)).select("topic", "text", "score", "fluency_score", "cs_ratio_score", "fluency_errors", "naturalness_observations", "socio_cultural_issues", "cs_ratio_computed", "cs_ratio", "refine_count", "sentence_index", "socio_cultural_summary", "first_language", "tense")
+
+
+def q_export_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return export.scenarios(_states(spark, sf_dir)).select("scenario_id", "topic", "score", "cs_ratio", "first_language", "refine_count", "instances")
+
+
+def q_join_any(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = fixture(spark, sf_dir)
+    head = F.slice(text.words(F.element_at("instances", 1)), 1, 3)
+    raw = F.when(F.col("scenario_id") % 4 == 0, F.to_json(head)).when(F.col("scenario_id") % 4 == 1, '{"a":1,"b":[2]}').when(F.col("scenario_id") % 4 == 2, F.col("topic"))
+    return docs.select("scenario_id", text.listed(raw).alias("plain"), text.listed(raw, compat=True).alias("compat"))
+
+
+def q_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    states = _states(spark, sf_dir).withColumn("topic", F.format_string("%s-%06d", "topic", "scenario_id"))
+    return export.preview(export.sentences(states), ["topic", "sentence_index"])
+
+
+def q_ratio_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = report.statistics(finished(spark, sf_dir))
+    return stats.select("n", *(F.round(c, 6).alias(c) for c in ("min_score", "max_score", "mean_score")))
+
+
+def q_ratio_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = report.mismatches(ratio.script_majority(fixture(spark, sf_dir)), "matrix")
+    return rows.select("scenario_id", "mismatch")
+
+
+def q_parse_computed_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shapes = ["63% Arabic : 37% English", "65% : 35%", "54.7% English : 45.3% Arabic", "0% : 0%", "N/A"]
+    shape = F.element_at(F.array(*map(F.lit, shapes)), (F.col("scenario_id") % 5 + 1).cast("int"))
+    return fixture(spark, sf_dir).select("scenario_id", report.parsed(shape).alias("p")).select("scenario_id", "p.*")
+
+
+# --- lookups, prompts and the whole pipeline ---
+
+
+def _news(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = fixture(spark, sf_dir).where("topic < 'topic7'").select("topic", F.concat(F.lit("title "), "scenario_id").alias("title"), F.element_at("instances", 1).alias("content"))
+    return lookup.articles(raw)
+
+
+NEWS_SQL = "news AS (SELECT topic, 'title ' || scenario_id || chr(10) || instances[1] AS article FROM fixture WHERE topic < 'topic7'), picked AS (SELECT topic, arg_min(article, md5('0:' || article)) AS article FROM news GROUP BY topic)"
+
+
+def q_news_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup.pick_one(_news(spark, sf_dir))
+
+
+def q_news_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup.with_news(fixture(spark, sf_dir), lookup.pick_one(_news(spark, sf_dir))).select("scenario_id", "topic", "article")
+
+
+def q_distinct_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup.distinct_topics(fixture(spark, sf_dir))
+
+
+TEMPLATE = "Write about {topic} in {first_language} with {cs_ratio} {second_language}; {unknown} stays."
+
+
+def q_prompt_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixture(spark, sf_dir).select("scenario_id", agents.rendered(TEMPLATE, ["topic", "first_language", "second_language", "cs_ratio"]).alias("prompt"))
+
+
+def q_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = fixture(spark, sf_dir)
+    prompt = agents.rendered(TEMPLATE, ["topic", "first_language", "second_language", "cs_ratio"])
+    replies = docs.where("topic <> 'topic4'").select(F.sha2(prompt, 256).alias("prompt_sha256"), F.concat(F.lit("reply to "), "topic", F.lit(" "), "cs_ratio").alias("reply")).distinct()
+    return agents.replay(docs, replies, prompt, "answer").select("scenario_id", "answer")
+
+
+def q_summary_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fixture(spark, sf_dir).select("scenario_id", *(F.struct(F.col("topic").alias("summary")).alias(c) for c in ("fluency_result", "naturalness_result", "cs_ratio_result", "social_cultural_result")))
+    return rows.select("scenario_id", pipeline.summary().alias("summary"))
+
+
+def _evaluated(df: DataFrame) -> DataFrame:
+    return df.withColumns({"fluency_result": F.struct("fluency_score"), "naturalness_result": F.struct("naturalness_score"), "social_cultural_result": F.struct("socio_cultural_score")})
+
+
+def q_pipeline_as_coded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pipeline.run(fixture(spark, sf_dir), lambda df: df, _evaluated, tools=True)
+    return rows.select("scenario_id", F.round("score", 6).alias("score"), "refine_count", F.col("cs_ratio_result.notes").alias("notes"), F.col("mcp_result")["word_count"].alias("word_count"))
+
+
+def q_pipeline_reevaluate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def shorter(df: DataFrame) -> DataFrame:
+        return df.withColumns({"instances": F.array(F.lit("مرحبا hello")), "fluency_score": F.lit(9.0)})
+
+    rows = pipeline.run(fixture(spark, sf_dir).withColumn("instances_", F.col("instances")), lambda df: df.withColumn("instances", F.col("instances_")), _evaluated, refine_mode="reevaluate", refine=shorter)
+    return rows.select("scenario_id", F.round("score", 6).alias("score"), "refine_count", F.size("instances").cast("bigint").alias("n_sentences"))
+
+
+QUERIES = {name.removeprefix("q_"): f for name, f in list(globals().items()) if name.startswith("q_")} | {"flagship": flagship}
+
+_COUNTS = f"SELECT {', '.join(COUNTS)} FROM measured"
+ORACLES = {
+    "scenario_product": product_sql(),
+    "scenario_cross_product": "SELECT topic, tense, 5::BIGINT AS n_ages FROM (SELECT unnest(['Travel', 'Weather', 'Market', 'Kitchen', 'School']) AS topic) CROSS JOIN (SELECT unnest(['Past', 'Present', 'Future']) AS tense)",
+    "scenario_batches": f"SELECT scenario_id, ((row_number() OVER (ORDER BY md5('0:' || scenario_id), scenario_id) - 1) // 40)::BIGINT AS batch_id FROM (SELECT scenario_id FROM ({product_sql()}) ORDER BY md5('0:' || scenario_id), scenario_id LIMIT 8000)",
+    "progress": "SELECT * FROM (SELECT doc_id AS scenario_id, row_number() OVER (ORDER BY doc_id) AS n_done FROM documents) WHERE n_done % 10 = 0",
+    "word_count_tool": f"WITH {FIXTURE} SELECT scenario_id, count(w) AS word_count FROM fixture LEFT JOIN words USING (scenario_id) GROUP BY scenario_id",
+    "tools_merge": f"WITH {FIXTURE} SELECT scenario_id, 'word_count' AS tool, count(w)::VARCHAR AS value FROM fixture LEFT JOIN words USING (scenario_id) GROUP BY scenario_id",
+    "word_language": f"WITH {FIXTURE} SELECT scenario_id, CASE WHEN code BETWEEN 1536 AND 1791 THEN 'lang1' WHEN code BETWEEN 0 AND 255 THEN 'lang2' ELSE 'unknown' END AS word_language, count(*) AS n_words FROM coded GROUP BY ALL",
+    "ratio_first_letter": f"WITH {MEASURED} {_COUNTS}",
+    "ratio_grouped": f"WITH {MEASURED} {_COUNTS}",
+    "ratio_same_script": f"WITH {measured_sql(0, 255, 'French', 'English')} {_COUNTS}",
+    "ratio_unknown_lang": f"WITH {measured_sql(0, 255, 'Cantonese', 'Arabic', 0x600, 0x6FF)} {_COUNTS}",
+    "ratio_per_sentence": f"WITH {FIXTURE}{SENTENCES_SQL} SELECT *, CASE WHEN matrix + embedded > 0 THEN round_even(100 * matrix / (matrix + embedded)::DOUBLE, 0)::INT END AS matrix_pct, sentence + 1 AS sentence_number FROM sentences",
+    "ratio_rollup": f"WITH {FIXTURE}{SENTENCES_SQL} SELECT scenario_id, sentence, sum(matrix)::BIGINT AS matrix, sum(embedded)::BIGINT AS embedded, grouping(scenario_id, sentence)::BIGINT AS level, CASE WHEN sum(matrix + embedded) > 0 THEN round_even(100 * sum(matrix) / sum(matrix + embedded)::DOUBLE, 0)::INT END AS matrix_pct FROM sentences GROUP BY ROLLUP (scenario_id, sentence)",
+    "ratio_script_majority": f"WITH {SCRIPT_SQL}",
+    "range_join_script": f"WITH {FIXTURE}, ranges(script, lo, hi) AS (VALUES {RANGES_SQL}) SELECT scenario_id, script, count(*) AS n_words FROM coded JOIN ranges ON code BETWEEN lo AND hi GROUP BY ALL",
+    "score_linear": f"WITH {MEASURED} SELECT scenario_id, cs_ratio, round(ratio_score, 6) AS ratio_score FROM scored",
+    "score_step": f"WITH {MEASURED}, d AS (SELECT scenario_id, abs(lang1_percent - CASE WHEN cs_ratio = 'Low' THEN 0 ELSE rtrim(cs_ratio, '%')::DOUBLE END) AS diff FROM measured) SELECT scenario_id, (CASE WHEN diff <= 5 THEN 10 WHEN diff <= 10 THEN 8 WHEN diff <= 15 THEN 6 WHEN diff <= 20 THEN 4 WHEN diff <= 25 THEN 2 ELSE 0 END)::DOUBLE AS ratio_score FROM d",
+    "weighted_score": f"WITH {MEASURED} SELECT scenario_id, round(score, 6) AS score FROM finished",
+    "score_breakdown": f"WITH {MEASURED} SELECT scenario_id, dimension, round(value, 6) AS score, weight, round(value * weight, 6) AS contribution FROM (UNPIVOT (SELECT scenario_id, fluency_score, naturalness_score, ratio_score, socio_cultural_score FROM scored) ON fluency_score, naturalness_score, ratio_score, socio_cultural_score INTO NAME dimension VALUE value) JOIN (VALUES ('fluency_score', 0.3::DOUBLE), ('naturalness_score', 0.25::DOUBLE), ('ratio_score', 0.2::DOUBLE), ('socio_cultural_score', 0.25::DOUBLE)) AS w(dimension, weight) USING (dimension)",
+    "accept_refine": f"WITH {MEASURED} SELECT scenario_id, CASE WHEN score < 8 THEN 'REFINE' ELSE 'ACCEPT' END AS first_decision, CASE WHEN score < 8 THEN 3 ELSE 0 END AS refine_count, 'ACCEPT' AS final_decision FROM finished",
+    "strict_gates": f"WITH {MEASURED} SELECT scenario_id, CASE WHEN score < 8 OR least(fluency_score, naturalness_score, ratio_score, socio_cultural_score) < 5 THEN 'REFINE' ELSE 'ACCEPT' END AS decision FROM finished",
+    "accept_sink_roundtrip": f"WITH {STATES_SQL} SELECT scenario_id, topic, CASE WHEN scenario_id % 2 = 0 THEN 'Arabic' ELSE 'English' END AS first_language, round(score, 6) AS score, refine_count, array_to_string(kept, '|') AS sentences FROM states",
+    "stream_accept": f"WITH {STATES_SQL} SELECT scenario_id, 'Arabic' AS first_language, round(score, 6) AS score, (scenario_id % 2)::INT AS refine_count, CASE WHEN round(score, 6) < 8 AND scenario_id % 2 = 0 THEN 'REFINE' ELSE 'ACCEPT' END AS decision FROM states",
+    "export_sentences": f"WITH {STATES_SQL}, rows AS (SELECT *, unnest(CASE WHEN len(kept) = 0 THEN [NULL] ELSE kept END) AS text, generate_subscripts(CASE WHEN len(kept) = 0 THEN [NULL] ELSE kept END, 1) - 1 AS sentence_index FROM states) SELECT topic, text, round(score, 6) AS score, fluency_score, round(ratio_score, 6) AS cs_ratio_score, fluency_errors, '' AS naturalness_observations, 'No' AS socio_cultural_issues, computed_ratio AS cs_ratio_computed, cs_ratio, refine_count, sentence_index, 'polite' AS socio_cultural_summary, 'Arabic' AS first_language, NULL::VARCHAR AS tense FROM rows",
+    "export_scenarios": f"WITH {STATES_SQL} SELECT scenario_id, topic, round(score, 6) AS score, cs_ratio, 'Arabic' AS first_language, refine_count, to_json(kept)::VARCHAR AS instances FROM states",
+    "join_any": f"WITH {FIXTURE} SELECT scenario_id, CASE scenario_id % 4 WHEN 0 THEN array_to_string(list_filter(regexp_split_to_array(instances[1], '{WS}'), lambda w: w <> '')[1:3], '; ') WHEN 1 THEN 'a; b' WHEN 2 THEN topic ELSE '' END AS plain, CASE scenario_id % 4 WHEN 0 THEN array_to_string(list_filter(regexp_split_to_array(instances[1], '{WS}'), lambda w: w <> '')[1:3], '; ') WHEN 1 THEN 'a; b' WHEN 2 THEN array_to_string(string_split(topic, ''), '; ') ELSE '' END AS compat FROM fixture",
+    "preview": f"WITH {STATES_SQL}, rows AS (SELECT *, topic || '-' || lpad(scenario_id::VARCHAR, 6, '0') AS name, unnest(CASE WHEN len(kept) = 0 THEN [NULL] ELSE kept END) AS text, generate_subscripts(CASE WHEN len(kept) = 0 THEN [NULL] ELSE kept END, 1) - 1 AS sentence_index FROM states) SELECT name AS topic, cs_ratio, computed_ratio AS cs_ratio_computed, printf('%.2f', round(ratio_score, 6)) AS cs_ratio_score, 'Target: ' || cs_ratio AS cs_ratio_notes, sentence_index, refine_count, CASE WHEN length(text) > 120 THEN substring(text, 1, 120) || '...' ELSE text END AS text FROM rows ORDER BY name, sentence_index LIMIT 12",
+    "ratio_stats": f"WITH {MEASURED} SELECT count(*) AS n, round(min(ratio_score), 6) AS min_score, round(max(ratio_score), 6) AS max_score, round(avg(ratio_score), 6) AS mean_score FROM scored",
+    "ratio_mismatch": "WITH " + SCRIPT_SQL.replace(" IN (7, 8)", " IN (10, 11)").rpartition("SELECT scenario_id, m AS")[0] + " SELECT scenario_id, coalesce(cs_ratio = 'Low' OR p <> target OR p IS NULL, true) AS mismatch FROM pct",
+    "parse_computed_ratio": "SELECT doc_id AS scenario_id, [63.0, 65.0, 54.7, 0.0, NULL][doc_id % 5 + 1]::DOUBLE AS first_percent, [37.0, 35.0, 45.3, 0.0, NULL][doc_id % 5 + 1]::DOUBLE AS second_percent, ['Arabic', NULL, 'English', NULL, NULL][doc_id % 5 + 1] AS first_language, ['English', NULL, 'Arabic', NULL, NULL][doc_id % 5 + 1] AS second_language FROM documents",
+    "news_pick": f"WITH {FIXTURE}, {NEWS_SQL} SELECT * FROM picked",
+    "news_lookup": f"WITH {FIXTURE}, {NEWS_SQL} SELECT scenario_id, topic, coalesce(article, '') AS article FROM fixture LEFT JOIN picked USING (topic)",
+    "distinct_topics": "SELECT DISTINCT 'topic' || (doc_id % 9) AS topic FROM documents",
+    "prompt_render": f"WITH {FIXTURE} SELECT scenario_id, 'Write about ' || topic || ' in Arabic with ' || cs_ratio || ' English; {{unknown}} stays.' AS prompt FROM fixture",
+    "replay": f"WITH {FIXTURE} SELECT scenario_id, CASE WHEN topic <> 'topic4' THEN 'reply to ' || topic || ' ' || cs_ratio END AS answer FROM fixture",
+    "summary_text": "SELECT doc_id AS scenario_id, 'Fluency Result: {\"summary\":\"' || t || '\"}' || chr(10) || 'Naturalness Result: {\"summary\":\"' || t || '\"}' || chr(10) || 'CS Ratio Result: {\"summary\":\"' || t || '\"}' || chr(10) || 'Social Cultural Result: {\"summary\":\"' || t || '\"}' AS summary FROM (SELECT doc_id, 'topic' || (doc_id % 9) AS t FROM documents)",
+    "pipeline_as_coded": f"WITH {MEASURED}, n AS (SELECT scenario_id, count(*) AS n FROM words GROUP BY ALL) SELECT scenario_id, round(score, 6) AS score, CASE WHEN score < 8 THEN 3 ELSE 0 END AS refine_count, 'Target: ' || cs_ratio || ', Actual: ' || printf('%.1f', lang2_percent) || '%. ' || details AS notes, coalesce(n, 0)::VARCHAR AS word_count FROM finished LEFT JOIN n USING (scenario_id)",
+    "pipeline_reevaluate": f"WITH {MEASURED} SELECT scenario_id, round(CASE WHEN score < 8 THEN 9.0::DOUBLE * 0.3::DOUBLE + naturalness_score * 0.25::DOUBLE + CASE cs_ratio WHEN '50%' THEN 10.0 WHEN 'Low' THEN 5.0 ELSE 0.0 END * 0.2::DOUBLE + socio_cultural_score * 0.25::DOUBLE ELSE score END, 6) AS score, CASE WHEN score < 8 THEN 3 ELSE 0 END AS refine_count, CASE WHEN score < 8 THEN 1 ELSE len(instances) END AS n_sentences FROM finished",
+    "flagship": f"WITH {MEASURED} SELECT scenario_id, topic, cs_ratio, lang1_word_count, lang2_word_count, computed_ratio, round(ratio_score, 6) AS ratio_score, round(score, 6) AS score, CASE WHEN score < 8 THEN 'REFINE' ELSE 'ACCEPT' END AS decision FROM finished",
+}
