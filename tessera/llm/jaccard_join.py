@@ -9,8 +9,7 @@ with the target probability.
 Within a node of a trie, documents are streamed past its leaders: one joins every
 leader whose sketch might be within reach, and leads itself if none is close.  A
 pair at the threshold has a leader in common by the triangle inequality, with room
-for the sketches' errors, so that a node gives one row for each join and never its
-pairs.  What hangs together is verified exactly, in blocks of documents against
+for the sketches' errors.  A node gives a forest of these joins, never its pairs.  What hangs together is verified exactly, in blocks of documents against
 blocks, which give each document's number of links and a spanning forest.
 
 Null texts, and those without words, are classes of their own without links.  Rows
@@ -106,30 +105,44 @@ def reach(n: int, threshold: float = THRESHOLD) -> tuple[float, float]:
 
 
 def joins(nodes: DataFrame, n: int, threshold: float) -> DataFrame:
-    """(a, b): a document of a trie node and a leader that it joined."""
+    """(a, b): links that hold together the documents of a trie node that joined one leader, fewer than two for each."""
     close, joined = reach(n, threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        node, leaders, sketches = None, [], np.zeros((8, n), np.uint8)
+        node, leaders, parent, sketches = None, [], [], np.zeros((8, n), np.uint8)
+
+        def root(k: int) -> int:
+            while parent[k] != k:
+                parent[k] = k = parent[parent[k]]
+            return k
+
         for batch in batches:
             a, b = [], []
             rows = zip(batch.column("node").to_pylist(), batch.column("key").to_pylist(), batch.column("sketch").to_pylist(), strict=True)
             for at, key, sketch in rows:
                 if at != node:
-                    node, leaders, sketches = at, [], sketches[:8]
-                one, best = np.frombuffer(sketch, np.uint8), 0.0
+                    node, leaders, parent, sketches = at, [], [], sketches[:8]
+                one, best, group = np.frombuffer(sketch, np.uint8), 0.0, None
                 if leaders:
                     share = (sketches[: len(leaders)] == one).mean(1)
                     best = share.max()
-                    for k in np.flatnonzero(share >= joined):
-                        a.append(key)
-                        b.append(leaders[k])
+                    for k in np.flatnonzero(share >= joined).tolist():
+                        met = root(k)
+                        if group is None:
+                            group = met
+                            a.append(key)
+                            b.append(leaders[met])
+                        elif met != group:  # this document holds two groups of leaders together
+                            a.append(leaders[met])
+                            b.append(leaders[group])
+                            parent[met] = group
                         if share[k] >= close:  # whoever is near this one joins that leader as well
                             break
                 if best < close:
                     if len(leaders) == len(sketches):
                         sketches = np.concatenate([sketches, np.zeros_like(sketches)])
                     sketches[len(leaders)] = one
+                    parent.append(len(leaders) if group is None else group)
                     leaders.append(key)
             links = np.unique(np.array([a, b], np.int64), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(links[0]), pa.array(links[1])], names=["a", "b"])
