@@ -1,7 +1,7 @@
 """Benchmark decontamination by a distributed positional inverted index.
 
 The index is partitioned by document: each row is a shard, with the sorted terms
-of some megabytes of text and, for each term, the ascending word positions of its
+of half a megabyte of text and, for each term, the ascending word positions of its
 postings.  A search visits every shard.  A window of test words starts from the
 postings of its rarest term in the shard, shifted by that term's offset, and keeps
 what the lists of its other terms, rarest next, hold at theirs.

@@ -1,6 +1,6 @@
 """Vectorised helpers over the UTF-8 bytes of Arrow string columns.
 
-They run inside ``mapInArrow`` tasks.  A task looks at a few megabytes of text at
+They run inside ``mapInArrow`` tasks.  A task looks at half a megabyte of text at
 a time (``slices``), so its memory does not depend on the size of a partition; a
 single text needs about 60 bytes of memory for each of its bytes.
 """
@@ -17,7 +17,7 @@ U64 = np.uint64
 #: Odd multiplier of the rolling hash and its inverse modulo 2**64.
 BASE = U64(0x9E3779B97F4A7C15)
 BASE_INVERSE = U64(pow(0x9E3779B97F4A7C15, -1, 2**64))
-SLICE_BYTES, SLICE_ROWS = 4 << 20, 1 << 15
+SLICE_BYTES, SLICE_ROWS = 1 << 19, 1 << 15
 
 
 def mix(x: np.ndarray) -> np.ndarray:
