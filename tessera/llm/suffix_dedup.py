@@ -19,8 +19,8 @@ a run of neighbouring string starts that share it.
 3. Those strings meet by hash as runs of one string; all but the first are repeats.
 
 Spark's external sort stands in for an in-memory multikey quicksort, so a bucket
-may be larger than memory.  Repeats within a slice of text are taken out before the
-shuffles, which keeps strings that very many documents share small.  Strings are
+may be larger than memory.  Repeats within what a task gathers are taken out before
+the shuffles, which keeps strings that very many documents share small.  Strings are
 compared by 64-bit hashes (runs by 96 bits).
 
 Null texts count as empty.  Null ids come first.  Rows of one id and text are at one
@@ -43,6 +43,8 @@ from tessera.llm.shared import cut
 
 LENGTH, GRAM = 100, 40
 NO_ID = -(1 << 63)
+#: Runs that a task gathers before it hands them on, about 30 bytes each.
+HELD = 400_000
 #: Bits of a position in ``least_at``; the rest of 64 bits are of the hash.
 PLACE = 30
 RUN = np.dtype([("h", "<u8"), ("s", "<u4"), ("doc", "<u4"), ("tie", "<u2"), ("at", "<u4"), ("n", "u1")])
@@ -89,7 +91,7 @@ def ranked(h: np.ndarray, s: np.ndarray, doc: np.ndarray, tie: np.ndarray, at: n
 
 
 def packed(h: np.ndarray, s: np.ndarray, doc: np.ndarray, tie: np.ndarray, at: np.ndarray, n: np.ndarray, parts: int) -> Iterator[tuple[int, int, bytes]]:
-    """(part, base, runs) of a slice: firsts by ranges of their hash, repeats within the slice in a negative part."""
+    """(part, base, runs) of some runs: firsts by ranges of their hash, repeats among them in a negative part."""
     if not len(h):
         return
     order, new, again = ranked(h, s, doc, tie, at)
@@ -161,11 +163,17 @@ def first_pass(docs: DataFrame, parts: int) -> DataFrame:
     """Packets of the runs of all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = tb.Hasher()
+        hasher, held, size = tb.Hasher(), [], 0
         for batch in tb.slices(batches, "text"):
             h, s, text, at, n, _ = runs_of(*tb.text_bytes(batch.column("text")), hasher)
             doc, tie = np.asarray(batch.column("doc"))[text], np.asarray(batch.column("tie"))[text]
-            yield from _packets(packed(h, s >> tb.U64(32), doc, tie, at, n, parts))
+            held.append((h, (s >> tb.U64(32)).astype(np.uint32), doc, tie.astype(np.uint16), at.astype(np.uint32), n.astype(np.uint8)))
+            size += len(h)
+            if size >= HELD:
+                yield from _packets(packed(*map(np.concatenate, zip(*held, strict=True)), parts))
+                held, size = [], 0
+        if held:
+            yield from _packets(packed(*map(np.concatenate, zip(*held, strict=True)), parts))
 
     return docs.mapInArrow(run, PACKETS)
 
@@ -255,10 +263,13 @@ def removed(data: bytes, at: list[int], n: list[int]) -> tuple[int, int, bytes]:
     return int(gone.sum()), int((edges == 1).sum()), np.frombuffer(data, np.uint8)[~gone].tobytes()
 
 
-def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept``, the remaining bytes."""
-    spark = docs.sparkSession
-    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", parts: int | None = None) -> DataFrame:
+    """``docs`` with ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept``, the remaining bytes.
+
+    A task holds one of ``parts`` ranges of hashes, about 0.8 bytes in all for each byte
+    of text; by default there are four for each of spark.sql.shuffle.partitions.
+    """
+    parts = parts or 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     places = _place(docs, doc_id, text)
     texts = docs.select(places["doc"].alias("doc"), places["tie"].alias("tie"), F.coalesce(text, F.lit("")).alias("text"))
     key = F.xxhash64("doc", "tie")
