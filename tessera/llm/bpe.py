@@ -154,7 +154,7 @@ def _mapped(df: DataFrame, source: str, target: str, kind: str, start: Callable[
             yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + [work(batch)], names=[*names, target])
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"`{target}` {kind}"])
-    return df.select(*(F.col(f"`{n}`") for n in {**dict.fromkeys(names), source: None})).mapInArrow(run, schema)
+    return df.select(*(F.col(f"`{n}`") for n in {**dict.fromkeys(names), source: None})).mapInArrow(tb.tidy(run), schema)
 
 
 def encode(docs: DataFrame, model_file: str, text: str = "text", ids: str = "ids") -> DataFrame:
@@ -185,15 +185,20 @@ def decode(encoded: DataFrame, model_file: str, ids: str = "ids", decoded: str =
     Without a decoder in its file a tokenizer joins its tokens by spaces; for others
     its own ``decode`` is called for each row.
     """
-    model = encoded.sparkSession.sparkContext.broadcast(Path(model_file).read_text())
+    context, model = encoded.sparkSession.sparkContext, Path(model_file).read_text()
+    tokenizer = load(model)
+    vocabulary = tokenizer.get_vocab()
+    strings = [""] * (max(vocabulary.values()) + 1)
+    for token, i in vocabulary.items():
+        strings[i] = token
+    plain = tokenizer.decoder is None
+    shared = context.broadcast(strings if plain else model)
 
     def start() -> Callable[[pa.RecordBatch], pa.Array]:
-        tokenizer = load(model.value)
-        if tokenizer.decoder is not None:
+        if not plain:
+            tokenizer = load(shared.value)
             return lambda batch: pa.array([tokenizer.decode(x or [], skip_special_tokens=False) for x in batch.column(ids).to_pylist()], pa.string())
-        vocabulary = tokenizer.get_vocab()
-        tokens = np.full(max(vocabulary.values()) + 1, "", object)
-        tokens[list(vocabulary.values())] = list(vocabulary)
+        tokens = np.array(shared.value, object)
 
         def joined(batch: pa.RecordBatch) -> pa.Array:
             column = batch.column(ids)

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm import textbytes as tb
+
 START, END = "<|im_start|>", "<|im_end|>\n"
 WINDOW = (
     "conv_id bigint, window bigint, n_repeated bigint, n_turns bigint, n_tokens bigint, "
@@ -144,7 +146,7 @@ def windows(conversations: DataFrame, budget: int = 2048, history: int = 512, to
         yield from _batches(rows, schema, lambda w: len(w[5]))
 
     rows = conversations.select(F.col("conv_id").cast("bigint"), "turn", "role", "text")
-    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text").mapInArrow(run, WINDOW)
+    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text").mapInArrow(tb.tidy(run), WINDOW)
 
 
 def turns_of(formatted: str) -> list[tuple[str, str, int, int]]:
@@ -190,4 +192,4 @@ def read_back(spans: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _batches(digests(batches), schema, lambda _: 300)
 
-    return spans.mapInArrow(run, DIGEST)
+    return spans.mapInArrow(tb.tidy(run), DIGEST)

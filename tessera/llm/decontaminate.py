@@ -192,7 +192,7 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
     kind = docs.schema[key].dataType.simpleString()
     schema = f"keys array<{kind}>, " + ", ".join(f"{c} {k}" for c, k in SHARD.items())
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(tb.tidy(run), schema)
 
 
 def search(index: DataFrame, items: DataFrame, key: str = "doc_id", item_id: str = "item_id", text: str = "text", width: int = 10, reach: int = 12) -> DataFrame:
@@ -206,7 +206,7 @@ def search(index: DataFrame, items: DataFrame, key: str = "doc_id", item_id: str
                 yield pa.RecordBatch.from_arrays([batch.column("keys")[k].values, *(found[c] for c in RESULTS)], names=[key, *RESULTS])
 
     kind = index.schema["keys"].dataType.elementType.simpleString()
-    return index.mapInArrow(run, f"`{key}` {kind}, " + ", ".join(f"{c} {k}" for c, k in RESULTS.items()))
+    return index.mapInArrow(tb.tidy(run), f"`{key}` {kind}, " + ", ".join(f"{c} {k}" for c, k in RESULTS.items()))
 
 
 def annotate(docs: DataFrame, items: DataFrame, doc_text: str = "text", item_id: str = "item_id", text: str = "text", width: int = 10, reach: int = 12) -> DataFrame:
@@ -222,4 +222,4 @@ def annotate(docs: DataFrame, items: DataFrame, doc_text: str = "text", item_id:
             yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + [found[c] for c in RESULTS], names=[*names, *RESULTS])
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"{c} {k}" for c, k in RESULTS.items()])
-    return docs.select(*(F.col(f"`{n}`") for n in names)).mapInArrow(run, schema)
+    return docs.select(*(F.col(f"`{n}`") for n in names)).mapInArrow(tb.tidy(run), schema)

@@ -89,7 +89,7 @@ def signatures(docs: DataFrame, depth: int, text: str = "text", trees: int = TRE
             yield pa.RecordBatch.from_arrays(columns, names=["key", "doc_id", "set_a", "set_b", "size", "nodes", "sketch"])
 
     schema = f"key bigint, doc_id {kind}, set_a bigint, set_b bigint, size bigint, nodes array<bigint>, sketch binary"
-    return docs.select("key", "doc_id", F.col(text).alias("text")).mapInArrow(run, schema)
+    return docs.select("key", "doc_id", F.col(text).alias("text")).mapInArrow(tb.tidy(run), schema)
 
 
 def reach(n: int, threshold: float = THRESHOLD) -> tuple[float, float]:
@@ -147,7 +147,7 @@ def joins(nodes: DataFrame, n: int, threshold: float) -> DataFrame:
             links = np.unique(np.array([a, b], np.int64), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(links[0]), pa.array(links[1])], names=["a", "b"])
 
-    return nodes.repartition("node").sortWithinPartitions("node", "key").mapInArrow(run, "a bigint, b bigint").distinct()
+    return nodes.repartition("node").sortWithinPartitions("node", "key").mapInArrow(tb.tidy(run), "a bigint, b bigint").distinct()
 
 
 def overlaps(text: pa.Array, hasher: tb.Hasher, split: int) -> tuple[np.ndarray, np.ndarray]:
@@ -201,7 +201,7 @@ def verified(texts: DataFrame, threshold: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b", "n"])
 
     ordered = texts.repartition("root", "first", "second").sortWithinPartitions("root", "first", "second", "side", "key")
-    return ordered.mapInArrow(run, "a bigint, b bigint, n bigint")
+    return ordered.mapInArrow(tb.tidy(run), "a bigint, b bigint, n bigint")
 
 
 def classes(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:

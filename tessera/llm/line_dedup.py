@@ -89,7 +89,7 @@ def fingerprints(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS
 
     rows = docs.select("doc_id", "key", F.col(text).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"fingerprint bigint, doc_id {kind}, key bigint, windows array<struct<hash: bigint, first: int, last: int>>")
+    return rows.mapInArrow(tb.tidy(run), f"fingerprint bigint, doc_id {kind}, key bigint, windows array<struct<hash: bigint, first: int, last: int>>")
 
 
 def repeats(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -131,4 +131,4 @@ def dedup(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS) -> Da
 
     joined = keyed.join(found.select(F.col("key").alias("__key"), F.col("runs").alias("__runs")), "__key", "left").drop("__key")
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["n_lines bigint", "n_removed bigint"])
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(tb.tidy(run), schema)

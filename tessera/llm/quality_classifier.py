@@ -136,7 +136,7 @@ def _sampled(docs: DataFrame, text: str, ids: set[int]) -> tuple[np.ndarray, np.
                 x = features(part.column("text"), hasher)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "x"])
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id bigint, x binary").collect()
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(tb.tidy(run), "doc_id bigint, x binary").collect()
     matrix = np.frombuffer(b"".join(r.x for r in rows), np.float32).reshape(len(rows), N_FEATURES)
     return np.array([r.doc_id for r in rows], np.int64), matrix
 
@@ -178,4 +178,4 @@ def classify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + [pa.array(score), pa.array(score >= THRESHOLD).cast(pa.int32())], names=[*names, "score", "predicted"])
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["score double", "predicted int"])
-    return docs.select(*(F.col(f"`{n}`") for n in names)).mapInArrow(run, schema)
+    return docs.select(*(F.col(f"`{n}`") for n in names)).mapInArrow(tb.tidy(run), schema)

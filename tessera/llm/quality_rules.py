@@ -90,7 +90,7 @@ def measure(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + [pa.array(values[m], pa.int64()) for m in MEASURES], names=[*names, *MEASURES])
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"{m} bigint" for m in MEASURES])
-    return docs.select(*(F.col(f"`{n}`") for n in names)).mapInArrow(run, schema)
+    return docs.select(*(F.col(f"`{n}`") for n in names)).mapInArrow(tb.tidy(run), schema)
 
 
 def ledger(docs: DataFrame) -> DataFrame:

@@ -156,7 +156,7 @@ def meet(packets: DataFrame) -> DataFrame:
         if runs:
             yield met(part, bases, runs)
 
-    return packets.repartition("part").sortWithinPartitions("part").mapInArrow(run, MARKS)
+    return packets.repartition("part").sortWithinPartitions("part").mapInArrow(tb.tidy(run), MARKS)
 
 
 def first_pass(docs: DataFrame, parts: int) -> DataFrame:
@@ -175,7 +175,7 @@ def first_pass(docs: DataFrame, parts: int) -> DataFrame:
         if held:
             yield from _packets(packed(*map(np.concatenate, zip(*held, strict=True)), parts))
 
-    return docs.mapInArrow(run, PACKETS)
+    return docs.mapInArrow(tb.tidy(run), PACKETS)
 
 
 def open_suffixes(marked: DataFrame) -> DataFrame:
@@ -197,7 +197,7 @@ def open_suffixes(marked: DataFrame) -> DataFrame:
             columns = [batch.column("doc").take(pa.array(text[keep])), batch.column("tie").take(pa.array(text[keep])), pa.array(at[keep].astype(np.int32)), pa.array((anchor - at)[keep].astype(np.int32)), spans]
             yield pa.RecordBatch.from_arrays(columns, names=["doc", "tie", "at", "anchor", "span"])
 
-    return marked.select("doc", "tie", "text", "opened").mapInArrow(run, "doc bigint, tie int, at int, anchor int, span binary")
+    return marked.select("doc", "tie", "text", "opened").mapInArrow(tb.tidy(run), "doc bigint, tie int, at int, anchor int, span binary")
 
 
 def _in_common(suffixes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -248,7 +248,7 @@ def candidate_strings(suffixes: DataFrame, parts: int) -> DataFrame:
     suffix = F.expr("substring(span, anchor + 1)")
     count = int(suffixes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = suffixes.repartitionByRange(count, suffix, F.col("doc"), F.col("at")).sortWithinPartitions(suffix, "doc", "at")
-    return ordered.mapInArrow(run, PACKETS)
+    return ordered.mapInArrow(tb.tidy(run), PACKETS)
 
 
 def _place(docs: DataFrame, doc_id: str, text: str) -> dict[str, Column]:
@@ -303,5 +303,5 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", parts: in
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"{n} {k}" for n, k in RESULTS.items()])
     renamed = spans.select(*(F.col(c).alias(f"__{c}") for c in ("doc", "tie", "runs", "strings")))
-    cleaned = split.where("__hit").join(renamed, ["__doc", "__tie"], "left").select(*(F.col(f"`{n}`") for n in names), "__runs", "__strings").mapInArrow(run, schema)
+    cleaned = split.where("__hit").join(renamed, ["__doc", "__tie"], "left").select(*(F.col(f"`{n}`") for n in names), "__runs", "__strings").mapInArrow(tb.tidy(run), schema)
     return whole_texts.unionByName(cleaned)
