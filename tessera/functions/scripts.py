@@ -52,10 +52,13 @@ SCRIPT_RANGES = {
 
 
 def range_of(language: Column) -> tuple[Column, Column]:
-    """First and last code point of a language; names are case-sensitive, unlisted ones have the Latin range."""
+    """First and last code point of a language's letters; names are case-sensitive, unlisted ones have the Latin range.
+
+    Ranges begin at 1 at least: 0 stands for no letter.
+    """
     table = F.create_map(*(x for name, r in LANGUAGE_RANGES.items() for x in (F.lit(name), F.array(*map(F.lit, r)))))
     found = F.coalesce(F.element_at(table, language), F.array(*map(F.lit, DEFAULT_RANGE)))
-    return found[0], found[1]
+    return F.greatest(found[0], F.lit(1)), found[1]
 
 
 def ranges(spark: SparkSession) -> DataFrame:

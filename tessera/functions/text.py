@@ -26,9 +26,8 @@ def word_characters(text: Column) -> Column:
 
 
 def first_letter(word: Column) -> Column:
-    """Code point of a word's first letter; null if it has none."""
-    letter = F.regexp_extract(word, r"(\p{L})", 1)
-    return F.when(letter != "", F.ascii(letter))
+    """Code point of a word's first letter; 0, which is no letter, if it has none."""
+    return F.ascii(F.regexp_extract(word, r"(\p{L})", 1))
 
 
 def one_decimal(x: Column) -> Column:

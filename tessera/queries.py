@@ -45,8 +45,14 @@ def mixed(line: Column) -> Column:
     return F.array_join(F.transform(F.split(line, " "), word), " ")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt to all cores where the scan has fewer tasks, as one of a small file has; else as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def fixture(spark: SparkSession, sf_dir: str, first: str = "Arabic", second: str = "English") -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     score = lambda k: (F.col("doc_id") * k % 21) / F.lit(2.0)
     return docs.select(
         F.col("doc_id").alias("scenario_id"),
