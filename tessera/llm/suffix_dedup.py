@@ -91,12 +91,12 @@ def ranked(h: np.ndarray, s: np.ndarray, doc: np.ndarray, tie: np.ndarray, at: n
 
 
 def packed(h: np.ndarray, s: np.ndarray, doc: np.ndarray, tie: np.ndarray, at: np.ndarray, n: np.ndarray, parts: int) -> Iterator[tuple[int, int, bytes]]:
-    """(part, base, runs) of some runs: firsts by ranges of their hash, repeats among them in a negative part."""
+    """(part, base, runs) of some runs: firsts by ranges of their hash, repeats among them dealt to negative parts."""
     if not len(h):
         return
     order, new, again = ranked(h, s, doc, tie, at)
     part = ((h[order] >> tb.U64(32)) * tb.U64(parts) >> tb.U64(32)).astype(np.int64)
-    part[again] = -1 - int(h[0] % tb.U64(parts))
+    part[again] = -1 - (np.arange(again.sum()) * parts // max(1, again.sum()) + int(h[0] % tb.U64(parts))) % parts
     keep = new | again
     order, part = order[keep], part[keep]
     group = np.lexsort((doc[order], part))
@@ -156,7 +156,8 @@ def meet(packets: DataFrame) -> DataFrame:
         if runs:
             yield met(part, bases, runs)
 
-    return packets.repartition("part").sortWithinPartitions("part").mapInArrow(tb.tidy(run), MARKS)
+    n = int(packets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return packets.repartitionById(n, F.pmod("part", F.lit(n)).cast("int")).sortWithinPartitions("part").mapInArrow(tb.tidy(run), MARKS)
 
 
 def first_pass(docs: DataFrame, parts: int) -> DataFrame:
