@@ -9,8 +9,8 @@ what the lists of its other terms, rarest next, hold at theirs.
 Words are runs of ASCII letters (case folded), digits and non-ASCII characters;
 terms are 64-bit hashes of them.  A window is ``width`` consecutive words of an
 item; an item of fewer words, but not none, is one window.  A proximity match has
-the ``NEAR_TERMS`` rarest terms of a window, in any order, within ``reach`` words of
-the rarest one.
+the ``NEAR_TERMS`` rarest terms of a window, by the shard's counts and in any order,
+within ``reach`` words of the rarest one.
 
 Null and empty texts have no words.  Items with a null id mark words as hit but
 are not listed.  Repeated documents give a row each; items of one id count as
