@@ -45,6 +45,8 @@ LENGTH, GRAM = 100, 40
 NO_ID = -(1 << 63)
 #: Runs that a task gathers before it hands them on, about 30 bytes each.
 HELD = 400_000
+#: Repeats in a packet of their own, at least.
+REPEATS = 4096
 #: Bits of a position in ``least_at``; the rest of 64 bits are of the hash.
 PLACE = 30
 RUN = np.dtype([("h", "<u8"), ("s", "<u4"), ("doc", "<u4"), ("tie", "<u2"), ("at", "<u4"), ("n", "u1")])
@@ -96,7 +98,9 @@ def packed(h: np.ndarray, s: np.ndarray, doc: np.ndarray, tie: np.ndarray, at: n
         return
     order, new, again = ranked(h, s, doc, tie, at)
     part = ((h[order] >> tb.U64(32)) * tb.U64(parts) >> tb.U64(32)).astype(np.int64)
-    part[again] = -1 - (np.arange(again.sum()) * parts // max(1, again.sum()) + int(h[0] % tb.U64(parts))) % parts
+    n_again = int(again.sum())
+    packets = min(parts, 1 + n_again // REPEATS)
+    part[again] = -1 - (np.arange(n_again) * packets // max(1, n_again) + int(h[0] % tb.U64(parts))) % parts
     keep = new | again
     order, part = order[keep], part[keep]
     group = np.lexsort((doc[order], part))
@@ -281,7 +285,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", parts: in
     opened = marks.where(F.size("opened") > 0).select("doc", "tie", "opened", key.alias("key"))
     thinned = bloom.tested(texts.withColumn("key", key), opened.select("key"), "key").where("_hit").drop("key", "_hit")
     suffixes = cut(open_suffixes(thinned.dropDuplicates(["doc", "tie"]).join(opened.drop("key"), ["doc", "tie"])))
-    strings = meet(candidate_strings(suffixes, parts)).groupBy("doc", "tie").agg(F.collect_list("at").alias("strings"))
+    strings = meet(candidate_strings(suffixes, max(1, parts // 2))).groupBy("doc", "tie").agg(F.collect_list("at").alias("strings"))
     whole = marks.where(F.size("runs") > 0).select("doc", "tie", "runs")
     spans = cut(whole.join(strings, ["doc", "tie"], "full").select("doc", "tie", "runs", "strings", key.alias("key")))
 
