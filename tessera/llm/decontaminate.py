@@ -19,10 +19,12 @@ one.  ``annotate`` replaces columns named like its results and carries others.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -143,13 +145,13 @@ def near(shard: Shard, keys: np.ndarray, window: np.ndarray, at: np.ndarray, pos
     return window[keep], posting[keep]
 
 
-def search_shard(shard: Shard, blocks: list[Windows], reach: int) -> dict[str, pa.Array]:
+def search_shard(shard: Shard, blocks: list, reach: int) -> dict[str, pa.Array]:
     n_texts = len(shard.words) - 1
     hit = np.zeros(len(shard.postings), bool)
     listed, nearby = np.zeros((0, 2), np.int64), np.zeros((0, 2), np.int64)
     keys = np.repeat(np.arange(len(shard.terms)), shard.counts) * (len(shard.postings) + 1) + shard.postings
     for block in blocks:
-        block = getattr(block, "value", block)
+        block = pickle.loads(block.value)
         names = np.array([*block.ids, 0], np.int64)
         for terms, pair_window, pair_item in block.groups:
             def items(window: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -176,7 +178,7 @@ def _blocks(items: DataFrame, item_id: str, text: str, width: int) -> list:
     blocks = []
     for k in range(n):
         some = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k).collect()
-        blocks.append(items.sparkSession.sparkContext.broadcast(Windows([r.id for r in some], [r.text for r in some], width)))
+        blocks.append(items.sparkSession.sparkContext.broadcast(cloudpickle.dumps(Windows([r.id for r in some], [r.text for r in some], width))))
     return blocks
 
 
