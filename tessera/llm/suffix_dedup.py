@@ -21,7 +21,7 @@ a run of neighbouring string starts that share it.
 Spark's external sort stands in for an in-memory multikey quicksort, so a bucket
 may be larger than memory.  Repeats within what a task gathers are taken out before
 the shuffles, which keeps strings that very many documents share small.  Strings are
-compared by 64-bit hashes (runs by 96 bits).
+compared by 64-bit hashes (runs by 96 bits), and rows of one id told apart by one of 64.
 
 Null texts count as empty.  Null ids come first.  Rows of one id and text are at one
 place: neither is a repeat of the other.  Columns named like a result are replaced;
@@ -49,7 +49,7 @@ HELD = 400_000
 REPEATS = 4096
 #: Bits of a position in ``least_at``; the rest of 64 bits are of the hash.
 PLACE = 30
-RUN = np.dtype([("h", "<u8"), ("s", "<u4"), ("doc", "<u4"), ("tie", "<u2"), ("at", "<u4"), ("n", "u1")])
+RUN = np.dtype([("h", "<u8"), ("s", "<u4"), ("doc", "<u4"), ("tie", "<i8"), ("at", "<u4"), ("n", "u1")])
 RESULTS = {"n_bytes": "bigint", "n_removed": "bigint", "n_spans": "bigint", "kept": "binary"}
 
 
@@ -124,7 +124,7 @@ def _packets(rows: Iterator[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]
 
 
 PACKETS = "part bigint, base bigint, runs binary"
-MARKS = "doc bigint, tie int, at int, n int, open boolean"
+MARKS = "doc bigint, tie bigint, at int, n int, open boolean"
 
 
 def meet(packets: DataFrame) -> DataFrame:
@@ -144,7 +144,7 @@ def meet(packets: DataFrame) -> DataFrame:
             is_open[heads] = np.concatenate([same, [False]]) | np.concatenate([[False], same])
         keep = again | is_open
         one = order[keep]
-        columns = [pa.array(doc[one]), pa.array(rows["tie"][one].astype(np.int32)), pa.array(rows["at"][one].astype(np.int32)), pa.array(rows["n"][one].astype(np.int32)), pa.array((is_open & ~again)[keep])]
+        columns = [pa.array(doc[one]), pa.array(rows["tie"][one]), pa.array(rows["at"][one].astype(np.int32)), pa.array(rows["n"][one].astype(np.int32)), pa.array((is_open & ~again)[keep])]
         return pa.RecordBatch.from_arrays(columns, names=["doc", "tie", "at", "n", "open"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,7 +172,7 @@ def first_pass(docs: DataFrame, parts: int) -> DataFrame:
         for batch in tb.slices(batches, "text"):
             h, s, text, at, n, _ = runs_of(*tb.text_bytes(batch.column("text")), hasher)
             doc, tie = np.asarray(batch.column("doc"))[text], np.asarray(batch.column("tie"))[text]
-            held.append((h, (s >> tb.U64(32)).astype(np.uint32), doc, tie.astype(np.uint16), at.astype(np.uint32), n.astype(np.uint8)))
+            held.append((h, (s >> tb.U64(32)).astype(np.uint32), doc, tie, at.astype(np.uint32), n.astype(np.uint8)))
             size += len(h)
             if size >= HELD:
                 yield from _packets(packed(*map(np.concatenate, zip(*held, strict=True)), parts))
@@ -202,7 +202,7 @@ def open_suffixes(marked: DataFrame) -> DataFrame:
             columns = [batch.column("doc").take(pa.array(text[keep])), batch.column("tie").take(pa.array(text[keep])), pa.array(at[keep].astype(np.int32)), pa.array((anchor - at)[keep].astype(np.int32)), spans]
             yield pa.RecordBatch.from_arrays(columns, names=["doc", "tie", "at", "anchor", "span"])
 
-    return marked.select("doc", "tie", "text", "opened").mapInArrow(tb.tidy(run), "doc bigint, tie int, at int, anchor int, span binary")
+    return marked.select("doc", "tie", "text", "opened").mapInArrow(tb.tidy(run), "doc bigint, tie bigint, at int, anchor int, span binary")
 
 
 def _in_common(suffixes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -257,8 +257,7 @@ def candidate_strings(suffixes: DataFrame, parts: int) -> DataFrame:
 
 
 def _place(docs: DataFrame, doc_id: str, text: str) -> dict[str, Column]:
-    tie = F.pmod(F.xxhash64(F.col(text), F.lit(3)), F.lit(1 << 16)).cast("int")
-    return {"doc": F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NO_ID)), "tie": tie}
+    return {"doc": F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NO_ID)), "tie": F.xxhash64(F.col(text), F.lit(3))}
 
 
 def removed(data: bytes, at: list[int], n: list[int]) -> tuple[int, int, bytes]:
@@ -271,7 +270,7 @@ def removed(data: bytes, at: list[int], n: list[int]) -> tuple[int, int, bytes]:
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", parts: int | None = None) -> DataFrame:
     """``docs`` with ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept``, the remaining bytes.
 
-    A task holds one of ``parts`` ranges of hashes, about 0.8 bytes in all for each byte
+    A task holds one of ``parts`` ranges of hashes, about a byte in all for each byte
     of text; by default there are four for each of spark.sql.shuffle.partitions.
     """
     parts = parts or 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -48,5 +48,16 @@ def test_repeated_rows_and_null_ids(spark):
     assert sorted(r[2] for r in got[3:])[1] >= len(other) - 1
 
 
+def test_thousands_of_texts_under_one_null_id(spark):
+    random.seed(11)
+    word = lambda n: "".join(random.choice("abcdefgh") for _ in range(n))
+    shared = [word(130) for _ in range(20)]
+    texts = [word(40) + random.choice(shared) + word(40) if i % 2 else word(220) for i in range(4000)]
+    df = spark.createDataFrame([(None, t) for t in texts], "doc_id bigint, text string").repartition(3)
+    ordered = [r.text for r in df.selectExpr("text", "xxhash64(text, 3) AS tie").orderBy("tie").collect()]
+    got = {r.text: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in sd.dedup(df).collect()}
+    assert got == dict(zip(ordered, brute(list(enumerate(ordered))), strict=True))
+
+
 def test_empty_table(spark):
     assert sd.dedup(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
