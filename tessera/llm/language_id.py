@@ -9,9 +9,9 @@ n-grams beside each language's log-probability, and one of histories beside the
 backoff weights.  A text gets the language of the lowest cross-entropy for each
 character.
 
-A model holds the ``MAX_GRAMS`` most frequent n-grams of an order and language, which
-bounds what is broadcast; the others are scored by backing off, with discounts and
-totals of all.  At most ``MAX_LANGUAGES`` languages fit.
+A model holds every n-gram of the training rows, so it, and its broadcast, grow with
+the distinct n-grams of the corpus: for each of them 8 bytes, and 4 more for each
+language.  At most ``MAX_LANGUAGES`` languages fit.
 
 Rejection is calibrated on a fold of the training rows that the counts leave out:
 a text is rejected if its cross-entropy is above the ``1 - reject`` quantile of that
@@ -39,7 +39,7 @@ from tessera.llm.shared import cut
 
 BITS, ORDER = 12, 4
 CLASSES = 1 << BITS
-MAX_GRAMS, MAX_LANGUAGES = 1 << 17, 256
+MAX_LANGUAGES = 256
 #: Characters scored together, n-grams a task holds before it hands them on, and characters that count as evidence.
 PART, HELD, EVIDENCE = 1 << 20, 1 << 20, 64
 RESULTS = {"lang_pred": "string", "score": "double", "cross_entropy": "double", "accepted": "boolean"}
@@ -168,25 +168,14 @@ class Model:
 
 
 def _tables(counts: DataFrame) -> tuple[list[dict], list[dict]]:
-    """For each order, bounded tables by language: n-grams with counts, and histories with totals; discounts of all."""
+    """For each order, tables by language: all n-grams with counts, and the totals of their histories; discounts."""
     tables, discounts = [], []
     level = counts
     for order in range(ORDER, 0, -1):
         d = level.groupBy("lang").agg(F.count_if(F.col("n") == 1).alias("one"), F.count_if(F.col("n") == 2).alias("two"))
         discounts.insert(0, {r.lang: r.one / (r.one + 2 * r.two) if r.one and r.two else 0.5 for r in d.collect()})
-        top = level.groupBy("lang").agg(F.count("*").alias("rows")).where(f"rows > {MAX_GRAMS}").collect()
-        kept = level
-        for r in top:  # the least count that leaves at most MAX_GRAMS rows of the language
-            spread = level.where(F.col("lang") == r.lang).groupBy("n").agg(F.count("*").alias("rows")).orderBy(F.desc("n"))
-            total, least = 0, None
-            for s in spread.toLocalIterator():
-                total += s.rows
-                if total > MAX_GRAMS:
-                    break
-                least = s.n
-            kept = kept.where((F.col("lang") != r.lang) | (F.col("n") >= (least if least is not None else 1 << 62)))
         sums = level.groupBy("lang", F.shiftrightunsigned("gram", BITS).alias("history")).agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
-        joined = kept.withColumn("history", F.shiftrightunsigned("gram", BITS)).join(sums, ["lang", "history"])
+        joined = level.withColumn("history", F.shiftrightunsigned("gram", BITS)).join(sums, ["lang", "history"])
         rows = joined.select("lang", "gram", "n", "total", "kinds").toArrow()
         tables.insert(0, {name: {c: np.asarray(rows.column(c))[at] for c in ("gram", "n", "total", "kinds")} for name, at in _by_language(rows).items()})
         if order > 1:
@@ -195,8 +184,9 @@ def _tables(counts: DataFrame) -> tuple[list[dict], list[dict]]:
 
 
 def _by_language(rows: pa.Table) -> dict[str, np.ndarray]:
-    names = np.array(rows.column("lang").to_pylist(), object)
-    return {n: np.flatnonzero(names == n) for n in sorted(set(names))}
+    names = rows.column("lang").dictionary_encode().combine_chunks()
+    codes = np.asarray(names.indices)
+    return {n: np.flatnonzero(codes == i) for i, n in sorted(enumerate(names.dictionary.to_pylist()), key=lambda x: x[1])}
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", reject: float = 0.005) -> Model:

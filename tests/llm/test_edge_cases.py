@@ -72,6 +72,26 @@ def test_language_model_probabilities_sum_to_one(spark):
         assert np.allclose(total, 1, atol=1e-3), (history, total)
 
 
+def test_language_model_keeps_every_gram_and_sums_to_one(spark):
+    import random
+
+    import numpy as np
+
+    random.seed(4)
+    letters = [chr(c) for c in range(0x100, 0x600) if chr(c).isalpha() and chr(c).islower()]
+    text = "".join(random.choice(letters) for _ in range(150_000))
+    docs = spark.createDataFrame([(text, "aa"), (text[:500], "aa"), (text[:500] + "x", "aa"), ("abab abba", "cc")], "text string, lang string")
+    counts = language_id.count_grams(docs).cache()
+    model = language_id.estimate(counts)
+    assert len(model.keys[language_id.ORDER - 1]) == counts.select("gram").distinct().count() > 1 << 17
+    for history in (text[:3], text[200:203], text[100_000:100_003], "aba"):
+        code = 0
+        for c in history:
+            code = (code << language_id.BITS) | ord(c)
+        total = np.exp(model.log_probabilities((code << language_id.BITS) | np.arange(language_id.CLASSES)).astype(float)).sum(0)
+        assert np.allclose(total, 1, atol=1e-3), (history, total)
+
+
 def test_held_out_language_accuracy(spark):
     from tessera.llm import queries
 
