@@ -116,14 +116,17 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("scenario_id", "topic", "cs_ratio", "lang1_word_count", "lang2_word_count", "computed_ratio", F.round("ratio_score", 6).alias("ratio_score"), F.round("score", 6).alias("score"), "decision")
 
 
-def _states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Accepted results in the shape that sinks and exports take."""
+def _states(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """Accepted results in the shape that sinks and exports take: ``whole``, with all lines of every document."""
     rows = finished(spark, sf_dir)
     errors = F.when(F.col("scenario_id") % 3 == 0, F.to_json(F.slice("instances", 1, 2))).when(F.col("scenario_id") % 3 == 1, F.to_json(F.create_map(F.lit("sentence_1"), F.col("topic"), F.lit("sentence_2"), F.lit("x"))))
+    kept = F.when(F.col("scenario_id") % 5 == 0, F.array().cast("array<string>")).otherwise(F.slice("instances", 1, 3))
+    if whole:
+        errors, kept = F.to_json(F.array("topic", "cs_ratio")), F.col("instances")
     return rows.select(
         "scenario_id", "topic", "cs_ratio", "first_language", "second_language", F.round("score", 6).alias("score"),
         F.when(F.col("score") < 8, 3).otherwise(0).alias("refine_count"),
-        F.when(F.col("scenario_id") % 5 == 0, F.array().cast("array<string>")).otherwise(F.slice("instances", 1, 3)).alias("instances"),
+        kept.alias("instances"),
         F.struct("fluency_score", errors.alias("errors"), F.lit("fluent").alias("summary")).alias("fluency_result"),
         F.struct("naturalness_score", F.lit("{}").alias("observations"), F.lit("natural").alias("summary")).alias("naturalness_result"),
         F.struct(F.round("ratio_score", 6).alias("ratio_score"), "computed_ratio", F.concat(F.lit(" Target:\n"), "cs_ratio").alias("notes")).alias("cs_ratio_result"),
@@ -137,6 +140,9 @@ STATES_SQL = f"""{MEASURED}, states AS (
     CASE scenario_id % 3 WHEN 0 THEN array_to_string(instances[1:2], '; ') WHEN 1 THEN 'sentence_1; sentence_2' ELSE '' END AS fluency_errors
   FROM finished
 )"""
+WHOLE_STATES_SQL = f"""{MEASURED}, states AS (
+  SELECT *, CASE WHEN score < 8 THEN 3 ELSE 0 END AS refine_count, instances AS kept, topic || '; ' || cs_ratio AS fluency_errors FROM finished
+)"""
 
 
 # --- scenarios ---
@@ -286,8 +292,8 @@ def q_strict_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- sinks, exports and reports ---
 
 
-def q_accept_sink_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _states(spark, sf_dir).select("scenario_id", "topic", F.when(F.col("scenario_id") % 2 == 0, "Arabic").otherwise("English").alias("first_language"), "score", "refine_count", "instances", F.lit(True).alias("use_tools"))
+def q_accept_sink_roundtrip(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    rows = _states(spark, sf_dir, whole).select("scenario_id", "topic", F.when(F.col("scenario_id") % 2 == 0, "Arabic").otherwise("English").alias("first_language"), "score", "refine_count", "instances", F.lit(True).alias("use_tools"))
     path = results.folder(spark, "accepted")
     results.accept(rows.where("scenario_id % 2 = 0"), path)
     results.accept(rows.where("scenario_id % 2 = 1"), path)
@@ -295,6 +301,10 @@ def q_accept_sink_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("scenario_id", "topic", "first_language", "score", "refine_count", F.array_join("instances", "|").alias("sentences"))
 
 
+def q_accept_sink_roundtrip_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return q_accept_sink_roundtrip(spark, sf_dir, whole=True)
+
+
 def q_stream_accept(spark: SparkSession, sf_dir: str) -> DataFrame:
     source, sink = results.folder(spark, "scored"), results.folder(spark, "streamed")
     rows = _states(spark, sf_dir).select("scenario_id", "first_language", "score", (F.col("scenario_id") % 2).cast("int").alias("refine_count"))
@@ -304,12 +314,20 @@ def q_stream_accept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return accept.accepted(spark, sink, schema)
 
 
-def q_export_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return export.sentences(_states(spark, sf_dir)).select("topic", "text", "score", "fluency_score", "cs_ratio_score", "fluency_errors", "naturalness_observations", "socio_cultural_issues", "cs_ratio_computed", "cs_ratio", "refine_count", "sentence_index", "socio_cultural_summary", "first_language", "tense")
+def q_export_sentences(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return export.sentences(_states(spark, sf_dir, whole)).select("topic", "text", "score", "fluency_score", "cs_ratio_score", "fluency_errors", "naturalness_observations", "socio_cultural_issues", "cs_ratio_computed", "cs_ratio", "refine_count", "sentence_index", "socio_cultural_summary", "first_language", "tense")
+
+
+def q_export_sentences_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return q_export_sentences(spark, sf_dir, whole=True)
 
 
-def q_export_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return export.scenarios(_states(spark, sf_dir)).select("scenario_id", "topic", "score", "cs_ratio", "first_language", "refine_count", "instances")
+def q_export_scenarios(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return export.scenarios(_states(spark, sf_dir, whole)).select("scenario_id", "topic", "score", "cs_ratio", "first_language", "refine_count", "instances")
+
+
+def q_export_scenarios_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return q_export_scenarios(spark, sf_dir, whole=True)
 
 
 def q_join_any(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -319,11 +337,15 @@ def q_join_any(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("scenario_id", text.listed(raw).alias("plain"), text.listed(raw, compat=True).alias("compat"))
 
 
-def q_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    states = _states(spark, sf_dir).withColumn("topic", F.format_string("%s-%06d", "topic", "scenario_id"))
+def q_preview(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    states = _states(spark, sf_dir, whole).withColumn("topic", F.format_string("%s-%06d", "topic", "scenario_id"))
     return export.preview(export.sentences(states), ["topic", "sentence_index"])
 
 
+def q_preview_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return q_preview(spark, sf_dir, whole=True)
+
+
 def q_ratio_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = report.statistics(finished(spark, sf_dir))
     return stats.select("n", *(F.round(c, 6).alias(c) for c in ("min_score", "max_score", "mean_score")))
@@ -443,3 +465,4 @@ ORACLES = {
     "pipeline_reevaluate": f"WITH {MEASURED} SELECT scenario_id, round(CASE WHEN score < 8 THEN 9.0::DOUBLE * 0.3::DOUBLE + naturalness_score * 0.25::DOUBLE + CASE cs_ratio WHEN '50%' THEN 10.0 WHEN 'Low' THEN 5.0 ELSE 0.0 END * 0.2::DOUBLE + socio_cultural_score * 0.25::DOUBLE ELSE score END, 6) AS score, CASE WHEN score < 8 THEN 3 ELSE 0 END AS refine_count, CASE WHEN score < 8 THEN 1 ELSE len(instances) END AS n_sentences FROM finished",
     "flagship": f"WITH {MEASURED} SELECT scenario_id, topic, cs_ratio, lang1_word_count, lang2_word_count, computed_ratio, round(ratio_score, 6) AS ratio_score, round(score, 6) AS score, CASE WHEN score < 8 THEN 'REFINE' ELSE 'ACCEPT' END AS decision FROM finished",
 }
+ORACLES |= {f"{name}_whole": ORACLES[name].replace(STATES_SQL, WHOLE_STATES_SQL) for name in ("accept_sink_roundtrip", "export_sentences", "export_scenarios", "preview")}

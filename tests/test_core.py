@@ -235,3 +235,25 @@ def test_plans_stay_where_they_should(spark, sf_dir):
     measured = plan(queries.q_ratio_first_letter(spark, sf_dir))
     assert "hashpartitioning" not in measured and "Python" not in measured and "ReadSchema: struct<doc_id:bigint,text:string>" in measured
     assert "CartesianProduct" not in plan(queries.q_scenario_cross_product(spark, sf_dir))
+
+
+def test_whole_exports_have_every_line_of_every_document(spark, sf_dir):
+    from tessera import queries
+
+    lines = sorted(r.line for r in queries.fixture(spark, sf_dir).select(F.explode("instances").alias("line")).collect())
+    assert sorted(r.text for r in queries.q_export_sentences_whole(spark, sf_dir).select("text").collect()) == lines
+    back = queries.q_accept_sink_roundtrip_whole(spark, sf_dir).select(F.explode(F.split("sentences", "[|]")).alias("line"))
+    assert sorted(r.line for r in back.collect()) == sorted(x for line in lines for x in line.split("|"))
+
+
+def test_exports_of_empty_and_null_lists(spark):
+    from tessera.operators import export
+
+    states = spark.createDataFrame([("a", [], "[]"), ("b", None, None), ("c", ["x", None], '{"s":1}')], "topic string, instances array<string>, errors string")
+    agent = lambda *fields: F.struct(*(F.lit("1").alias(f) for f in fields), F.lit("s").alias("summary"))
+    states = states.select(
+        "topic", "instances", F.struct(F.lit(1.0).alias("fluency_score"), "errors", F.lit("s").alias("summary")).alias("fluency_result"), agent("naturalness_score", "observations").alias("naturalness_result"),
+        agent("ratio_score", "computed_ratio", "notes").alias("cs_ratio_result"), agent("socio_cultural_score", "issues").alias("social_cultural_result"),
+    )
+    got = {(r.topic, r.sentence_index, r.text, r.fluency_errors) for r in export.sentences(states).collect()}
+    assert got == {("a", 0, None, ""), ("b", 0, None, ""), ("c", 0, "x", "s"), ("c", 1, None, "s")}
