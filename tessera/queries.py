@@ -166,6 +166,10 @@ def q_scenario_cross_product(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scenarios.cross_product(spark, lists).groupBy("topic", "tense").agg(F.count("age").alias("n_ages"))
 
 
+def q_scenario_cross_product_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scenarios.cross_product(spark, scenarios.lists_of(CONFIG))
+
+
 def q_scenario_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scenarios.batches(scenarios.product(spark, CONFIG)).select("scenario_id", "batch_id")
 
@@ -337,6 +341,11 @@ def q_join_any(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("scenario_id", text.listed(raw).alias("plain"), text.listed(raw, compat=True).alias("compat"))
 
 
+def q_join_any_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.to_json(F.flatten(F.transform("instances", text.words)))
+    return fixture(spark, sf_dir).select("scenario_id", text.listed(raw).alias("plain"), text.listed(raw, compat=True).alias("compat"))
+
+
 def q_preview(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     states = _states(spark, sf_dir, whole).withColumn("topic", F.format_string("%s-%06d", "topic", "scenario_id"))
     return export.preview(export.sentences(states), ["topic", "sentence_index"])
@@ -365,13 +374,16 @@ def q_parse_computed_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- lookups, prompts and the whole pipeline ---
 
 
-def _news(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = fixture(spark, sf_dir).where("topic < 'topic7'").select("topic", F.concat(F.lit("title "), "scenario_id").alias("title"), F.element_at("instances", 1).alias("content"))
+def _news(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    content = F.array_join("instances", "\n") if whole else F.element_at("instances", 1)
+    raw = fixture(spark, sf_dir).where("topic < 'topic7'").select("topic", F.concat(F.lit("title "), "scenario_id").alias("title"), content.alias("content"))
     return lookup.articles(raw)
 
 
 NEWS_SQL = "news AS (SELECT topic, 'title ' || scenario_id || chr(10) || instances[1] AS article FROM fixture WHERE topic < 'topic7'), picked AS (SELECT topic, arg_min(article, md5('0:' || article)) AS article FROM news GROUP BY topic)"
 
+WHOLE_NEWS_SQL = NEWS_SQL.replace("instances[1]", "array_to_string(instances, chr(10))")
+
 
 def q_news_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.pick_one(_news(spark, sf_dir))
@@ -381,6 +393,14 @@ def q_news_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.with_news(fixture(spark, sf_dir), lookup.pick_one(_news(spark, sf_dir))).select("scenario_id", "topic", "article")
 
 
+def q_news_pick_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup.pick_one(_news(spark, sf_dir, whole=True))
+
+
+def q_news_lookup_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup.with_news(fixture(spark, sf_dir), lookup.pick_one(_news(spark, sf_dir, whole=True))).select("scenario_id", "topic", "article")
+
+
 def q_distinct_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.distinct_topics(fixture(spark, sf_dir))
 
@@ -466,3 +486,7 @@ ORACLES = {
     "flagship": f"WITH {MEASURED} SELECT scenario_id, topic, cs_ratio, lang1_word_count, lang2_word_count, computed_ratio, round(ratio_score, 6) AS ratio_score, round(score, 6) AS score, CASE WHEN score < 8 THEN 'REFINE' ELSE 'ACCEPT' END AS decision FROM finished",
 }
 ORACLES |= {f"{name}_whole": ORACLES[name].replace(STATES_SQL, WHOLE_STATES_SQL) for name in ("accept_sink_roundtrip", "export_sentences", "export_scenarios", "preview")}
+ORACLES |= {f"{name}_whole": ORACLES[name].replace(NEWS_SQL, WHOLE_NEWS_SQL) for name in ("news_pick", "news_lookup")}
+ORACLES["scenario_cross_product_whole"] = f"SELECT {', '.join(scenarios.lists_of(CONFIG))} FROM ({product_sql()})"
+_ALL_WORDS = f"array_to_string(list_filter(flatten(list_transform(instances, lambda l: regexp_split_to_array(l, '{WS}'))), lambda w: w <> ''), '; ')"
+ORACLES["join_any_whole"] = f"WITH {FIXTURE} SELECT scenario_id, {_ALL_WORDS} AS plain, {_ALL_WORDS} AS compat FROM fixture"

@@ -257,3 +257,16 @@ def test_exports_of_empty_and_null_lists(spark):
     )
     got = {(r.topic, r.sentence_index, r.text, r.fluency_errors) for r in export.sentences(states).collect()}
     assert got == {("a", 0, None, ""), ("b", 0, None, ""), ("c", 0, "x", "s"), ("c", 1, None, "s")}
+
+
+def test_whole_lists_news_and_product(spark, sf_dir):
+    from tessera import queries
+
+    docs = {r.scenario_id: r.instances for r in queries.fixture(spark, sf_dir).select("scenario_id", "instances").collect()}
+    counts = {r.scenario_id: r.word_count for r in queries.q_word_count_tool(spark, sf_dir).collect()}
+    joined = {r.scenario_id: r.plain for r in queries.q_join_any_whole(spark, sf_dir).collect()}
+    assert {k: len(v.split("; ")) if v else 0 for k, v in joined.items()} == counts
+    for r in queries.q_news_pick_whole(spark, sf_dir).collect():
+        title, _, content = r.article.partition("\n")
+        assert content == "\n".join(docs[int(title.removeprefix("title "))])
+    assert queries.q_scenario_cross_product_whole(spark, sf_dir).distinct().count() == scenarios.count(queries.CONFIG)
