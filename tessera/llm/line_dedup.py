@@ -8,9 +8,9 @@ first occurrence stays.
 Windows are the shortest runs of lines with ``min_words`` words, one for each line
 they can begin or end at.  A window selects its least line hash (the last of
 equals) as fingerprint, so that equal runs are sure to share one.  Fingerprints that
-occur once end there.  Where one recurs, its positions are joined, and the match is
-extended both ways over the windows that selected it: equal windows at a later
-position are repeats, and those that touch are one run.
+occur once end there.  Where one recurs, the windows that selected it are grouped
+by the hash of all their lines: equal windows at a later position are repeats, and
+those that touch are one run.  Nothing is extended from a match.
 
 A line counts without the ASCII white space around it; lines without words are
 skipped, and deleted when inside a repeated run.  Null texts stay null.  Rows of
