@@ -1,16 +1,18 @@
 """BPE encoding and decoding.
 
-Ids are those that the tokenizers library gives for the whole text.  ASCII white
-space always ends a token of the tokenizers handled here (they drop it, or begin
-a new word at it), so each distinct run of other characters is encoded once in a
-slice of text and its ids are laid out for all its places.
+Ids are those that the tokenizers library gives for the whole text.  Where ASCII white
+space only ends tokens, which is tried out (``drops_white_space``), each distinct run of
+other characters is encoded once in a slice of text, and its ids are laid out for all
+its places; runs are told apart by their bytes.  Texts of other tokenizers go to the
+library as they are.
 
 A run without white space that is longer than ``LEAF`` characters is encoded as
 a tree: halves down to leaves, which are encoded together, then joined pairwise.
 At each join a window around it is encoded anew and grows until two consecutive
 tokens of it agree with both sides in id and place.  Neighbouring tokens that
 are a valid pair anywhere are one everywhere, so the result is the encoding of the
-unsplit text.
+unsplit text.  Runs of more than ``SPREAD`` characters are cut into rows that any tasks
+encode; a run's parts then meet in one task, which encodes no more than the windows.
 
 Null and empty texts have no ids; decoding no ids, or null, gives an empty text.
 Repeated rows give a row each.  A column named like the result is replaced; others
@@ -19,8 +21,10 @@ are carried along.
 
 from __future__ import annotations
 
+import hashlib
 import os
 from collections.abc import Callable, Iterator
+from itertools import groupby
 from pathlib import Path
 
 import numpy as np
@@ -29,9 +33,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import textbytes as tb
+from tessera.llm.shared import Carried, cut
 
-#: Characters of the longest run that is encoded at once.
-LEAF = 1024
+#: Characters of the longest run that is encoded at once, and of the longest that stays in one task.
+LEAF, SPREAD = 1024, 1 << 16
+LONG_RUN = rf"[^\x20\x09-\x0D]{{{SPREAD + 1},}}"
 #: Runs encoded in one call, and distinct runs that a task remembers before it starts afresh.
 CALL, REMEMBERED = 4096, 400_000
 
@@ -49,6 +55,15 @@ def load(model: str):
     return tokenizer
 
 
+def drops_white_space(tokenizer) -> bool:
+    """Whether ASCII white space ends tokens and leaves no trace, so that runs between it can be encoded apart."""
+    ids = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+    parts = ["hello", "World's", "x1", "<|endoftext|>", "é."]
+    spaces = [" ", "\n", "\t", "\x0b", "\x0c", "\r", "  ", " \n "]
+    want = [i for p in parts for i in ids(p)]
+    return all(ids(w + w.join(parts) + w) == want for w in spaces)
+
+
 def _agree(side: Tokens, window: Tokens, last: bool) -> tuple[int, int] | None:
     """Where two consecutive tokens of ``side`` are also in ``window``: index of the second (of the first if ``last``) in both."""
     place = {(side[i], side[i + 1]): i for i in range(len(side) - 1)}
@@ -89,54 +104,100 @@ def encode_tree(text: str, tokenizer, leaf: int = LEAF) -> Tokens:
     spans = list(zip(edges, edges[1:], strict=False))
     leaves = tokenizer.encode_batch([text[a:b] for a, b in spans], add_special_tokens=False)
     parts = [(a, b, [(i, x + a, y + a) for i, (x, y) in zip(e.ids, e.offsets, strict=True)]) for (a, b), e in zip(spans, leaves, strict=True)]
+    return joined_parts(text, parts, encode)
+
+
+def joined_parts(text: str, parts: list[tuple[int, int, Tokens]], encode: Callable[[str, int], Tokens]) -> Tokens:
+    """Tokens of a text from (start, stop, tokens) of its consecutive parts, by pairwise joins."""
     while len(parts) > 1:
         pairs = [parts[i : i + 2] for i in range(0, len(parts), 2)]
         parts = [(p[0][0], p[1][1], _joined(text, p[0][0], p[0][1], p[1][1], p[0][2], p[1][2], encode)) if len(p) == 2 else p[0] for p in pairs]
     return parts[0][2]
 
 
+def spread_runs(texts: DataFrame, model) -> DataFrame:
+    """(run, ids) of each different run of ``text`` beyond SPREAD characters: ``run`` is its sha256."""
+    runs = texts.where(F.length("text") > SPREAD).select(F.explode(F.regexp_extract_all("text", F.lit(LONG_RUN), 0)).alias("piece"))
+    runs = runs.withColumn("run", F.sha2("piece", 256)).dropDuplicates(["run"])
+    places = F.sequence(F.lit(0), ((F.length("piece") - 1) / F.lit(SPREAD)).cast("int"))
+    leaves = runs.select("run", "piece", F.explode(places).alias("k")).select("run", "k", F.expr(f"substring(piece, k * {SPREAD} + 1, {SPREAD})").alias("piece"))
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer = load(model.value)
+        for batch in tb.slices(batches, "piece"):
+            found = [np.array(encode_tree(t, tokenizer), np.int64).reshape(-1, 3) for t in batch.column("piece").to_pylist()]
+            tokens = pa.array([x.tobytes() for x in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, tokens], names=["run", "k", "piece", "tokens"])
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer = load(model.value)
+
+        def encode(part: str, at: int) -> Tokens:
+            e = tokenizer.encode(part, add_special_tokens=False)
+            return [(i, a + at, b + at) for i, (a, b) in zip(e.ids, e.offsets, strict=True)]
+
+        rows = (r for batch in batches for part in tb.slices(iter([batch]), "piece") for r in zip(*(part.column(c).to_pylist() for c in ("run", "piece", "tokens")), strict=True))
+        for run, group in groupby(rows, lambda r: r[0]):
+            parts, text, at = [], [], 0
+            for _, piece, tokens in group:
+                parts.append((at, at + len(piece), [(i, a + at, b + at) for i, a, b in np.frombuffer(tokens, np.int64).reshape(-1, 3).tolist()]))
+                text.append(piece)
+                at += len(piece)
+            ids = [t[0] for t in joined_parts("".join(text), parts, encode)]
+            yield pa.RecordBatch.from_arrays([pa.array([run]), pa.array([ids], pa.list_(pa.int32()))], names=["run", "ids"])
+
+    dealt = leaves.repartition("run", "k").mapInArrow(tb.tidy(encoded), "run string, k int, piece string, tokens binary")
+    return dealt.repartition("run").sortWithinPartitions("run", "k").mapInArrow(tb.tidy(met), "run string, ids array<int>")
+
+
 class Encoder:
-    """Ids of texts; remembers the ids of runs by the hash of their bytes."""
+    """Ids of texts; remembers the ids of runs by their bytes."""
 
-    def __init__(self, model: str) -> None:
-        self.tokenizer, self.hasher = load(model), tb.Hasher()
+    def __init__(self, model: str, seed: int) -> None:
+        self.tokenizer, self.hasher = load(model), tb.Hasher(seed)
+        self.in_runs = drops_white_space(self.tokenizer)
         self.forget()
 
     def forget(self) -> None:
-        self.known, self.starts, self.counts = np.zeros(0, tb.U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.known: dict[bytes, int] = {}
+        self.starts = self.counts = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.int32)
 
-    def learn(self, hashes: np.ndarray, runs: list[str]) -> None:
-        """Encode new runs; ``hashes`` are sorted."""
+    def learn(self, runs: list[bytes], long: dict[str, list[int]]) -> None:
+        """Encode new runs; ``long`` has the ids of some by their sha256."""
+        texts = [r.decode() for r in runs]
         found: list[list[int]] = [[]] * len(runs)
-        short = [i for i, r in enumerate(runs) if len(r) <= LEAF]
+        short = [i for i, t in enumerate(texts) if len(t) <= LEAF]
         for at in range(0, len(short), CALL):
             some = short[at : at + CALL]
-            for i, e in zip(some, self.tokenizer.encode_batch([runs[i] for i in some], add_special_tokens=False), strict=True):
+            for i, e in zip(some, self.tokenizer.encode_batch([texts[i] for i in some], add_special_tokens=False), strict=True):
                 found[i] = e.ids
-        for i, r in enumerate(runs):
-            if len(r) > LEAF:
-                found[i] = [t[0] for t in encode_tree(r, self.tokenizer)]
+        for i, t in enumerate(texts):
+            if len(t) > LEAF:
+                known = long.get(hashlib.sha256(runs[i]).hexdigest()) if len(t) > SPREAD else None
+                found[i] = [x[0] for x in encode_tree(t, self.tokenizer)] if known is None else known
         counts = np.fromiter(map(len, found), np.int64, len(found))
-        starts = len(self.ids) + np.cumsum(counts) - counts
+        self.known.update(zip(runs, range(len(self.counts), len(self.counts) + len(runs)), strict=True))
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(counts) - counts])
+        self.counts = np.concatenate([self.counts, counts])
         self.ids = np.concatenate([self.ids, np.fromiter((i for ids in found for i in ids), np.int32, int(counts.sum()))])
-        at = np.searchsorted(self.known, hashes)
-        self.known, self.starts, self.counts = np.insert(self.known, at, hashes), np.insert(self.starts, at, starts), np.insert(self.counts, at, counts)
 
-    def encode(self, text: pa.Array) -> pa.Array:
+    def encode(self, text: pa.Array, long: dict[str, list[int]]) -> pa.Array:
+        if not self.in_runs:
+            found = self.tokenizer.encode_batch([t or "" for t in text.to_pylist()], add_special_tokens=False)
+            return pa.array([e.ids for e in found], pa.list_(pa.int32()))
         data, offsets = tb.text_bytes(text)
         begins, ends, words = tb.spans_of(~tb.ASCII_SPACE[data], offsets)
-        hashes = self.hasher.spans(self.hasher.sums(data), begins, ends)
-        distinct, one, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        numbers = tb.numbered(data, begins, ends, self.hasher)
+        one = np.zeros(int(numbers.max(initial=-1)) + 1, np.int64)
+        one[numbers] = np.arange(len(numbers))
+        raw = data.tobytes()
+        runs = [raw[a:b] for a, b in zip(begins[one].tolist(), ends[one].tolist(), strict=True)]
         if len(self.known) > REMEMBERED:
             self.forget()
-        at = np.searchsorted(self.known, distinct)
-        new = at == len(self.known)
-        new[~new] = self.known[at[~new]] != distinct[~new]
-        raw = data.tobytes()
-        self.learn(distinct[new], [raw[begins[i] : ends[i]].decode() for i in one[new]])
-        at = np.searchsorted(self.known, distinct)
-        counts, starts = self.counts[at][inverse], self.starts[at][inverse]
+        self.learn([r for r in runs if r not in self.known], long)
+        at = np.fromiter((self.known[r] for r in runs), np.int64, len(runs))
+        counts, starts = self.counts[at][numbers], self.starts[at][numbers]
         stops = np.cumsum(counts)
         total = int(stops[-1]) if len(stops) else 0
         ids = self.ids[np.arange(total) + np.repeat(starts - stops + counts, counts)]
@@ -144,28 +205,29 @@ class Encoder:
         return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
 
 
-def _mapped(df: DataFrame, source: str, target: str, kind: str, start: Callable[[], Callable[[pa.RecordBatch], pa.Array]], cuts: Callable) -> DataFrame:
-    kept = [f for f in df.schema.fields if f.name != target]
-    names = [f.name for f in kept]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        work = start()
-        for batch in cuts(batches, source):
-            yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + [work(batch)], names=[*names, target])
-
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"`{target}` {kind}"])
-    return df.select(*(F.col(f"`{n}`") for n in {**dict.fromkeys(names), source: None})).mapInArrow(tb.tidy(run), schema)
-
-
 def encode(docs: DataFrame, model_file: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """Add ``ids``, the token ids of each whole text, by the tokenizer in ``model_file`` (read on the driver)."""
-    model = docs.sparkSession.sparkContext.broadcast(Path(model_file).read_text())
+    model, seed = docs.sparkSession.sparkContext.broadcast(Path(model_file).read_text()), tb.draw()
+    carried = Carried(docs, f"`{ids}` array<int>", text)
+    packed, runs = carried.pack(docs), F.lit(None).cast("map<string,array<int>>").alias("runs")
+    spread = cut(spread_runs(packed.select("text"), model)) if drops_white_space(load(model.value)) else None
+    if spread is None or spread.isEmpty():
+        packed = packed.select("row", "text", runs)
+    else:  # texts with such runs get their ids beside them
+        has = F.coalesce((F.length("text") > SPREAD) & F.col("text").rlike(LONG_RUN), F.lit(False))
+        some = packed.where(has).withColumn("of", F.sha2("text", 256))
+        one = some.select("of", "text").dropDuplicates(["of"]).select("of", F.explode(F.regexp_extract_all("text", F.lit(LONG_RUN), 0)).alias("piece"))
+        held = one.select("of", F.sha2("piece", 256).alias("run")).distinct().join(spread, "run").groupBy("of").agg(F.map_from_entries(F.collect_list(F.struct("run", "ids"))).alias("runs"))
+        packed = packed.where(~has).select("row", "text", runs).unionByName(some.join(held, "of").select("row", "text", "runs"))
 
-    def start() -> Callable[[pa.RecordBatch], pa.Array]:
-        encoder = Encoder(model.value)
-        return lambda batch: encoder.encode(batch.column(text))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(model.value, seed)
+        for batch in tb.slices(batches, "text"):
+            column = batch.column("runs")
+            long = {} if column.null_count == len(column) else {k: v for row in column.to_pylist() if row for k, v in row}
+            yield carried.batch(batch, [encoder.encode(batch.column("text"), long)])
 
-    return _mapped(docs, text, ids, "array<int>", start, tb.slices)
+    return carried.unpack(carried.map(packed, run))
 
 
 def _rows(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
@@ -194,18 +256,24 @@ def decode(encoded: DataFrame, model_file: str, ids: str = "ids", decoded: str =
     plain = tokenizer.decoder is None
     shared = context.broadcast(strings if plain else model)
 
-    def start() -> Callable[[pa.RecordBatch], pa.Array]:
+    carried = Carried(encoded, f"`{decoded}` string", ids)
+
+    def joiner() -> Callable[[pa.Array], pa.Array]:
         if not plain:
             tokenizer = load(shared.value)
-            return lambda batch: pa.array([tokenizer.decode(x or [], skip_special_tokens=False) for x in batch.column(ids).to_pylist()], pa.string())
+            return lambda column: pa.array([tokenizer.decode(x or [], skip_special_tokens=False) for x in column.to_pylist()], pa.string())
         tokens = np.array(shared.value, object)
 
-        def joined(batch: pa.RecordBatch) -> pa.Array:
-            column = batch.column(ids)
+        def joined(column: pa.Array) -> pa.Array:
             strings = tokens[np.asarray(column.flatten())]
             ends = np.cumsum(np.asarray(pa.compute.fill_null(pa.compute.list_value_length(column), 0)), dtype=np.int64).tolist()
             return pa.array([" ".join(strings[a:b]) for a, b in zip([0, *ends], ends, strict=False)], pa.string())
 
         return joined
 
-    return _mapped(encoded, ids, decoded, "string", start, _rows)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        join = joiner()
+        for batch in _rows(batches, "text"):
+            yield carried.batch(batch, [join(batch.column("text"))])
+
+    return carried.unpack(carried.map(carried.pack(encoded), run))

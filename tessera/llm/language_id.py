@@ -1,24 +1,26 @@
 """Language identification by interpolated Kneser-Ney character models.
 
-Texts are folded to lower-case letters and single spaces; each letter has one of
-``CLASSES`` codes (its code point, folded into the upper half beyond that), so that
-an n-gram of up to five characters is one number.  Counts of the longest n-grams,
-continuation counts of the shorter ones, discounts and totals are aggregations
-over all training rows.  The model holds, for each order, a sorted array of hashed
-n-grams beside each language's log-probability, and one of histories beside the
-backoff weights.  A text gets the language of the lowest cross-entropy for each
+Texts are folded to lower-case letters and single spaces; each letter is its code
+point (those beyond 16 bits share 2048 codes), so that an n-gram of up to four
+characters is one number.  Counts of the longest n-grams, continuation counts of the
+shorter ones, discounts and totals are aggregations over all training rows.  The model
+holds, for each order, a sorted array of hashed n-grams, and for each of these the
+languages that have it with their log-probabilities; and likewise the backoff weights
+of hashed histories.  A text gets the language of the lowest cross-entropy for each
 character.
 
 A model holds every n-gram of the training rows, so it, and its broadcast, grow with
-the distinct n-grams of the corpus: for each of them 8 bytes, and 4 more for each
-language.  At most ``MAX_LANGUAGES`` languages fit.
+the distinct n-grams of the corpus: 12 bytes for each, and 6 for each language that
+has it.  At most ``MAX_LANGUAGES`` languages fit.
 
-Rejection is calibrated on a fold of the training rows that the counts leave out:
-a text is rejected if its cross-entropy is above the ``1 - reject`` quantile of that
-of the fold's texts in the predicted language.
+Two things are calibrated on a fold of the training rows that the counts leave out.  A
+text is rejected if its cross-entropy is above the ``1 - reject`` quantile of that
+of the fold's texts in the predicted language; and a score is the language's share of
+exp(-sharpness * cross-entropy), with the sharpness that makes the fold's true
+languages likeliest.
 
 Null texts, and those without a letter, are ``und`` with score 0 and not accepted.
-Null or empty languages are not learned from.  Repeated rows count, and give a row,
+Rows of null language are not learned from.  Repeated rows count, and give a row,
 each.  Columns named like a result are replaced; others are carried along.
 """
 
@@ -35,14 +37,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import textbytes as tb
-from tessera.llm.shared import cut
+from tessera.llm.shared import Carried, cut, quoted
 
-BITS, ORDER = 12, 4
+BITS, ORDER = 16, 4
 CLASSES = 1 << BITS
 MAX_LANGUAGES = 256
-#: Characters scored together, n-grams a task holds before it hands them on, and characters that count as evidence.
-PART, HELD, EVIDENCE = 1 << 20, 1 << 20, 64
-RESULTS = {"lang_pred": "string", "score": "double", "cross_entropy": "double", "accepted": "boolean"}
+#: Characters scored together, n-grams a task holds before it hands them on, and cells of a matrix of log-probabilities.
+PART, HELD, CELLS = 1 << 20, 1 << 20, 1 << 22
+RESULTS = "lang_pred string, score double, cross_entropy double, accepted boolean"
+#: Sharpnesses among which calibration chooses.
+SHARPNESS = [2.0 ** (k / 2) for k in range(-2, 21)]
 
 
 class Folder:
@@ -50,7 +54,8 @@ class Folder:
 
     def __init__(self) -> None:
         points = np.arange(0x110000)
-        self.codes = np.where(points < CLASSES, points, CLASSES // 2 + points % (CLASSES // 2)).astype(np.uint16)
+        # the codes of surrogates are no letters'
+        self.codes = np.where(points < CLASSES, points, 0xD800 + points % 0x800).astype(np.uint16)
         letter = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
         self.codes[~letter] = 0
 
@@ -119,54 +124,93 @@ def count_grams(docs: DataFrame, text: str = "text", lang: str = "lang") -> Data
                 yield from flush()
         yield from flush()
 
-    known = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where("text is not null and lang <> ''")
+    known = docs.select(quoted(lang).alias("lang"), quoted(text).alias("text")).where("text is not null and lang is not null")
     return known.mapInArrow(tb.tidy(run), "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
+def hashed(gram: np.ndarray) -> np.ndarray:
+    """64-bit hashes of n-grams, different for different ones."""
+    return tb.mix(gram.astype(np.int64).view(tb.U64) + tb.BASE)
+
+
+@dataclass
+class Sparse:
+    """A number for some pairs of an n-gram and a language."""
+
+    #: Sorted hashes of n-grams, and where each one's languages begin.
+    keys: np.ndarray
+    starts: np.ndarray
+    languages: np.ndarray
+    values: np.ndarray
+
+    @classmethod
+    def of(cls, parts: list[tuple[np.ndarray, np.ndarray]]) -> Sparse:
+        """From n-grams and numbers of each language."""
+        gram = np.concatenate([hashed(g) for g, _ in parts]) if parts else np.zeros(0, tb.U64)
+        language = np.repeat(np.arange(len(parts), dtype=np.uint16), [len(g) for g, _ in parts])
+        order = np.argsort(gram, kind="stable")
+        keys, starts = np.unique(gram[order], return_index=True)
+        values = np.concatenate([v for _, v in parts])[order] if parts else np.zeros(0)
+        return cls(keys, np.append(starts, len(order)), language[order], values.astype(np.float32))
+
+    def fill(self, gram: np.ndarray, out: np.ndarray) -> None:
+        """Write the numbers that there are into ``out``, a row for each n-gram."""
+        if not len(self.keys):
+            return
+        h = hashed(gram)
+        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+        row = np.flatnonzero(self.keys[at] == h)
+        lo, n = self.starts[at[row]], self.starts[at[row] + 1] - self.starts[at[row]]
+        place = np.arange(n.sum()) + np.repeat(lo - np.cumsum(n) + n, n)
+        out[np.repeat(row, n), self.languages[place]] = self.values[place]
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+
 @dataclass
 class Model:
     languages: list[str]
-    #: For each order: sorted n-grams and their log-probabilities by language.
-    keys: list[np.ndarray]
-    logs: list[np.ndarray]
-    #: For each order: sorted histories and the log of their backoff weights by language.
-    histories: list[np.ndarray]
-    backoffs: list[np.ndarray]
-    unseen: np.ndarray
+    #: For each order: log-probabilities of n-grams, and log backoff weights of histories.
+    keys: list[Sparse]
+    histories: list[Sparse]
     limits: np.ndarray
+    sharpness: float = 1.0
 
     def log_probabilities(self, gram: np.ndarray, order: int = ORDER) -> np.ndarray:
         """A row for each n-gram (low bits used), a column for each language."""
         if order == 0:
-            return np.broadcast_to(self.unseen, (len(gram), len(self.languages)))
-        gram = gram & ((1 << (BITS * order)) - 1)
-        keys, logs = self.keys[order - 1], self.logs[order - 1]
-        at = np.minimum(np.searchsorted(keys, gram), max(0, len(keys) - 1))
-        found = keys[at] == gram if len(keys) else np.zeros(len(gram), bool)
-        out = logs[at] if len(keys) else np.zeros((len(gram), len(self.languages)), np.float32)
-        rest = np.flatnonzero(~found)
-        if len(rest):
-            out[rest] = self.log_probabilities(gram[rest], order - 1) + self.backoff(gram[rest] >> BITS, order)
+            return np.full((len(gram), len(self.languages)), -np.log(CLASSES), np.float32)
+        gram = gram & ((1 << (BITS * order)) - 1) if order < ORDER else gram
+        out = self.log_probabilities(gram, order - 1)
+        backoff = np.zeros_like(out)
+        self.histories[order - 1].fill(shifted(gram), backoff)
+        out += backoff
+        self.keys[order - 1].fill(gram, out)
         return out
 
-    def backoff(self, history: np.ndarray, order: int) -> np.ndarray:
-        keys = self.histories[order - 1]
-        if not len(keys):
-            return np.zeros((len(history), len(self.languages)), np.float32)
-        at = np.minimum(np.searchsorted(keys, history), len(keys) - 1)
-        return np.where((keys[at] == history)[:, None], self.backoffs[order - 1][at], np.float32(0))
-
     def cross_entropy(self, codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Nats for each character by text and language, and the characters of each text."""
         gram, owner = grams(codes, offsets)
-        n_texts = len(offsets) - 1
-        sums, counts = np.zeros((n_texts, len(self.languages))), np.bincount(owner, minlength=n_texts)
-        if len(gram):
-            first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
-            sums[owner[first]] = np.add.reduceat(self.log_probabilities(gram).astype(np.float64), first, axis=0)
+        n_texts, n_languages = len(offsets) - 1, len(self.languages)
+        sums, counts = np.zeros((n_texts, n_languages)), np.bincount(owner, minlength=n_texts)
+        distinct, which = np.unique(gram, return_inverse=True)
+        step = max(1, CELLS // max(1, n_languages))
+        logs = np.empty((len(distinct), n_languages), np.float32)
+        for lo in range(0, len(distinct), step):
+            logs[lo : lo + step] = self.log_probabilities(distinct[lo : lo + step])
+        for lo in range(0, len(gram), step):
+            of = owner[lo : lo + step]
+            first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+            sums[of[first]] += np.add.reduceat(logs[which[lo : lo + step]].astype(np.float64), first, axis=0)
         return -sums / np.maximum(1, counts)[:, None], counts
 
 
+def shifted(gram: np.ndarray) -> np.ndarray:
+    """The history of an n-gram: all but its last character."""
+    return (gram.view(tb.U64) >> tb.U64(BITS)).view(np.int64)
+
+
 def _tables(counts: DataFrame) -> tuple[list[dict], list[dict]]:
     """For each order, tables by language: all n-grams with counts, and the totals of their histories; discounts."""
     tables, discounts = [], []
@@ -189,70 +233,89 @@ def _by_language(rows: pa.Table) -> dict[str, np.ndarray]:
     return {n: np.flatnonzero(codes == i) for i, n in sorted(enumerate(names.dictionary.to_pylist()), key=lambda x: x[1])}
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", reject: float = 0.005) -> Model:
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", reject: float = 0.005) -> Model:
     """A model of all rows outside the held-out fold, calibrated on the fold behind it."""
-    known = docs.where(F.col(lang).isNotNull() & (F.col(lang) != "") & ~held_out(F.col("doc_id")))
+    known = docs.select(quoted(doc_id).alias("doc_id"), quoted(text).alias("text"), quoted(lang).alias("lang")).where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
     learned = known.where(F.coalesce(_fold(F.col("doc_id")) != 1, F.lit(True)))
-    model = estimate(count_grams(learned, text, lang))
-    fold = known.where(_fold(F.col("doc_id")) == 1)
-    if model.languages:
-        scored = identify(fold, model, text).where("lang_pred <> 'und'")
-        levels = scored.where(F.col(lang) == F.col("lang_pred")).groupBy("lang_pred").agg(F.percentile_approx("cross_entropy", 1 - reject, 10_000).alias("level"))
-        for r in levels.collect():
-            model.limits[model.languages.index(r.lang_pred)] = r.level
+    model = estimate(count_grams(learned))
+    if not model.languages:
+        return model
+    scored = cut(_scored(known.where(_fold(F.col("doc_id")) == 1).select("lang", "text"), model))
+    levels = scored.where(F.col("lang") == F.col("lang_pred")).groupBy("lang_pred").agg(F.percentile_approx("cross_entropy", 1 - reject, 10_000).alias("level"))
+    for r in levels.collect():
+        model.limits[model.languages.index(r.lang_pred)] = r.level
+    fits = scored.agg(*(F.sum(F.col("fit")[k]).alias(f"fit{k}") for k in range(len(SHARPNESS)))).first()
+    if fits[0] is not None:
+        model.sharpness = SHARPNESS[int(np.argmax(fits))]
     return model
 
 
+def _scored(fold: DataFrame, model: Model) -> DataFrame:
+    """(lang, lang_pred, cross_entropy, fit) of texts with letters: ``fit`` has the true language's log-share for each sharpness."""
+    shared = fold.sparkSession.sparkContext.broadcast(cloudpickle.dumps(model))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        folder, model = Folder(), pickle.loads(shared.value)
+        place = {n: i for i, n in enumerate(model.languages)}
+        for batch in tb.slices(batches, "text", PART):
+            entropy, counts = model.cross_entropy(*folder.fold(batch.column("text").to_pylist()))
+            of = np.array([place.get(n, -1) for n in batch.column("lang").to_pylist()], np.int64)
+            use = np.flatnonzero((counts > 0) & (of >= 0))
+            entropy, of = entropy[use], of[use]
+            best = entropy.argmin(1)
+            fit = np.stack([-s * entropy[np.arange(len(of)), of] - np.logaddexp.reduce(-s * entropy, axis=1) for s in SHARPNESS], 1)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(of) + 1) * len(SHARPNESS), pa.int32()), pa.array(fit.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("lang").take(pa.array(use)), pa.array(np.array(model.languages, object)[best], pa.string()), pa.array(entropy[np.arange(len(of)), best]), lists], names=["lang", "lang_pred", "cross_entropy", "fit"])
+
+    return fold.mapInArrow(tb.tidy(run), "lang string, lang_pred string, cross_entropy double, fit array<double>")
+
+
 def estimate(counts: DataFrame) -> Model:
     """Interpolated Kneser-Ney probabilities from counts of the longest n-grams."""
     tables, discounts = _tables(cut(counts))
     languages = sorted({n for t in tables for n in t})
     if len(languages) > MAX_LANGUAGES:
         raise ValueError(f"{len(languages)} languages; a model holds at most {MAX_LANGUAGES}")
-    model = Model(languages, [], [], [], [], np.full(len(languages), -np.log(CLASSES), np.float32), np.full(len(languages), np.inf))
+    model = Model(languages, [], [], np.full(len(languages), np.inf))
+    lower: dict[str, tuple[np.ndarray, np.ndarray]] = {}
     for order in range(1, ORDER + 1):
-        table = tables[order - 1]
-        keys = np.unique(np.concatenate([t["gram"] for t in table.values()])) if table else np.zeros(0, np.int64)
-        histories = np.unique(keys >> BITS)
-        backoff = np.zeros((len(histories), len(languages)), np.float32)
-        direct = np.full((len(keys), len(languages)), -np.inf)
-        for k, name in enumerate(languages):
-            if name not in table:
-                continue
-            t, d = table[name], discounts[order - 1].get(name, 0.5)
-            backoff[np.searchsorted(histories, t["gram"] >> BITS), k] = np.log(d * t["kinds"] / t["total"])
-            direct[np.searchsorted(keys, t["gram"]), k] = np.log((t["n"] - d) / t["total"])
-        model.histories.append(histories)
-        model.backoffs.append(backoff)
-        lower = model.log_probabilities(keys, order - 1).astype(np.float64) + backoff[np.searchsorted(histories, keys >> BITS)]
-        model.keys.append(keys)
-        model.logs.append(np.logaddexp(direct, lower).astype(np.float32))
+        found, weights = [], []
+        for name in languages:
+            t, d = tables[order - 1][name], discounts[order - 1].get(name, 0.5)
+            sort = np.argsort(t["gram"], kind="stable")
+            gram, n, total, kinds = (t[c][sort] for c in ("gram", "n", "total", "kinds"))
+            share = np.full(len(gram), 1 / CLASSES)
+            if order > 1:  # whatever ends a seen n-gram is a seen one
+                grams_, shares = lower[name]
+                share = shares[np.searchsorted(grams_, gram & ((1 << (BITS * (order - 1))) - 1))]
+            lower[name] = gram, (n - d) / total + d * kinds / total * share
+            found.append((gram, np.log(lower[name][1])))
+            history, one = np.unique(shifted(gram), return_index=True)
+            weights.append((history, np.log(d * kinds[one] / total[one])))
+        model.keys.append(Sparse.of(found))
+        model.histories.append(Sparse.of(weights))
     return model
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Add ``lang_pred``, ``score`` (its share of the evidence), ``cross_entropy`` and ``accepted``."""
+    """Add ``lang_pred``, ``score``, ``cross_entropy`` and ``accepted``."""
     shared = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(model))
-    kept = [f for f in docs.schema.fields if f.name not in RESULTS]
-    names = [f.name for f in kept]
-    needed = list(dict.fromkeys([*names, text]))
+    carried = Carried(docs, RESULTS, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         folder, model = Folder(), pickle.loads(shared.value)
         labels = np.array([*model.languages, "und"], object)
-        for batch in tb.slices(batches, text, PART):
-            codes, offsets = folder.fold(batch.column(text).to_pylist())
-            entropy, counts = model.cross_entropy(codes, offsets)
+        for batch in tb.slices(batches, "text", PART):
+            entropy, counts = model.cross_entropy(*folder.fold(batch.column("text").to_pylist()))
             none = (counts == 0) | (not model.languages)
             if model.languages:
                 best = entropy.argmin(1)
                 least = entropy[np.arange(len(best)), best]
-                score = 1 / np.exp((least[:, None] - entropy) * np.minimum(counts, EVIDENCE)[:, None]).sum(1)
+                score = 1 / np.exp(model.sharpness * (least[:, None] - entropy)).sum(1)
                 accepted = ~none & (least <= model.limits[best])
             else:
                 best, least, score, accepted = (np.zeros(len(counts), t) for t in (np.int64, float, float, bool))
             columns = [pa.array(labels[np.where(none, len(model.languages), best)], pa.string()), pa.array(np.where(none, 0.0, score)), pa.array(least, mask=none), pa.array(accepted)]
-            yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + columns, names=[*names, *RESULTS])
+            yield carried.batch(batch, columns)
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"{n} {k}" for n, k in RESULTS.items()])
-    return docs.select(*(F.col(f"`{n}`") for n in needed)).mapInArrow(tb.tidy(run), schema)
+    return carried.unpack(carried.map(carried.pack(docs), run))

@@ -1,7 +1,7 @@
 """Line deduplication by winnowing.
 
 A repeated run is a run of consecutive lines, of ``min_words`` words or more, whose
-lines all occur in a row earlier as well: in a document with a smaller (id, hash),
+lines all occur in a row earlier as well: in a document with a smaller (id, text hash),
 or higher up in the same document.  All lines of repeated runs are deleted; the
 first occurrence stays.
 
@@ -9,8 +9,8 @@ Windows are the shortest runs of lines with ``min_words`` words, one for each li
 they can begin or end at.  A window selects its least line hash (the last of
 equals) as fingerprint, so that equal runs are sure to share one.  Fingerprints that
 occur once end there.  Where one recurs, the windows that selected it are grouped
-by the hash of all their lines: equal windows at a later position are repeats, and
-those that touch are one run.  Nothing is extended from a match.
+by two independent hashes of all their lines, 122 bits: equal windows at a later position
+are repeats, and those that touch are one run.  Nothing is extended from a match.
 
 A line counts without the ASCII white space around it; lines without words are
 skipped, and deleted when inside a repeated run.  Null texts stay null.  Rows of
@@ -27,15 +27,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from tessera.llm import textbytes as tb
-from tessera.llm.shared import cut, with_key
+from tessera.llm.shared import Carried, cut, field, quoted
 
 MIN_WORDS = 20
 
 
-def lines_of(text: pa.Array, hasher: tb.Hasher) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Lines with words: hash, words and number (all lines count) of each, and where each text's begin."""
+def lines_of(text: pa.Array, hashers: list[tb.Hasher]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """Lines with words: hashes, words and number (all lines count) of each, and where each text's begin."""
     data, offsets = tb.text_bytes(text)
     starts, ends, _ = tb.spans_of(~tb.ASCII_SPACE[data], offsets)
     breaks = np.flatnonzero(data == 10)
@@ -46,61 +47,61 @@ def lines_of(text: pa.Array, hasher: tb.Hasher) -> tuple[np.ndarray, np.ndarray,
     lo, hi = np.searchsorted(starts, begins), np.searchsorted(starts, stops)
     full = hi > lo
     lo, hi = lo[full], hi[full]
-    hashes = hasher.spans(hasher.sums(data), starts[lo], ends[hi - 1])
+    hashes = [h.spans(h.sums(data), starts[lo], ends[hi - 1]) for h in hashers]
     return hashes, hi - lo, number[full], np.searchsorted(of[full], np.arange(len(offsets)))
 
 
-def windows(hashes: np.ndarray, words: np.ndarray, lines: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """First and last line of each window, its fingerprint's line, and its hash."""
-    n, sums = len(hashes), np.concatenate([[0], np.cumsum(words)])
-    owner, at = tb.owners(lines), np.arange(len(hashes))
+def windows(hashes: list[np.ndarray], words: np.ndarray, lines: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """First and last line of each window, its fingerprint's line, and its hashes."""
+    n, sums = len(words), np.concatenate([[0], np.cumsum(words)])
+    owner, at = tb.owners(lines), np.arange(n)
     last = np.searchsorted(sums, sums[:-1] + min_words) - 1
     first = np.searchsorted(sums, sums[1:] - min_words, "right") - 1
     down, up = last < lines[owner + 1], first >= lines[owner]
     pairs = np.unique(np.concatenate([at[down] * n + last[down], first[up] * n + at[up]]))
     first, last = (pairs // n, pairs % n) if n else (pairs, pairs)
-    chosen, least, whole = first.copy(), hashes[first], tb.mix(hashes[first])
+    chosen, least, whole = first.copy(), hashes[0][first], [tb.mix(h[first]) for h in hashes]
     open_ = np.arange(len(first))
     step = 0
     while len(open_ := open_[first[open_] + step < last[open_]]):
         step += 1
         here = first[open_] + step
-        whole[open_] = tb.mix(whole[open_] * tb.BASE + hashes[here])
-        lower = hashes[here] <= least[open_]
-        chosen[open_[lower]], least[open_[lower]] = here[lower], hashes[here[lower]]
+        for w, h in zip(whole, hashes, strict=True):
+            w[open_] = tb.mix(w[open_] * tb.BASE + h[here])
+        lower = hashes[0][here] <= least[open_]
+        chosen[open_[lower]], least[open_[lower]] = here[lower], hashes[0][here[lower]]
     return first, last, chosen, whole
 
 
-def fingerprints(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(fingerprint, doc_id, key, windows): selected lines with the windows that selected them."""
-    window = pa.struct([("hash", pa.int64()), ("first", pa.int32()), ("last", pa.int32())])
+def fingerprints(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(fingerprint, doc_id, key, windows) of (doc_id, key, text): selected lines with the windows that selected them."""
+    window, seed = pa.struct([("hash", pa.int64()), ("more", pa.int64()), ("first", pa.int32()), ("last", pa.int32())]), tb.draw()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = tb.Hasher()
+        hashers = [tb.Hasher(seed), tb.Hasher(seed + 1)]
         for batch in tb.slices(batches, "text"):
-            hashes, words, number, lines = lines_of(batch.column("text"), hasher)
+            hashes, words, number, lines = lines_of(batch.column("text"), hashers)
             first, last, chosen, whole = windows(hashes, words, lines, min_words)
             order = np.argsort(chosen, kind="stable")
             line, start = np.unique(chosen[order], return_index=True)
             owner = pa.array(np.searchsorted(lines, line, "right") - 1)
-            spans = pa.StructArray.from_arrays([pa.array(whole[order].view(np.int64)), pa.array(number[first[order]].astype(np.int32)), pa.array(number[last[order]].astype(np.int32))], fields=list(window))
-            lists = pa.ListArray.from_arrays(pa.array(np.append(start, len(order)), pa.int32()), spans)
-            yield pa.RecordBatch.from_arrays([pa.array(hashes[line].view(np.int64)), batch.column("doc_id").take(owner), batch.column("key").take(owner), lists], names=["fingerprint", "doc_id", "key", "windows"])
+            parts = [*(pa.array(w[order].view(np.int64)) for w in whole), *(pa.array(number[x[order]].astype(np.int32)) for x in (first, last))]
+            lists = pa.ListArray.from_arrays(pa.array(np.append(start, len(order)), pa.int32()), pa.StructArray.from_arrays(parts, fields=list(window)))
+            yield pa.RecordBatch.from_arrays([pa.array(hashes[0][line].view(np.int64)), batch.column("doc_id").take(owner), batch.column("key").take(owner), lists], names=["fingerprint", "doc_id", "key", "windows"])
 
-    rows = docs.select("doc_id", "key", F.col(text).alias("text"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(tb.tidy(run), f"fingerprint bigint, doc_id {kind}, key bigint, windows array<struct<hash: bigint, first: int, last: int>>")
+    rest = StructType.fromDDL("fingerprint bigint, key bigint, windows array<struct<hash: bigint, more: bigint, first: int, last: int>>").fields
+    return docs.select("doc_id", "key", "text").mapInArrow(tb.tidy(run), StructType([rest[0], field(docs, "doc_id", "doc_id"), *rest[1:]]))
 
 
-def repeats(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(key, runs): spans of lines of the later repeated runs of each document that has any."""
-    selected = fingerprints(docs, text, min_words)
+def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, key, runs) of (doc_id, key, text): spans of lines of the later repeated runs of each document that has any."""
+    selected = fingerprints(docs, min_words)
     shared = cut(selected.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").select("fingerprint"))
     places = cut(selected.join(shared, "fingerprint", "left_semi").select("doc_id", "key", F.inline("windows")))
     position = F.struct("doc_id", "key", "first")
-    earliest = cut(places.groupBy("hash").agg(F.min(position).alias("earliest"), F.count("*").alias("n")).where("n > 1").select("hash", "earliest"))
-    later = places.join(earliest, "hash").where(position > F.col("earliest"))
-    return later.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("runs"))
+    earliest = cut(places.groupBy("hash", "more").agg(F.min(position).alias("earliest"), F.count("*").alias("n")).where("n > 1").select("hash", "more", "earliest"))
+    later = places.join(earliest, ["hash", "more"]).where(position > F.col("earliest"))
+    return later.groupBy("doc_id", "key").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("runs"))
 
 
 def without(text: str, runs: list[dict[str, int]]) -> tuple[str, int]:
@@ -112,23 +113,21 @@ def without(text: str, runs: list[dict[str, int]]) -> tuple[str, int]:
     return "\n".join(line for i, line in enumerate(lines) if i not in drop), gone
 
 
-def dedup(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` without later repeated runs, with ``n_lines`` (with words, before) and ``n_removed``."""
-    kept = [f for f in docs.schema.fields if f.name not in ("n_lines", "n_removed")]
-    names = [f.name for f in kept]
-    keyed = with_key(docs.select(*(F.col(f"`{n}`") for n in names)), "doc_id", text, "__key")
-    found = repeats(keyed.select("doc_id", F.col("__key").alias("key"), F.col(text).alias("text")), "text", min_words)
+    carried = Carried(docs, "n_lines bigint, n_removed bigint", text)
+    packed = carried.pack(docs, doc_id=quoted(doc_id), key=F.xxhash64(quoted(text)))
+    found = repeats(packed, min_words).withColumnsRenamed({"doc_id": "of", "key": "with"})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in tb.slices(batches, text):
-            texts, gone, count = batch.column(text).to_pylist(), [], []
-            for i, runs in enumerate(batch.column("__runs").to_pylist()):
+        for batch in tb.slices(batches, "text"):
+            texts, gone, count = batch.column("text").to_pylist(), [], []
+            for i, runs in enumerate(batch.column("runs").to_pylist()):
                 count.append(sum(1 for line in (texts[i] or "").split("\n") if line.strip(" \t\n\x0b\x0c\r")))
                 texts[i], n = without(texts[i], runs) if runs else (texts[i], 0)
                 gone.append(n)
-            columns = [pa.array(texts, pa.string()) if n == text else batch.column(n) for n in names]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(count, pa.int64()), pa.array(gone, pa.int64())], names=[*names, "n_lines", "n_removed"])
+            cut_texts = batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, batch.schema.field("text").type))
+            yield carried.batch(cut_texts, [pa.array(count, pa.int64()), pa.array(gone, pa.int64())])
 
-    joined = keyed.join(found.select(F.col("key").alias("__key"), F.col("runs").alias("__runs")), "__key", "left").drop("__key")
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["n_lines bigint", "n_removed bigint"])
-    return joined.mapInArrow(tb.tidy(run), schema)
+    joined = packed.join(found, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("key") == F.col("with")), "left").select("row", "text", "runs")
+    return carried.unpack(carried.map(joined, run))

@@ -1,24 +1,30 @@
 """Positive-unlabelled quality classifier.
 
-A logistic model over character frequencies and layout ratios of whole texts is
-fitted to the non-negative unbiased risk: trusted positives, unlabelled texts and
-a class prior.  The prior is the share of positives among the labelled rows,
-unless it is given; where both labels occur, a last step of two parameters
-calibrates the scores on them.
+A logistic model over character frequencies and layout ratios of whole texts that
+minimises the non-negative unbiased risk
 
-Fitting uses bounded samples in hash order of ids: at most ``MAX_POSITIVE`` trusted
-positives, ``MAX_UNLABELLED`` texts without regard to labels, and ``MAX_CALIBRATION``
-labelled rows.  Scoring covers every row.
+    prior * R(P, +) + max(0, R(U, -) - prior * R(P, -))
+
+of all trusted positives P and all texts U, labelled or not.  With the logistic loss and
+a linear model it is the greater of two convex functions; damped Newton steps minimise
+it, each of them an aggregation over the table of features.  Labels other than positive are
+never used.
+
+The class prior is estimated from positives and unlabelled texts alone, unless it is
+given: a first model is fitted without a quarter of the rows, and on those the share of
+texts above a threshold is divided by the share of positives above it.  The ratio is the
+prior plus what negatives are left above the threshold, so the least one over the
+thresholds that ``TOP`` to ``NEARLY_ALL`` of the positives pass is taken.
 
 Null and empty texts have all features zero and get the score of that.  Rows with
-null ids are scored, never learned from; of several labels of an id the lowest
-counts.  Repeated rows give a row each.  ``score`` and ``predicted`` replace columns
+null ids are scored, never learned from; an id is a positive if all its labels are.
+Repeated rows count, and give a row, each.  ``score`` and ``predicted`` replace columns
 of those names; others are carried along.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,14 +34,17 @@ from pyspark.sql import functions as F
 
 from tessera.llm import quality_rules
 from tessera.llm import textbytes as tb
+from tessera.llm.shared import Carried, cut, quoted
 
-MAX_POSITIVE = MAX_UNLABELLED = MAX_CALIBRATION = 10_000
 THRESHOLD = 0.7
 #: Square roots of the frequencies of the ASCII bytes and all others, six ratios, and the trust in the frequencies.
 N_FREQUENCIES = 129
 N_FEATURES = N_FREQUENCIES + 6 + 1
 #: Bytes of text at which frequencies are trusted by half.
 HALF_TRUST = 8
+DECAY = 1e-2
+#: Shares of the positives between which thresholds are looked at for the prior, and bins of raw scores.
+TOP, NEARLY_ALL, BINS, FARTHEST = 0.4, 0.99, 4096, 32.0
 
 
 def features(text: pa.Array, hasher: tb.Hasher) -> np.ndarray:
@@ -61,121 +70,183 @@ def standardised(x: np.ndarray, centre: np.ndarray, scale: np.ndarray) -> np.nda
     return z
 
 
+def sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+
+
 @dataclass
 class Model:
     centre: np.ndarray
     scale: np.ndarray
+    #: Of the features, and the bias.
     weights: np.ndarray
-    bias: float
-    slope: float
-    shift: float
     prior: float
+    risk: float
 
     def raw(self, x: np.ndarray) -> np.ndarray:
-        return standardised(x, self.centre, self.scale) @ self.weights + self.bias
+        return standardised(x.astype(np.float64), self.centre, self.scale) @ self.weights[:-1] + self.weights[-1]
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return sigmoid(self.slope * self.raw(x) + self.shift)
+        return sigmoid(self.raw(x))
 
 
-def sigmoid(z: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+def held_out(doc_id: Column) -> Column:
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+def table_of(docs: DataFrame, labels: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(x, positive, aside) of each row to learn from; a quarter of the ids is ``aside``."""
+    seed = tb.draw()
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = tb.Hasher(seed)
+        for batch in tb.slices(batches, "text"):
+            x = features(batch.column("text"), hasher)
+            cells = pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer((np.arange(len(x) + 1) * 4 * N_FEATURES).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(x))])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), cells], names=["id", "x"])
+
+    learned = docs.select(quoted(doc_id).alias("id"), quoted(text).alias("text")).where(F.col("id").isNotNull() & ~held_out(F.col("id")))
+    kind = learned.schema["id"].dataType.simpleString()
+    x = learned.mapInArrow(tb.tidy(run), f"id {kind}, x binary")
+    trusted = labels.where("quality is not null").groupBy(F.col("doc_id").alias("of")).agg(F.min("quality").alias("least")).where("least = 1").select("of")
+    joined = x.join(trusted, F.col("id") == F.col("of"), "left")
+    return cut(joined.select("x", F.col("of").isNotNull().alias("positive"), (F.pmod(F.xxhash64("id"), F.lit(4)) == 0).alias("aside")))
 
-def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-3) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Minimise prior * R+(P) + max(0, R-(U) - prior * R-(P)) with the logistic loss, by Adam.
 
-    While the bracket is negative the step goes up it, so that it can't be driven
-    below zero by overfitting the positives.
+def summed(table: DataFrame, of: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray | None:
+    """The sum over a table's rows of the vectors that ``of(x, positive)`` gives for blocks of them; partial sums are added in tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            x = np.frombuffer(b"".join(batch.column("x").to_pylist()), np.float32).reshape(batch.num_rows, N_FEATURES)
+            if len(x):
+                part = of(x.astype(np.float64), np.asarray(batch.column("positive")))
+                total = part if total is None else total + part
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["v"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for v in batch.column("v").to_pylist():
+                total = np.frombuffer(v) if total is None else total + np.frombuffer(v)
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["v"])
+
+    parts = table.select("x", "positive").mapInArrow(tb.tidy(run), "v binary").repartition(8).mapInArrow(tb.tidy(add), "v binary").collect()
+    return sum(np.frombuffer(r.v) for r in parts) if parts else None
+
+
+def risk_terms(x: np.ndarray, positive: np.ndarray, centre: np.ndarray, scale: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Sums over rows: losses of positives as such and as negatives, of all as negatives, and their derivatives by ``w``."""
+    z = np.column_stack([standardised(x, centre, scale), np.ones(len(x))])
+    g, p = z @ w, z[positive]
+    s, sp = sigmoid(g), sigmoid(-g[positive])
+    losses = [np.logaddexp(0, -g[positive]).sum(), np.logaddexp(0, g[positive]).sum(), np.logaddexp(0, g).sum()]
+    slopes = [p.sum(0), p.T @ sp, z.T @ s]
+    bends = [(p.T * (sp * (1 - sp))) @ p, (z.T * (s * (1 - s))) @ z]
+    return np.concatenate([losses, *slopes, *(b.ravel() for b in bends)])
+
+
+def minimise(table: DataFrame, counts: tuple[int, int], centre: np.ndarray, scale: np.ndarray, prior: float, w: np.ndarray, decay: float, steps: int) -> tuple[np.ndarray, float]:
+    """Weights of the least non-negative risk, and that risk, from (positives, rows) in number.
+
+    The risk is the greatest of A + mu * B for mu from 0 to 1, where B is the bracket
+    and A the rest.  A pass over the table gives values and derivatives of both; the step
+    is that to the least of their quadratic models for the mu at which the bracket's
+    model is zero, or for 0 or 1 if there is none.
     """
-    centre, scale = unlabelled.mean(0), unlabelled.std(0) + 1e-3
-    p, u = (standardised(x.astype(np.float64), centre, scale) for x in (positive, unlabelled))
-    w, b, first, second = np.zeros(p.shape[1]), 0.0, np.zeros(p.shape[1] + 1), np.zeros(p.shape[1] + 1)
-    for step in range(1, steps + 1):
-        gp, gu = p @ w + b, u @ w + b
-        as_negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
-        # derivatives of the losses by g: of a positive -sigmoid(-g), of a negative sigmoid(g)
-        sp, su = sigmoid(gp) / len(p), sigmoid(gu) / len(u)
-        if as_negative >= 0:
-            dp, du = prior * (sp - 1 / len(p)) - prior * sp, su
+    (n_p, n_u), k = counts, len(w)
+    ridge = np.append(np.full(k - 1, decay), 0.0)
+
+    def step_from(w: np.ndarray) -> tuple[float, np.ndarray]:
+        sums = summed(table, lambda x, positive: risk_terms(x, positive, centre, scale, w))
+        total, pulled, pushed = (sums[3 + i * k : 3 + (i + 1) * k] for i in range(3))
+        bend_p, bend_u = (sums[3 + 3 * k + i * k * k :][: k * k].reshape(k, k) for i in range(2))
+        bracket = sums[2] / n_u - prior * sums[1] / n_p
+        slope_a, bend_a = -prior * pulled / n_p + ridge * w, prior * bend_p / n_p + np.diag(ridge + 1e-6)
+        slope_b, bend_b = pushed / n_u - prior * (total - pulled) / n_p, bend_u / n_u - prior * bend_p / n_p
+
+        def towards(mu: float) -> tuple[np.ndarray, float]:
+            d = -np.linalg.solve(bend_a + mu * bend_b, slope_a + mu * slope_b)
+            return d, bracket + slope_b @ d + 0.5 * d @ bend_b @ d
+
+        lo, hi = 0.0, 1.0
+        d, left = towards(hi)
+        if left < 0:
+            d, left = towards(lo)
+            for _ in range(40 if left > 0 else 0):
+                d, left = towards((lo + hi) / 2)
+                lo, hi = ((lo + hi) / 2, hi) if left > 0 else (lo, (lo + hi) / 2)
+        return prior * sums[0] / n_p + max(0.0, bracket) + 0.5 * (ridge * w * w).sum(), d
+
+    risk, step = step_from(w)
+    for _ in range(steps):
+        new, after = step_from(w + step)
+        if new < risk:
+            gain, risk, w, step = risk - new, new, w + step, after
+            if gain < 1e-8:
+                break
         else:
-            dp, du = prior * sp, -su
-        gradient = np.append(p.T @ dp + u.T @ du + decay * w, dp.sum() + du.sum())
-        first = 0.9 * first + 0.1 * gradient
-        second = 0.999 * second + 0.001 * gradient**2
-        move = rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
-        w, b = w - move[:-1], b - move[-1]
-    return centre, scale, w, b
-
-
-def calibrate(raw: np.ndarray, label: np.ndarray) -> tuple[float, float]:
-    """Slope and shift that fit the labels best, by Newton steps with a small prior; slope stays positive."""
-    if len(np.unique(label)) < 2:
-        return 1.0, 0.0
-    x, theta = np.stack([raw, np.ones_like(raw)], 1), np.array([1.0, 0.0])
-    for _ in range(30):
-        q = sigmoid(x @ theta)
-        gradient = x.T @ (q - label) + 0.5 * (theta - [1.0, 0.0])
-        theta = theta - np.linalg.solve(x.T @ (x * (q * (1 - q))[:, None]) + 0.5 * np.eye(2), gradient)
-    return (float(theta[0]), float(theta[1])) if theta[0] > 0 else (1.0, 0.0)
+            step = step / 4
+            if np.abs(step).max() < 1e-6:
+                break
+    return w, float(risk)
 
 
-def held_out(doc_id: Column) -> Column:
-    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
+def estimated_prior(table: DataFrame, model: Model) -> float:
+    """The least ratio of the shares of all rows and of positives above a threshold."""
 
+    def run(x: np.ndarray, positive: np.ndarray) -> np.ndarray:
+        at = np.clip(((model.raw(x) + FARTHEST) * (BINS / (2 * FARTHEST))).astype(np.int64), 0, BINS - 1)
+        return np.concatenate([np.bincount(at[positive], minlength=BINS), np.bincount(at, minlength=BINS)]).astype(float)
 
-def _sampled(docs: DataFrame, text: str, ids: set[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and features of the documents with the given ids (a bounded set)."""
-    wanted = docs.sparkSession.sparkContext.broadcast(np.array(sorted(ids), np.int64))
+    above = summed(table, run)
+    if above is None or not above[:BINS].sum():
+        return 0.5
+    p, u = (np.cumsum(h[::-1]) / h.sum() for h in (above[:BINS], above[BINS:]))
+    use = (p >= TOP) & (p <= NEARLY_ALL)
+    return float(np.clip((u[use] / p[use]).min() if use.any() else u[p >= TOP][0], 0.05, 0.95))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = tb.Hasher()
-        for batch in batches:
-            found = np.isin(np.asarray(pa.compute.fill_null(batch.column("doc_id"), -(2**62))), wanted.value)
-            for part in tb.slices(iter([batch.filter(pa.array(found))]), "text"):
-                x = features(part.column("text"), hasher)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "x"])
-
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(tb.tidy(run), "doc_id bigint, x binary").collect()
-    matrix = np.frombuffer(b"".join(r.x for r in rows), np.float32).reshape(len(rows), N_FEATURES)
-    return np.array([r.doc_id for r in rows], np.int64), matrix
-
-
-def fit(docs: DataFrame, labels: DataFrame, text: str = "text", prior: float | None = None) -> Model:
-    """Fit to the rows outside the held-out fold; ``labels`` has ``doc_id`` and ``quality``."""
-    ids = docs.select(F.col("doc_id").cast("bigint").alias("doc_id")).where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).distinct()
-    known = labels.where("quality is not null").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.min("quality").alias("quality")).join(ids, "doc_id")
-    order = F.xxhash64("doc_id")
-
-    def first(df: DataFrame, n: int) -> dict[int, int]:
-        return {r[0]: r[1] for r in df.orderBy(order, "doc_id").limit(n).collect()}
-
-    positive = first(known.where("quality = 1"), MAX_POSITIVE)
-    unlabelled = first(ids.withColumn("quality", F.lit(None).cast("int")), MAX_UNLABELLED)
-    checked = first(known, MAX_CALIBRATION)
-    if not positive or not unlabelled:
-        return Model(np.zeros(N_FEATURES), np.ones(N_FEATURES), np.zeros(N_FEATURES), 0.0, 1.0, 0.0, 0.5)
+
+def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", prior: float | None = None, decay: float = DECAY, steps: int = 16) -> Model:
+    """Fit to the rows outside the held-out fold; ``labels`` has ``doc_id`` and ``quality``, of which 1 marks a trusted positive.
+
+    Nothing is sampled.  ``steps`` bounds the passes over the table of features, two
+    optimisations of as many when the prior is to be estimated.
+    """
+    table = table_of(docs, labels, doc_id, text)
+
+    def moments(x: np.ndarray, positive: np.ndarray) -> np.ndarray:
+        return np.concatenate([[positive.sum(), len(x)], x.sum(0), (x * x).sum(0)])
+
+    sums = summed(table, moments)
+    if sums is None or not sums[0]:
+        return Model(np.zeros(N_FEATURES), np.ones(N_FEATURES), np.zeros(N_FEATURES + 1), 0.5, 0.0)
+    n_p, n_u = int(sums[0]), int(sums[1])
+    centre = sums[2 : 2 + N_FEATURES] / n_u
+    scale = np.sqrt(np.maximum(0, sums[2 + N_FEATURES :] / n_u - centre**2)) + 1e-3
+    w = np.zeros(N_FEATURES + 1)
     if prior is None:
-        share = known.agg(F.avg((F.col("quality") == 1).cast("double"))).first()[0]
-        prior = min(max(share, 0.05), 0.95)
-    at, x = _sampled(docs, text, {*positive, *unlabelled, *checked})
-    is_in = lambda some: np.isin(at, np.fromiter(some, np.int64, len(some)))
-    model = Model(*fit_pu(x[is_in(positive)], x[is_in(unlabelled)], prior), 1.0, 0.0, prior)
-    rows = is_in(checked)
-    model.slope, model.shift = calibrate(model.raw(x[rows]), np.array([float(checked[i] == 1) for i in at[rows]]))
-    return model
+        first, aside = table.where("not aside"), table.where("aside")
+        some = summed(first, lambda x, positive: np.array([positive.sum(), len(x)], float))
+        prior = 0.5
+        if some is not None and some[0]:
+            w, risk = minimise(first, (int(some[0]), int(some[1])), centre, scale, prior, w, decay, steps)
+            prior = estimated_prior(aside, Model(centre, scale, w, prior, risk))
+    w, risk = minimise(table, (n_p, n_u), centre, scale, prior, w, decay, steps)
+    return Model(centre, scale, w, prior, risk)
 
 
-def classify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Add ``score`` (0 to 1) and ``predicted`` (1 from ``THRESHOLD`` on) to every row."""
-    kept = [f for f in docs.schema.fields if f.name not in ("score", "predicted")]
-    names = [f.name for f in kept]
+def classify(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """Add ``score`` (0 to 1) and ``predicted`` (1 from ``threshold`` on) to every row."""
+    carried, seed = Carried(docs, "score double, predicted int", text), tb.draw()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = tb.Hasher()
-        for batch in tb.slices(batches, text):
-            score = model.score(features(batch.column(text), hasher).astype(np.float64))
-            yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + [pa.array(score), pa.array(score >= THRESHOLD).cast(pa.int32())], names=[*names, "score", "predicted"])
+        hasher = tb.Hasher(seed)
+        for batch in tb.slices(batches, "text"):
+            score = model.score(features(batch.column("text"), hasher))
+            yield carried.batch(batch, [pa.array(score), pa.array(score >= threshold).cast(pa.int32())])
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["score double", "predicted int"])
-    return docs.select(*(F.col(f"`{n}`") for n in names)).mapInArrow(tb.tidy(run), schema)
+    return carried.unpack(carried.map(carried.pack(docs), run))

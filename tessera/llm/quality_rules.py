@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import textbytes as tb
+from tessera.llm.shared import Carried
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper")
 
@@ -51,12 +52,10 @@ def measured(text: pa.Array, hasher: tb.Hasher) -> dict[str, np.ndarray]:
     """The measurements of each text, in the order of ``MEASURES``."""
     data, offsets = tb.text_bytes(text)
     starts, ends, words = tb.spans_of(~tb.ASCII_SPACE[data], offsets)
-    sums = hasher.sums(data)
-    hashes = hasher.spans(sums, starts, ends)
+    numbers = tb.numbered(data, starts, ends, hasher)
     first = tb.windows(words, 5)
-    text_of = tb.owners(words)
-    keys = tb.mix(tb.chain(hashes, 5)[first] + text_of[first].astype(tb.U64) * tb.BASE)
-    repeats = tb.covered(first[tb.repeated(keys)], 5, len(hashes))
+    in_window = np.stack([tb.owners(words)[first], *(numbers[first + k] for k in range(5))], 1)
+    repeats = tb.covered(first[tb.repeated(tb.numbered_rows(in_window))], 5, len(numbers))
 
     breaks = np.flatnonzero(data == 10)
     line_starts = np.sort(np.concatenate([offsets[:-1], breaks + 1]), kind="stable")
@@ -65,14 +64,14 @@ def measured(text: pa.Array, hasher: tb.Hasher) -> dict[str, np.ndarray]:
     full = np.searchsorted(starts, line_starts) < np.searchsorted(starts, line_ends)
     line_starts, line_ends, line_text = line_starts[full], line_ends[full], line_text[full]
     lines = np.searchsorted(line_text, np.arange(len(offsets)))
-    line_keys = tb.mix(hasher.spans(sums, line_starts, line_ends) + line_text.astype(tb.U64) * tb.BASE)
+    line_of_text = tb.numbered_rows(np.stack([line_text, tb.numbered(data, line_starts, line_ends, hasher)], 1))
 
     return {
         "n_words": np.diff(words),
         "word_chars": tb.per_text(~tb.ASCII_SPACE[data] & ((data & 0xC0) != 0x80), offsets),
         "n_symbols": tb.per_text(SYMBOLS[data], offsets),
         "n_lines": np.diff(lines),
-        "n_dup_lines": tb.per_text(tb.later(line_keys), lines),
+        "n_dup_lines": tb.per_text(tb.later(line_of_text), lines),
         "n_repeat_words": tb.per_text(repeats, words),
         "n_upper": tb.per_text((data >= 65) & (data <= 90), offsets),
     }
@@ -80,17 +79,15 @@ def measured(text: pa.Array, hasher: tb.Hasher) -> dict[str, np.ndarray]:
 
 def measure(docs: DataFrame) -> DataFrame:
     """``docs`` with the measurements of its column ``text``."""
-    kept = [f for f in docs.schema.fields if f.name not in MEASURES]
-    names = [f.name for f in kept]
+    carried, seed = Carried(docs, ", ".join(f"{m} bigint" for m in MEASURES)), tb.draw()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = tb.Hasher()
+        hasher = tb.Hasher(seed)
         for batch in tb.slices(batches, "text"):
             values = measured(batch.column("text"), hasher)
-            yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + [pa.array(values[m], pa.int64()) for m in MEASURES], names=[*names, *MEASURES])
+            yield carried.batch(batch, [pa.array(values[m], pa.int64()) for m in MEASURES])
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"{m} bigint" for m in MEASURES])
-    return docs.select(*(F.col(f"`{n}`") for n in names)).mapInArrow(tb.tidy(run), schema)
+    return carried.unpack(carried.map(carried.pack(docs), run))
 
 
 def ledger(docs: DataFrame) -> DataFrame:
@@ -98,7 +95,7 @@ def ledger(docs: DataFrame) -> DataFrame:
     bits: Column = F.lit(0).cast("bigint")
     for bit, _, fails in RULES:
         bits = bits.bitwiseOR(F.when(F.expr(fails), F.lit(1 << bit)).otherwise(F.lit(0)).cast("bigint"))
-    return measure(docs).withColumn("failed", bits)
+    return measure(docs.drop("failed")).withColumn("failed", bits)
 
 
 def apply_policy(entries: DataFrame, policy: str) -> DataFrame:

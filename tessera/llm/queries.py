@@ -21,19 +21,21 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: (verdict, host, path)
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
-#: The listing of op2: URLs of hosts whose first label is hyphenated, as those of link farms are.
+#: The listing of op2: URLs of hosts whose first label is hyphenated, as those of link farms are, and 200,000 that no page has.
 LISTED_HOST = r"^[a-z]+-[a-z]+\."
+LISTED_ELSEWHERE = 200_000
 
 
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     listing = pages.where(url_filters.host(F.col("url")).rlike(LISTED_HOST)).select(url_filters.canonical(F.col("url")).alias("canonical"))
-    return url_filters.judge(pages, listing, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "listed")
+    elsewhere = spark.range(LISTED_ELSEWHERE).select(F.format_string("farm-%d.example.net/page/%d", F.col("id") % 97, "id").alias("canonical"))
+    return url_filters.judge(pages, listing.unionByName(elsewhere), URL_RULES).select("page_id", "host", "path", "rule", "verdict", "listed")
 
 
 OP2_SQL = r"""
 WITH parsed AS (
-  SELECT page_id, url, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  SELECT row_number() OVER () AS r, page_id, url, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path,
     list_sort(list_filter(string_split(coalesce(regexp_extract(url, '(?s)^.*?://[^?#]*\?([^#]*)', 1), ''), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[a-z]+|ref|gclid|fbclid)(=|$)'))) AS kept
   FROM pages
@@ -41,13 +43,15 @@ WITH parsed AS (
   SELECT *, CASE WHEN host <> '' THEN regexp_replace(host, '^www\.|:(80|443)$', '', 'g') || regexp_replace(path, '/+$', '') || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END END AS canonical
   FROM parsed
 ), listing AS (
-  SELECT DISTINCT canonical FROM named WHERE regexp_matches(host, '^[a-z]+-[a-z]+\.')
+  SELECT canonical FROM named WHERE regexp_matches(host, '^[a-z]+-[a-z]+\.')
+  UNION
+  SELECT 'farm-' || (id % 97) || '.example.net/page/' || id FROM range(200000) AS ids(id)
 ), rules(kind, rh, rp) AS (
   VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')
 ), fits AS (
   SELECT n.*, kind, rh || rp AS rule, coalesce(canonical IN (SELECT canonical FROM listing), false) AS listed
   FROM named n LEFT JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)
-  QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(rh || rp) DESC) = 1
+  QUALIFY row_number() OVER (PARTITION BY r ORDER BY length(rh || rp) DESC) = 1
 )
 SELECT page_id, host, path, rule, coalesce(kind, CASE WHEN listed THEN 'block' ELSE 'allow' END) AS verdict, listed FROM fits
 """
@@ -142,10 +146,10 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = decontaminate.build_index(table(spark, sf_dir, "documents"))
+    index = decontaminate.build_index(table(spark, sf_dir, "documents").select("doc_id", "text"))
     found = decontaminate.search(index, table(spark, sf_dir, "benchmark"))
     listed = F.array_join(F.array_sort(F.col("items").cast("array<string>")), ",")
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(listed, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(listed, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), F.size("near_items").cast("bigint").alias("n_near"))
 
 
 OP7_SQL = r"""
@@ -167,10 +171,20 @@ WITH docs AS (
   SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT r, n, i FROM hits)) GROUP BY r
 ), listed AS (
   SELECT r, list_sort(list(DISTINCT item_id::VARCHAR)) AS ids FROM hits GROUP BY r
+), terms AS (
+  SELECT k, len(ts) AS m, unnest(ts) AS t FROM (SELECT DISTINCT k, list_distinct(string_split(k, ' ')) AS ts FROM windows)
+), occurrences AS (
+  SELECT r, k, m, t, p FROM (SELECT r, unnest(w) AS t, generate_subscripts(w, 1) AS p FROM docs) JOIN terms USING (t)
+), complete AS (
+  SELECT r, k FROM occurrences GROUP BY r, k, m HAVING count(DISTINCT t) = m
+), spans AS (
+  SELECT r, k, m, count(DISTINCT t) OVER (PARTITION BY r, k ORDER BY p RANGE BETWEEN CURRENT ROW AND 11 FOLLOWING) AS c FROM occurrences JOIN complete USING (r, k)
+), nearby AS (
+  SELECT r, count(DISTINCT item_id) AS n_near FROM (SELECT DISTINCT r, k FROM spans WHERE c = m) JOIN windows USING (k) GROUP BY r
 )
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(len(ids), 0) AS n_items,
-  sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM docs LEFT JOIN covered USING (r) LEFT JOIN listed USING (r)
+  sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0) AS n_near
+FROM docs LEFT JOIN covered USING (r) LEFT JOIN listed USING (r) LEFT JOIN nearby USING (r)
 """
 
 

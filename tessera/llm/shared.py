@@ -1,26 +1,74 @@
-"""Cutting lineage in a folder that the driver and all executors share."""
+"""What the operators share: cutting lineage, and carrying a table's own columns along."""
 
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
+
+from tessera.llm import textbytes as tb
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the reliable checkpoint folder and read it back.
 
-    The cluster names that folder in ``spark.checkpoint.dir``.  Only where the
-    setting is absent, as in tests on one machine, a temporary folder serves.
+    The cluster names that folder in ``spark.checkpoint.dir``.  Only on one machine, as
+    in tests, a temporary folder serves where the setting is absent.
     """
     spark: SparkSession = df.sparkSession
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint(eager=True)
 
 
-def with_key(docs: DataFrame, doc_id: str, text: str, name: str = "key") -> DataFrame:
-    """Add a 64-bit key of a document's id and text: rows of one id are told apart by their texts."""
-    return docs.withColumn(name, F.xxhash64(F.col(doc_id), F.col(text)))
+def quoted(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+class Carried:
+    """A table's own columns beside an operator's.
+
+    ``pack`` puts all columns but the text into one struct ``row``, so that whatever an
+    operator adds beside ``row`` and ``text`` can't clash with them; ``unpack`` gives
+    them back in their order, followed by the results.  Columns named like a result,
+    whatever their case, are replaced by it.
+    """
+
+    def __init__(self, df: DataFrame, results: str, text: str = "text") -> None:
+        self.results = StructType.fromDDL(results) if results else StructType()
+        named = {f.name.lower() for f in self.results.fields}
+        self.columns = [c for c in df.columns if c.lower() not in named]
+        self.text = text.lower()
+
+    def pack(self, df: DataFrame, **inner: Column) -> DataFrame:
+        """(row, text, and the columns ``inner``, which are expressions over the table's own)."""
+        others = [quoted(c).alias(c) for c in self.columns if c.lower() != self.text]
+        row = F.struct(*others) if others else F.lit(0)
+        return df.select(row.alias("row"), quoted(self.text).alias("text"), *(c.alias(n) for n, c in inner.items()))
+
+    def schema(self, packed: DataFrame) -> StructType:
+        """Of what a task returns: row, text and the results."""
+        return StructType([packed.schema["row"], packed.schema["text"], *self.results.fields])
+
+    def batch(self, batch: pa.RecordBatch, results: list[pa.Array]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column("row"), batch.column("text"), *results], names=["row", "text", *(f.name for f in self.results.fields)])
+
+    def map(self, packed: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+        return packed.mapInArrow(tb.tidy(run), self.schema(packed))
+
+    def unpack(self, packed: DataFrame) -> DataFrame:
+        own = [F.col("text").alias(c) if c.lower() == self.text else F.col("row").getField(c).alias(c) for c in self.columns]
+        return packed.select(*own, *(F.col(f.name) for f in self.results.fields))
+
+
+def field(df: DataFrame, column: str, name: str) -> StructField:
+    """The type of a table's column under another name."""
+    return StructField(name, df.select(quoted(column)).schema[0].dataType)

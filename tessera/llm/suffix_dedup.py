@@ -21,7 +21,10 @@ a run of neighbouring string starts that share it.
 Spark's external sort stands in for an in-memory multikey quicksort, so a bucket
 may be larger than memory.  Repeats within what a task gathers are taken out before
 the shuffles, which keeps strings that very many documents share small.  Strings are
-compared by 64-bit hashes (runs by 96 bits), and rows of one id told apart by one of 64.
+compared by two independent hashes, 122 bits in all, and rows of one id told apart by
+one of 64 bits of their texts.
+
+Ids of any ordered type: those that are no integers are numbered by a global sort.
 
 Null texts count as empty.  Null ids come first.  Rows of one id and text are at one
 place: neither is a repeat of the other.  Columns named like a result are replaced;
@@ -34,23 +37,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import bloom
 from tessera.llm import textbytes as tb
-from tessera.llm.shared import cut
+from tessera.llm.shared import Carried, cut, quoted
 
 LENGTH, GRAM = 100, 40
 NO_ID = -(1 << 63)
-#: Runs that a task gathers before it hands them on, about 30 bytes each.
+#: Runs that a task gathers before it hands them on, about 33 bytes each.
 HELD = 400_000
 #: Repeats in a packet of their own, at least.
 REPEATS = 4096
 #: Bits of a position in ``least_at``; the rest of 64 bits are of the hash.
 PLACE = 30
-RUN = np.dtype([("h", "<u8"), ("s", "<u4"), ("doc", "<u4"), ("tie", "<i8"), ("at", "<u4"), ("n", "u1")])
-RESULTS = {"n_bytes": "bigint", "n_removed": "bigint", "n_spans": "bigint", "kept": "binary"}
+RUN = np.dtype([("h", "<u8"), ("s", "<u8"), ("doc", "<u4"), ("tie", "<i8"), ("at", "<u4"), ("n", "u1")])
+RESULTS = "n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"
 
 
 def least_at(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -66,20 +69,24 @@ def least_at(hashes: np.ndarray, width: int) -> np.ndarray:
     return (place - (least & place)).astype(np.int64)
 
 
-def runs_of(data: np.ndarray, offsets: np.ndarray, hasher: tb.Hasher) -> tuple[np.ndarray, ...]:
+def hashers_of(seed: int) -> tuple[tb.Hasher, tb.Hasher]:
+    return tb.Hasher(seed), tb.Hasher(seed + 1)
+
+
+def runs_of(data: np.ndarray, offsets: np.ndarray, hashers: tuple[tb.Hasher, tb.Hasher]) -> tuple[np.ndarray, ...]:
     """Runs of string starts with one anchor: anchor hash, hash of all bytes, text, start, starts, anchor."""
     starts = tb.windows(offsets, LENGTH)
     if not len(starts):
         none = np.zeros(0, np.int64)
         return none.astype(tb.U64), none.astype(tb.U64), none, none, none, none
-    sums = hasher.sums(data)
     at = np.arange(len(data) - GRAM + 1)
-    grams = hasher.spans(sums, at, at + GRAM)
+    grams = hashers[0].spans(hashers[0].sums(data), at, at + GRAM)
     anchor = least_at(grams, LENGTH - GRAM + 1)[starts]
     first = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (starts[1:] != starts[:-1] + 1)]))
     lo, n = starts[first], np.diff(np.append(first, len(starts)))
     text = np.searchsorted(offsets, lo, "right") - 1
-    return grams[anchor[first]], hasher.spans(sums, lo, lo + n - 1 + LENGTH), text, lo - offsets[text], n, anchor[first] - offsets[text]
+    whole = hashers[1].spans(hashers[1].sums(data), lo, lo + n - 1 + LENGTH)
+    return grams[anchor[first]], whole, text, lo - offsets[text], n, anchor[first] - offsets[text]
 
 
 def ranked(h: np.ndarray, s: np.ndarray, doc: np.ndarray, tie: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -97,7 +104,8 @@ def packed(h: np.ndarray, s: np.ndarray, doc: np.ndarray, tie: np.ndarray, at: n
     if not len(h):
         return
     order, new, again = ranked(h, s, doc, tie, at)
-    part = ((h[order] >> tb.U64(32)) * tb.U64(parts) >> tb.U64(32)).astype(np.int64)
+    # mixed, as anchors have the least of many hashes
+    part = ((tb.mix(h[order] + tb.BASE) >> tb.U64(32)) * tb.U64(parts) >> tb.U64(32)).astype(np.int64)
     n_again = int(again.sum())
     packets = min(parts, 1 + n_again // REPEATS)
     part[again] = -1 - (np.arange(n_again) * packets // max(1, n_again) + int(h[0] % tb.U64(parts))) % parts
@@ -164,15 +172,15 @@ def meet(packets: DataFrame) -> DataFrame:
     return packets.repartitionById(n, F.pmod("part", F.lit(n)).cast("int")).sortWithinPartitions("part").mapInArrow(tb.tidy(run), MARKS)
 
 
-def first_pass(docs: DataFrame, parts: int) -> DataFrame:
+def first_pass(docs: DataFrame, parts: int, seed: int) -> DataFrame:
     """Packets of the runs of all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, held, size = tb.Hasher(), [], 0
+        hashers, held, size = hashers_of(seed), [], 0
         for batch in tb.slices(batches, "text"):
-            h, s, text, at, n, _ = runs_of(*tb.text_bytes(batch.column("text")), hasher)
+            h, s, text, at, n, _ = runs_of(*tb.text_bytes(batch.column("text")), hashers)
             doc, tie = np.asarray(batch.column("doc"))[text], np.asarray(batch.column("tie"))[text]
-            held.append((h, (s >> tb.U64(32)).astype(np.uint32), doc, tie, at.astype(np.uint32), n.astype(np.uint8)))
+            held.append((h, s, doc, tie, at.astype(np.uint32), n.astype(np.uint8)))
             size += len(h)
             if size >= HELD:
                 yield from _packets(packed(*map(np.concatenate, zip(*held, strict=True)), parts))
@@ -183,14 +191,14 @@ def first_pass(docs: DataFrame, parts: int) -> DataFrame:
     return docs.mapInArrow(tb.tidy(run), PACKETS)
 
 
-def open_suffixes(marked: DataFrame) -> DataFrame:
+def open_suffixes(marked: DataFrame, seed: int) -> DataFrame:
     """(doc, tie, at, anchor, span) of each open run: its bytes, and where in them the anchor is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = tb.Hasher()
+        hashers = hashers_of(seed)
         for batch in tb.slices(batches, "text"):
             data, offsets = tb.text_bytes(batch.column("text"))
-            _, _, text, at, n, anchor = runs_of(data, offsets, hasher)
+            _, _, text, at, n, anchor = runs_of(data, offsets, hashers)
             wanted = batch.column("opened")
             size = np.asarray(pa.compute.list_value_length(wanted)).astype(np.int64)
             of = np.repeat(np.arange(batch.num_rows), size)
@@ -214,22 +222,22 @@ def _in_common(suffixes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def candidate_strings(suffixes: DataFrame, parts: int) -> DataFrame:
+def candidate_strings(suffixes: DataFrame, parts: int, seed: int) -> DataFrame:
     """Packets of single strings of open runs: those inside what a suffix has in common with a neighbour."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, held = tb.Hasher(), None
+        hashers, held = hashers_of(seed), None
         for batch in batches:
             for lo in range(0, batch.num_rows, 1 << 14):
                 part = batch.slice(lo, 1 << 14)
                 rows = part.to_pydict()
                 joined = {k: [*(held[k] if held else []), *rows[k]] for k in rows}
-                yield from strings(hasher, joined, 1 if held else 0, last=False)
+                yield from strings(hashers, joined, 1 if held else 0, last=False)
                 held = {k: v[-2:] for k, v in joined.items()}
         if held:
-            yield from strings(hasher, held, len(held["doc"]) - 1, last=True)
+            yield from strings(hashers, held, len(held["doc"]) - 1, last=True)
 
-    def strings(hasher: tb.Hasher, rows: dict[str, list], skip: int, last: bool) -> Iterator[pa.RecordBatch]:
+    def strings(hashers: tuple[tb.Hasher, tb.Hasher], rows: dict[str, list], skip: int, last: bool) -> Iterator[pa.RecordBatch]:
         """Rows from ``skip`` on; the last of them waits for its successor unless it is the bucket's ``last``."""
         anchor, at = np.array(rows["anchor"], np.int64), np.array(rows["at"], np.int64)
         data = np.frombuffer(b"".join(rows["span"]), np.uint8)
@@ -246,9 +254,9 @@ def candidate_strings(suffixes: DataFrame, parts: int) -> DataFrame:
         row = np.repeat(use, n)
         step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
         start = begin[row] + step
-        h = hasher.spans(hasher.sums(data), start, start + LENGTH)
+        h, s = (x.spans(x.sums(data), start, start + LENGTH) for x in hashers)
         doc, tie = np.array(rows["doc"], np.int64)[row], np.array(rows["tie"], np.int64)[row]
-        yield from _packets(packed(h, np.zeros(len(h), tb.U64), doc, tie, at[row] + step, np.ones(len(h), np.int64), parts))
+        yield from _packets(packed(h, s, doc, tie, at[row] + step, np.ones(len(h), np.int64), parts))
 
     suffix = F.expr("substring(span, anchor + 1)")
     count = int(suffixes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -256,8 +264,12 @@ def candidate_strings(suffixes: DataFrame, parts: int) -> DataFrame:
     return ordered.mapInArrow(tb.tidy(run), PACKETS)
 
 
-def _place(docs: DataFrame, doc_id: str, text: str) -> dict[str, Column]:
-    return {"doc": F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NO_ID)), "tie": F.xxhash64(F.col(text), F.lit(3))}
+def _numbered(packed: DataFrame) -> DataFrame:
+    """``packed`` with ``doc``, a bigint in the order of ``id``, the least one for null."""
+    if packed.schema["id"].dataType.typeName() in ("byte", "short", "integer", "long"):
+        return packed.withColumn("doc", F.coalesce(F.col("id").cast("bigint"), F.lit(NO_ID)))
+    order = cut(packed.select(F.col("id").alias("of")).where("of is not null").distinct().sort("of").withColumn("doc", F.monotonically_increasing_id()))
+    return packed.join(order, F.col("id") == F.col("of"), "left").drop("of").withColumn("doc", F.coalesce("doc", F.lit(NO_ID)))
 
 
 def removed(data: bytes, at: list[int], n: list[int]) -> tuple[int, int, bytes]:
@@ -274,38 +286,34 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", parts: in
     of text; by default there are four for each of spark.sql.shuffle.partitions.
     """
     parts = parts or 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    places = _place(docs, doc_id, text)
-    texts = docs.select(places["doc"].alias("doc"), places["tie"].alias("tie"), F.coalesce(text, F.lit("")).alias("text"))
-    key = F.xxhash64("doc", "tie")
+    seed, key = tb.draw(), F.xxhash64("doc", "tie")
+    carried = Carried(docs, RESULTS, text)
+    own = _numbered(carried.pack(docs, id=quoted(doc_id), tie=F.xxhash64(quoted(text), F.lit(3)))).drop("id").withColumn("key", key)
+    texts = own.select("doc", "tie", F.coalesce("text", F.lit("")).alias("text"), "key")
 
-    found = meet(first_pass(texts, parts)).groupBy("doc", "tie")
+    found = meet(first_pass(texts.drop("key"), parts, seed)).groupBy("doc", "tie")
     runs = F.filter("marks", lambda m: ~m["open"])
     marks = cut(found.agg(F.collect_list(F.struct("at", "n", "open")).alias("marks")).select("doc", "tie", runs.alias("runs"), F.transform(F.filter("marks", lambda m: m["open"]), lambda m: m["at"]).alias("opened")))
     opened = marks.where(F.size("opened") > 0).select("doc", "tie", "opened", key.alias("key"))
-    thinned = bloom.tested(texts.withColumn("key", key), opened.select("key"), "key").where("_hit").drop("key", "_hit")
-    suffixes = cut(open_suffixes(thinned.dropDuplicates(["doc", "tie"]).join(opened.drop("key"), ["doc", "tie"])))
-    strings = meet(candidate_strings(suffixes, max(1, parts // 2))).groupBy("doc", "tie").agg(F.collect_list("at").alias("strings"))
+    thinned = bloom.tested(texts, opened.select("key"), "key", "hit").where("hit").drop("key", "hit")
+    suffixes = cut(open_suffixes(thinned.dropDuplicates(["doc", "tie"]).join(opened.drop("key"), ["doc", "tie"]), seed))
+    strings = meet(candidate_strings(suffixes, max(1, parts // 2), seed)).groupBy("doc", "tie").agg(F.collect_list("at").alias("strings"))
     whole = marks.where(F.size("runs") > 0).select("doc", "tie", "runs")
     spans = cut(whole.join(strings, ["doc", "tie"], "full").select("doc", "tie", "runs", "strings", key.alias("key")))
 
-    kept = [f for f in docs.schema.fields if f.name not in RESULTS]
-    names = [f.name for f in kept]
-    own = docs.select(*(F.col(f"`{n}`") for n in names)).withColumns({f"__{k}": v for k, v in places.items()}).withColumn("__key", F.xxhash64("__doc", "__tie"))
-    split = bloom.tested(own, spans.select(F.col("key").alias("__key")), "__key", "__hit")
-    size = F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint")
-    whole_texts = split.where("not __hit").select(*(F.col(f"`{n}`") for n in names), size.alias("n_bytes"), F.lit(0).cast("bigint").alias("n_removed"), F.lit(0).cast("bigint").alias("n_spans"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("kept"))
+    split = bloom.tested(own, spans.select("key"), "key", "hit")
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint")
+    zero = F.lit(0).cast("bigint")
+    whole_texts = split.where("not hit").select("row", "text", size.alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("kept"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in tb.slices(batches, text):
+        for batch in tb.slices(batches, "text"):
             rows = []
-            for value, some, single in zip(*(batch.column(c).to_pylist() for c in (text, "__runs", "__strings")), strict=True):
+            for value, some, single in zip(*(batch.column(c).to_pylist() for c in ("text", "runs", "strings")), strict=True):
                 at = [r["at"] for r in some or []] + (single or [])
                 data = (value or "").encode()
                 rows.append((len(data), *removed(data, at, [r["n"] for r in some or []] + [1] * len(single or []))))
-            columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + columns, names=[*names, *RESULTS])
+            yield carried.batch(batch, [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)])
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"{n} {k}" for n, k in RESULTS.items()])
-    renamed = spans.select(*(F.col(c).alias(f"__{c}") for c in ("doc", "tie", "runs", "strings")))
-    cleaned = split.where("__hit").join(renamed, ["__doc", "__tie"], "left").select(*(F.col(f"`{n}`") for n in names), "__runs", "__strings").mapInArrow(tb.tidy(run), schema)
-    return whole_texts.unionByName(cleaned)
+    cleaned = carried.map(split.where("hit").join(spans.drop("key"), ["doc", "tie"], "left").select("row", "text", "runs", "strings"), run)
+    return carried.unpack(whole_texts.unionByName(cleaned))

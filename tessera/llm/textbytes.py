@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import secrets
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,9 +17,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
-#: Odd multiplier of the rolling hash and its inverse modulo 2**64.
+#: An odd number that spreads bits.
 BASE = U64(0x9E3779B97F4A7C15)
-BASE_INVERSE = U64(pow(0x9E3779B97F4A7C15, -1, 2**64))
+#: The field of the hashes of byte spans.
+PRIME = U64((1 << 61) - 1)
+LOW29, LOW30, LOW31, LOW32 = (U64((1 << n) - 1) for n in (29, 30, 31, 32))
+#: Items that are worked on at a time, so that they stay in the processor's cache.
+BLOCK = 1 << 15
 SLICE_BYTES, SLICE_ROWS = 1 << 19, 1 << 15
 
 
@@ -48,11 +53,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(33))
 
 
-def byte_values(seed: int = 1) -> np.ndarray:
-    """A pseudo-random 64-bit value for each byte."""
-    return mix(np.arange(1, 257, dtype=U64) * U64(0xD1342543DE82EF95) + U64(seed))
-
-
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts on end, and each text's offset (one more than texts); null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -88,26 +88,119 @@ def spans_of(member: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo PRIME of numbers below it."""
+    a1, b1 = a >> U64(31), b >> U64(31)
+    a0, b0 = a & LOW31, b & LOW31
+    middle = a1 * b0
+    middle += a0 * b1
+    a1 = a1 * b1
+    a1 <<= U64(1)  # 2**62 is 2 modulo PRIME
+    a1 += middle >> U64(30)
+    middle &= LOW30
+    middle <<= U64(31)
+    a1 += middle
+    a1 = reduced(a1, once=True)
+    a0 = a0 * b0
+    a1 += a0
+    return reduced(a1)
+
+
+def reduced(x: np.ndarray, once: bool = False) -> np.ndarray:
+    """64-bit numbers modulo PRIME; only below ``2**61 + 8`` with ``once``."""
+    high = x >> U64(61)
+    x = x & PRIME
+    x += high
+    if not once:
+        x -= PRIME * (x >= PRIME)
+    return x
+
+
+def draw() -> int:
+    """The random choice of a job's hash functions, made on the driver and sent to its tasks."""
+    return secrets.randbits(62)
+
+
 class Hasher:
-    """64-bit hashes of byte spans by prefix sums; the powers are kept between calls."""
+    """Hashes of byte spans: polynomials over the field of PRIME, by prefix sums.
 
-    def __init__(self, seed: int = 1) -> None:
-        self.values = byte_values(seed)
+    ``seed`` chooses the base and the value of each byte, so that two different spans
+    of n bytes collide with a probability of n / 2**61 at most, whatever the spans are.
+    """
+
+    def __init__(self, seed: int) -> None:
+        self.seed = seed
+        random = np.random.default_rng(seed)
+        self.base, *self.values = (int(x) for x in random.integers(1 << 40, int(PRIME), 257))
+        self.values = np.array(self.values, U64)
         self.powers = self.inverse = np.ones(1, U64)
 
+    @staticmethod
+    def _grown(powers: np.ndarray, base: int, n: int) -> np.ndarray:
+        out = np.empty(n, U64)
+        out[: len(powers)] = powers
+        size = len(powers)
+        while size < n:
+            more = min(size, n - size)
+            out[size : size + more] = times(out[:more], np.full(1, pow(base, size, int(PRIME)), U64))
+            size += more
+        return out
+
     def sums(self, data: np.ndarray) -> np.ndarray:
-        if len(self.powers) <= len(data):
-            n = max(len(data) + 1, SLICE_BYTES + 1)
-            self.powers, self.inverse = np.full(n, BASE, U64), np.full(n, BASE_INVERSE, U64)
-            self.powers[0] = self.inverse[0] = U64(1)
-            np.multiply.accumulate(self.powers, out=self.powers)
-            np.multiply.accumulate(self.inverse, out=self.inverse)
-        sums = np.zeros(len(data) + 1, U64)
-        np.cumsum(self.values[data] * self.powers[: len(data)], out=sums[1:])
+        n = len(data)
+        if len(self.powers) <= n:
+            size = max(n + 1, SLICE_BYTES + 1)
+            self.powers = self._grown(self.powers, self.base, size)
+            self.inverse = self._grown(self.inverse, pow(self.base, -1, int(PRIME)), size)
+        sums = np.zeros(n + 1, U64)
+        for at in range(0, n, BLOCK):
+            terms = times(self.values[data[at : at + BLOCK]], self.powers[at : at + min(BLOCK, n - at)])
+            high, low = np.cumsum(terms >> U64(32)), np.cumsum(terms & LOW32)
+            sums[at + 1 : at + 1 + len(terms)] = reduced((high >> U64(29)) + ((high & LOW29) << U64(32)) + low + sums[at])
         return sums
 
     def spans(self, sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix((sums[ends] - sums[starts]) * self.inverse[starts] + (ends - starts).astype(U64))
+        out = np.empty(len(starts), U64)
+        for at in range(0, len(starts), BLOCK):
+            lo, hi = starts[at : at + BLOCK], ends[at : at + BLOCK]
+            out[at : at + BLOCK] = mix(times(reduced(sums[hi] + (PRIME - sums[lo])), self.inverse[lo]))
+        return out
+
+
+def same_bytes(data: np.ndarray, starts: np.ndarray, others: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """True where the ``sizes`` bytes from ``starts`` on are those from ``others`` on."""
+    out = np.ones(len(starts), bool)
+    for i in np.flatnonzero(sizes > BLOCK):
+        out[i] = np.array_equal(data[starts[i] : starts[i] + sizes[i]], data[others[i] : others[i] + sizes[i]])
+    short = np.flatnonzero(sizes <= BLOCK)
+    ends, at = np.cumsum(sizes[short]), 0
+    while at < len(short):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 4 * BLOCK, "right")))
+        some = short[at:to]
+        row = np.repeat(some, sizes[some])
+        step = np.arange(len(row)) - np.repeat(np.cumsum(sizes[some]) - sizes[some], sizes[some])
+        out[row[data[starts[row] + step] != data[others[row] + step]]] = False
+        at = to
+    return out
+
+
+def numbered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hasher: Hasher) -> np.ndarray:
+    """A number for each byte span, from 0 on: the same for spans of equal bytes and for no others.
+
+    Spans of equal hashes are compared byte by byte; should two differ, another hash is drawn.
+    """
+    sizes = ends - starts
+    while True:
+        hashes = hasher.spans(hasher.sums(data), starts, ends)
+        order = np.argsort(hashes, kind="stable")
+        a, b = order[:-1], order[1:]
+        same = hashes[a] == hashes[b]
+        a, b = a[same], b[same]
+        if (sizes[a] == sizes[b]).all() and same_bytes(data, starts[a], starts[b], sizes[a]).all():
+            numbers = np.zeros(len(starts), np.int64)
+            numbers[order[1:]] = np.cumsum(~same)
+            return numbers
+        hasher = Hasher(hasher.seed + 1)
 
 
 def chain(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -137,22 +230,31 @@ def windows(word_offsets: np.ndarray, n: int) -> np.ndarray:
     return np.flatnonzero(np.arange(len(ends)) + n <= ends)
 
 
-def repeated(keys: np.ndarray) -> np.ndarray:
-    """True where the same key occurs at another place."""
+def numbered_rows(rows: np.ndarray) -> np.ndarray:
+    """A number for each row of integers, from 0 on: the same for equal rows and for no others."""
+    keys = np.zeros(len(rows), U64)
+    for column in rows.T:
+        keys = mix(keys * BASE + column.astype(U64))
     order = np.argsort(keys, kind="stable")
     same = keys[order[1:]] == keys[order[:-1]]
-    out = np.zeros(len(keys), bool)
-    out[order[1:][same]] = True
-    out[order[:-1][same]] = True
-    return out
+    if not (rows[order[1:][same]] == rows[order[:-1][same]]).all():
+        return np.unique(rows, axis=0, return_inverse=True)[1].ravel()
+    numbers = np.zeros(len(rows), np.int64)
+    numbers[order[1:]] = np.cumsum(~same)
+    return numbers
 
 
-def later(keys: np.ndarray) -> np.ndarray:
-    """True where the same key occurs at an earlier place."""
-    order = np.argsort(keys, kind="stable")
-    out = np.zeros(len(keys), bool)
-    out[order[1:][keys[order[1:]] == keys[order[:-1]]]] = True
-    return out
+def repeated(numbers: np.ndarray) -> np.ndarray:
+    """True where the same number occurs at another place."""
+    return np.bincount(numbers)[numbers] > 1 if len(numbers) else np.zeros(0, bool)
+
+
+def later(numbers: np.ndarray) -> np.ndarray:
+    """True where the same number occurs at an earlier place."""
+    place = np.arange(len(numbers))
+    first = np.zeros(int(numbers.max(initial=0)) + 1, np.int64)
+    first[numbers[::-1]] = place[::-1]
+    return first[numbers] != place
 
 
 def covered(starts: np.ndarray, width: int | np.ndarray, size: int) -> np.ndarray:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import bloom
-from tessera.llm.shared import cut
+from tessera.llm.shared import Carried, cut, quoted
 
 #: Rules become one expression; a longer list belongs in a listing.
 MAX_RULES = 1000
@@ -45,15 +45,20 @@ def canonical(url: Column) -> Column:
     return F.when(host(url) != "", shown)
 
 
+def _looked_up(packed: DataFrame, listing: DataFrame) -> DataFrame:
+    """``packed`` with boolean ``listed``: its column ``canonical`` is in ``listing``."""
+    entries = cut(listing.select(F.col("canonical").alias("entry")).where("entry is not null").distinct())
+    tested = bloom.tested(packed, entries.withColumnRenamed("entry", "canonical"), "canonical", "hit")
+    exact = tested.where("hit").drop("hit").join(entries, F.col("canonical") == F.col("entry"), "left")
+    found = exact.withColumn("listed", F.col("entry").isNotNull()).drop("entry")
+    return tested.where("not hit").drop("hit").withColumn("listed", F.lit(False)).unionByName(found)
+
+
 def listed(pages: DataFrame, listing: DataFrame, name: str = "listed", url: str = "url") -> DataFrame:
     """Add boolean ``name``: the page's canonical URL is in ``listing`` (its only column used: ``canonical``)."""
-    entries = cut(listing.select(F.col("canonical").alias("_canonical")).where("_canonical is not null").distinct())
-    own = [c for c in pages.columns if c != name]
-    tested = bloom.tested(pages.select(*own).withColumn("_canonical", canonical(F.col(url))), entries, "_canonical", "_hit")
-    passed = tested.where("_hit").select(*own, "_canonical")
-    exact = passed.join(entries.withColumnRenamed("_canonical", "_entry"), F.col("_canonical") == F.col("_entry"), "left")
-    found = exact.select(*own, F.col("_entry").isNotNull().alias(name))
-    return tested.where("not _hit").select(*own, F.lit(False).alias(name)).unionByName(found)
+    carried = Carried(pages, f"`{name}` boolean", url)
+    found = _looked_up(carried.pack(pages, canonical=canonical(quoted(url))), listing)
+    return carried.unpack(found.withColumnRenamed("listed", name))
 
 
 def rule_columns(rules: list[tuple[str, str, str]], host_of: Column, path_of: Column) -> tuple[Column, Column]:
@@ -70,6 +75,8 @@ def rule_columns(rules: list[tuple[str, str, str]], host_of: Column, path_of: Co
 
 def judge(pages: DataFrame, listing: DataFrame, rules: list[tuple[str, str, str]], url: str = "url") -> DataFrame:
     """Add ``host``, ``path``, ``rule``, ``listed`` and ``verdict``: the rule's, else ``block`` if listed."""
+    carried = Carried(pages, "host string, path string, rule string, listed boolean, verdict string", url)
+    packed = carried.pack(pages, canonical=canonical(quoted(url)), host=host(quoted(url)), path=path(quoted(url)))
     name, verdict = rule_columns(rules, F.col("host"), F.col("path"))
-    parsed = listed(pages, listing, "listed", url).withColumns({"host": host(F.col(url)), "path": path(F.col(url))})
-    return parsed.withColumns({"rule": name, "verdict": F.coalesce(verdict, F.when(F.col("listed"), "block").otherwise("allow"))})
+    found = _looked_up(packed, listing)
+    return carried.unpack(found.withColumns({"rule": name, "verdict": F.coalesce(verdict, F.when(F.col("listed"), "block").otherwise("allow"))}))

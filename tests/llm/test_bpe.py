@@ -52,3 +52,30 @@ def test_query_matches_library(spark, sf_dir):
     for r in queries.op9_bpe(spark, sf_dir).collect():
         ids, text = want(docs[r.doc_id])
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), sha(" ".join(map(str, ids))), sha(text))
+
+
+def test_runs_dealt_to_many_tasks(spark):
+    random.seed(2)
+    run = "".join(random.choice("etaoinshrdlu'13é") for _ in range(3 * bpe.SPREAD + 77))
+    texts = [f"ab {run} cd\t{run[::-1]}", run, "short", None, f"{run}\n{run}", run[: bpe.SPREAD], run[: bpe.SPREAD + 1]]
+    df = spark.createDataFrame([(i, t, "m") for i, t in enumerate([*texts, texts[0]])], "doc_id bigint, text string, runs string")
+    got = {(r.doc_id, r.runs): r.ids for r in bpe.encode(df, PATH).collect()}
+    assert got == {(i, "m"): want(t)[0] for i, t in enumerate([*texts, texts[0]])}
+
+
+def test_tokenizer_that_keeps_white_space(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    assert not bpe.drops_white_space(library) and bpe.drops_white_space(LIBRARY)
+    texts = ["hello big world", " two  spaces\n\nand lines ", "", None, "x" * 5000]
+    got = {r.doc_id: r.ids for r in bpe.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), path).collect()}
+    assert got == {i: library.encode(t or "", add_special_tokens=False).ids for i, t in enumerate(texts)}
+
+
+def test_structured_words_are_told_apart(spark):
+    words = ["a"]
+    while len(words[-1]) < 4096:
+        words.append(words[-1] + words[-1].translate(str.maketrans("ab", "ba")))
+    texts = [w + " " + w.translate(str.maketrans("ab", "ba")) + " " + w for w in words[9:]]
+    got = {r.doc_id: r.ids for r in bpe.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), PATH).collect()}
+    assert got == {i: want(t)[0] for i, t in enumerate(texts)}

@@ -92,6 +92,46 @@ def test_language_model_keeps_every_gram_and_sums_to_one(spark):
         assert np.allclose(total, 1, atol=1e-3), (history, total)
 
 
+def test_language_model_is_that_of_plain_python(spark):
+    import math
+    from collections import Counter
+
+    texts = {"aa": ["Das ist gut", "gut, das!", "日本 das"], "": ["this is good", "is it good"], "cc": ["x"]}
+    docs = spark.createDataFrame([(t, k) for k, ts in texts.items() for t in ts] + [("left out", None), (None, "aa")], "text string, lang string")
+    model = language_id.estimate(language_id.count_grams(docs))
+    assert model.languages == ["", "aa", "cc"]
+
+    def fold(text):
+        out = ""
+        for c in text.lower():
+            c = c if c.isalpha() else " "
+            if c != " " or (out and out[-1] != " "):
+                out += c
+        return "   " + out
+
+    for at, (_, ts) in enumerate(sorted(texts.items())):
+        levels = {4: Counter(f[i : i + 4] for t in ts for f in [fold(t)] for i in range(len(f) - 3))}
+        for k in (3, 2, 1):
+            levels[k] = Counter(g[1:] for g in levels[k + 1])
+
+        def share(gram, k):
+            if k == 0:
+                return 1 / language_id.CLASSES
+            gram, counts = gram[-k:], levels[k]
+            one, two = (sum(1 for v in counts.values() if v == n) for n in (1, 2))
+            d = one / (one + 2 * two) if one and two else 0.5
+            own = [v for g, v in counts.items() if g[:-1] == gram[:-1]]
+            if not own:
+                return share(gram, k - 1)
+            return max(0, counts[gram] - d) / sum(own) + d * len(own) / sum(own) * share(gram, k - 1)
+
+        for text in ("das good", "日本語 is", "zzz", "gut"):
+            f = fold(text)
+            want = -sum(math.log(share(f[i : i + 4], 4)) for i in range(len(f) - 3)) / (len(f) - 3)
+            got, _ = model.cross_entropy(*language_id.Folder().fold([text]))
+            assert got[0, at] == pytest.approx(want, abs=2e-6)
+
+
 def test_held_out_language_accuracy(spark):
     from tessera.llm import queries
 
@@ -109,6 +149,65 @@ def test_held_out_quality_accuracy(spark):
     assert right[0] > 0.97 and 0 <= right[1] and right[2] <= 1
 
 
+def plain_features(text):
+    """The features of a short text without numpy."""
+    data, words, lines = (text or "").encode(), (text or "").split(), [x for x in (text or "").split("\n") if x.strip()]
+    size = max(1, len(data))
+    out = [(sum(1 for b in data if min(b, 128) == c) / size) ** 0.5 for c in range(129)]
+    windows = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+    repeated = {p for i, w in enumerate(windows) if windows.count(w) > 1 for p in range(i, i + 5)}
+    chars = sum(map(len, words))
+    out += [sum(text.count(c) for c in "#*$%&|<>") / max(1, len(words)), (len(lines) - len(set(lines))) / max(1, len(lines)), len(repeated) / max(1, len(words))]
+    out += [sum("A" <= c <= "Z" for c in text) / max(1, chars), chars / max(1, len(words)), len(lines) / max(1, len(words)), size / (size + 8)]
+    return out
+
+
+def test_non_negative_risk_is_that_of_plain_python(spark):
+    import math
+    import random
+
+    random.seed(9)
+    good = lambda: " ".join(random.choice(("the", "small", "river", "Bank", "flows")) for _ in range(random.randint(5, 30)))
+    bad = lambda: "\n".join(random.choice(("$$$ BUY", "#1 <a>", "BUY BUY BUY BUY BUY BUY")) for _ in range(random.randint(1, 6)))
+    docs = [(i, good() if i % 3 else bad()) for i in range(120)]
+    marks = [(i, 1, 0) for i in range(120) if i % 3 and i % 2] + [(0, 0, 0), (5, 0, 1), (5, 1, 1)]
+    model = quality_classifier.fit(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(marks, "doc_id bigint, quality int, toxic int"))
+    assert 0.4 < model.prior < 0.9
+    import zlib
+
+    learned = [(i, t) for i, t in docs if zlib.crc32(str(i).encode()) % 4 != 2]
+    x = {i: plain_features(t) for i, t in learned}
+    mean = [sum(v[k] for v in x.values()) / len(x) for k in range(136)]
+    spread = [math.sqrt(max(0, sum(v[k] ** 2 for v in x.values()) / len(x) - mean[k] ** 2)) + 1e-3 for k in range(136)]
+
+    def raw(v, w):
+        z = [max(-8, min(8, (v[k] - mean[k]) / spread[k])) * (v[-1] if k < 129 else 1) for k in range(136)]
+        return sum(a * b for a, b in zip(z, w, strict=False)) + w[-1]
+
+    trusted = [i for i, _ in learned if i in {m for m, q, _ in marks if q} and i != 5]
+
+    def risk(w):
+        loss = lambda g: math.log1p(math.exp(-abs(g))) + max(0, -g)
+        mean_of = lambda ids, sign: sum(loss(sign * raw(x[i], w)) for i in ids) / len(ids)
+        bracket = mean_of(list(x), -1) - model.prior * mean_of(trusted, -1)
+        return model.prior * mean_of(trusted, 1) + max(0, bracket) + 0.5 * quality_classifier.DECAY * sum(v * v for v in w[:-1])
+
+    w = model.weights.tolist()
+    assert risk(w) == pytest.approx(model.risk, abs=1e-6)
+    for k in (*random.sample(range(136), 12), 136):  # no weight can be moved to a lower risk
+        for step in (1e-2, -1e-2):
+            assert risk([v + step * (i == k) for i, v in enumerate(w)]) > model.risk - 1e-6
+    found = {r.doc_id: r.score for r in quality_classifier.classify(spark.createDataFrame(docs, "doc_id bigint, text string"), model).collect()}
+    for i, t in learned[:20]:
+        assert found[i] == pytest.approx(1 / (1 + math.exp(-raw(plain_features(t), w))), abs=1e-5)
+
+
+def test_repeated_ids_are_not_collected(spark):
+    rows_of_one = spark.range(3000).selectExpr("7L AS doc_id", "concat('some good text ', id) AS text")
+    model = quality_classifier.fit(rows_of_one, spark.createDataFrame([(7, 1)], "doc_id bigint, quality int"))
+    assert model.weights.shape == (137,) and 0 <= model.prior <= 1
+
+
 def brute_lines(docs, least):
     """Lines in runs of ``least`` words or more that occur earlier, by trying all runs."""
     lines = {}
@@ -191,6 +290,27 @@ def test_components(spark):
     assert got == {i: 0 for i in range(201)} | {1000: 1000, 1001: 1000, 1002: 1000}
 
 
+def brute_matches(docs, tests, width, reach):
+    """(words, hit words, items by phrase, items by proximity) of each document by trying all windows everywhere."""
+    import re
+
+    fold = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    windows = [(item, tuple(w[i : i + width])) for item, t in tests for w in [fold(t)] for i in range(max(1, len(w) - width + 1)) if w]
+    out = []
+    for _, text in docs:
+        w = fold(text)
+        hit, items, nearby = set(), set(), set()
+        for item, window in windows:
+            for i in range(len(w) - len(window) + 1):
+                if tuple(w[i : i + len(window)]) == window:
+                    hit.update(range(i, i + len(window)))
+                    items.add(item)
+            if any(set(window) <= set(w[i : i + reach]) for i in range(len(w))):
+                nearby.add(item)
+        out.append((len(w), len(hit), sorted(items - {None}), sorted(nearby - {None})))
+    return out
+
+
 def test_phrases_and_proximity(spark):
     docs = [(0, "a b c d e f g h i j k"), (1, "A, b c d e; f g h i J"), (2, "k b a"), (3, "x y"), (4, "x. z. y"), (5, "b c d e f g h i j")]
     tests = items(spark, "a b c d e f g h i j k l", "x y", "x y", None)
@@ -199,6 +319,27 @@ def test_phrases_and_proximity(spark):
     assert got[3] == (2, 2, [1, 2], [1, 2]) and got[4] == (3, 0, [], [1, 2])
 
 
+@pytest.mark.parametrize("limit", [1 << 20, 0])
+def test_matches_by_brute_force(spark, limit):
+    import random
+
+    random.seed(6)
+    word = lambda: random.choice("abcdefghéx")
+    docs = [(i, " ".join(word() for _ in range(random.choice((0, 3, 30, 80))))) for i in range(60)] + [(60, None), (3, None), (None, "a b c")]
+    tests = [(f"t{i % 7}" if i else None, " ".join(word() for _ in range(random.choice((0, 1, 3, 4, 6))))) for i in range(16)] + [("n", None)]
+    df = spark.createDataFrame([(d, t, "n", "i", 1) for d, t in docs], "doc_id bigint, text string, N_Words string, items string, shard int").repartition(3)
+    test = spark.createDataFrame(tests, "item_id string, text string")
+    got = decontaminate.annotate(df, test, width=4, reach=6, limit=limit)
+    assert got.columns == ["doc_id", "text", "shard", "n_words", "n_hit", "items", "near_items"]
+    want = sorted((str(d), str(t), *m) for (d, t), m in zip(docs, brute_matches(docs, tests, 4, 6), strict=True))
+    assert sorted((str(r.doc_id), str(r.text), r.n_words, r.n_hit, r["items"], r.near_items) for r in got.collect()) == want
+    found = decontaminate.search(decontaminate.build_index(df), test, width=4, reach=6, limit=limit).collect()
+    assert sorted((str(r.doc_id), r.n_words, r.n_hit, r["items"], r.near_items) for r in found) == sorted((w[0], *w[2:]) for w in want)
+    assert decontaminate.annotate(df, test.limit(0), limit=limit).where("n_hit > 0").count() == 0
+    with pytest.raises(ValueError):
+        decontaminate.annotate(df, test, reach=90)
+
+
 def test_urls(spark):
     urls = [None, "", "no scheme", "http://", "HTTP://WWW.Bad-Site.Example.ORG:80/en/2/?utm_source=x&b=2&a=1#top", "https://bad-site.example.org/en/2?a=1&b=2", "ftp://example.org/es/x", "x://sub.example.org/es/", "x://notexample.org/es/", "http://org/", "http://a.org", "http://com/de/?q#f", "http://É.com/fr/://y"]
     df = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)], "page_id bigint, url string, host string")
