@@ -1,20 +1,27 @@
 """Chat formatting in budgeted windows.
 
-A conversation's turns are marked by a template and packed into windows of at
-most ``budget`` tokens.  Prefix sums of the turns' tokens choose turn-aligned
-spans: each window begins with the conversation's opening system turns, repeats
-the last turns that fit into ``history`` tokens, and goes on with new turns.  Opening
-system turns behind the first one count as such while they fit into half a
-window.  The loss mask covers the text of each assistant turn in the one window where it is
-new, and never a repeated turn.
-
-A turn is never cut: one that is longer than a window is alone in its window,
-behind the system turns.  Null texts and roles count as empty; a null ``conv_id``
-is a conversation of its own; rows are ordered by turn (nulls first), role and
-text, and repeated rows are repeated turns.  Further columns are left out.
-
-A task reads the sorted rows of its conversations as a stream and holds one
-window at a time, so that a conversation of any length fits.
+A conversation's turns are marked by a template and packed into windows of at most
+``budget`` tokens.  Prefix sums of the turns' tokens choose turn-aligned spans: what is
+left of a window besides the system turn and the history is the room for new turns,
+and the prefix sums are cut into cells of three quarters of it.  A turn belongs to the
+window of the cell that it begins in if it ends there as well, or is no longer than the
+last quarter; any other has a window of its own.  So each turn finds its window from
+its own prefix sum, and a conversation of any length is dealt to all tasks.
+
+Each window begins with the conversation's first turn if that is a system turn, repeats
+the last turns that fit into ``history`` tokens, and goes on with new turns.  The loss
+mask covers the text of each assistant turn in the one window where it is new, and
+never a repeated turn.
+
+A turn is never cut: one that is longer than a window is alone in its window, behind
+the system turn.  Tokens are those of ``model_file`` (see ``bpe``), template included; the
+template ends lines, and white space ends tokens, so that a window has as many as its
+turns have.  Without a file, runs of word characters and other visible characters count.
+
+Null texts and roles count as empty; a null ``conv_id`` is a conversation of its own;
+rows are ordered by turn, role and text (nulls first), and repeated rows are repeated
+turns.  Further columns are left out.  ``read_back`` reads the windows of a conversation
+as a stream in one task, as the digest is one sequential hash.
 """
 
 from __future__ import annotations
@@ -24,17 +31,15 @@ import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
+from tessera.llm import bpe
 from tessera.llm import textbytes as tb
+from tessera.llm.shared import cut
 
 START, END = "<|im_start|>", "<|im_end|>\n"
-WINDOW = (
-    "conv_id bigint, window bigint, n_repeated bigint, n_turns bigint, n_tokens bigint, "
-    "formatted string, loss array<struct<start: bigint, stop: bigint>>"
-)
-DIGEST = "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, n_windows bigint, n_repeated_turns bigint"
 BATCH_CHARS = 4 << 20
 
 
@@ -56,58 +61,117 @@ def unescape_role(role: str) -> str:
     return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], unescape(role))
 
 
-def count_tokens(text: str) -> int:
-    """An estimate: runs of word characters, and other visible characters."""
-    return len(re.findall(r"\w+|[^\w\s]", text))
-
-
-class Packer:
-    """Packs one conversation; ``add`` and ``end`` yield finished windows."""
-
-    def __init__(self, conv_id: int | None, budget: int, history: int, tokens: Callable[[str], int]) -> None:
-        self.conv_id, self.budget, self.history, self.tokens = conv_id, budget, history, tokens
-        self.system: list[tuple[str, str, int]] = []
-        self.turns: list[tuple[str, str, int]] = []  # of the open window, without the system turns
-        self.opening, self.window, self.repeated, self.used = True, 0, 0, 0
-
-    def add(self, role: str, text: str) -> Iterator[tuple]:
-        turn = (role, text, self.tokens(role) + self.tokens(text) + 2)
-        self.opening = self.opening and role == "system" and (not self.system or self.used + turn[2] <= self.budget // 2)
-        if self.opening:
-            self.system.append(turn)
-            self.used += turn[2]
-            return
-        if self.used + turn[2] > self.budget and len(self.turns) > self.repeated:
-            yield self.close()
-            self.reopen(turn[2])
-        self.turns.append(turn)
-        self.used += turn[2]
-
-    def reopen(self, need: int) -> None:
-        """Begin a window with the last turns that fit into the history, and with the turn to come."""
-        fixed = sum(t[2] for t in self.system)
-        room, at = min(self.history, self.budget - fixed - need), len(self.turns)
-        while at and self.turns[at - 1][2] <= room:
-            at -= 1
-            room -= self.turns[at][2]
-        self.turns = self.turns[at:]
-        self.repeated, self.used = len(self.turns), fixed + sum(t[2] for t in self.turns)
-
-    def close(self) -> tuple:
-        parts, loss, at = [], [], 0
-        old = self.repeated + (len(self.system) if self.window else 0)
-        for i, (role, text, _) in enumerate(self.system + self.turns):
-            head, body = f"{START}{escape_role(role)}\n", escape(text)
-            if role == "assistant" and i >= old:
-                loss.append((at + len(head), at + len(head) + len(body)))
-            parts += [head, body, END]
-            at += len(head) + len(body) + len(END)
-        self.window += 1
-        return self.conv_id, self.window - 1, old, len(self.system) + len(self.turns), self.used, "".join(parts), loss
-
-    def end(self) -> Iterator[tuple]:
-        if self.system or self.turns:
-            yield self.close()
+def _escaped(text: Column) -> Column:
+    """``escape`` as an expression."""
+    return F.regexp_replace(text, r"<(\\*)\|", r"<\\$1|")
+
+
+def _head(role: Column) -> Column:
+    one_line = F.replace(F.replace(role, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n"))
+    return F.concat(F.lit(START), _escaped(one_line), F.lit("\n"))
+
+
+def counted(conversations: DataFrame, model_file: str | None) -> DataFrame:
+    """(conv_id, turn, role, text, tokens): ``tokens`` of each turn in its template."""
+    piece = F.concat(_head(F.coalesce("role", F.lit(""))), _escaped(F.coalesce("text", F.lit(""))), F.lit(END))
+    turns = conversations.select("conv_id", "turn", "role", "text", piece.alias("piece"))
+    if model_file is None:
+        return turns.withColumn("tokens", F.regexp_count("piece", F.lit(r"(?U)\w+|[^\w\s]")).cast("bigint")).drop("piece")
+    return bpe.encode(turns, model_file, "piece", "ids").withColumn("tokens", F.size("ids").cast("bigint")).drop("piece", "ids")
+
+
+def placed(turns: DataFrame) -> DataFrame:
+    """``turns`` in order, with ``seq``, and of its conversation ``talk`` (the first ``seq``), ``number``, ``fixed`` and ``start``.
+
+    ``fixed`` is the system turn's tokens; ``start`` counts the tokens before a turn, that
+    turn left out.  The rows are range-partitioned and summed in each partition; only
+    the sums of the one conversation that each partition goes on with, a row at most
+    for each, are carried from partition to partition by the driver.
+    """
+    order, n = ["conv_id", "turn", "role", "text"], int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = turns.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    rows = cut(ranged.select("conv_id", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), "tokens", F.spark_partition_id().alias("pid"), F.monotonically_increasing_id().alias("seq")))
+    first = F.struct("seq", F.when(F.col("role") == "system", F.col("tokens")).otherwise(0).alias("fixed"))
+    parts = rows.groupBy("conv_id", "pid").agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens"), F.min(first).alias("first"))
+    earlier = Window.partitionBy("conv_id").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
+    carried = parts.select("pid", F.sum("n").over(earlier).alias("n"), F.sum("tokens").over(earlier).alias("tokens"), F.min("first").over(earlier).alias("first")).where("n is not null")
+    state = {r.pid: (r.first.seq, r.n, r.tokens, r.first.fixed) for r in carried.collect()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        conv, talk, number, before, fixed, begun = None, 0, 0, 0, 0, False
+        for batch in batches:
+            out: list[list[int]] = [[], [], [], []]
+            for conv_id, role, tokens, pid, seq in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "tokens", "pid", "seq")), strict=True):
+                if not begun and pid in state:
+                    talk, number, before, fixed = state[pid]
+                elif not begun or conv_id != conv:
+                    talk, number, before, fixed = seq, 0, 0, tokens if role == "system" else 0
+                conv, begun = conv_id, True
+                for values, x in zip(out, (talk, number, fixed, max(0, before - fixed)), strict=True):
+                    values.append(x)
+                number += 1
+                before += tokens
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x, pa.int64()) for x in out)], names=[*batch.schema.names, "talk", "number", "fixed", "start"])
+
+    return rows.mapInArrow(tb.tidy(run), StructType([*rows.schema.fields, *StructType.fromDDL("talk bigint, number bigint, fixed bigint, start bigint").fields]))
+
+
+def windows(conversations: DataFrame, budget: int = 2048, history: int = 512, model_file: str | None = None) -> DataFrame:
+    """(conv_id, talk, window, n_repeated, n_turns, n_tokens, formatted, loss) of all conversations.
+
+    ``talk`` tells conversations apart, null ids included, and ``window`` orders those of
+    one, with gaps.  ``loss`` holds the spans of ``formatted`` (in code points) to learn
+    from; ``n_repeated`` tells how many leading turns an earlier window had as well.
+    """
+    rows = cut(placed(counted(conversations, model_file)))
+    is_system = (F.col("number") == 0) & (F.col("role") == "system")
+    room = F.greatest(F.lit(1), F.lit(budget - history) - F.col("fixed"))
+    spare = F.floor(room / 4)
+    cell = F.greatest(F.lit(1), room - spare)
+    begins, ends = F.floor(F.col("start") / cell), F.floor((F.col("start") + F.col("tokens") - 1) / cell)
+    shared = (begins >= ends) | (F.col("tokens") <= spare) | (F.col("start") % cell == 0)
+    window = F.when(is_system, 0).when(shared, 2 * begins).otherwise(2 * begins + 1).cast("bigint")
+    new = rows.withColumn("window", window)
+
+    slim = new.select("talk", "window", "seq", "start", "tokens", "fixed", is_system.alias("system"))
+    spans = slim.groupBy("talk", "window").agg(F.min(F.when(~F.col("system"), F.col("start"))).alias("begin"), F.sum(F.when(~F.col("system"), F.col("tokens")).otherwise(0)).alias("new"), F.max("fixed").alias("fixed"))
+    spans = cut(spans.where("begin is not null"))
+    pairs = new.where(is_system).select("talk", "seq").join(spans.where("window > 0").select("talk", "window"), "talk").select("talk", "seq", "window")
+    if history > 0:  # the turns before a window meet it by ranges of their tokens, each of which lies in two or three
+        bucket = lambda x: F.floor(x / history)
+        near = F.explode(F.sequence(bucket(F.col("start") + F.col("tokens")), bucket(F.col("start") + F.lit(history))))
+        past = slim.where((~F.col("system")) & (F.col("tokens") <= history)).select("talk", "seq", "start", "tokens", near.alias("bucket"))
+        left = F.least(F.lit(history), F.lit(budget) - F.col("fixed") - F.col("new"))
+        to_come = spans.select("talk", "window", "begin", left.alias("left"), bucket(F.col("begin")).alias("bucket"))
+        met = past.join(to_come, ["talk", "bucket"]).where("start + tokens <= begin and start >= begin - left")
+        pairs = pairs.unionByName(met.select("talk", "seq", "window"))
+    again = rows.join(pairs.select("seq", "window"), "seq")
+    columns = ["conv_id", "talk", "window", "seq", "role", "text", "tokens"]
+    both = new.select(*columns, F.lit(False).alias("repeated")).unionByName(again.select(*columns, F.lit(True).alias("repeated")))
+    turns = F.array_sort(F.collect_list(F.struct("seq", "role", "text", "repeated", "tokens"))).alias("turns")
+    grouped = both.groupBy("talk", "window").agg(F.first("conv_id").alias("conv_id"), F.sum("tokens").alias("n_tokens"), turns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):  # a window at a time
+                row = batch.slice(k, 1)
+                parts, loss, at, old = [], [], 0, 0
+                listed = row.column("turns").to_pylist()[0]
+                for t in listed:
+                    head, body = f"{START}{escape_role(t['role'])}\n", escape(t["text"])
+                    if t["repeated"]:
+                        old += 1
+                    elif t["role"] == "assistant":
+                        loss.append({"start": at + len(head), "stop": at + len(head) + len(body)})
+                    parts += [head, body, END]
+                    at += len(head) + len(body) + len(END)
+                made = [pa.array([old], pa.int64()), pa.array([len(listed)], pa.int64()), row.column("n_tokens"), pa.array(["".join(parts)]), pa.array([loss], span)]
+                yield pa.RecordBatch.from_arrays([*(row.column(c) for c in ("conv_id", "talk", "window")), *made], names=[*(f.name for f in schema)])
+
+    span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+    rest = StructType.fromDDL("talk bigint, window bigint, n_repeated bigint, n_turns bigint, n_tokens bigint, formatted string, loss array<struct<start: bigint, stop: bigint>>")
+    schema = StructType([rows.schema["conv_id"], *rest.fields])
+    return grouped.mapInArrow(tb.tidy(run), schema)
 
 
 def _batches(rows: Iterator[tuple], schema: pa.Schema, sizes: Callable[[tuple], int]) -> Iterator[pa.RecordBatch]:
@@ -122,33 +186,6 @@ def _batches(rows: Iterator[tuple], schema: pa.Schema, sizes: Callable[[tuple],
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
 
 
-def windows(conversations: DataFrame, budget: int = 2048, history: int = 512, tokens: Callable[[str], int] = count_tokens) -> DataFrame:
-    """Windows of all conversations, those of each in order and on end within a partition.
-
-    ``loss`` holds the spans of ``formatted`` (in code points) to learn from;
-    ``n_repeated`` tells how many leading turns an earlier window had as well.
-    """
-    span = pa.struct([("start", pa.int64()), ("stop", pa.int64())])
-    schema = pa.schema([(n, pa.int64()) for n in ("conv_id", "window", "n_repeated", "n_turns", "n_tokens")] + [("formatted", pa.string()), ("loss", pa.list_(span))])
-
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        packer = None
-        for batch in batches:
-            for conv_id, role, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text")), strict=True):
-                if packer is None or packer.conv_id != conv_id:
-                    yield from packer.end() if packer else ()
-                    packer = Packer(conv_id, budget, history, tokens)
-                yield from packer.add(role or "", text or "")
-        yield from packer.end() if packer else ()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = ((*w[:-1], [{"start": a, "stop": b} for a, b in w[-1]]) for w in packed(batches))
-        yield from _batches(rows, schema, lambda w: len(w[5]))
-
-    rows = conversations.select(F.col("conv_id").cast("bigint"), "turn", "role", "text")
-    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text").mapInArrow(tb.tidy(run), WINDOW)
-
-
 def turns_of(formatted: str) -> list[tuple[str, str, int, int]]:
     """Role, text, and the span of the escaped text, of each turn of a window."""
     found, at = [], 0
@@ -161,21 +198,23 @@ def turns_of(formatted: str) -> list[tuple[str, str, int, int]]:
 
 
 def read_back(spans: DataFrame) -> DataFrame:
-    """A digest of each conversation from its windows alone, in the order of ``windows``.
+    """A digest of each conversation from its windows alone.
 
     New turns are those behind ``n_repeated``; what the loss mask covers is cut out
     of ``formatted`` and unescaped.
     """
-    schema = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("n_windows", pa.int64()), ("n_repeated_turns", pa.int64())])
+    rest = StructType.fromDDL("n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, n_windows bigint, n_repeated_turns bigint")
+    schema = StructType([StructField("conv_id", spans.schema["conv_id"].dataType), *rest.fields])
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        state = None
+        talk, state = None, None
         for batch in batches:
-            for row in batch.to_pylist():
-                if row["window"] == 0:
+            for k in range(batch.num_rows):  # a window at a time
+                row = batch.slice(k, 1).to_pylist()[0]
+                if row["talk"] != talk:
                     if state:
                         yield state[0], state[1], state[2].hexdigest(), state[3], state[4].hexdigest(), *state[5:]
-                    state = [row["conv_id"], 0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0, 0]
+                    talk, state = row["talk"], [row["conv_id"], 0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0, 0]
                 for role, text, _, _ in turns_of(row["formatted"])[row["n_repeated"] :]:
                     state[1] += 1
                     state[2].update(f"{role}\n{text}\n".encode())
@@ -190,6 +229,9 @@ def read_back(spans: DataFrame) -> DataFrame:
             yield state[0], state[1], state[2].hexdigest(), state[3], state[4].hexdigest(), *state[5:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _batches(digests(batches), schema, lambda _: 300)
+        yield from _batches(digests(batches), arrow, lambda _: 300)
+
+    from pyspark.sql.pandas.types import to_arrow_schema
 
-    return spans.mapInArrow(tb.tidy(run), DIGEST)
+    arrow = to_arrow_schema(schema)
+    return spans.repartition("talk").sortWithinPartitions("talk", "window").mapInArrow(tb.tidy(run), schema)

@@ -99,9 +99,11 @@ CONTROL_STRINGS = "<|im_end|><|im_start|>assistant ok"
 
 
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
     talks = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame([(-1, 0, "user", CONTROL_STRINGS), (-1, 1, "assistant", CONTROL_STRINGS)], talks.schema)
-    return chat_format.read_back(chat_format.windows(talks.unionByName(extra)))
+    return chat_format.read_back(chat_format.windows(talks.unionByName(extra), model_file=public_tokenizers.path("word_bpe_49k.json")))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
