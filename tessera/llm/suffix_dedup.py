@@ -8,27 +8,26 @@ GRAM-byte tokens (the last of equals) selects an anchor, so that equal strings h
 anchors at equal places; only suffixes at anchors are looked at, each standing for
 a run of neighbouring string starts that share it.
 
-1. Runs meet by the hash of their anchor, in fixed ranges of that hash.  Runs of
-   equal bytes are repeats, but for the first.  A first run whose anchor also occurs
-   in other surroundings is open.
-2. The suffixes at the anchors of open runs are range-partitioned by their leading
-   bytes, with splitters that Spark samples, and sorted in each bucket.  The longest
-   prefix that a suffix has in common with a neighbour bounds the strings of its run
-   that can occur elsewhere; ends of buckets count as having it all in common, so
-   that nothing is lost across boundaries.
-3. Those strings meet by hash as runs of one string; all but the first are repeats.
-
-Spark's external sort stands in for an in-memory multikey quicksort, so a bucket
-may be larger than memory.  Repeats within what a task gathers are taken out before
-the shuffles, which keeps strings that very many documents share small.  Strings are
-compared by two independent hashes, 122 bits in all, and rows of one id told apart by
-one of 64 bits of their texts.
-
-Ids of any ordered type: those that are no integers are numbered by a global sort.
+1. Culling.  Anchors meet by the hash of their token.  Suffixes at tokens that occur
+   once cannot be repeated and end here.
+2. The other suffixes are range-partitioned by their leading bytes, with splitters that
+   Spark samples, and sorted in each bucket.  Neighbours of equal bytes around are
+   one run: all but the first are repeats.  The longest prefix that a suffix has in
+   common with a neighbour bounds the strings of its run that can occur elsewhere; those
+   of one token are sorted by a multikey quicksort over words of eight bytes, and of
+   equal strings all but the first are repeats.
+3. Boundaries.  A token whose suffixes reach the end of a bucket, or are more than a task
+   sorts at once (``SORTED``), leaves the first of its strings undecided.  These are
+   range-partitioned and sorted once more, as strings, so that equal ones are neighbours.
+
+Hashes only cull; whatever is removed was compared byte by byte.  Equal runs that a task
+gathers become one before the shuffle, which keeps strings that very many documents
+share small.
 
 Null texts count as empty.  Null ids come first.  Rows of one id and text are at one
-place: neither is a repeat of the other.  Columns named like a result are replaced;
-others are carried along.
+place: neither is a repeat of the other.  Rows of one id are told apart by 64 bits of
+their texts' hashes.  Ids of any ordered type: those that are no integers are numbered by
+a global sort.  Columns named like a result are replaced; others are carried along.
 """
 
 from __future__ import annotations
@@ -37,6 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,14 +46,20 @@ from tessera.llm.shared import Carried, cut, quoted
 
 LENGTH, GRAM = 100, 40
 NO_ID = -(1 << 63)
-#: Runs that a task gathers before it hands them on, about 33 bytes each.
-HELD = 400_000
-#: Repeats in a packet of their own, at least.
-REPEATS = 4096
+#: Anchors that a task gathers before it hands them on, about 27 bytes each; bytes of runs that it gathers.
+HELD, GATHERED = 400_000, 8 << 20
+#: Known anchors in a packet of their own, at least.
+KNOWN = 4096
+#: Suffixes that a task sorts at once, and strings.
+SORTED, STRINGS = 1 << 14, 1 << 17
 #: Bits of a position in ``least_at``; the rest of 64 bits are of the hash.
 PLACE = 30
-RUN = np.dtype([("h", "<u8"), ("s", "<u8"), ("doc", "<u4"), ("tie", "<i8"), ("at", "<u4"), ("n", "u1")])
+RUN = np.dtype([("h", "<u8"), ("doc", "<u4"), ("tie", "<i8"), ("at", "<u4"), ("n", "u1"), ("anchor", "u1"), ("many", "u1")])
 RESULTS = "n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"
+PACKETS = "part bigint, base bigint, runs binary"
+SHARED = "doc bigint, tie bigint, at int, n int, anchor int"
+SUFFIXES = "decided boolean, doc bigint, tie bigint, at int, n int, anchor int, span binary"
+MARKS = "doc bigint, tie bigint, at int, n int, string binary"
 
 
 def least_at(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -69,50 +75,35 @@ def least_at(hashes: np.ndarray, width: int) -> np.ndarray:
     return (place - (least & place)).astype(np.int64)
 
 
-def hashers_of(seed: int) -> tuple[tb.Hasher, tb.Hasher]:
-    return tb.Hasher(seed), tb.Hasher(seed + 1)
-
-
-def runs_of(data: np.ndarray, offsets: np.ndarray, hashers: tuple[tb.Hasher, tb.Hasher]) -> tuple[np.ndarray, ...]:
-    """Runs of string starts with one anchor: anchor hash, hash of all bytes, text, start, starts, anchor."""
+def runs_of(data: np.ndarray, offsets: np.ndarray, hasher: tb.Hasher) -> tuple[np.ndarray, ...]:
+    """Runs of string starts with one anchor: hash of its token, text, start, starts, and the anchor's place behind the start."""
     starts = tb.windows(offsets, LENGTH)
     if not len(starts):
         none = np.zeros(0, np.int64)
-        return none.astype(tb.U64), none.astype(tb.U64), none, none, none, none
+        return none.astype(tb.U64), none, none, none, none
     at = np.arange(len(data) - GRAM + 1)
-    grams = hashers[0].spans(hashers[0].sums(data), at, at + GRAM)
+    grams = hasher.spans(hasher.sums(data), at, at + GRAM)
     anchor = least_at(grams, LENGTH - GRAM + 1)[starts]
     first = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (starts[1:] != starts[:-1] + 1)]))
     lo, n = starts[first], np.diff(np.append(first, len(starts)))
     text = np.searchsorted(offsets, lo, "right") - 1
-    whole = hashers[1].spans(hashers[1].sums(data), lo, lo + n - 1 + LENGTH)
-    return grams[anchor[first]], whole, text, lo - offsets[text], n, anchor[first] - offsets[text]
-
-
-def ranked(h: np.ndarray, s: np.ndarray, doc: np.ndarray, tie: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order by (h, s, position); in that order, which runs are the first of their bytes, and which are repeats."""
-    order = np.lexsort((at, tie, doc, s, h))
-    h, s, doc, tie, at = (x[order] for x in (h, s, doc, tie, at))
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (s[1:] != s[:-1])
-    head = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0)) if len(h) else np.zeros(0, np.int64)
-    return order, new, (doc != doc[head]) | (tie != tie[head]) | (at != at[head])
+    return grams[anchor[first]], text, lo - offsets[text], n, anchor[first] - lo
 
 
-def packed(h: np.ndarray, s: np.ndarray, doc: np.ndarray, tie: np.ndarray, at: np.ndarray, n: np.ndarray, parts: int) -> Iterator[tuple[int, int, bytes]]:
-    """(part, base, runs) of some runs: firsts by ranges of their hash, repeats among them dealt to negative parts."""
-    if not len(h):
-        return
-    order, new, again = ranked(h, s, doc, tie, at)
+def packed(h: np.ndarray, doc: np.ndarray, tie: np.ndarray, at: np.ndarray, n: np.ndarray, anchor: np.ndarray, parts: int) -> Iterator[tuple[int, int, bytes]]:
+    """(part, base, runs): one run of each token by ranges of its hash, the others, known to be shared, dealt to negative parts."""
+    order = np.argsort(h, kind="stable")
+    new = np.concatenate([[True], h[order[1:]] != h[order[:-1]]])
+    many = ~np.concatenate([new[1:], [True]])[new] if len(h) else new
     # mixed, as anchors have the least of many hashes
     part = ((tb.mix(h[order] + tb.BASE) >> tb.U64(32)) * tb.U64(parts) >> tb.U64(32)).astype(np.int64)
-    n_again = int(again.sum())
-    packets = min(parts, 1 + n_again // REPEATS)
-    part[again] = -1 - (np.arange(n_again) * packets // max(1, n_again) + int(h[0] % tb.U64(parts))) % parts
-    keep = new | again
-    order, part = order[keep], part[keep]
+    n_known = int((~new).sum())
+    packets = min(parts, 1 + n_known // KNOWN)
+    part[~new] = -1 - (np.arange(n_known) * packets // max(1, n_known) + int(h[0] % tb.U64(parts))) % parts
+    flag = np.ones(len(h), np.uint8)
+    flag[new] = many
     group = np.lexsort((doc[order], part))
-    order, part = order[group], part[group]
+    order, part, flag = order[group], part[group], flag[group]
     edges = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
     for a, b in zip(edges, edges[1:], strict=False):
         while a < b:  # ids further apart than 32 bits go on with another base
@@ -120,40 +111,51 @@ def packed(h: np.ndarray, s: np.ndarray, doc: np.ndarray, tie: np.ndarray, at: n
             above = doc[order[a:b]].astype(tb.U64) - low.astype(tb.U64)
             some = order[a : a + int(np.searchsorted(above, tb.U64(1 << 32)))]
             out = np.empty(len(some), RUN)
-            out["h"], out["s"], out["doc"], out["tie"], out["at"], out["n"] = h[some], s[some], above[: len(some)], tie[some], at[some], n[some]
+            for name, values in (("h", h), ("tie", tie), ("at", at), ("n", n), ("anchor", anchor)):
+                out[name] = values[some]
+            out["doc"], out["many"] = above[: len(some)], flag[a : a + len(some)]
             yield int(part[a]), int(low), out.tobytes()
             a += len(some)
 
 
-def _packets(rows: Iterator[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
-    parts = list(rows)
-    if parts:
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*parts, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["part", "base", "runs"])
+def first_pass(docs: DataFrame, parts: int, seed: int) -> DataFrame:
+    """Packets of the runs of all texts."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, held, size = tb.Hasher(seed), [], 0
 
-PACKETS = "part bigint, base bigint, runs binary"
-MARKS = "doc bigint, tie bigint, at int, n int, open boolean"
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal held, size
+            if size:
+                rows = list(packed(*map(np.concatenate, zip(*held, strict=True)), parts))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["part", "base", "runs"])
+            held, size = [], 0
+
+        for batch in tb.slices(batches, "text"):
+            h, text, at, n, anchor = runs_of(*tb.text_bytes(batch.column("text")), hasher)
+            held.append((h, np.asarray(batch.column("doc"))[text], np.asarray(batch.column("tie"))[text], at, n, anchor))
+            size += len(h)
+            if size >= HELD:
+                yield from flush()
+        yield from flush()
+
+    return docs.select("doc", "tie", "text").mapInArrow(tb.tidy(run), PACKETS)
 
 
-def meet(packets: DataFrame) -> DataFrame:
-    """(doc, tie, at, n, open): runs that are repeats, and open ones."""
+def shared_runs(packets: DataFrame) -> DataFrame:
+    """(doc, tie, at, n, anchor) of the runs whose token occurs in another place as well."""
 
     def met(part: int, bases: list[int], runs: list[bytes]) -> pa.RecordBatch:
         rows = np.frombuffer(b"".join(runs), RUN)
         doc = rows["doc"].astype(np.int64) + np.repeat(np.array(bases, np.int64), [len(r) // RUN.itemsize for r in runs])
-        if part < 0:
-            order, again, is_open = np.arange(len(rows)), np.ones(len(rows), bool), np.zeros(len(rows), bool)
-        else:
-            order, new, again = ranked(rows["h"], rows["s"], doc, rows["tie"], rows["at"])
-            heads = np.flatnonzero(new)
-            h = rows["h"][order[heads]]
-            same = h[1:] == h[:-1]
-            is_open = np.zeros(len(rows), bool)
-            is_open[heads] = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-        keep = again | is_open
-        one = order[keep]
-        columns = [pa.array(doc[one]), pa.array(rows["tie"][one]), pa.array(rows["at"][one].astype(np.int32)), pa.array(rows["n"][one].astype(np.int32)), pa.array((is_open & ~again)[keep])]
-        return pa.RecordBatch.from_arrays(columns, names=["doc", "tie", "at", "n", "open"])
+        keep = rows["many"] > 0
+        if part >= 0:
+            order = np.argsort(rows["h"], kind="stable")
+            same = rows["h"][order[1:]] == rows["h"][order[:-1]]
+            keep[order[1:][same]] = True
+            keep[order[:-1][same]] = True
+        columns = [pa.array(doc[keep]), pa.array(rows["tie"][keep]), *(pa.array(rows[c][keep].astype(np.int32)) for c in ("at", "n", "anchor"))]
+        return pa.RecordBatch.from_arrays(columns, names=["doc", "tie", "at", "n", "anchor"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, bases, runs = None, [], []
@@ -165,52 +167,84 @@ def meet(packets: DataFrame) -> DataFrame:
                     part, bases, runs = p, [], []
                 bases.append(base)
                 runs.append(some)
+                if p < 0:  # known ones meet nobody
+                    yield met(part, bases, runs)
+                    bases, runs = [], []
         if runs:
             yield met(part, bases, runs)
 
     n = int(packets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return packets.repartitionById(n, F.pmod("part", F.lit(n)).cast("int")).sortWithinPartitions("part").mapInArrow(tb.tidy(run), MARKS)
+    return packets.repartitionById(n, F.pmod("part", F.lit(n)).cast("int")).sortWithinPartitions("part").mapInArrow(tb.tidy(run), SHARED)
 
 
-def first_pass(docs: DataFrame, parts: int, seed: int) -> DataFrame:
-    """Packets of the runs of all texts."""
+def spans_array(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> pa.Array:
+    """Byte spans as a column."""
+    bounds = np.concatenate([[0], np.cumsum(size)])
+    place = np.arange(bounds[-1]) + np.repeat(begin - bounds[:-1], size)
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(bounds.astype(np.int32).tobytes()), pa.py_buffer(data[place].tobytes())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashers, held, size = hashers_of(seed), [], 0
-        for batch in tb.slices(batches, "text"):
-            h, s, text, at, n, _ = runs_of(*tb.text_bytes(batch.column("text")), hashers)
-            doc, tie = np.asarray(batch.column("doc"))[text], np.asarray(batch.column("tie"))[text]
-            held.append((h, s, doc, tie, at.astype(np.uint32), n.astype(np.uint8)))
-            size += len(h)
-            if size >= HELD:
-                yield from _packets(packed(*map(np.concatenate, zip(*held, strict=True)), parts))
-                held, size = [], 0
-        if held:
-            yield from _packets(packed(*map(np.concatenate, zip(*held, strict=True)), parts))
-
-    return docs.mapInArrow(tb.tidy(run), PACKETS)
 
+def suffixes_of(marked: DataFrame, seed: int) -> DataFrame:
+    """The suffixes at the anchors of shared runs, with their run's bytes.
 
-def open_suffixes(marked: DataFrame, seed: int) -> DataFrame:
-    """(doc, tie, at, anchor, span) of each open run: its bytes, and where in them the anchor is."""
+    Of equal runs that a task gathers the first one remains; the others are
+    ``decided``, and only lead their first bytes to be dealt by.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashers = hashers_of(seed)
+        hasher, held, size = tb.Hasher(seed), [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal held, size
+            if size:
+                data, doc, tie, at, n, anchor = map(np.concatenate, zip(*held, strict=True))
+                length = n - 1 + LENGTH
+                begin = np.cumsum(length) - length
+                number = tb.numbered(data, begin, begin + length, hasher)
+                order = np.lexsort((at, tie, doc, number))
+                head = np.maximum.accumulate(np.where(np.concatenate([[True], number[order[1:]] != number[order[:-1]]]), np.arange(len(order)), 0))
+                first = order[head]
+                again = np.zeros(len(order), bool)
+                again[order] = (doc[order] != doc[first]) | (tie[order] != tie[first]) | (at[order] != at[first])
+                spans = spans_array(data, np.where(again, begin + anchor, begin), np.where(again, 8, length))
+                yield pa.RecordBatch.from_arrays([pa.array(again), pa.array(doc), pa.array(tie), *(pa.array(x.astype(np.int32)) for x in (at, n, np.where(again, 0, anchor))), spans], names=["decided", "doc", "tie", "at", "n", "anchor", "span"])
+            held, size = [], 0
+
         for batch in tb.slices(batches, "text"):
             data, offsets = tb.text_bytes(batch.column("text"))
-            _, _, text, at, n, anchor = runs_of(data, offsets, hashers)
-            wanted = batch.column("opened")
-            size = np.asarray(pa.compute.list_value_length(wanted)).astype(np.int64)
-            of = np.repeat(np.arange(batch.num_rows), size)
-            keep = np.flatnonzero(np.isin(text * (1 << 32) + at, of * (1 << 32) + np.asarray(wanted.flatten()).astype(np.int64)))
-            begin, end = offsets[text[keep]] + at[keep], offsets[text[keep]] + at[keep] + n[keep] - 1 + LENGTH
-            bounds = np.concatenate([[0], np.cumsum(end - begin)])
-            place = np.arange(bounds[-1]) + np.repeat(begin - bounds[:-1], end - begin)
-            spans = pa.Array.from_buffers(pa.binary(), len(keep), [None, pa.py_buffer(bounds.astype(np.int32).tobytes()), pa.py_buffer(data[place].tobytes())])
-            columns = [batch.column("doc").take(pa.array(text[keep])), batch.column("tie").take(pa.array(text[keep])), pa.array(at[keep].astype(np.int32)), pa.array((anchor - at)[keep].astype(np.int32)), spans]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc", "tie", "at", "anchor", "span"])
-
-    return marked.select("doc", "tie", "text", "opened").mapInArrow(tb.tidy(run), "doc bigint, tie bigint, at int, anchor int, span binary")
+            marks = batch.column("marks")
+            of = np.repeat(np.arange(batch.num_rows), np.asarray(pc.list_value_length(marks)).astype(np.int64))
+            at, n, anchor = (np.asarray(c).astype(np.int64) for c in marks.flatten().flatten())
+            for lo in range(0, len(of), GATHERED // (2 * LENGTH)):
+                some = slice(lo, lo + GATHERED // (2 * LENGTH))
+                length = n[some] - 1 + LENGTH
+                ends = np.cumsum(length)
+                place = np.arange(ends[-1]) + np.repeat(offsets[of[some]] + at[some] - ends + length, length)
+                held.append((data[place], np.asarray(batch.column("doc"))[of[some]], np.asarray(batch.column("tie"))[of[some]], at[some], n[some], anchor[some]))
+                size += int(ends[-1])
+                if size >= GATHERED:
+                    yield from flush()
+        yield from flush()
+
+    # in order, so that a task that runs again gathers the same
+    return marked.select("doc", "tie", "text", "marks").sortWithinPartitions("doc", "tie").mapInArrow(tb.tidy(run), SUFFIXES)
+
+
+def multikey_quicksort(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (of eight-byte words) that have equals, in an order in which equals are on end, and the number of each one's group.
+
+    All rows are divided by their first word, and those that still have company by the next.
+    """
+    order, group = np.arange(len(words)), np.zeros(len(words), np.int64)
+    for column in words.T:
+        word = column[order]
+        sort = np.lexsort((word, group))
+        order, group, word = order[sort], group[sort], word[sort]
+        new = np.concatenate([[True], (group[1:] != group[:-1]) | (word[1:] != word[:-1])])[: len(order)]
+        group = np.cumsum(new) - 1
+        company = np.bincount(group)[group] > 1 if len(group) else new
+        order, group = order[company], group[company]
+    return order, group
 
 
 def _in_common(suffixes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -222,46 +256,134 @@ def _in_common(suffixes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def candidate_strings(suffixes: DataFrame, parts: int, seed: int) -> DataFrame:
-    """Packets of single strings of open runs: those inside what a suffix has in common with a neighbour."""
+def repeats_in(rows: pa.Table, first: bool, last: bool) -> Iterator[tuple]:
+    """(doc, tie, at, n, string) of the repeats among sorted suffixes; with a string, undecided ones.
+
+    ``first`` and ``last`` tell that suffixes before or behind these may have the token of
+    the first or last one.
+    """
+    doc, tie, at, n, anchor = (np.asarray(rows.column(c)).astype(np.int64) for c in ("doc", "tie", "at", "n", "anchor"))
+    data, begin = tb_bytes(rows.column("span"))
+    size = n - 1 + LENGTH
+    # equal runs are neighbours, the first one in front
+    same = np.concatenate([[False], (size[1:] == size[:-1]) & (anchor[1:] == anchor[:-1])])
+    pairs = np.flatnonzero(same)
+    same[pairs] = tb.same_bytes(data, begin[pairs], begin[pairs - 1], size[pairs])
+    head = np.maximum.accumulate(np.where(~same, np.arange(len(same)), 0))
+    again = (doc != doc[head]) | (tie != tie[head]) | (at != at[head])
+    yield doc[again], tie[again], at[again], n[again], None
+    keep = np.flatnonzero(~same)
+    doc, tie, at, anchor, begin, size = (x[keep] for x in (doc, tie, at, anchor, begin, size))
+    tail = size - anchor
+    cells = (begin + anchor)[:, None] + np.arange(LENGTH)
+    matrix = np.where(np.arange(LENGTH) < tail[:, None], data[np.minimum(cells, len(data) - 1)], 0)
+    before = _in_common(matrix, tail)
+    if not first:
+        before[0] = 0
+    common = np.maximum(before, np.append(before[1:], LENGTH if last else 0))
+    # a string that starts j bytes into the run reaches j + LENGTH - anchor bytes into the suffix
+    strings = np.clip(np.minimum(common - LENGTH + anchor, size - LENGTH) + 1, 0, None)
+    gram = matrix[:, :GRAM]
+    token = np.concatenate([[0], np.cumsum((gram[1:] != gram[:-1]).any(1))])
+    undecided = ((token == 0) & first) | ((token == token[-1]) & last)
+    ends, lo = np.cumsum(strings), 0
+    while lo < len(keep):  # whole tokens, as long as there is room
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + STRINGS, "right")))
+        split = np.zeros(len(keep), bool)
+        if hi < len(keep) and token[hi] == token[hi - 1]:
+            whole = int(np.searchsorted(token, token[hi]))
+            hi, split[:] = (whole, False) if whole > lo else (hi, token == token[hi])
+            if whole <= lo:
+                undecided |= split
+        row = np.repeat(np.arange(lo, hi), strings[lo:hi])
+        step = np.arange(len(row)) - np.repeat(np.cumsum(strings[lo:hi]) - strings[lo:hi], strings[lo:hi])
+        if len(row):
+            bytes_of = data[(begin[row] + step)[:, None] + np.arange(LENGTH)]
+            words = np.zeros((len(row), -(-LENGTH // 8) * 8), np.uint8)
+            words[:, :LENGTH] = bytes_of
+            order, group = multikey_quicksort(words.view(">u8").astype(np.uint64))
+            place = (doc[row], tie[row], at[row] + step)
+            order = order[np.lexsort((place[2][order], place[1][order], place[0][order], group))]
+            head = np.concatenate([[True], group[1:] != group[:-1]])[: len(order)]
+            lead = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))] if len(order) else order
+            later = np.any([p[order] != p[lead] for p in place], axis=0)
+            gone = order[later]
+            yield *(p[gone] for p in place), np.ones(len(gone), np.int64), None
+            open_ = undecided[row]
+            open_[order[~head]] = False
+            rest = np.flatnonzero(open_)
+            if len(rest):
+                yield *(p[rest] for p in place), np.ones(len(rest), np.int64), bytes_of[rest]
+        lo = hi
+
+
+def tb_bytes(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a column of binaries, and where each begins."""
+    column = column.combine_chunks()
+    column = column if isinstance(column, pa.Array) else column.chunk(0)
+    column = column.cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, column.offset * 8)
+    return np.frombuffer(column.buffers()[2], np.uint8, int(offsets[-1])), offsets[:-1]
+
+
+def _marks(found: tuple) -> pa.RecordBatch:
+    doc, tie, at, n, strings = found
+    column = pa.nulls(len(doc), pa.binary()) if strings is None else spans_array(strings.ravel(), np.arange(len(doc)) * LENGTH, np.full(len(doc), LENGTH))
+    return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(tie), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32)), column], names=["doc", "tie", "at", "n", "string"])
+
+
+def bucket_marks(suffixes: DataFrame) -> DataFrame:
+    """The repeats that buckets of sorted suffixes show, and strings that are undecided at their ends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashers, held = hashers_of(seed), None
+        held: list[pa.RecordBatch] = []
+        first = True  # the rows before may have the first one's token: those of another bucket, or ones that were sorted by themselves
+
+        def token(table: pa.Table, k: int) -> bytes:
+            span, anchor = table.column("span")[k].as_py(), table.column("anchor")[k].as_py()
+            return span[anchor : anchor + GRAM]
+
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1 << 14):
-                part = batch.slice(lo, 1 << 14)
-                rows = part.to_pydict()
-                joined = {k: [*(held[k] if held else []), *rows[k]] for k in rows}
-                yield from strings(hashers, joined, 1 if held else 0, last=False)
-                held = {k: v[-2:] for k, v in joined.items()}
-        if held:
-            yield from strings(hashers, held, len(held["doc"]) - 1, last=True)
-
-    def strings(hashers: tuple[tb.Hasher, tb.Hasher], rows: dict[str, list], skip: int, last: bool) -> Iterator[pa.RecordBatch]:
-        """Rows from ``skip`` on; the last of them waits for its successor unless it is the bucket's ``last``."""
-        anchor, at = np.array(rows["anchor"], np.int64), np.array(rows["at"], np.int64)
-        data = np.frombuffer(b"".join(rows["span"]), np.uint8)
-        size = np.array([len(x) for x in rows["span"]], np.int64)
-        begin = np.cumsum(size) - size
-        tail = size - anchor
-        cells = begin[:, None] + anchor[:, None] + np.arange(LENGTH)
-        matrix = np.where(np.arange(LENGTH) < tail[:, None], data[np.minimum(cells, len(data) - 1)], 0)
-        before = _in_common(matrix, tail)
-        common = np.maximum(before, np.append(before[1:], LENGTH))
-        use = np.arange(skip, len(at) if last else len(at) - 1)
-        # a string that starts j bytes into the run reaches j + LENGTH - anchor bytes into the suffix
-        n = np.clip(np.minimum(common - LENGTH + anchor, size - LENGTH) + 1, 0, None)[use]
-        row = np.repeat(use, n)
-        step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-        start = begin[row] + step
-        h, s = (x.spans(x.sums(data), start, start + LENGTH) for x in hashers)
-        doc, tie = np.array(rows["doc"], np.int64)[row], np.array(rows["tie"], np.int64)[row]
-        yield from _packets(packed(h, s, doc, tie, at[row] + step, np.ones(len(h), np.int64), parts))
+            decided = batch.filter(batch.column("decided"))
+            if decided.num_rows:
+                yield _marks((*(np.asarray(decided.column(c)).astype(np.int64) for c in ("doc", "tie", "at", "n")), None))
+            held.append(batch.filter(pc.invert(batch.column("decided"))))
+            if sum(b.num_rows for b in held) > SORTED:
+                rows = pa.Table.from_batches(held)
+                last, end = token(rows, rows.num_rows - 1), rows.num_rows
+                while end and token(rows, end - 1) == last:
+                    end -= 1
+                whole = end > 0
+                end = end or rows.num_rows  # one token fills it all
+                yield from map(_marks, repeats_in(rows.slice(0, end), first, not whole))
+                held, first = rows.slice(end).to_batches(), not whole
+        rows = pa.Table.from_batches(held) if held else None
+        if rows is not None and rows.num_rows:
+            yield from map(_marks, repeats_in(rows, first, True))
 
     suffix = F.expr("substring(span, anchor + 1)")
     count = int(suffixes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = suffixes.repartitionByRange(count, suffix, F.col("doc"), F.col("at")).sortWithinPartitions(suffix, "doc", "at")
-    return ordered.mapInArrow(tb.tidy(run), PACKETS)
+    order = [suffix, F.col("span"), F.col("doc"), F.col("tie"), F.col("at")]
+    return suffixes.repartitionByRange(count, *order).sortWithinPartitions(*order).mapInArrow(tb.tidy(run), MARKS)
+
+
+def boundary_marks(undecided: DataFrame) -> DataFrame:
+    """(doc, tie, at, n): all but the first of equal strings."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lead = None
+        for batch in batches:
+            keep = []
+            for row in zip(*(batch.column(c).to_pylist() for c in ("string", "doc", "tie", "at")), strict=True):
+                if lead is None or row[0] != lead[0]:
+                    lead = row
+                keep.append(row != lead)
+            yield batch.filter(pa.array(keep, pa.bool_())).select(["doc", "tie", "at", "n"])
+
+    order = ["string", "doc", "tie", "at"]
+    count = int(undecided.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_ = undecided.repartitionByRange(count, "string").sortWithinPartitions(*order)
+    return sorted_.mapInArrow(tb.tidy(run), "doc bigint, tie bigint, at int, n int")
 
 
 def _numbered(packed: DataFrame) -> DataFrame:
@@ -282,8 +404,8 @@ def removed(data: bytes, at: list[int], n: list[int]) -> tuple[int, int, bytes]:
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", parts: int | None = None) -> DataFrame:
     """``docs`` with ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept``, the remaining bytes.
 
-    A task holds one of ``parts`` ranges of hashes, about a byte in all for each byte
-    of text; by default there are four for each of spark.sql.shuffle.partitions.
+    A task of the culling holds one of ``parts`` ranges of hashes, about a byte in all for
+    each byte of text; by default there are four for each of spark.sql.shuffle.partitions.
     """
     parts = parts or 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     seed, key = tb.draw(), F.xxhash64("doc", "tie")
@@ -291,15 +413,12 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", parts: in
     own = _numbered(carried.pack(docs, id=quoted(doc_id), tie=F.xxhash64(quoted(text), F.lit(3)))).drop("id").withColumn("key", key)
     texts = own.select("doc", "tie", F.coalesce("text", F.lit("")).alias("text"), "key")
 
-    found = meet(first_pass(texts.drop("key"), parts, seed)).groupBy("doc", "tie")
-    runs = F.filter("marks", lambda m: ~m["open"])
-    marks = cut(found.agg(F.collect_list(F.struct("at", "n", "open")).alias("marks")).select("doc", "tie", runs.alias("runs"), F.transform(F.filter("marks", lambda m: m["open"]), lambda m: m["at"]).alias("opened")))
-    opened = marks.where(F.size("opened") > 0).select("doc", "tie", "opened", key.alias("key"))
-    thinned = bloom.tested(texts, opened.select("key"), "key", "hit").where("hit").drop("key", "hit")
-    suffixes = cut(open_suffixes(thinned.dropDuplicates(["doc", "tie"]).join(opened.drop("key"), ["doc", "tie"]), seed))
-    strings = meet(candidate_strings(suffixes, max(1, parts // 2), seed)).groupBy("doc", "tie").agg(F.collect_list("at").alias("strings"))
-    whole = marks.where(F.size("runs") > 0).select("doc", "tie", "runs")
-    spans = cut(whole.join(strings, ["doc", "tie"], "full").select("doc", "tie", "runs", "strings", key.alias("key")))
+    shared = cut(shared_runs(first_pass(texts, parts, seed)).groupBy("doc", "tie").agg(F.collect_list(F.struct("at", "n", "anchor")).alias("marks")).withColumn("key", key))
+    thinned = bloom.tested(texts, shared.select("key"), "key", "hit").where("hit").drop("key", "hit")
+    marked = thinned.join(shared.drop("key"), ["doc", "tie"]).dropDuplicates(["doc", "tie"])
+    marks = cut(bucket_marks(suffixes_of(marked, seed)))
+    found = marks.where("string is null").drop("string").unionByName(boundary_marks(marks.where("string is not null")))
+    spans = cut(found.groupBy("doc", "tie").agg(F.collect_list(F.struct("at", "n")).alias("runs")).withColumn("key", key))
 
     split = bloom.tested(own, spans.select("key"), "key", "hit")
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint")
@@ -309,11 +428,10 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", parts: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tb.slices(batches, "text"):
             rows = []
-            for value, some, single in zip(*(batch.column(c).to_pylist() for c in ("text", "runs", "strings")), strict=True):
-                at = [r["at"] for r in some or []] + (single or [])
+            for value, some in zip(batch.column("text").to_pylist(), batch.column("runs").to_pylist(), strict=True):
                 data = (value or "").encode()
-                rows.append((len(data), *removed(data, at, [r["n"] for r in some or []] + [1] * len(single or []))))
+                rows.append((len(data), *removed(data, [r["at"] for r in some or []], [r["n"] for r in some or []])))
             yield carried.batch(batch, [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)])
 
-    cleaned = carried.map(split.where("hit").join(spans.drop("key"), ["doc", "tie"], "left").select("row", "text", "runs", "strings"), run)
+    cleaned = carried.map(split.where("hit").join(spans.drop("key"), ["doc", "tie"], "left").select("row", "text", "runs"), run)
     return carried.unpack(whole_texts.unionByName(cleaned))

@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import pytest
+
 from tessera.llm import queries
 from tessera.llm import suffix_dedup as sd
 
@@ -61,3 +63,30 @@ def test_thousands_of_texts_under_one_null_id(spark):
 
 def test_empty_table(spark):
     assert sd.dedup(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+@pytest.mark.parametrize("rows_sorted,strings,gathered", [(2, 8, 300), (5, 60, 4000), (1 << 14, 1 << 17, 1 << 23)])
+def test_boundaries_of_buckets_and_of_what_is_sorted_at_once(spark, monkeypatch, rows_sorted, strings, gathered):
+    for name, value in (("SORTED", rows_sorted), ("STRINGS", strings), ("GATHERED", gathered), ("HELD", gathered // 10), ("KNOWN", 3)):
+        monkeypatch.setattr(sd, name, value)
+    random.seed(21)
+    word = lambda n: "".join(random.choice("abcde \n") for _ in range(n))
+    common, pieces = word(140), [word(random.randint(60, 240)) for _ in range(12)]
+    texts = [word(random.randint(0, 90)) + random.choice(pieces)[random.randint(0, 30) :] + word(random.randint(0, 30)) + random.choice([common, common[3:], ""]) + word(5) for _ in range(300)]
+    texts += [word(130) + common + word(3)] * 3 + ["ab" * 200, "x" * 260 + common, "\x00" * 130, "\x00" * 131 + "é" * 80]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string").repartition(5)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in sd.dedup(df).collect()}
+    assert got == dict(enumerate(brute(list(enumerate(texts)))))
+
+
+def test_text_ids_very_long_texts_and_columns_of_the_operator(spark):
+    random.seed(5)
+    word = lambda n: "".join(random.choice("abcdefgh ") for _ in range(n))
+    long = word(1_000_000)
+    rows = [("b10", long, "r"), ("a9", long[300_000:600_000] + word(50), "s"), (None, long[:5000], None), ("c", "short", "t")]
+    df = spark.createDataFrame([(i, t, x, 1, 2, True, "m", b"k") for i, t, x in rows], "doc_id string, text string, row string, doc int, tie int, Hit boolean, _block string, KEPT binary")
+    out = sd.dedup(df)
+    assert out.columns == ["doc_id", "text", "row", "doc", "tie", "Hit", "_block", "n_bytes", "n_removed", "n_spans", "kept"]
+    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or ""))
+    got = {(r.doc_id, r.row, r.doc, r._block): (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in out.collect()}
+    assert got == {(r[0], r[2], 1, "m"): b for r, b in zip(ordered, brute([(k, r[1]) for k, r in enumerate(ordered)]), strict=True)}
