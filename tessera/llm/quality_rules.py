@@ -100,7 +100,7 @@ def ledger(docs: DataFrame) -> DataFrame:
 
 def apply_policy(entries: DataFrame, policy: str) -> DataFrame:
     """Add ``kept``: no rule of the policy failed."""
-    return entries.withColumn("kept", F.col("failed").bitwiseAND(F.lit(mask(policy))) == 0)
+    return entries.drop("kept").withColumn("kept", F.col("failed").bitwiseAND(F.lit(mask(policy))) == 0)
 
 
 def ablate(entries: DataFrame, policy: str) -> DataFrame:
