@@ -47,7 +47,7 @@ from tessera.llm.shared import Carried, cut, quoted
 LENGTH, GRAM = 100, 40
 NO_ID = -(1 << 63)
 #: Anchors that a task gathers before it hands them on, about 27 bytes each; bytes of runs that it gathers.
-HELD, GATHERED = 400_000, 8 << 20
+HELD, GATHERED = 400_000, 2 << 20
 #: Known anchors in a packet of their own, at least.
 KNOWN = 4096
 #: Suffixes that a task sorts at once, and strings.
