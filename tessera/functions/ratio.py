@@ -25,23 +25,18 @@ def _all(instances: str, split: callable) -> Column:
     return F.flatten(F.transform(present, lambda s: split(F.coalesce(s, F.lit("")))))
 
 
-def _size_of(codes: str, value: str) -> Column:
-    return F.size(F.filter(codes, lambda c: c == value)).cast("bigint")
-
-
 def first_letter(df: DataFrame, instances: str = "instances", first: str = "first_language", second: str = "second_language") -> DataFrame:
     """Add ``lang1_word_count``, ``lang2_word_count``, ``unknown_words``, ``total_words``, both percentages and ``computed_ratio``.
 
     Without a word of either language the percentages are 0, the ratio is ``0% : 0%``
     and ``unknown_words`` and ``total_words`` are null.
     """
-    lo1, hi1 = scripts.range_of(F.col(first))
-    lo2, hi2 = scripts.range_of(F.col(second))
-    ranged = df.withColumns({"_lo1": lo1, "_hi1": hi1, "_lo2": lo2, "_hi2": hi2, "_letters": F.transform(_all(instances, text.words), text.first_letter)})
-    is_first, is_second = (lambda c: c.between(F.col("_lo1"), F.col("_hi1"))), (lambda c: c.between(F.col("_lo2"), F.col("_hi2")))
-    codes = F.transform("_letters", lambda c: F.when(is_first(c), "1").when(is_second(c), "2").otherwise("-"))
-    counted = ranged.withColumn("_codes", codes).withColumns({"lang1_word_count": _size_of("_codes", "1"), "lang2_word_count": _size_of("_codes", "2"), "unknown_words": _size_of("_codes", "-")})
-    return with_shares(counted.drop("_lo1", "_hi1", "_lo2", "_hi2", "_letters", "_codes"), first, second)
+    one, two = scripts.range_of(F.col(first)), scripts.range_of(F.col(second))
+    # three passes of a pattern over all sentences; the patterns of a language are compiled once
+    count = lambda pattern: F.regexp_count(text.whole(F.col(instances)), pattern).cast("bigint")
+    counted = df.withColumns({"lang1_word_count": count(scripts.words_led_by(*one)), "lang2_word_count": count(scripts.words_led_by(*two, but=one)), "unknown_words": text.count_words(F.col(instances))})
+    counted = counted.withColumn("unknown_words", F.col("unknown_words") - F.col("lang1_word_count") - F.col("lang2_word_count"))
+    return with_shares(counted, first, second)
 
 
 def with_shares(counted: DataFrame, first: str = "first_language", second: str = "second_language") -> DataFrame:
@@ -90,7 +85,7 @@ def script_majority(df: DataFrame, instances: str = "instances", first: str = "f
     size = lambda more: F.when(valid, F.size(F.filter("_votes", more))).otherwise(0).cast("bigint")
     counted = voted.withColumns({"matrix_count": size(lambda v: v["m"] > v["both"] - v["m"]), "embedded_count": size(lambda v: v["both"] - v["m"] > v["m"])}).drop("_votes")
     share, total = matrix_percent(F.col("matrix_count"), F.col("embedded_count")), F.col("matrix_count") + F.col("embedded_count")
-    notes = (
+    notes = (  # fixed values
         F.when((F.col("_m") == "unknown") | (F.col("_e") == "unknown"), "Unknown script mapping for one or both languages; deterministic ratio not computed.")
         .when(F.col("_m") == F.col("_e"), "Both languages share the same script; deterministic script-based ratio not possible.")
         .when(total == 0, "No identifiable script characters found for either language.")

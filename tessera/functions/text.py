@@ -6,7 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The 29 code points at which Python's str.split() splits.
-WHITE_SPACE = r"[\x09-\x0d\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+SPACES = r"\x09-\x0d\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+WHITE_SPACE = f"[{SPACES}]+"
 
 
 def words(text: Column) -> Column:
@@ -16,8 +17,12 @@ def words(text: Column) -> Column:
 
 def count_words(instances: Column) -> Column:
     """Words of all sentences, those without letters included; 0 for none or null."""
-    sizes = F.transform(F.coalesce(instances, F.array().cast("array<string>")), lambda s: F.size(words(F.coalesce(s, F.lit("")))))
-    return F.aggregate(sizes, F.lit(0), lambda a, b: a + b).cast("bigint")
+    return F.regexp_count(whole(instances), F.lit(f"[^{SPACES}]+")).cast("bigint")
+
+
+def whole(instances: Column) -> Column:
+    """All sentences as lines of one text; empty for none or null."""
+    return F.coalesce(F.array_join(instances, "\n"), F.lit(""))
 
 
 def word_characters(text: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text
 
+# Columns of a result that exports keep, and those of the preview further down.
 METADATA = ["topic", "tense", "perspective", "cs_ratio", "gender", "age", "education_level", "first_language", "second_language", "conversation_type", "cs_function", "cs_type", "score", "refine_count"]
 # The order of the columns of both exports.
 SENTENCE_ORDER = [
@@ -57,7 +58,12 @@ def scenarios(results: DataFrame) -> DataFrame:
     return reordered(results.withColumns(nested), SCENARIO_ORDER)
 
 
-def preview(exported: DataFrame, order: list[str], rows: int = 12) -> DataFrame:
-    """The first rows by ``order``, with a short text, notes on one line, and the score with two decimals."""
+def preview(exported: DataFrame, order: list[str], rows: int = 12, compat: bool = False) -> DataFrame:
+    """The first rows by ``order``, with a short text, notes on one line, and the score with two decimals.
+
+    With ``compat`` notes that are missing show as ``nan``.
+    """
     first = exported.orderBy(*order).limit(rows).select(*PREVIEW)
-    return first.withColumns({"text": text.shortened(F.col("text")), "cs_ratio_notes": text.one_line(F.col("cs_ratio_notes")), "cs_ratio_score": text.two_decimals(F.col("cs_ratio_score"))})
+    notes = F.col("cs_ratio_notes").cast("string")
+    notes = F.coalesce(notes, F.lit("nan")) if compat else notes
+    return first.withColumns({"text": text.shortened(F.col("text")), "cs_ratio_notes": text.one_line(notes), "cs_ratio_score": text.two_decimals(F.col("cs_ratio_score"))})

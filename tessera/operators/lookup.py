@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text
-from tessera.functions.scripts import SCRIPT_RANGES
+from tessera.functions.scripts import SCRIPT_RANGES, WORD_BEGINNING, character_class
+
+
+def read_news(spark: SparkSession, path: str) -> DataFrame:
+    """(topic, article) from JSON lines of news; blank lines give no row."""
+    return articles(spark.read.schema("topic string, title string, content string, type string").json(path))
 
 
 def articles(raw: DataFrame) -> DataFrame:
@@ -22,6 +27,13 @@ def pick_one(news: DataFrame, seed: str = "0") -> DataFrame:
     return news.groupBy("topic").agg(F.min_by("article", F.struct(order, F.col("article"))).alias("article"))
 
 
+def sample_one(news: DataFrame, seed: str = "0") -> DataFrame:
+    """One row of all, whatever its topic: the least by a seeded hash, found by aggregation."""
+    order = F.md5(F.concat_ws(":", F.lit(seed), F.col("topic"), F.col("article")).cast("binary"))
+    row = F.struct(*news.columns)
+    return news.agg(F.min_by(row, F.struct(order, F.col("topic"), F.col("article"))).alias("one")).where("one is not null").select("one.*")
+
+
 def with_news(scenarios: DataFrame, news: DataFrame) -> DataFrame:
     """Add ``article``: that of the scenario's topic, else an empty text.  ``news`` has one row for each topic."""
     return scenarios.join(news.select("topic", "article"), "topic", "left").withColumn("article", F.coalesce("article", F.lit("")))
@@ -30,21 +42,20 @@ def with_news(scenarios: DataFrame, news: DataFrame) -> DataFrame:
 def words_by_script(df: DataFrame, key: str, instances: str = "instances") -> DataFrame:
     """(key, script, n_words): words whose first letter is in a range of the script.
 
-    A join on ranges would test every word against every range; the few ranges are
-    a static list of each word instead, so only matches are made.
+    A join on ranges would test every word against every range; a script's ranges are
+    one pattern instead, counted over all sentences, so that a row for each script, not
+    for each word, is summed by key.
     """
-    words = df.select(key, F.explode(instances).alias("_line")).select(key, F.explode(text.words(F.col("_line"))).alias("_word"))
-    coded = words.withColumn("_code", text.first_letter(F.col("_word")))
-    of = F.array(*(F.when(_within("_code", ranges), F.lit(name)) for name, ranges in SCRIPT_RANGES.items()))
-    scripts = coded.select(key, F.explode(F.array_compact(of)).alias("script"))
-    return scripts.groupBy(key, "script").agg(F.count("*").alias("n_words"))
-
-
-def _within(code: str, ranges: list[tuple[int, int]]):
-    found = F.lit(False)
-    for lo, hi in ranges:
-        found = found | F.col(code).between(lo, hi)
-    return found
+    led_by = {name: F.lit(f"{WORD_BEGINNING}[{character_class(name)}&&\\p{{L}}]") for name in SCRIPT_RANGES}
+    counts = F.array(*(F.struct(F.lit(name).alias("script"), F.regexp_count(text.whole(F.col(instances)), p).cast("bigint").alias("n")) for name, p in led_by.items()))
+    scripts = df.select(key, F.inline(counts)).where("n > 0")
+    return scripts.groupBy(key, "script").agg(F.sum("n").alias("n_words"))
+
+
+def unseen(scenarios: DataFrame, seen: DataFrame) -> DataFrame:
+    """The first scenario of each topic that ``seen`` doesn't have: those that add a topic to the set."""
+    first = scenarios.groupBy("topic").agg(F.min("scenario_id").alias("scenario_id"))
+    return first.join(seen.select("topic").distinct(), "topic", "left_anti")
 
 
 def distinct_topics(df: DataFrame) -> DataFrame:

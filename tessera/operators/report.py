@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import ratio, scoring
+from tessera.sources.storage import stored
 
 
 def statistics(df: DataFrame, score: str = "ratio_score") -> DataFrame:
@@ -44,14 +45,54 @@ def by_sentence(counts: DataFrame, key: str) -> DataFrame:
 def progress(df: DataFrame, key: str, every: int = 200) -> DataFrame:
     """Rows at which a running count in order of ``key`` is divisible by ``every``, with that count.
 
-    Counts of ranges of the key come first, so that the only ordered pass over one
-    partition is over those ranges.
+    Rows are range-partitioned by the key; a row's number is its place in its partition
+    and the rows of those before, of which there is one sum for each partition.
     """
-    from pyspark.sql import Window
-
-    width = 1 << 16
-    ranged = df.select(key, F.floor(F.col(key) / width).alias("_range"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = ranged.groupBy("_range").agg(F.count("*").alias("_n")).withColumn("_before", before)
-    number = F.row_number().over(Window.partitionBy("_range").orderBy(key)) + F.col("_before")
-    return ranged.join(offsets, "_range").select(key, number.alias("n_done")).where(F.col("n_done") % every == 0)
+    placed = stored(df.select(key).repartitionByRange(key).sortWithinPartitions(key).withColumn("_place", F.monotonically_increasing_id()), "placed")
+    part = F.shiftrightunsigned("_place", 33)
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("_part", before.alias("_before"))  # a row for each partition at most
+    number = F.col("_place").bitwiseAND(F.lit((1 << 33) - 1)) + 1 + F.col("_before")
+    return placed.withColumn("_part", part).join(F.broadcast(offsets), "_part").select(key, number.alias("n_done")).where(F.col("n_done") % every == 0)
+
+
+def deviation(df: DataFrame, actual: str = "lang2_percent", target: str = "cs_ratio") -> DataFrame:
+    """Add ``deviation``: the actual percentage less the target; null for an unreadable target."""
+    return df.withColumn("deviation", F.col(actual) - scoring.target_percent(F.col(target)))
+
+
+def _number(x: Column) -> Column:
+    """A number as text, whole ones without decimals."""
+    return F.regexp_replace(x.cast("string"), r"\.0$", "")
+
+
+def lines(df: DataFrame, key: str, basis: str, computed: str = "computed_ratio", target: str = "cs_ratio", score: str = "ratio_score", matrix_first: bool = True) -> DataFrame:
+    """(part, key, line): a report's lines in order of ``part`` and the key.
+
+    Number of rows, columns, number of mismatches by ``basis``, each mismatch, and
+    statistics of the score.
+    """
+    judged = mismatches(df, basis, computed, target, matrix_first)
+    kind = judged.schema[key].dataType
+    totals = judged.agg(F.count("*").alias("rows"), F.count_if("mismatch").alias("off"), F.count(score).alias("n"), F.min(score).alias("least"), F.max(score).alias("most"), F.avg(score).alias("mean"))
+    columns = ", ".join(df.columns)
+    head = lambda part, *texts: F.struct(F.lit(part).alias("part"), F.concat(*texts).alias("line"))
+    stats = (F.lit(f"{score} stats: count="), F.col("n").cast("string"), F.lit(" min="), _number(F.col("least")), F.lit(" max="), _number(F.col("most")), F.lit(" mean="), _number(F.col("mean")))
+    heads = F.array(
+        head(0, F.lit("rows: "), F.col("rows").cast("string")),
+        head(1, F.lit(f"columns: {columns}")),
+        head(2, F.lit("mismatch_count: "), F.col("off").cast("string")),
+        head(3, F.lit("sample_mismatches:")),
+        head(5, *stats),
+    )
+    each = judged.where("mismatch").select(F.lit(4).alias("part"), F.col(key).alias("key"), F.concat(F.lit("- row "), F.col(key).cast("string"), F.lit(f": {target}="), F.coalesce(F.col(target), F.lit("None")), F.lit(f" {computed}="), F.coalesce(F.col(computed), F.lit("None")), F.lit(f" {score}="), F.coalesce(_number(F.col(score)), F.lit("None"))).alias("line"))
+    return totals.select(F.inline(heads)).select("part", F.lit(None).cast(kind).alias("key"), "line").unionByName(each)
+
+
+def sentence_lines(counts: DataFrame, key: str) -> DataFrame:
+    """(key, sentence, line): a line for each key (``sentence`` null) and for each of its sentences, numbered from 1."""
+    shown = F.coalesce(ratio.matrix_percent(F.col("matrix"), F.col("embedded")).cast("string"), F.lit("N/A"))
+    each = counts.select(key, "sentence", F.concat(F.lit("  sentence "), (F.col("sentence") + 1).cast("string"), F.lit(": matrix_pct="), shown, F.lit(" words="), "matrix", F.lit("/"), "embedded").alias("line"))
+    heads = counts.select(key).distinct().select(key, F.lit(None).cast("int").alias("sentence"), F.concat(F.lit("row "), F.col(key).cast("string"), F.lit(":")).alias("line"))
+    return heads.unionByName(each)

@@ -50,7 +50,7 @@ def product(spark: SparkSession, config: Mapping) -> DataFrame:
     columns: dict[str, Column] = {}
     for name, values in lists.items():
         stride //= max(1, len(values))
-        digit = (F.col("scenario_id") / F.lit(max(1, stride))).cast("bigint") % F.lit(max(1, len(values)))
+        digit = F.expr(f"scenario_id div {max(1, stride)}L") % F.lit(max(1, len(values)))
         columns[name] = F.get(F.array(*map(F.lit, values)), digit.cast("int")) if values else F.lit(None).cast("string")
     constant = {"use_tools": F.lit(bool(config["use_tools"])), "first_language": F.lit(languages["first_language"]), "second_language": F.lit(languages["second_language"])}
     return rows.withColumns(columns | constant)
@@ -65,6 +65,13 @@ def cross_product(spark: SparkSession, lists: Mapping[str, list[str]]) -> DataFr
     return out
 
 
+def first_of(df: DataFrame, key: str = "scenario_id") -> DataFrame:
+    """The scenario of the least number; an error if there is none."""
+    if df.isEmpty():
+        raise ValueError("no scenarios")
+    return df.orderBy(key).limit(1)
+
+
 def shuffled(df: DataFrame, key: str = "scenario_id", seed: str = "0") -> Column:
     """Order of a shuffle that depends on the seed and key alone."""
     return F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string")).cast("binary"))

@@ -3,11 +3,25 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions import scoring, text
+from tessera.plans import prompts
+
+# Fields of typed replies.  Those whose JSON type varies are raw text.
+GENERATION_REPLY = "instances string"
+FLUENCY_REPLY = "fluency_score double, errors string, summary string"
+NATURALNESS_REPLY = "naturalness_score double, observations string, summary string"
+CS_RATIO_REPLY = "ratio_score double, computed_ratio string, notes string"
+SOCIAL_CULTURAL_REPLY = "socio_cultural_score double, issues string, summary string"
+
+#: Adds a column of replies: (rows, prompt, name of the column).
+Ask = Callable[[DataFrame, Column, str], DataFrame]
+
 
 def rendered(template: str, names: list[str]) -> Column:
     """A template with ``{name}`` filled in from columns; nulls fill in nothing."""
@@ -26,12 +40,18 @@ def replay(df: DataFrame, replies: DataFrame, prompt: Column, reply: str) -> Dat
     return df.withColumn("prompt_sha256", F.sha2(prompt, 256)).join(recorded, "prompt_sha256", "left").drop("prompt_sha256")
 
 
-def call(df: DataFrame, prompt: Column, function: Callable[[str], list[str]], reply: str = "instances", retries: int = 4) -> DataFrame:
-    """Add list ``reply`` by calling a function for each row, again while it gives nothing, at most ``retries`` times more.
+def replayed(replies: DataFrame) -> Ask:
+    return lambda df, prompt, reply: replay(df, replies, prompt, reply)
+
+
+def call(df: DataFrame, prompt: Column, function: Callable[[str], list[str] | str], reply: str = "instances", retries: int = 4, kind: str = "array<string>") -> DataFrame:
+    """Add ``reply`` by calling a function for each row, again while it gives nothing, at most ``retries`` times more.
 
     Write the result before it is used twice: tasks may be repeated, and so may calls.
     """
     asked = df.withColumn("_prompt", prompt)
+    arrow = pa.list_(pa.string()) if kind == "array<string>" else pa.string()
+    nothing = [] if kind == "array<string>" else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -40,9 +60,63 @@ def call(df: DataFrame, prompt: Column, function: Callable[[str], list[str]], re
                 for _ in range(1 + retries):
                     if answer := function(text):
                         break
-                answers.append(answer or [])
+                answers.append(answer or nothing)
             names = [n for n in batch.schema.names if n != "_prompt"]
-            yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + [pa.array(answers, pa.list_(pa.string()))], names=[*names, reply])
+            yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + [pa.array(answers, arrow)], names=[*names, reply])
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields] + [f"`{reply}` array<string>"])
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields] + [f"`{reply}` {kind}"])
     return asked.mapInArrow(run, schema)
+
+
+def called(function: Callable[[str], str], retries: int = 4) -> Ask:
+    return lambda df, prompt, reply: call(df, prompt, function, reply, retries, "string")
+
+
+def parsed(reply: Column, fields: str) -> Column:
+    """A typed reply from its JSON text; null fields where it has none, null for null or unreadable text."""
+    return F.when(F.try_parse_json(reply).isNotNull() & F.ltrim(reply).startswith("{"), F.from_json(reply, f"struct<{fields}>"))
+
+
+@dataclass(frozen=True)
+class Evaluator:
+    """Asks about each row by a template, and adds the typed reply as column ``result``."""
+
+    result: str
+    template: str
+    fields: str
+    ask: Ask
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        reply = f"_{self.result}_reply"
+        asked = self.ask(df, rendered(self.template, df.columns), reply)
+        return asked.withColumn(self.result, parsed(F.col(reply), self.fields)).drop(reply)
+
+
+@dataclass(frozen=True)
+class Generator:
+    """Asks for sentences, or better ones with the refiner's template, and adds them as ``instances``."""
+
+    ask: Ask
+    template: str = prompts.GENERATION
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        asked = self.ask(df, rendered(self.template, df.columns), "_instances_reply")
+        return asked.withColumn("instances", text.sentences(parsed(F.col("_instances_reply"), GENERATION_REPLY)["instances"])).drop("_instances_reply")
+
+
+def standard(ask: Ask) -> dict[str, Evaluator]:
+    """The four evaluators by result."""
+    made = {
+        "fluency_result": (prompts.FLUENCY, FLUENCY_REPLY),
+        "naturalness_result": (prompts.NATURALNESS, NATURALNESS_REPLY),
+        "cs_ratio_result": (prompts.CS_RATIO, CS_RATIO_REPLY),
+        "social_cultural_result": (prompts.SOCIAL_CULTURAL, SOCIAL_CULTURAL_REPLY),
+    }
+    return {result: Evaluator(result, template, fields, ask) for result, (template, fields) in made.items()}
+
+
+def ratio_context(df: DataFrame, percent: str = "lang2_percent", target: str = "cs_ratio") -> DataFrame:
+    """Add what the ratio's prompt names: ``actual_percent``, ``target_second_percent`` and its complement; an unreadable target counts as 0."""
+    goal = F.coalesce(scoring.target_percent(F.col(target)), F.lit(0.0))
+    shown = {"actual_percent": F.col(percent), "target_second_percent": goal, "target_first_percent": 100.0 - goal}
+    return df.withColumns({name: F.concat(text.one_decimal(x), F.lit("%")) for name, x in shown.items()})

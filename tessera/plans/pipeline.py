@@ -13,25 +13,38 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import ratio, scoring, text
+from tessera.plans import agents
 from tessera.plans import tools as registry
 
 Stage = Callable[[DataFrame], DataFrame]
 
 
-def with_ratio(df: DataFrame, method: str = "first_letter", notes: str | None = None) -> DataFrame:
-    """Add ``cs_ratio_result``: score, ratio text and notes, which a column of an evaluator's notes may extend.
+def with_ratio(df: DataFrame, method: str = "first_letter", notes: str | None = None, ask: Stage | None = None) -> DataFrame:
+    """Add ``cs_ratio_result``: score, ratio text and notes.
 
-    With ``evaluator`` the struct is already there and stays.
+    ``ask`` is an evaluator that adds a ``cs_ratio_result`` of its own to measured rows.
+    With ``first_letter`` only its notes count, else those of column ``notes``; with
+    ``script_majority`` its score and notes do, but it isn't asked where the ratio is
+    ``N/A``.  With ``evaluator`` the struct is already there and stays, or ``ask`` adds it.
     """
     if method == "evaluator":
-        return df
+        return df if ask is None else ask(df)
     if method == "script_majority":
         measured = ratio.script_majority(df)
-        return measured.withColumn("cs_ratio_result", F.struct("ratio_score", "computed_ratio", "notes")).drop("ratio_score", "computed_ratio", "notes", "matrix_count", "embedded_count")
+        own = ["ratio_score", "computed_ratio", "notes", "matrix_count", "embedded_count"]
+        if ask is None:
+            return measured.withColumn("cs_ratio_result", F.struct("ratio_score", "computed_ratio", "notes")).drop(*own)
+        valid = F.col("computed_ratio") != "N/A"
+        asked = ask(measured.where(valid)).withColumn("cs_ratio_result", F.struct(F.col("cs_ratio_result.ratio_score").alias("ratio_score"), "computed_ratio", F.col("cs_ratio_result.notes").alias("notes")))
+        rest = measured.where(~valid).withColumn("cs_ratio_result", F.struct("ratio_score", "computed_ratio", "notes"))
+        return asked.drop(*own).unionByName(rest.drop(*own))
     if method != "first_letter":
         raise ValueError(f"unknown method {method!r}")
     own = ["lang1_word_count", "lang2_word_count", "unknown_words", "lang1_percent", "lang2_percent", "total_words", "computed_ratio", "details"]
     measured = ratio.first_letter(df)
+    if ask is not None:
+        measured = ask(agents.ratio_context(measured)).withColumn("_said", F.col("cs_ratio_result.notes")).drop("cs_ratio_result")
+        notes, own = "_said", [*own, "_said", "actual_percent", "target_second_percent", "target_first_percent"]
     fallback = F.concat(F.lit("Target: "), F.coalesce("cs_ratio", F.lit("")), F.lit(", Actual: "), text.one_decimal(F.col("lang2_percent")), F.lit("%. "), F.col("details"))
     said = F.coalesce(F.col(notes), fallback) if notes else fallback
     score = scoring.linear_score(F.col("lang2_percent"), F.col("cs_ratio"))
@@ -61,18 +74,20 @@ def run(
     tools: bool = False,
     weights: dict[str, float] = scoring.WEIGHTS,
     max_refine: int = 1,
+    notes: str | None = None,
+    ask_ratio: Stage | None = None,
 ) -> DataFrame:
     """Accepted rows with ``score``, ``summary`` and ``refine_count``.
 
     ``generate`` adds ``instances``; ``evaluate`` adds ``fluency_result``,
     ``naturalness_result`` and ``social_cultural_result``, all in the same row, so that
-    four evaluations need no join.
+    four evaluations need no join.  ``notes`` and ``ask_ratio`` go to ``with_ratio``.
     """
     if refine_mode not in ("as_coded", "reevaluate"):
         raise ValueError(f"unknown refine_mode {refine_mode!r}")
 
     def judged(df: DataFrame) -> DataFrame:
-        return scored(with_ratio(evaluate(df), method), weights)
+        return scored(with_ratio(evaluate(df), method, notes, ask_ratio), weights)
 
     rows = judged(generate(scenarios)).withColumn("refine_count", F.lit(0))
     decided = rows.withColumn("_decision", scoring.decision(F.col("score"), F.col("refine_count"), max_refine=max_refine))

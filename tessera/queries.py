@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tessera.functions import ratio, scoring, text
 from tessera.functions.scripts import SCRIPT_RANGES
 from tessera.operators import export, lookup, report, scenarios
-from tessera.plans import agents, pipeline, tools
+from tessera.plans import agents, pipeline, prompts, tools
 from tessera.sources import results
 from tessera.streaming import accept
 
@@ -45,14 +45,8 @@ def mixed(line: Column) -> Column:
     return F.array_join(F.transform(F.split(line, " "), word), " ")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows dealt to all cores where the scan has fewer tasks, as one of a small file has; else as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def fixture(spark: SparkSession, sf_dir: str, first: str = "Arabic", second: str = "English") -> DataFrame:
-    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     score = lambda k: (F.col("doc_id") * k % 21) / F.lit(2.0)
     return docs.select(
         F.col("doc_id").alias("scenario_id"),
@@ -116,17 +110,14 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("scenario_id", "topic", "cs_ratio", "lang1_word_count", "lang2_word_count", "computed_ratio", F.round("ratio_score", 6).alias("ratio_score"), F.round("score", 6).alias("score"), "decision")
 
 
-def _states(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """Accepted results in the shape that sinks and exports take: ``whole``, with all lines of every document."""
+def _states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accepted results in the shape that sinks and exports take, with all lines of every document."""
     rows = finished(spark, sf_dir)
-    errors = F.when(F.col("scenario_id") % 3 == 0, F.to_json(F.slice("instances", 1, 2))).when(F.col("scenario_id") % 3 == 1, F.to_json(F.create_map(F.lit("sentence_1"), F.col("topic"), F.lit("sentence_2"), F.lit("x"))))
-    kept = F.when(F.col("scenario_id") % 5 == 0, F.array().cast("array<string>")).otherwise(F.slice("instances", 1, 3))
-    if whole:
-        errors, kept = F.to_json(F.array("topic", "cs_ratio")), F.col("instances")
+    errors = F.to_json(F.array("topic", "cs_ratio"))
     return rows.select(
         "scenario_id", "topic", "cs_ratio", "first_language", "second_language", F.round("score", 6).alias("score"),
         F.when(F.col("score") < 8, 3).otherwise(0).alias("refine_count"),
-        kept.alias("instances"),
+        "instances",
         F.struct("fluency_score", errors.alias("errors"), F.lit("fluent").alias("summary")).alias("fluency_result"),
         F.struct("naturalness_score", F.lit("{}").alias("observations"), F.lit("natural").alias("summary")).alias("naturalness_result"),
         F.struct(F.round("ratio_score", 6).alias("ratio_score"), "computed_ratio", F.concat(F.lit(" Target:\n"), "cs_ratio").alias("notes")).alias("cs_ratio_result"),
@@ -135,12 +126,6 @@ def _states(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
 
 
 STATES_SQL = f"""{MEASURED}, states AS (
-  SELECT *, CASE WHEN score < 8 THEN 3 ELSE 0 END AS refine_count,
-    CASE WHEN scenario_id % 5 = 0 THEN [] ELSE instances[1:3] END AS kept,
-    CASE scenario_id % 3 WHEN 0 THEN array_to_string(instances[1:2], '; ') WHEN 1 THEN 'sentence_1; sentence_2' ELSE '' END AS fluency_errors
-  FROM finished
-)"""
-WHOLE_STATES_SQL = f"""{MEASURED}, states AS (
   SELECT *, CASE WHEN score < 8 THEN 3 ELSE 0 END AS refine_count, instances AS kept, topic || '; ' || cs_ratio AS fluency_errors FROM finished
 )"""
 
@@ -162,11 +147,6 @@ def product_sql() -> str:
 
 
 def q_scenario_cross_product(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lists = {k: v for k, v in scenarios.lists_of(CONFIG).items() if k in ("topic", "tense", "age")}
-    return scenarios.cross_product(spark, lists).groupBy("topic", "tense").agg(F.count("age").alias("n_ages"))
-
-
-def q_scenario_cross_product_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scenarios.cross_product(spark, scenarios.lists_of(CONFIG))
 
 
@@ -296,8 +276,8 @@ def q_strict_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- sinks, exports and reports ---
 
 
-def q_accept_sink_roundtrip(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    rows = _states(spark, sf_dir, whole).select("scenario_id", "topic", F.when(F.col("scenario_id") % 2 == 0, "Arabic").otherwise("English").alias("first_language"), "score", "refine_count", "instances", F.lit(True).alias("use_tools"))
+def q_accept_sink_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _states(spark, sf_dir).select("scenario_id", "topic", F.when(F.col("scenario_id") % 2 == 0, "Arabic").otherwise("English").alias("first_language"), "score", "refine_count", "instances", F.lit(True).alias("use_tools"))
     path = results.folder(spark, "accepted")
     results.accept(rows.where("scenario_id % 2 = 0"), path)
     results.accept(rows.where("scenario_id % 2 = 1"), path)
@@ -305,56 +285,68 @@ def q_accept_sink_roundtrip(spark: SparkSession, sf_dir: str, whole: bool = Fals
     return back.select("scenario_id", "topic", "first_language", "score", "refine_count", F.array_join("instances", "|").alias("sentences"))
 
 
-def q_accept_sink_roundtrip_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return q_accept_sink_roundtrip(spark, sf_dir, whole=True)
-
-
-def q_stream_accept(spark: SparkSession, sf_dir: str) -> DataFrame:
-    source, sink = results.folder(spark, "scored"), results.folder(spark, "streamed")
+def _streamed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    source, sink, refine = results.folder(spark, "scored"), results.folder(spark, "streamed"), results.folder(spark, "to-refine")
     rows = _states(spark, sf_dir).select("scenario_id", "first_language", "score", (F.col("scenario_id") % 2).cast("int").alias("refine_count"))
     rows.repartition(4).write.json(source)
     schema = "scenario_id bigint, first_language string, score double, refine_count int"
-    accept.accept_stream(spark, source, schema, sink, results.folder(spark, "progress"), files_per_batch=2)
-    return accept.accepted(spark, sink, schema)
+    accept.accept_stream(spark, source, schema, sink, results.folder(spark, "progress"), files_per_batch=2, refine_sink=refine)
+    return accept.accepted(spark, sink, schema), accept.accepted(spark, refine, schema)
 
 
-def q_export_sentences(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return export.sentences(_states(spark, sf_dir, whole)).select("topic", "text", "score", "fluency_score", "cs_ratio_score", "fluency_errors", "naturalness_observations", "socio_cultural_issues", "cs_ratio_computed", "cs_ratio", "refine_count", "sentence_index", "socio_cultural_summary", "first_language", "tense")
+def q_stream_accept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _streamed(spark, sf_dir)[0]
 
 
-def q_export_sentences_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return q_export_sentences(spark, sf_dir, whole=True)
+def q_stream_refine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _streamed(spark, sf_dir)[1]
 
 
-def q_export_scenarios(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return export.scenarios(_states(spark, sf_dir, whole)).select("scenario_id", "topic", "score", "cs_ratio", "first_language", "refine_count", "instances")
+def q_refine_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _states(spark, sf_dir).select("scenario_id", "refine_count")
+    return accept.refine_counts(rows.unionByName(rows))
 
 
-def q_export_scenarios_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return q_export_scenarios(spark, sf_dir, whole=True)
+def q_export_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return export.sentences(_states(spark, sf_dir)).select(*EXPORTED)
 
 
-def q_join_any(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = fixture(spark, sf_dir)
-    head = F.slice(text.words(F.element_at("instances", 1)), 1, 3)
-    raw = F.when(F.col("scenario_id") % 4 == 0, F.to_json(head)).when(F.col("scenario_id") % 4 == 1, '{"a":1,"b":[2]}').when(F.col("scenario_id") % 4 == 2, F.col("topic"))
-    return docs.select("scenario_id", text.listed(raw).alias("plain"), text.listed(raw, compat=True).alias("compat"))
+EXPORTED = ["topic", "text", "score", "fluency_score", "cs_ratio_score", "fluency_errors", "naturalness_observations", "socio_cultural_issues", "cs_ratio_computed", "cs_ratio", "refine_count", "sentence_index", "socio_cultural_summary", "first_language", "tense"]
 
 
-def q_join_any_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def q_export_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return export.scenarios(_states(spark, sf_dir)).select("scenario_id", "topic", "score", "cs_ratio", "first_language", "refine_count", "instances")
+
+
+def q_results_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON lines whose values vary in type, with blank lines between them, read and exported: sentences as a list or as one text, errors as a list, an object or a text."""
+    rows, path = _states(spark, sf_dir), results.folder(spark, "results")
+    errors = F.col("fluency_result.errors")
+    shapes = [
+        (F.col("instances"), F.from_json(errors, "array<string>")),
+        (F.array_join("instances", "\n"), F.create_map(F.col("topic"), F.lit("x"))),
+        (F.col("instances"), F.col("topic")),
+    ]
+    lines = None
+    for k, (given, of) in enumerate(shapes):
+        fluency = F.struct("fluency_result.fluency_score", of.alias("errors"), F.lit("s").alias("summary"))
+        some = rows.where(F.col("scenario_id") % 3 == k).select(F.to_json(F.struct("topic", "score", "first_language", given.alias("data_generation_result"), fluency.alias("fluency_result"), "cs_ratio_result")).alias("value"))
+        some = some.select(F.explode(F.array("value", F.lit("  "))).alias("value"))
+        lines = some if lines is None else lines.unionByName(some)
+    lines.write.text(path)
+    return export.sentences(results.read(spark, path)).select("topic", "text", "score", "fluency_score", "fluency_errors", "cs_ratio_computed", "sentence_index", "first_language", "tense")
+
+
+def q_join_any(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.to_json(F.flatten(F.transform("instances", text.words)))
     return fixture(spark, sf_dir).select("scenario_id", text.listed(raw).alias("plain"), text.listed(raw, compat=True).alias("compat"))
 
 
-def q_preview(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    states = _states(spark, sf_dir, whole).withColumn("topic", F.format_string("%s-%06d", "topic", "scenario_id"))
+def q_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    states = _states(spark, sf_dir).withColumn("topic", F.format_string("%s-%06d", "topic", "scenario_id"))
     return export.preview(export.sentences(states), ["topic", "sentence_index"])
 
 
-def q_preview_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return q_preview(spark, sf_dir, whole=True)
-
-
 def q_ratio_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = report.statistics(finished(spark, sf_dir))
     return stats.select("n", *(F.round(c, 6).alias(c) for c in ("min_score", "max_score", "mean_score")))
@@ -365,6 +357,19 @@ def q_ratio_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("scenario_id", "mismatch")
 
 
+def q_report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ratio.script_majority(fixture(spark, sf_dir)).select("scenario_id", "cs_ratio", "computed_ratio", F.floor("ratio_score").cast("double").alias("ratio_score"))
+    return report.lines(rows, "scenario_id", "matrix").where("part < 5").unionByName(report.lines(rows.withColumn("ratio_score", F.lit(4.0)), "scenario_id", "matrix").where("part = 5"))
+
+
+def q_report_sentence_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.sentence_lines(ratio.per_sentence(fixture(spark, sf_dir), "scenario_id"), "scenario_id")
+
+
+def q_deviation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.deviation(ratio.first_letter(fixture(spark, sf_dir))).select("scenario_id", F.round("deviation", 6).alias("deviation"))
+
+
 def q_parse_computed_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     shapes = ["63% Arabic : 37% English", "65% : 35%", "54.7% English : 45.3% Arabic", "0% : 0%", "N/A"]
     shape = F.element_at(F.array(*map(F.lit, shapes)), (F.col("scenario_id") % 5 + 1).cast("int"))
@@ -374,15 +379,13 @@ def q_parse_computed_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- lookups, prompts and the whole pipeline ---
 
 
-def _news(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    content = F.array_join("instances", "\n") if whole else F.element_at("instances", 1)
-    raw = fixture(spark, sf_dir).where("topic < 'topic7'").select("topic", F.concat(F.lit("title "), "scenario_id").alias("title"), content.alias("content"))
+def _news(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts as articles; topics 7 and 8 have none, so that lookups also miss."""
+    raw = fixture(spark, sf_dir).where("topic < 'topic7'").select("topic", F.concat(F.lit("title "), "scenario_id").alias("title"), F.array_join("instances", "\n").alias("content"))
     return lookup.articles(raw)
 
 
-NEWS_SQL = "news AS (SELECT topic, 'title ' || scenario_id || chr(10) || instances[1] AS article FROM fixture WHERE topic < 'topic7'), picked AS (SELECT topic, arg_min(article, md5('0:' || article)) AS article FROM news GROUP BY topic)"
-
-WHOLE_NEWS_SQL = NEWS_SQL.replace("instances[1]", "array_to_string(instances, chr(10))")
+NEWS_SQL = "news AS (SELECT topic, 'title ' || scenario_id || chr(10) || array_to_string(instances, chr(10)) AS article FROM fixture WHERE topic < 'topic7'), picked AS (SELECT topic, arg_min(article, md5('0:' || article)) AS article FROM news GROUP BY topic)"
 
 
 def q_news_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -393,12 +396,22 @@ def q_news_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.with_news(fixture(spark, sf_dir), lookup.pick_one(_news(spark, sf_dir))).select("scenario_id", "topic", "article")
 
 
-def q_news_pick_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lookup.pick_one(_news(spark, sf_dir, whole=True))
+def q_news_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup.sample_one(_news(spark, sf_dir))
+
+
+def q_news_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = results.folder(spark, "news")
+    fixture(spark, sf_dir).select("topic", F.concat(F.lit("title "), "scenario_id").alias("title"), F.array_join("instances", "\n").alias("content")).write.json(path)
+    return lookup.read_news(spark, path)
+
 
+def q_unseen_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup.unseen(fixture(spark, sf_dir), _news(spark, sf_dir))
 
-def q_news_lookup_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lookup.with_news(fixture(spark, sf_dir), lookup.pick_one(_news(spark, sf_dir, whole=True))).select("scenario_id", "topic", "article")
+
+def q_first_scenario(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scenarios.first_of(scenarios.product(spark, CONFIG)).select("scenario_id", "topic", "cs_type")
 
 
 def q_distinct_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -419,6 +432,50 @@ def q_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return agents.replay(docs, replies, prompt, "answer").select("scenario_id", "answer")
 
 
+def _replies(df: DataFrame, template: str, reply: Column) -> DataFrame:
+    """A table of recorded replies for the prompts of all rows."""
+    prompt = agents.rendered(template, df.columns)
+    return df.select(F.sha2(prompt, 256).alias("prompt_sha256"), reply.alias("reply")).groupBy("prompt_sha256").agg(F.min("reply").alias("reply"))
+
+
+def q_evaluator_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recorded replies of the fluency evaluator, of which some are no JSON, become typed results."""
+    docs = fixture(spark, sf_dir).withColumn("data_generation_result", F.to_json("instances"))
+    reply = F.when(F.col("topic") == "topic4", "sorry").otherwise(F.to_json(F.struct("fluency_score", F.array("topic").alias("errors"), F.col("cs_ratio").alias("summary"))))
+    template = "{scenario_id}: " + prompts.FLUENCY
+    ask = agents.replayed(_replies(docs, template, reply))
+    found = agents.Evaluator("judged", template, agents.FLUENCY_REPLY, ask)(docs)
+    return found.select("scenario_id", F.col("judged.fluency_score").alias("fluency_score_read"), text.listed(F.col("judged.errors")).alias("errors"), F.col("judged.summary").alias("summary"))
+
+
+def q_ratio_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return agents.ratio_context(ratio.first_letter(fixture(spark, sf_dir))).select("scenario_id", "actual_percent", "target_second_percent", "target_first_percent")
+
+
+def _ratio_judge(df: DataFrame) -> DataFrame:
+    return df.withColumn("cs_ratio_result", F.struct(F.lit(6.5).alias("ratio_score"), F.lit("wrong").alias("computed_ratio"), F.concat(F.lit("asked about "), "topic").alias("notes")))
+
+
+def q_ratio_evaluator_skipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An evaluator's score where there is a ratio; it isn't asked where there is none."""
+    docs = fixture(spark, sf_dir).withColumn("second_language", F.when(F.col("topic") == "topic3", "Klingon").otherwise("English"))
+    return pipeline.with_ratio(docs, "script_majority", ask=_ratio_judge).select("scenario_id", "cs_ratio_result.ratio_score", "cs_ratio_result.computed_ratio", "cs_ratio_result.notes")
+
+
+def q_ratio_evaluator_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counted score and ratio with an evaluator's notes, through the whole pipeline."""
+    rows = pipeline.run(fixture(spark, sf_dir), lambda df: df, _evaluated, ask_ratio=_ratio_judge)
+    return rows.select("scenario_id", F.round("score", 6).alias("score"), "cs_ratio_result.computed_ratio", "cs_ratio_result.notes")
+
+
+def q_tools_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two results as one map, the later values winning; a tool that fails at some rows says so there."""
+    failing = tools.FunctionTool("third", lambda n: n // (n % 3), "scenario_id")
+    first = F.create_map(F.lit("word_count"), F.lit("none"), F.lit("kept"), F.col("topic"))
+    docs = fixture(spark, sf_dir).withColumn("all", tools.updated(first, tools.merged(tools.registered() | {"third": failing})))
+    return docs.select("scenario_id", *(F.col("all")[k].alias(k) for k in ("word_count", "kept", "third")))
+
+
 def q_summary_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fixture(spark, sf_dir).select("scenario_id", *(F.struct(F.col("topic").alias("summary")).alias(c) for c in ("fluency_result", "naturalness_result", "cs_ratio_result", "social_cultural_result")))
     return rows.select("scenario_id", pipeline.summary().alias("summary"))
@@ -485,8 +542,29 @@ ORACLES = {
     "pipeline_reevaluate": f"WITH {MEASURED} SELECT scenario_id, round(CASE WHEN score < 8 THEN 9.0::DOUBLE * 0.3::DOUBLE + naturalness_score * 0.25::DOUBLE + CASE cs_ratio WHEN '50%' THEN 10.0 WHEN 'Low' THEN 5.0 ELSE 0.0 END * 0.2::DOUBLE + socio_cultural_score * 0.25::DOUBLE ELSE score END, 6) AS score, CASE WHEN score < 8 THEN 3 ELSE 0 END AS refine_count, CASE WHEN score < 8 THEN 1 ELSE len(instances) END AS n_sentences FROM finished",
     "flagship": f"WITH {MEASURED} SELECT scenario_id, topic, cs_ratio, lang1_word_count, lang2_word_count, computed_ratio, round(ratio_score, 6) AS ratio_score, round(score, 6) AS score, CASE WHEN score < 8 THEN 'REFINE' ELSE 'ACCEPT' END AS decision FROM finished",
 }
-ORACLES |= {f"{name}_whole": ORACLES[name].replace(STATES_SQL, WHOLE_STATES_SQL) for name in ("accept_sink_roundtrip", "export_sentences", "export_scenarios", "preview")}
-ORACLES |= {f"{name}_whole": ORACLES[name].replace(NEWS_SQL, WHOLE_NEWS_SQL) for name in ("news_pick", "news_lookup")}
-ORACLES["scenario_cross_product_whole"] = f"SELECT {', '.join(scenarios.lists_of(CONFIG))} FROM ({product_sql()})"
 _ALL_WORDS = f"array_to_string(list_filter(flatten(list_transform(instances, lambda l: regexp_split_to_array(l, '{WS}'))), lambda w: w <> ''), '; ')"
-ORACLES["join_any_whole"] = f"WITH {FIXTURE} SELECT scenario_id, {_ALL_WORDS} AS plain, {_ALL_WORDS} AS compat FROM fixture"
+_MAJORITY = SCRIPT_SQL.replace(" IN (7, 8)", " IN (10, 11)").rpartition("SELECT scenario_id, m AS")[0]
+_SHOWN = "coalesce(p || '% : ' || (100 - p) || '%', 'N/A')"
+_STEP = "CASE WHEN p IS NULL THEN 0 WHEN abs(p - target) <= 5 THEN 10 WHEN abs(p - target) <= 10 THEN 8 WHEN abs(p - target) <= 15 THEN 6 WHEN abs(p - target) <= 20 THEN 4 WHEN abs(p - target) <= 25 THEN 2 ELSE 0 END"
+_OFF = "coalesce(cs_ratio = 'Low' OR p <> target OR p IS NULL, true)"
+_TARGET = "coalesce(try_cast(rtrim(cs_ratio, '%') AS DOUBLE), 0.0)"
+ORACLES |= {
+    "scenario_cross_product": f"SELECT {', '.join(scenarios.lists_of(CONFIG))} FROM ({product_sql()})",
+    "join_any": f"WITH {FIXTURE} SELECT scenario_id, {_ALL_WORDS} AS plain, {_ALL_WORDS} AS compat FROM fixture",
+    "stream_accept": ORACLES["stream_accept"] + " WHERE NOT (round(score, 6) < 8 AND scenario_id % 2 = 0)",
+    "stream_refine": ORACLES["stream_accept"] + " WHERE round(score, 6) < 8 AND scenario_id % 2 = 0",
+    "refine_counts": f"WITH {STATES_SQL} SELECT scenario_id, (2 * refine_count)::INT AS refine_count FROM states",
+    "results_read": f"WITH {STATES_SQL}, rows AS (SELECT *, unnest(CASE WHEN scenario_id % 3 = 1 THEN [array_to_string(kept, chr(10))] ELSE kept END) AS text, generate_subscripts(CASE WHEN scenario_id % 3 = 1 THEN [''] ELSE kept END, 1) - 1 AS sentence_index FROM states) SELECT topic, text, round(score, 6) AS score, fluency_score, CASE scenario_id % 3 WHEN 0 THEN fluency_errors ELSE topic END AS fluency_errors, computed_ratio AS cs_ratio_computed, sentence_index, 'Arabic' AS first_language, NULL::VARCHAR AS tense FROM rows",
+    "report_lines": f"WITH {_MAJORITY}, c AS (SELECT *, {_OFF} AS off FROM pct) SELECT 0 AS part, NULL::BIGINT AS key, 'rows: ' || count(*) AS line FROM c UNION ALL SELECT 1, NULL, 'columns: scenario_id, cs_ratio, computed_ratio, ratio_score' UNION ALL SELECT 2, NULL, 'mismatch_count: ' || count(*) FROM c WHERE off UNION ALL SELECT 3, NULL, 'sample_mismatches:' UNION ALL SELECT 4, scenario_id, '- row ' || scenario_id || ': cs_ratio=' || cs_ratio || ' computed_ratio=' || {_SHOWN} || ' ratio_score=' || {_STEP} FROM c WHERE off UNION ALL SELECT 5, NULL, 'ratio_score stats: count=' || count(*) || ' min=4 max=4 mean=4' FROM c",
+    "report_sentence_lines": f"WITH {FIXTURE}{SENTENCES_SQL} SELECT scenario_id, NULL::INT AS sentence, 'row ' || scenario_id || ':' AS line FROM (SELECT DISTINCT scenario_id FROM sentences) UNION ALL SELECT scenario_id, sentence, '  sentence ' || (sentence + 1) || ': matrix_pct=' || CASE WHEN matrix + embedded > 0 THEN round_even(100 * matrix / (matrix + embedded)::DOUBLE, 0)::INT::VARCHAR ELSE 'N/A' END || ' words=' || matrix || '/' || embedded FROM sentences",
+    "deviation": f"WITH {MEASURED} SELECT scenario_id, round(lang2_percent - try_cast(rtrim(cs_ratio, '%') AS DOUBLE), 6) AS deviation FROM measured",
+    "news_sample": f"WITH {FIXTURE}, {NEWS_SQL} SELECT topic, article FROM news ORDER BY md5('0:' || topic || ':' || article), topic, article LIMIT 1",
+    "news_read": f"WITH {FIXTURE} SELECT topic, 'title ' || scenario_id || chr(10) || array_to_string(instances, chr(10)) AS article FROM fixture",
+    "unseen_topics": "SELECT 'topic' || (doc_id % 9) AS topic, min(doc_id) AS scenario_id FROM documents WHERE doc_id % 9 >= 7 GROUP BY 1",
+    "first_scenario": f"SELECT scenario_id, topic, cs_type FROM ({product_sql()}) ORDER BY scenario_id LIMIT 1",
+    "evaluator_replies": f"WITH {FIXTURE} SELECT scenario_id, CASE WHEN topic <> 'topic4' THEN fluency_score END AS fluency_score_read, CASE WHEN topic <> 'topic4' THEN topic ELSE '' END AS errors, CASE WHEN topic <> 'topic4' THEN cs_ratio END AS summary FROM fixture",
+    "ratio_context": f"WITH {MEASURED} SELECT scenario_id, printf('%.1f', lang2_percent) || '%' AS actual_percent, printf('%.1f', {_TARGET}) || '%' AS target_second_percent, printf('%.1f', 100.0 - {_TARGET}) || '%' AS target_first_percent FROM measured",
+    "ratio_evaluator_skipped": f"WITH {_MAJORITY}, c AS (SELECT *, scenario_id % 9 = 3 AS foreign_one FROM pct) SELECT scenario_id, CASE WHEN foreign_one OR p IS NULL THEN 0.0 ELSE 6.5 END::DOUBLE AS ratio_score, CASE WHEN foreign_one THEN 'N/A' ELSE {_SHOWN} END AS computed_ratio, CASE WHEN foreign_one THEN 'Unknown script mapping for one or both languages; deterministic ratio not computed.' WHEN p IS NULL THEN 'No identifiable script characters found for either language.' ELSE 'asked about topic' || (scenario_id % 9) END AS notes FROM c",
+    "ratio_evaluator_notes": f"WITH {MEASURED} SELECT scenario_id, round(score, 6) AS score, computed_ratio, 'asked about ' || topic AS notes FROM finished",
+    "tools_update": f"WITH {FIXTURE}, n AS (SELECT scenario_id, count(*) AS n FROM words GROUP BY ALL) SELECT scenario_id, coalesce(n, 0)::VARCHAR AS word_count, topic AS kept, CASE WHEN scenario_id % 3 = 0 THEN 'ERROR: integer division or modulo by zero' ELSE (scenario_id // (scenario_id % 3))::VARCHAR END AS third FROM fixture LEFT JOIN n USING (scenario_id)",
+}

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text
+from tessera.sources.storage import folder  # noqa: F401
 
 #: Values whose JSON type varies (lists, objects or texts) are read as raw text.
 RESULT = """
@@ -25,12 +23,6 @@ mcp_result string, summary string, score double, refine_count int
 TRANSIENT = ["news_dict", "news_hash", "use_tools", "refiner_result", "article"]
 
 
-def folder(spark: SparkSession, name: str) -> str:
-    """A new folder that all executors share: below spark.checkpoint.dir, else a local one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
-
-
 def read(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """Results in JSON lines (or one document with ``multi_line``), with ``instances``; blank lines give no row."""
     rows = spark.read.schema(RESULT).option("multiLine", multi_line).json(path)

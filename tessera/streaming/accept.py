@@ -1,23 +1,37 @@
-"""Decide on results as files of them arrive, and append the accepted ones."""
+"""Decide on results as files of them arrive; append the accepted ones, and those to refine elsewhere."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from tessera.functions import scoring
 
 
-def accept_stream(spark: SparkSession, source: str, schema: str, sink: str, checkpoint: str, files_per_batch: int = 40) -> None:
-    """Read new JSON files in micro-batches, add ``decision``, and append each batch by first language.
+def accept_stream(spark: SparkSession, source: str, schema: str, sink: str, checkpoint: str, files_per_batch: int = 40, refine_sink: str | None = None) -> None:
+    """Read new JSON files in micro-batches, add ``decision``, and append accepted rows by first language.
 
-    Handles what is there and ends; the checkpoint makes a later call go on from
+    Rows to refine go to ``refine_sink``, with a checkpoint of their own, if there is one.
+    Handles what is there and ends; the checkpoints make a later call go on from
     there, and a batch that failed is written once.
     """
     rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).json(source)
     decided = rows.withColumn("decision", scoring.decision(F.col("score"), F.col("refine_count"))).withColumn("language", F.col("first_language"))
-    query = decided.writeStream.format("json").option("path", sink).option("checkpointLocation", checkpoint).partitionBy("language").trigger(availableNow=True).start()
-    query.awaitTermination()
+    started = [_append(decided.where("decision = 'ACCEPT'"), sink, checkpoint)]
+    if refine_sink is not None:
+        started.append(_append(decided.where("decision = 'REFINE'"), refine_sink, f"{checkpoint}-refine"))
+    for query in started:
+        query.awaitTermination()
+
+
+def _append(rows: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:
+    return rows.writeStream.format("json").option("path", sink).option("checkpointLocation", checkpoint).partitionBy("language").trigger(availableNow=True).start()
+
+
+def refine_counts(events: DataFrame) -> DataFrame:
+    """(scenario_id, refine_count): the running sum of refinements, of a table or of a stream in ``complete`` or ``update`` mode."""
+    return events.groupBy("scenario_id").agg(F.sum("refine_count").cast("int").alias("refine_count"))
 
 
 def accepted(spark: SparkSession, sink: str, schema: str) -> DataFrame:

@@ -241,8 +241,8 @@ def test_whole_exports_have_every_line_of_every_document(spark, sf_dir):
     from tessera import queries
 
     lines = sorted(r.line for r in queries.fixture(spark, sf_dir).select(F.explode("instances").alias("line")).collect())
-    assert sorted(r.text for r in queries.q_export_sentences_whole(spark, sf_dir).select("text").collect()) == lines
-    back = queries.q_accept_sink_roundtrip_whole(spark, sf_dir).select(F.explode(F.split("sentences", "[|]")).alias("line"))
+    assert sorted(r.text for r in queries.q_export_sentences(spark, sf_dir).select("text").collect()) == lines
+    back = queries.q_accept_sink_roundtrip(spark, sf_dir).select(F.explode(F.split("sentences", "[|]")).alias("line"))
     assert sorted(r.line for r in back.collect()) == sorted(x for line in lines for x in line.split("|"))
 
 
@@ -264,9 +264,96 @@ def test_whole_lists_news_and_product(spark, sf_dir):
 
     docs = {r.scenario_id: r.instances for r in queries.fixture(spark, sf_dir).select("scenario_id", "instances").collect()}
     counts = {r.scenario_id: r.word_count for r in queries.q_word_count_tool(spark, sf_dir).collect()}
-    joined = {r.scenario_id: r.plain for r in queries.q_join_any_whole(spark, sf_dir).collect()}
+    joined = {r.scenario_id: r.plain for r in queries.q_join_any(spark, sf_dir).collect()}
     assert {k: len(v.split("; ")) if v else 0 for k, v in joined.items()} == counts
-    for r in queries.q_news_pick_whole(spark, sf_dir).collect():
+    for r in queries.q_news_pick(spark, sf_dir).collect():
         title, _, content = r.article.partition("\n")
         assert content == "\n".join(docs[int(title.removeprefix("title "))])
-    assert queries.q_scenario_cross_product_whole(spark, sf_dir).distinct().count() == scenarios.count(queries.CONFIG)
+    assert queries.q_scenario_cross_product(spark, sf_dir).distinct().count() == scenarios.count(queries.CONFIG)
+
+
+def test_tools_that_fail_at_a_row_and_in_sql(spark):
+    half = tools.FunctionTool("half", lambda n: 10 // n, "scenario_id")
+    df = spark.createDataFrame([(0, ["a b"]), (5, None)], "scenario_id long, instances array<string>")
+    got = {r.scenario_id: r.m for r in df.select("scenario_id", tools.merged({"half": half, **tools.registered()}).alias("m")).collect()}
+    assert got == {0: {"half": "ERROR: integer division or modulo by zero", "word_count": "2"}, 5: {"half": "2", "word_count": "0"}}
+    assert tools.register_sql(spark, {"half": half}) == ["half"]
+    assert spark.sql("SELECT half(4) AS h").first().h == "2"
+    one = df.select(tools.updated(F.create_map(F.lit("a"), F.lit("1"), F.lit("b"), F.lit("2")), F.create_map(F.lit("b"), F.lit("3"))).alias("m"), tools.updated(F.lit(None), F.create_map(F.lit("b"), F.lit("3"))).alias("n")).first()
+    assert one.m == {"a": "1", "b": "3"} and one.n == {"b": "3"}
+
+
+def test_evaluators_and_generators_with_typed_replies(spark):
+    base = talk(spark, ONE, TWO, THREE).drop("instances").withColumn("topic", F.lit("sports"))
+    said = {"generate": json.dumps({"instances": [ONE, TWO, THREE]}), "fluency": json.dumps({"fluency_score": 9, "errors": {}, "summary": "s"}), "naturalness": json.dumps({"naturalness_score": 8.5, "observations": {"sentence_1": "x"}}), "social": json.dumps({"socio_cultural_score": 9, "issues": ["a", 1]}), "ratio": json.dumps({"ratio_score": 1, "computed_ratio": "1% : 99%", "notes": "too much English"})}
+
+    def answer(prompt):
+        kinds = {"Main language": "generate", "counted": "ratio", "grammar": "fluency", "Would speakers": "naturalness", "suit a speaker": "social"}
+        return said[next(v for k, v in kinds.items() if k in prompt)]
+
+    ask = agents.called(answer)
+    judges = agents.standard(ask)
+    generate = lambda df: agents.Generator(ask)(df).withColumn("data_generation_result", F.to_json("instances"))
+    evaluate = lambda df: judges["social_cultural_result"](judges["naturalness_result"](judges["fluency_result"](df)))
+    row = pipeline.run(base, generate, evaluate, ask_ratio=judges["cs_ratio_result"]).first()
+    assert (row.score, row.instances) == (7.074999999999999, [ONE, TWO, THREE])
+    assert tuple(row.cs_ratio_result) == (0.0, "54.7% English : 45.3% Arabic", "too much English")
+    assert row.naturalness_result.observations == '{"sentence_1":"x"}' and row.social_cultural_result.issues == '["a",1]'
+    said["ratio"] = "no JSON"
+    assert pipeline.run(base, generate, evaluate, ask_ratio=judges["cs_ratio_result"]).first().cs_ratio_result.notes.endswith("Counted 29 Arabic words and 35 English words.")
+    noted = pipeline.run(base.withColumn("remark", F.lit("fine")), generate, evaluate, notes="remark").first()
+    assert noted.cs_ratio_result.notes == "fine"
+    shown = agents.ratio_context(ratio.first_letter(talk(spark, ONE, target="30%"))).first()
+    assert (shown.actual_percent, shown.target_second_percent, shown.target_first_percent) == ("54.2%", "30.0%", "70.0%")
+    assert agents.ratio_context(ratio.first_letter(talk(spark, ONE, target="Low"))).first().target_first_percent == "100.0%"
+
+
+def test_ratio_evaluator_is_not_asked_without_a_ratio(spark):
+    asked = []
+
+    def ask(df):
+        asked.append(sorted(r.scenario_id for r in df.select("scenario_id").collect()))
+        return df.withColumn("cs_ratio_result", F.struct(F.lit(3.0).alias("ratio_score"), F.lit("x").alias("computed_ratio"), F.lit("said").alias("notes")))
+
+    rows = talk(spark, ONE, target="50%").union(talk(spark, ONE, first="Klingon", key=1))
+    got = {r.scenario_id: tuple(r.cs_ratio_result) for r in pipeline.with_ratio(rows, "script_majority", ask=ask).collect()}
+    assert asked == [[0]] and got[0] == (3.0, "48% : 52%", "said") and got[1][:2] == (0.0, "N/A")
+
+
+def test_stream_appends_accepted_rows_only(spark, tmp_path):
+    from tessera.streaming import accept
+
+    spark.createDataFrame([(1, "Arabic", 9.0, 0), (2, "Arabic", 5.0, 0), (3, "French", 5.0, 1)], "scenario_id long, first_language string, score double, refine_count int").write.json(str(tmp_path / "in"))
+    schema = "scenario_id bigint, first_language string, score double, refine_count int"
+    for _ in range(2):
+        accept.accept_stream(spark, str(tmp_path / "in"), schema, str(tmp_path / "out"), str(tmp_path / "at"), refine_sink=str(tmp_path / "again"))
+    assert sorted(r.scenario_id for r in accept.accepted(spark, str(tmp_path / "out"), schema).collect()) == [1, 3]
+    assert [(r.scenario_id, r.decision) for r in accept.accepted(spark, str(tmp_path / "again"), schema).collect()] == [(2, "REFINE")]
+
+
+def test_running_count_of_sparse_and_repeated_keys(spark):
+    keys = sorted([i * i * 10**9 for i in range(500)] + [7] * 40)
+    df = spark.createDataFrame([(k,) for k in keys], "k long").repartition(6)
+    got = sorted((r.k, r.n_done) for r in report.progress(df, "k", 50).collect())
+    assert got == [(keys[n - 1], n) for n in range(50, len(keys) + 1, 50)]
+
+
+def test_report_text(spark):
+    rows = spark.createDataFrame([(0, "70%", "79% : 21%", 7.0), (1, "70%", "70% : 30%", 4.5), (2, "70%", None, None)], "row long, cs_ratio string, computed_ratio string, ratio_score double")
+    got = [r.line for r in report.lines(rows, "row", "matrix").orderBy("part", "key").collect()]
+    assert got == ["rows: 3", "columns: row, cs_ratio, computed_ratio, ratio_score", "mismatch_count: 2", "sample_mismatches:", "- row 0: cs_ratio=70% computed_ratio=79% : 21% ratio_score=7", "- row 2: cs_ratio=70% computed_ratio=None ratio_score=None", "ratio_score stats: count=2 min=4.5 max=7 mean=5.75"]
+    counts = spark.createDataFrame([(0, 0, 5, 1), (0, 1, 0, 0)], "row long, sentence int, matrix long, embedded long")
+    assert [r.line for r in report.sentence_lines(counts, "row").orderBy("row", F.col("sentence").asc_nulls_first()).collect()] == ["row 0:", "  sentence 1: matrix_pct=83 words=5/1", "  sentence 2: matrix_pct=N/A words=0/0"]
+
+
+def test_small_selections(spark):
+    df = scenarios.product(spark, CONFIG)
+    assert scenarios.first_of(df).first().scenario_id == 0
+    with pytest.raises(ValueError):
+        scenarios.first_of(df.limit(0))
+    news = spark.createDataFrame([("a", "x"), ("b", "y")], "topic string, article string")
+    assert lookup.sample_one(news).count() == 1 and lookup.sample_one(news.limit(0)).count() == 0
+    large = scenarios.product(spark, CONFIG).where("scenario_id = 1").select(F.expr("scenario_id").alias("n")).first().n
+    assert large == 1
+    shown = export.preview(spark.createDataFrame([("t", "30%", "r", 1.0, None, 0, 0, "x")], "topic string, cs_ratio string, cs_ratio_computed string, cs_ratio_score double, cs_ratio_notes string, sentence_index int, refine_count int, text string"), ["topic"], compat=True).first()
+    assert shown.cs_ratio_notes == "nan"
