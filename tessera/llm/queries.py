@@ -130,7 +130,7 @@ WITH docs AS (
 ), repeats AS (
   SELECT r, count(DISTINCT p) AS n_repeat_words FROM (SELECT r, unnest(range(i, i + 5)) AS p FROM again) GROUP BY r
 ), measured AS (
-  SELECT doc_id, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars,
+  SELECT doc_id, text, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars,
     len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
     coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines
   FROM split LEFT JOIN lines USING (r) LEFT JOIN repeats USING (r)
@@ -142,6 +142,24 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM judged
 """
 
+
+def rule_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the strictest policy fails, and what would stay without it."""
+    return quality_rules.ablate(quality_rules.ledger(table(spark, sf_dir, "documents").select("doc_id", "text")), "web-2")
+
+
+ABLATION_SQL = OP5_SQL.rpartition("judged AS (")[0] + r"""failing AS (
+  SELECT [n_words < 10, 100 * n_repeat_words > 20 * n_words, 100 * n_symbols > 20 * n_words, 100 * n_dup_lines > 30 * n_lines, word_chars < 2 * n_words, word_chars > 15 * n_words, 100 * n_upper > 60 * word_chars] AS f
+  FROM (SELECT m.*, len(regexp_extract_all(text, '[A-Z]')) AS n_upper FROM measured m)
+), rules AS (
+  SELECT unnest(['few_words', 'repeated_windows', 'symbols', 'repeated_lines', 'short_words', 'long_words', 'shouting']) AS rule, unnest(range(1, 8)) AS i
+), counts AS (
+  SELECT rule, count(*) FILTER (f[i]) AS n_failed, count(*) FILTER (f[i] AND len(list_filter(f, lambda x: x)) = 1) AS n_only, count(*) FILTER (len(list_filter(f, lambda x: x)) = 0) AS n_kept FROM failing, rules GROUP BY rule
+)
+SELECT rule, n_failed, n_only, n_kept + n_only AS n_kept_without FROM counts
+"""
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -243,5 +261,5 @@ FROM documents d LEFT JOIN sets USING (doc_id) LEFT JOIN ones USING (s) LEFT JOI
 """
 
 
-QUERIES = {"op1_language_id": op1_language_id, "op2_url_filters": op2_url_filters, "op3_line_dedup": op3_line_dedup, "op4_chat_formatting": op4_chat_formatting, "op5_quality_rules": op5_quality_rules, "op6_suffix_dedup": op6_suffix_dedup, "op7_decontamination": op7_decontamination, "op8_quality_classifier": op8_quality_classifier, "op9_bpe": op9_bpe, "op10_jaccard_join": op10_jaccard_join}
-ORACLES = {"op2_url_filters": OP2_SQL, "op3_line_dedup": OP3_SQL, "op5_quality_rules": OP5_SQL, "op7_decontamination": OP7_SQL, "op10_jaccard_join": OP10_SQL}
+QUERIES = {"op1_language_id": op1_language_id, "op2_url_filters": op2_url_filters, "op3_line_dedup": op3_line_dedup, "op4_chat_formatting": op4_chat_formatting, "op5_quality_rules": op5_quality_rules, "op6_suffix_dedup": op6_suffix_dedup, "op7_decontamination": op7_decontamination, "op8_quality_classifier": op8_quality_classifier, "op9_bpe": op9_bpe, "op10_jaccard_join": op10_jaccard_join, "rule_ablation": rule_ablation}
+ORACLES = {"op2_url_filters": OP2_SQL, "op3_line_dedup": OP3_SQL, "op5_quality_rules": OP5_SQL, "op7_decontamination": OP7_SQL, "op10_jaccard_join": OP10_SQL, "rule_ablation": ABLATION_SQL}

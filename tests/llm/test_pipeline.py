@@ -81,3 +81,35 @@ def test_tokens(stages):
         ids = library.encode(source[r.doc_id], add_special_tokens=False).ids
         assert r.ids == ids and r.n_tokens == len(ids)
         assert r.decoded_sha256 == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    line = "this line has more than a few words in it so that it counts as a run of its own when it comes again and again"
+    rows = [(1, f"{line}\nend one", "en", "s", 5), (2, f"{line}\nother end", "en", "s", 5), (2, f"{line}\nother end", "en", "s", 5), (3, None, None, None, None), (4, "", "en", None, 0), (None, "a text of no id", None, "s", 1), (None, f"{line}\nend one", "en", "s", 5), (7, "w " * 30_000, "en", "s", None)]
+    return spark.createDataFrame([(*r, "t", "k", "x") for r in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint, N_Hit string, `key` string, `row` string")
+
+
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
+def test_stages_on_odd_and_empty_tables(spark, sf_dir, odd, name, stage):
+    found = stage(spark, odd, sf_dir)
+    rows = found.collect()
+    assert stage(spark, odd.limit(0), sf_dir).count() == 0
+    if name != "tokens":
+        assert found.columns == corpus_pipeline.COLUMNS
+    places = [(r.doc_id, getattr(r, "text", None)) for r in rows]
+    line = odd.first().text.split("\n")[0]
+    others = [(3, None), (4, ""), (None, "a text of no id"), (7, "w " * 30_000)]
+    if name == "lines":  # the null id comes first, so that its run stays; nothing is left of document 1
+        assert sorted(places, key=str) == sorted([(2, "other end"), (2, "other end"), (None, f"{line}\nend one"), *others], key=str)
+    if name == "near_copies":  # 1, 2 and the row of no id are near copies
+        assert sorted(places, key=str) == sorted([(1, f"{line}\nend one"), *others], key=str)
+    if name == "decontamination":
+        assert len(rows) == 8
+    if name == "tokens":
+        assert sorted((str(r.doc_id), r.n_tokens) for r in rows if r.doc_id in (3, 4)) == [("3", 0), ("4", 0)] and len(rows) == 8
+
+
+def test_quality_keeps_all_without_positives(spark, sf_dir, tmp_path, odd):
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.quality(spark, odd, str(tmp_path)).count() == 8
