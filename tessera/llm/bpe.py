@@ -38,7 +38,7 @@ from tessera.llm.shared import Carried, cut
 #: Characters of the longest run that is encoded at once, and of the longest that stays in one task.
 LEAF, SPREAD = 1024, 1 << 16
 LONG_RUN = rf"[^\x20\x09-\x0D]{{{SPREAD + 1},}}"
-#: Runs encoded in one call, and distinct runs that a task remembers before it starts afresh.
+#: Characters of short runs that are encoded at once, and distinct runs that a task remembers before it starts afresh.
 CALL, REMEMBERED = 4096, 400_000
 
 Tokens = list[tuple[int, int, int]]
@@ -166,21 +166,29 @@ class Encoder:
     def learn(self, runs: list[bytes], long: dict[str, list[int]]) -> None:
         """Encode new runs; ``long`` has the ids of some by their sha256."""
         texts = [r.decode() for r in runs]
-        found: list[list[int]] = [[]] * len(runs)
-        short = [i for i, t in enumerate(texts) if len(t) <= LEAF]
-        for at in range(0, len(short), CALL):
-            some = short[at : at + CALL]
-            for i, e in zip(some, self.tokenizer.encode_batch([texts[i] for i in some], add_special_tokens=False), strict=True):
-                found[i] = e.ids
-        for i, t in enumerate(texts):
-            if len(t) > LEAF:
-                known = long.get(hashlib.sha256(runs[i]).hexdigest()) if len(t) > SPREAD else None
-                found[i] = [x[0] for x in encode_tree(t, self.tokenizer)] if known is None else known
-        counts = np.fromiter(map(len, found), np.int64, len(found))
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        owners, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+        # short runs are encoded many at a time, with spaces between them; a token's start tells its run
+        short = np.flatnonzero(sizes <= LEAF)
+        ends = np.cumsum(sizes[short] + 1)
+        edges = [0, *np.unique(np.searchsorted(ends, np.arange(CALL, int(ends[-1]), CALL))).tolist(), len(short)] if len(short) else [0]
+        pieces = list(zip(edges, edges[1:], strict=False))
+        found = self.tokenizer.encode_batch([" ".join(texts[i] for i in short[lo:hi].tolist()) for lo, hi in pieces], add_special_tokens=False)
+        for (lo, hi), e in zip(pieces, found, strict=True):
+            base = int(ends[lo - 1]) if lo else 0
+            begins = np.fromiter((o[0] for o in e.offsets), np.int64, len(e.ids))
+            owners.append(short[lo + np.searchsorted(ends[lo:hi] - base, begins, "right")])
+            ids.append(np.array(e.ids, np.int32))
+        for i in np.flatnonzero(sizes > LEAF).tolist():
+            known = long.get(hashlib.sha256(runs[i]).hexdigest()) if sizes[i] > SPREAD else None
+            ids.append(np.array([x[0] for x in encode_tree(texts[i], self.tokenizer)] if known is None else known, np.int32))
+            owners.append(np.full(len(ids[-1]), i))
+        owner = np.concatenate(owners)
+        counts = np.bincount(owner, minlength=len(runs))
         self.known.update(zip(runs, range(len(self.counts), len(self.counts) + len(runs)), strict=True))
         self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(counts) - counts])
         self.counts = np.concatenate([self.counts, counts])
-        self.ids = np.concatenate([self.ids, np.fromiter((i for ids in found for i in ids), np.int32, int(counts.sum()))])
+        self.ids = np.concatenate([self.ids, np.concatenate(ids)[np.argsort(owner, kind="stable")]])
 
     def encode(self, text: pa.Array, long: dict[str, list[int]]) -> pa.Array:
         if not self.in_runs:
