@@ -51,7 +51,7 @@ HELD, GATHERED = 400_000, 2 << 20
 #: Known anchors in a packet of their own, at least.
 KNOWN = 4096
 #: Suffixes that a task sorts at once, and strings.
-SORTED, STRINGS = 1 << 14, 1 << 17
+SORTED, STRINGS = 1 << 14, 1 << 16
 #: Bits of a position in ``least_at``; the rest of 64 bits are of the hash.
 PLACE = 30
 RUN = np.dtype([("h", "<u8"), ("doc", "<u4"), ("tie", "<i8"), ("at", "<u4"), ("n", "u1"), ("anchor", "u1"), ("many", "u1")])
@@ -275,8 +275,8 @@ def repeats_in(rows: pa.Table, first: bool, last: bool) -> Iterator[tuple]:
     keep = np.flatnonzero(~same)
     doc, tie, at, anchor, begin, size = (x[keep] for x in (doc, tie, at, anchor, begin, size))
     tail = size - anchor
-    cells = (begin + anchor)[:, None] + np.arange(LENGTH)
-    matrix = np.where(np.arange(LENGTH) < tail[:, None], data[np.minimum(cells, len(data) - 1)], 0)
+    strings_at = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(LENGTH, np.uint8)]), LENGTH)
+    matrix = np.where(np.arange(LENGTH) < tail[:, None], strings_at[begin + anchor], np.uint8(0))
     before = _in_common(matrix, tail)
     if not first:
         before[0] = 0
@@ -298,7 +298,7 @@ def repeats_in(rows: pa.Table, first: bool, last: bool) -> Iterator[tuple]:
         row = np.repeat(np.arange(lo, hi), strings[lo:hi])
         step = np.arange(len(row)) - np.repeat(np.cumsum(strings[lo:hi]) - strings[lo:hi], strings[lo:hi])
         if len(row):
-            bytes_of = data[(begin[row] + step)[:, None] + np.arange(LENGTH)]
+            bytes_of = strings_at[begin[row] + step]
             words = np.zeros((len(row), -(-LENGTH // 8) * 8), np.uint8)
             words[:, :LENGTH] = bytes_of
             order, group = multikey_quicksort(words.view(">u8").astype(np.uint64))
@@ -350,11 +350,12 @@ def bucket_marks(suffixes: DataFrame) -> DataFrame:
             held.append(batch.filter(pc.invert(batch.column("decided"))))
             if sum(b.num_rows for b in held) > SORTED:
                 rows = pa.Table.from_batches(held)
-                last, end = token(rows, rows.num_rows - 1), rows.num_rows
-                while end and token(rows, end - 1) == last:
-                    end -= 1
-                whole = end > 0
-                end = end or rows.num_rows  # one token fills it all
+                last, lo, hi = token(rows, rows.num_rows - 1), 0, rows.num_rows - 1
+                while lo < hi:  # the first row of the last token
+                    middle = (lo + hi) // 2
+                    lo, hi = (lo, middle) if token(rows, middle) == last else (middle + 1, hi)
+                whole = lo > 0
+                end = lo or rows.num_rows  # one token fills it all
                 yield from map(_marks, repeats_in(rows.slice(0, end), first, not whole))
                 held, first = rows.slice(end).to_batches(), not whole
         rows = pa.Table.from_batches(held) if held else None
