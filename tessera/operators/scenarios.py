@@ -57,11 +57,14 @@ def product(spark: SparkSession, config: Mapping) -> DataFrame:
 
 
 def cross_product(spark: SparkSession, lists: Mapping[str, list[str]]) -> DataFrame:
-    """The same product as joins of one-column tables, for lists that are tables already; no number."""
+    """The same product as joins of one-column tables, for lists that are tables already; no number.
+
+    Spark broadcasts a list as long as it is below its threshold.
+    """
     frames = [spark.createDataFrame([(v,) for v in values], f"`{name}` string") for name, values in lists.items()]
     out = frames[0]
     for frame in frames[1:]:
-        out = out.crossJoin(F.broadcast(frame))
+        out = out.crossJoin(frame)
     return out
 
 
