@@ -8,6 +8,8 @@ from math import prod
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Values of a list that is broadcast, at most.
+BROADCAST = 100_000
 #: Lists of a configuration by scenario column, the last of which changes fastest.
 LISTS = {
     "topic": ("topics",),
@@ -59,12 +61,12 @@ def product(spark: SparkSession, config: Mapping) -> DataFrame:
 def cross_product(spark: SparkSession, lists: Mapping[str, list[str]]) -> DataFrame:
     """The same product as joins of one-column tables, for lists that are tables already; no number.
 
-    Spark broadcasts a list as long as it is below its threshold.
+    Lists of up to ``BROADCAST`` values are broadcast.
     """
     frames = [spark.createDataFrame([(v,) for v in values], f"`{name}` string") for name, values in lists.items()]
     out = frames[0]
-    for frame in frames[1:]:
-        out = out.crossJoin(frame)
+    for frame, values in zip(frames[1:], list(lists.values())[1:], strict=True):
+        out = out.crossJoin(F.broadcast(frame) if len(values) <= BROADCAST else frame)
     return out
 
 
