@@ -133,7 +133,7 @@ class Hasher:
         random = np.random.default_rng(seed)
         self.base, *self.values = (int(x) for x in random.integers(1 << 40, int(PRIME), 257))
         self.values = np.array(self.values, U64)
-        self.powers = self.inverse = np.ones(1, U64)
+        self.powers = self.inverse = self.quick_powers = self.quick_inverse = np.ones(1, U64)
 
     @staticmethod
     def _grown(powers: np.ndarray, base: int, n: int) -> np.ndarray:
@@ -167,6 +167,24 @@ class Hasher:
         return out
 
 
+    def quick(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hashes modulo 2**64, for uses that compare the bytes: structured texts can collide whatever the base is."""
+        n = len(data)
+        if len(self.quick_powers) <= n:
+            size, base = max(n + 1, SLICE_BYTES + 1), self.base | 1
+            self.quick_powers, self.quick_inverse = (np.full(size, b, U64) for b in (base, pow(base, -1, 1 << 64)))
+            for powers in (self.quick_powers, self.quick_inverse):
+                powers[0] = 1
+                np.multiply.accumulate(powers, out=powers)
+        sums = np.zeros(n + 1, U64)
+        for at in range(0, n, BLOCK):
+            terms = self.values[data[at : at + BLOCK]]
+            terms *= self.quick_powers[at : at + len(terms)]
+            terms[:1] += sums[at : at + 1]
+            np.cumsum(terms, out=sums[at + 1 : at + 1 + len(terms)])
+        return mix((sums[ends] - sums[starts]) * self.quick_inverse[starts] + (ends - starts).astype(U64))
+
+
 def same_bytes(data: np.ndarray, starts: np.ndarray, others: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """True where the ``sizes`` bytes from ``starts`` on are those from ``others`` on."""
     out = np.ones(len(starts), bool)
@@ -187,11 +205,10 @@ def same_bytes(data: np.ndarray, starts: np.ndarray, others: np.ndarray, sizes:
 def numbered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hasher: Hasher) -> np.ndarray:
     """A number for each byte span, from 0 on: the same for spans of equal bytes and for no others.
 
-    Spans of equal hashes are compared byte by byte; should two differ, another hash is drawn.
+    Spans of equal hashes are compared byte by byte; should two differ, another hash is tried.
     """
-    sizes = ends - starts
+    sizes, hashes = ends - starts, hasher.quick(data, starts, ends)
     while True:
-        hashes = hasher.spans(hasher.sums(data), starts, ends)
         order = np.argsort(hashes, kind="stable")
         a, b = order[:-1], order[1:]
         same = hashes[a] == hashes[b]
@@ -200,6 +217,7 @@ def numbered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hasher: Has
             numbers = np.zeros(len(starts), np.int64)
             numbers[order[1:]] = np.cumsum(~same)
             return numbers
+        hashes = hasher.spans(hasher.sums(data), starts, ends)
         hasher = Hasher(hasher.seed + 1)
 
 
