@@ -73,9 +73,22 @@ def windows(hashes: list[np.ndarray], words: np.ndarray, lines: np.ndarray, min_
     return first, last, chosen, whole
 
 
-def fingerprints(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def fingerprints(docs: DataFrame, min_words: int, seed: int) -> DataFrame:
+    """The fingerprint of each selected line of (text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashers = [tb.Hasher(seed)]
+        for batch in tb.slices(batches, "text"):
+            hashes, words, _, lines = lines_of(batch.column("text"), hashers)
+            chosen = windows(hashes, words, lines, min_words)[2]
+            yield pa.RecordBatch.from_arrays([pa.array(hashes[0][np.unique(chosen)].view(np.int64))], names=["fingerprint"])
+
+    return docs.select("text").mapInArrow(tb.tidy(run), "fingerprint bigint")
+
+
+def selections(docs: DataFrame, min_words: int, seed: int) -> DataFrame:
     """(fingerprint, doc_id, key, windows) of (doc_id, key, text): selected lines with the windows that selected them."""
-    window, seed = pa.struct([("hash", pa.int64()), ("more", pa.int64()), ("first", pa.int32()), ("last", pa.int32())]), tb.draw()
+    window = pa.struct([("hash", pa.int64()), ("more", pa.int64()), ("first", pa.int32()), ("last", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashers = [tb.Hasher(seed), tb.Hasher(seed + 1)]
@@ -95,8 +108,9 @@ def fingerprints(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, key, runs) of (doc_id, key, text): spans of lines of the later repeated runs of each document that has any."""
-    selected = fingerprints(docs, min_words)
-    shared = cut(selected.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").select("fingerprint"))
+    seed = tb.draw()
+    selected = selections(docs, min_words, seed)
+    shared = cut(fingerprints(docs, min_words, seed).groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").select("fingerprint"))
     places = cut(selected.join(shared, "fingerprint", "left_semi").select("doc_id", "key", F.inline("windows")))
     position = F.struct("doc_id", "key", "first")
     earliest = cut(places.groupBy("hash", "more").agg(F.min(position).alias("earliest"), F.count("*").alias("n")).where("n > 1").select("hash", "more", "earliest"))
