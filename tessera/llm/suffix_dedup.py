@@ -395,11 +395,16 @@ def _numbered(packed: DataFrame) -> DataFrame:
     return packed.join(order, F.col("id") == F.col("of"), "left").drop("of").withColumn("doc", F.coalesce("doc", F.lit(NO_ID)))
 
 
-def removed(data: bytes, at: list[int], n: list[int]) -> tuple[int, int, bytes]:
-    """Removed bytes, maximal removed runs and the remaining bytes, for string starts ``at`` to ``at + n``."""
-    gone = tb.covered(np.array(at, np.int64), np.array(n, np.int64) - 1 + LENGTH, len(data))
-    edges = np.diff(np.concatenate([[False], gone]).astype(np.int8))
-    return int(gone.sum()), int((edges == 1).sum()), np.frombuffer(data, np.uint8)[~gone].tobytes()
+def cleaned(text: pa.Array, runs: pa.Array) -> list[pa.Array]:
+    """Of each text its bytes, removed bytes, maximal removed runs and the remaining bytes."""
+    data, offsets = tb.text_bytes(text)
+    of = np.repeat(np.arange(len(text)), np.asarray(pc.fill_null(pc.list_value_length(runs), 0)).astype(np.int64))
+    at, n = (np.asarray(c).astype(np.int64) for c in runs.flatten().flatten())
+    gone = tb.covered(offsets[of] + at, n - 1 + LENGTH, len(data))
+    spans = np.diff(tb.spans_of(gone, offsets)[2])
+    bounds = np.concatenate([[0], np.cumsum(~gone)])[offsets]
+    kept = pa.Array.from_buffers(pa.binary(), len(text), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(data[~gone])])
+    return [pa.array(np.diff(offsets)), pa.array(tb.per_text(gone, offsets)), pa.array(spans), kept]
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", parts: int | None = None) -> DataFrame:
@@ -428,11 +433,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", parts: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tb.slices(batches, "text"):
-            rows = []
-            for value, some in zip(batch.column("text").to_pylist(), batch.column("runs").to_pylist(), strict=True):
-                data = (value or "").encode()
-                rows.append((len(data), *removed(data, [r["at"] for r in some or []], [r["n"] for r in some or []])))
-            yield carried.batch(batch, [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)])
-
-    cleaned = carried.map(split.where("hit").join(spans.drop("key"), ["doc", "tie"], "left").select("row", "text", "runs"), run)
-    return carried.unpack(whole_texts.unionByName(cleaned))
+            yield carried.batch(batch, cleaned(batch.column("text"), batch.column("runs")))
+
+    rest = carried.map(split.where("hit").join(spans.drop("key"), ["doc", "tie"], "left").select("row", "text", "runs"), run)
+    return carried.unpack(whole_texts.unionByName(rest))
