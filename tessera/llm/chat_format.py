@@ -31,6 +31,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
@@ -71,49 +72,60 @@ def _head(role: Column) -> Column:
     return F.concat(F.lit(START), _escaped(one_line), F.lit("\n"))
 
 
-def counted(conversations: DataFrame, model_file: str | None) -> DataFrame:
-    """(conv_id, turn, role, text, tokens): ``tokens`` of each turn in its template."""
-    piece = F.concat(_head(F.coalesce("role", F.lit(""))), _escaped(F.coalesce("text", F.lit(""))), F.lit(END))
-    turns = conversations.select("conv_id", "turn", "role", "text", piece.alias("piece"))
+def counted(turns: DataFrame, model_file: str | None) -> DataFrame:
+    """(conv_id, system, tokens, pid, seq) of ``turns``: ``tokens`` of each one in its template."""
+    piece = F.concat(_head(F.col("role")), _escaped(F.col("text")), F.lit(END))
+    pieces = turns.select("conv_id", (F.col("role") == "system").alias("system"), "pid", "seq", piece.alias("piece"))
     if model_file is None:
-        return turns.withColumn("tokens", F.regexp_count("piece", F.lit(r"(?U)\w+|[^\w\s]")).cast("bigint")).drop("piece")
-    return bpe.encode(turns, model_file, "piece", "ids").withColumn("tokens", F.size("ids").cast("bigint")).drop("piece", "ids")
+        pieces = pieces.withColumn("tokens", F.regexp_count("piece", F.lit(r"(?U)\w+|[^\w\s]")).cast("bigint"))
+    else:
+        pieces = bpe.encode(pieces, model_file, "piece", "ids").withColumn("tokens", F.size("ids").cast("bigint"))
+    return pieces.select("conv_id", "system", "tokens", "pid", "seq")
+
+
+def ordered(conversations: DataFrame) -> DataFrame:
+    """(conv_id, role, text, pid, seq): turns by range partitions; ``seq`` numbers them in order."""
+    order, n = ["conv_id", "turn", "role", "text"], int(conversations.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = conversations.select(*order).repartitionByRange(n, *order).sortWithinPartitions(*order)
+    return cut(ranged.select("conv_id", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.spark_partition_id().alias("pid"), F.monotonically_increasing_id().alias("seq")))
 
 
 def placed(turns: DataFrame) -> DataFrame:
-    """``turns`` in order, with ``seq``, and of its conversation ``talk`` (the first ``seq``), ``number``, ``fixed`` and ``start``.
+    """(seq, talk, system, tokens, fixed, start) of counted turns.
 
-    ``fixed`` is the system turn's tokens; ``start`` counts the tokens before a turn, that
-    turn left out.  The rows are range-partitioned and summed in each partition; only
-    the sums of the one conversation that each partition goes on with, a row at most
-    for each, are carried from partition to partition by the driver.
+    ``talk`` is the first ``seq`` of the conversation, ``system`` marks its system turn, and
+    ``fixed`` has that turn's tokens; ``start`` counts the tokens before a turn, that
+    turn left out.  Sums are made in each partition; only those of the one conversation
+    that each partition goes on with, a row at most for each, are carried from
+    partition to partition by the driver.
     """
-    order, n = ["conv_id", "turn", "role", "text"], int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = turns.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    rows = cut(ranged.select("conv_id", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), "tokens", F.spark_partition_id().alias("pid"), F.monotonically_increasing_id().alias("seq")))
-    first = F.struct("seq", F.when(F.col("role") == "system", F.col("tokens")).otherwise(0).alias("fixed"))
-    parts = rows.groupBy("conv_id", "pid").agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens"), F.min(first).alias("first"))
+    turns = cut(turns)
+    first = F.struct("seq", F.when(F.col("system"), F.col("tokens")).otherwise(0).alias("fixed"))
+    parts = turns.groupBy("conv_id", "pid").agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens"), F.min(first).alias("first"))
     earlier = Window.partitionBy("conv_id").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
     carried = parts.select("pid", F.sum("n").over(earlier).alias("n"), F.sum("tokens").over(earlier).alias("tokens"), F.min("first").over(earlier).alias("first")).where("n is not null")
     state = {r.pid: (r.first.seq, r.n, r.tokens, r.first.fixed) for r in carried.collect()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        conv, talk, number, before, fixed, begun = None, 0, 0, 0, 0, False
+        conv, part, talk, number, before, fixed = None, None, 0, 0, 0, 0
         for batch in batches:
             out: list[list[int]] = [[], [], [], []]
-            for conv_id, role, tokens, pid, seq in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "tokens", "pid", "seq")), strict=True):
-                if not begun and pid in state:
+            for conv_id, system, tokens, pid, seq in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "system", "tokens", "pid", "seq")), strict=True):
+                if pid != part and pid in state:
                     talk, number, before, fixed = state[pid]
-                elif not begun or conv_id != conv:
-                    talk, number, before, fixed = seq, 0, 0, tokens if role == "system" else 0
-                conv, begun = conv_id, True
+                elif pid != part or conv_id != conv:
+                    talk, number, before, fixed = seq, 0, 0, tokens if system else 0
+                conv, part = conv_id, pid
                 for values, x in zip(out, (talk, number, fixed, max(0, before - fixed)), strict=True):
                     values.append(x)
                 number += 1
                 before += tokens
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x, pa.int64()) for x in out)], names=[*batch.schema.names, "talk", "number", "fixed", "start"])
+            talks, numbers, fixes, starts = (pa.array(x, pa.int64()) for x in out)
+            system = pc.and_(batch.column("system"), pc.equal(numbers, 0))
+            yield pa.RecordBatch.from_arrays([batch.column("seq"), talks, system, batch.column("tokens"), fixes, starts], names=["seq", "talk", "system", "tokens", "fixed", "start"])
 
-    return rows.mapInArrow(tb.tidy(run), StructType([*rows.schema.fields, *StructType.fromDDL("talk bigint, number bigint, fixed bigint, start bigint").fields]))
+    in_order = turns.repartition("pid").sortWithinPartitions("pid", "seq")
+    return cut(in_order.mapInArrow(tb.tidy(run), "seq bigint, talk bigint, system boolean, tokens bigint, fixed bigint, start bigint"))
 
 
 def windows(conversations: DataFrame, budget: int = 2048, history: int = 512, model_file: str | None = None) -> DataFrame:
@@ -123,33 +135,30 @@ def windows(conversations: DataFrame, budget: int = 2048, history: int = 512, mo
     one, with gaps.  ``loss`` holds the spans of ``formatted`` (in code points) to learn
     from; ``n_repeated`` tells how many leading turns an earlier window had as well.
     """
-    rows = cut(placed(counted(conversations, model_file)))
-    is_system = (F.col("number") == 0) & (F.col("role") == "system")
+    rows = ordered(conversations)
+    turns = placed(counted(rows, model_file))
     room = F.greatest(F.lit(1), F.lit(budget - history) - F.col("fixed"))
     spare = F.floor(room / 4)
     cell = F.greatest(F.lit(1), room - spare)
     begins, ends = F.floor(F.col("start") / cell), F.floor((F.col("start") + F.col("tokens") - 1) / cell)
     shared = (begins >= ends) | (F.col("tokens") <= spare) | (F.col("start") % cell == 0)
-    window = F.when(is_system, 0).when(shared, 2 * begins).otherwise(2 * begins + 1).cast("bigint")
-    new = rows.withColumn("window", window)
+    window = F.when(F.col("system"), 0).when(shared, 2 * begins).otherwise(2 * begins + 1).cast("bigint")
+    new = turns.withColumn("window", window)
 
-    slim = new.select("talk", "window", "seq", "start", "tokens", "fixed", is_system.alias("system"))
-    spans = slim.groupBy("talk", "window").agg(F.min(F.when(~F.col("system"), F.col("start"))).alias("begin"), F.sum(F.when(~F.col("system"), F.col("tokens")).otherwise(0)).alias("new"), F.max("fixed").alias("fixed"))
-    spans = cut(spans.where("begin is not null"))
-    pairs = new.where(is_system).select("talk", "seq").join(spans.where("window > 0").select("talk", "window"), "talk").select("talk", "seq", "window")
+    plain = new.where(~F.col("system"))
+    spans = cut(plain.groupBy("talk", "window").agg(F.min("start").alias("begin"), F.sum("tokens").alias("new"), F.max("fixed").alias("fixed")))
+    again = new.where("system").select("talk", "seq", "tokens").join(spans.where("window > 0").select("talk", "window"), "talk").select("seq", "talk", "window", "tokens")
     if history > 0:  # the turns before a window meet it by ranges of their tokens, each of which lies in two or three
         bucket = lambda x: F.floor(x / history)
         near = F.explode(F.sequence(bucket(F.col("start") + F.col("tokens")), bucket(F.col("start") + F.lit(history))))
-        past = slim.where((~F.col("system")) & (F.col("tokens") <= history)).select("talk", "seq", "start", "tokens", near.alias("bucket"))
+        past = plain.where(F.col("tokens") <= history).select("talk", "seq", "start", "tokens", near.alias("bucket"))
         left = F.least(F.lit(history), F.lit(budget) - F.col("fixed") - F.col("new"))
         to_come = spans.select("talk", "window", "begin", left.alias("left"), bucket(F.col("begin")).alias("bucket"))
         met = past.join(to_come, ["talk", "bucket"]).where("start + tokens <= begin and start >= begin - left")
-        pairs = pairs.unionByName(met.select("talk", "seq", "window"))
-    again = rows.join(pairs.select("seq", "window"), "seq")
-    columns = ["conv_id", "talk", "window", "seq", "role", "text", "tokens"]
-    both = new.select(*columns, F.lit(False).alias("repeated")).unionByName(again.select(*columns, F.lit(True).alias("repeated")))
-    turns = F.array_sort(F.collect_list(F.struct("seq", "role", "text", "repeated", "tokens"))).alias("turns")
-    grouped = both.groupBy("talk", "window").agg(F.first("conv_id").alias("conv_id"), F.sum("tokens").alias("n_tokens"), turns)
+        again = again.unionByName(met.select("seq", "talk", "window", "tokens"))
+    both = new.select("seq", "talk", "window", "tokens", F.lit(False).alias("repeated")).unionByName(again.withColumn("repeated", F.lit(True)))
+    listed = F.array_sort(F.collect_list(F.struct("seq", "role", "text", "repeated"))).alias("turns")
+    grouped = both.join(rows.select("conv_id", "role", "text", "seq"), "seq").groupBy("talk", "window").agg(F.first("conv_id").alias("conv_id"), F.sum("tokens").alias("n_tokens"), listed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
