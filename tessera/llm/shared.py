@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
@@ -13,22 +16,54 @@ from pyspark.sql.types import StructField, StructType
 from tessera.llm import textbytes as tb
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and read it back.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The reliable checkpoint folder of this application.
 
-    The cluster names that folder in ``spark.checkpoint.dir``.  Only on one machine, as
+    The cluster names its place in ``spark.checkpoint.dir``.  Only on one machine, as
     in tests, a temporary folder serves where the setting is absent.
     """
-    spark: SparkSession = df.sparkSession
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         named = spark.conf.get("spark.checkpoint.dir", None)
         if not named and not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the reliable checkpoint folder and read it back."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new name for files of tasks below the checkpoint folder."""
+    return f"{checkpoint_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _place(path: str) -> tuple[fs.FileSystem, str]:
+    local = path.removeprefix("file:")
+    return (fs.LocalFileSystem(), "/" + local.lstrip("/")) if local.startswith("/") else fs.FileSystem.from_uri(path)
+
+
+def write_array(path: str, values: np.ndarray) -> None:
+    """Write 64-bit integers to a new file of the shared folder."""
+    store, place = _place(path)
+    store.create_dir(place.rpartition("/")[0], recursive=True)
+    with store.open_output_stream(place) as out:
+        out.write(np.ascontiguousarray(values, np.int64))
+
+
+def open_array(path: str) -> np.ndarray:
+    """Such a file mapped into memory; read into it where the folder's store can't be mapped."""
+    store, place = _place(path)
+    if isinstance(store, fs.LocalFileSystem):
+        return np.memmap(place, np.int64, "r")
+    with store.open_input_file(place) as file:
+        return np.frombuffer(file.read(), np.int64)
+
+
 def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
