@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chat_format, decontaminate, fill_middle, jaccard_join, language_id, line_dedup, quality_classifier, quality_rules, suffix_dedup, token_alignment, url_filters
+from tessera.llm import bpe, chat_format, decontaminate, fill_middle, jaccard_join, language_id, line_dedup, quality_classifier, quality_rules, substring_dedup, suffix_dedup, token_alignment, url_filters
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -261,6 +261,29 @@ FROM documents d LEFT JOIN sets USING (doc_id) LEFT JOIN ones USING (s) LEFT JOI
 """
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP11_SQL = r"""
+WITH split AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT r, i, sha256(array_to_string(w[i:i + 34], ' ')) AS k FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM split)
+), again AS (
+  SELECT r, i FROM windows JOIN (SELECT k FROM windows GROUP BY k HAVING count(*) > 1) USING (k)
+), gone AS (
+  SELECT r, list(DISTINCT p) AS ps FROM (SELECT r, unnest(range(i, i + 35)) AS p FROM again) GROUP BY r
+), kept AS (
+  SELECT r, string_agg(x, ' ' ORDER BY p) AS t, count(*) AS n FROM (SELECT r, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM split) LEFT JOIN gone USING (r)
+  WHERE ps IS NULL OR NOT list_contains(ps, p) GROUP BY r
+)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM split LEFT JOIN kept USING (r)
+"""
+
+
 def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = fill_middle.fill_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
     rebuilt = fill_middle.restored(F.col("output"), F.col("form"))
@@ -291,5 +314,5 @@ def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"))
 
 
-QUERIES = {"op1_language_id": op1_language_id, "op2_url_filters": op2_url_filters, "op3_line_dedup": op3_line_dedup, "op4_chat_formatting": op4_chat_formatting, "op5_quality_rules": op5_quality_rules, "op6_suffix_dedup": op6_suffix_dedup, "op7_decontamination": op7_decontamination, "op8_quality_classifier": op8_quality_classifier, "op9_bpe": op9_bpe, "op10_jaccard_join": op10_jaccard_join, "op12_fill_middle": op12_fill_middle, "op13_token_alignment": op13_token_alignment, "rule_ablation": rule_ablation}
-ORACLES = {"op2_url_filters": OP2_SQL, "op3_line_dedup": OP3_SQL, "op5_quality_rules": OP5_SQL, "op7_decontamination": OP7_SQL, "op10_jaccard_join": OP10_SQL, "op12_fill_middle": OP12_SQL, "rule_ablation": ABLATION_SQL}
+QUERIES = {"op1_language_id": op1_language_id, "op2_url_filters": op2_url_filters, "op3_line_dedup": op3_line_dedup, "op4_chat_formatting": op4_chat_formatting, "op5_quality_rules": op5_quality_rules, "op6_suffix_dedup": op6_suffix_dedup, "op7_decontamination": op7_decontamination, "op8_quality_classifier": op8_quality_classifier, "op9_bpe": op9_bpe, "op10_jaccard_join": op10_jaccard_join, "op11_substring_dedup": op11_substring_dedup, "op12_fill_middle": op12_fill_middle, "op13_token_alignment": op13_token_alignment, "rule_ablation": rule_ablation}
+ORACLES = {"op2_url_filters": OP2_SQL, "op3_line_dedup": OP3_SQL, "op5_quality_rules": OP5_SQL, "op7_decontamination": OP7_SQL, "op10_jaccard_join": OP10_SQL, "op11_substring_dedup": OP11_SQL, "op12_fill_middle": OP12_SQL, "rule_ablation": ABLATION_SQL}
