@@ -38,8 +38,10 @@ from tessera.llm.bpe import load
 from tessera.llm.shared import Carried, cut, open_array, quoted, shared_folder, write_array
 
 RESULTS = "n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups string"
+#: Bytes of units that are encoded at once.
+CALL = 4096
 #: Different units that a task remembers before it starts afresh, distinct pairs that it gathers, and pairs of a shard.
-REMEMBERED, GATHERED, SHARD = 150_000, 1 << 20, 1 << 20
+REMEMBERED, GATHERED, SHARD = 300_000, 1 << 20, 1 << 20
 LOW32 = np.int64((1 << 32) - 1)
 #: Lead bytes of characters that might be white space; they are treated as such.
 MAYBE_SPACE = np.zeros(256, bool)
@@ -122,17 +124,47 @@ class Aligner:
         self.ok, self.keys = np.zeros(0, bool), none
         self.groups: list[bytes] = []
 
-    def encoded(self, units: list[bytes]) -> tuple[list[list[int]], list[list[int]]]:
-        texts = [u.decode() for u in units]
-        return [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)], self.b.encode([t[1:] for t in texts], num_threads=1)
+    def encoded(self, units: list[bytes]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray], np.ndarray]:
+        """An order of the units, A's and B's ids in it, how many of each a unit has, and which units they reproduce."""
+        sizes = np.fromiter(map(len, units), np.int64, len(units))
+        ends = np.cumsum(sizes)
+        data = np.frombuffer(b"".join(units), np.uint8)
+        head = np.maximum.accumulate(np.where((data & 0xC0) != 0x80, np.arange(len(data)), 0))
+        visible = ~MAYBE_SPACE[data[head]]
+        # between units that begin and end visibly both tokenizers cut, so many are encoded at once
+        clean = visible[ends - sizes + 1] & visible[ends - 1] & self.cuts
+        inner = np.flatnonzero(clean)
+        calls = np.flatnonzero(np.diff(np.cumsum(sizes[inner]) // CALL)) + 1
+        pieces = [x for x in np.split(inner, calls) if len(x)] + [np.array([i]) for i in np.flatnonzero(~clean).tolist()]
+        order, ok, ids, counts = [], [], ([], []), ([], [])
+        while pieces:
+            again = []
+            raws = [b"".join([units[i] for i in p.tolist()]) for p in pieces]
+            texts = [r.decode() for r in raws]
+            found = [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)], self.b.encode([t[1:] for t in texts], num_threads=1)
+            for piece, raw, *both in zip(pieces, raws, *found, strict=True):
+                stops, n = np.cumsum(sizes[piece]), []
+                if good := all(b"".join(map(table.__getitem__, x)) == raw for table, x in zip(self.bytes, both, strict=True)):
+                    for size, x in zip(self.sizes, both, strict=True):
+                        cuts = np.cumsum(size[x])
+                        at = np.searchsorted(cuts, stops)
+                        good &= bool((cuts[at] == stops).all())
+                        n.append(np.diff(at, prepend=-1))
+                if not good and len(piece) > 1:
+                    again += [piece[i : i + 1] for i in range(len(piece))]
+                    continue
+                order.append(piece)
+                ok.append(np.full(len(piece), good))
+                for k in (0, 1):
+                    ids[k].append(np.array(both[k] if good else [], np.int64))
+                    counts[k].append(n[k] if good else np.zeros(1, np.int64))
+            pieces = again
+        return np.concatenate(order), [np.concatenate(x) for x in ids], [np.concatenate(x) for x in counts], np.concatenate(ok)
 
     def learn(self, units: list[bytes], strings: bool) -> None:
         """Encode and align new units."""
-        lists = self.encoded(units)
-        ok = np.array([all(b"".join(map(table.__getitem__, ids)) == u for table, ids in zip(self.bytes, both, strict=True)) for u, *both in zip(units, *lists, strict=True)], bool)
-        lists = [[ids if good else [] for ids, good in zip(x, ok, strict=True)] for x in lists]
-        counts = [np.array([len(x) for x in t], np.int64) for t in lists]
-        a, b = (np.array([i for x in t for i in x], np.int64) for t in lists)
+        order, (a, b), counts, ok = self.encoded(units)
+        units = [units[i] for i in order.tolist()]
         ends_a, ends_b = np.cumsum(self.sizes[0][a]), np.cumsum(self.sizes[1][b])
         marks = np.zeros((2, int(ends_a[-1]) + 1 if len(ends_a) else 1), bool)
         marks[0, ends_a] = marks[1, ends_b] = True

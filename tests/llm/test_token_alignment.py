@@ -59,9 +59,9 @@ def brute(texts):
     return [(na, nb, ng, len(ls), sum(counts[x] == most[x[1]] for x in ls), sum(counts[x] for x in ls), g) for na, nb, ng, ls, g in found], counts, most
 
 
-@pytest.mark.parametrize("shard,remembered,gathered", [(1 << 20, 150_000, 1 << 20), (40, 30, 60)])
-def test_equals_all_pairs_of_whole_encodings(spark, monkeypatch, shard, remembered, gathered):
-    for name, value in (("SHARD", shard), ("REMEMBERED", remembered), ("GATHERED", gathered)):
+@pytest.mark.parametrize("shard,remembered,gathered,call", [(1 << 20, 150_000, 1 << 20, 4096), (40, 30, 60, 50)])
+def test_equals_all_pairs_of_whole_encodings(spark, monkeypatch, shard, remembered, gathered, call):
+    for name, value in (("SHARD", shard), ("REMEMBERED", remembered), ("GATHERED", gathered), ("CALL", call)):
         monkeypatch.setattr(ta, name, value)
     random.seed(4)
     words = ["the", "of", "naïve", "tokens", "Überraschung", "x1", "don't", "42", "日本", "\n", "", "\t", "a"]
