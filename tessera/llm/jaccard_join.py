@@ -9,9 +9,9 @@ prefix trie.  A document walks its trie from the longest prefix that it has in c
 with others, and shortens it value by value, until it meets a leader that is close, or
 down to the length at which a pair at the threshold shares a prefix in some tree with
 the target probability.  It joins every leader within reach that it meets, and leads
-itself if none is close.  Two documents at the threshold have a leader in common by
-the triangle inequality, with room for the sketches' errors.  A subtree of more than
-``CROWD`` documents is dealt to several tasks, whose leaders meet in a second round.
+itself if none is close.  How far it reaches allows for the distance of a close leader and
+for the sketches' errors.  A subtree of more than ``CROWD`` documents is dealt to several
+tasks, whose leaders meet in a second round.
 
 A walk gives a forest of these joins, never its pairs.  What hangs together is
 verified exactly, in blocks of documents against blocks, which give each document's
@@ -25,6 +25,7 @@ replaced; others are carried along.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 from itertools import groupby
 
 import numpy as np
@@ -196,15 +197,21 @@ def overlaps(text: pa.Array, hasher: tb.Hasher, split: int) -> tuple[np.ndarray,
     owner = tb.owners(at)[order]
     common = np.bincount(ids)[ids] > 1 if len(ids) else np.zeros(0, bool)
     ids, owner = np.unique(ids[common], return_inverse=True)[1], owner[common]
-    out = np.zeros((split or n, n - split if split else n), np.float32)
+    out = np.zeros((split or n, n - split if split else n), np.int64)
     for lo in range(0, int(ids.max(initial=-1)) + 1, COLUMNS):
         a, b = np.searchsorted(ids, [lo, lo + COLUMNS])
         part = np.zeros((n, COLUMNS), np.float32)
         part[owner[a:b], ids[a:b] - lo] = 1
-        out += part[: split or n] @ part[split:].T
+        out += (part[: split or n] @ part[split:].T).astype(np.int64)
     return out, size
 
 
+def at_threshold(shared: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float) -> np.ndarray:
+    """Which pairs of sets have a similarity of ``threshold`` or more, by whole numbers: the threshold counts as the fraction nearest to it."""
+    share = Fraction(threshold).limit_denominator(10_000)
+    return shared * (share.numerator + share.denominator) >= share.numerator * (left[:, None] + right[None, :])
+
+
 def verified(texts: DataFrame, threshold: float, seed: int) -> DataFrame:
     """(a, b, n): a document with ``n`` links in a block, and the root of its part of the block's forest."""
 
@@ -214,7 +221,7 @@ def verified(texts: DataFrame, threshold: float, seed: int) -> DataFrame:
             return []
         shared, size = overlaps(pa.array(text, pa.large_string()), hasher, split)
         left, right = size[: split or len(size)], size[split:]
-        linked = shared * (1 + threshold) >= threshold * (left[:, None] + right[None, :]) - 1e-6
+        linked = at_threshold(shared, left, right, threshold)
         if not split:
             np.fill_diagonal(linked, False)
         count = linked.sum(1) if not split else np.concatenate([linked.sum(1), linked.sum(0)])
