@@ -31,10 +31,15 @@ def first_letter(df: DataFrame, instances: str = "instances", first: str = "firs
     Without a word of either language the percentages are 0, the ratio is ``0% : 0%``
     and ``unknown_words`` and ``total_words`` are null.
     """
-    one, two = scripts.range_of(F.col(first)), scripts.range_of(F.col(second))
-    # three passes of a pattern over all sentences; the patterns of a language are compiled once
-    count = lambda pattern: F.regexp_count(text.whole(F.col(instances)), pattern).cast("bigint")
-    counted = df.withColumns({"lang1_word_count": count(scripts.words_led_by(*one)), "lang2_word_count": count(scripts.words_led_by(*two, but=one)), "unknown_words": text.count_words(F.col(instances))})
+    (lo1, hi1), (lo2, hi2) = scripts.range_of(F.col(first)), scripts.range_of(F.col(second))
+    # the words of a row are split once, into the code points of their first letters
+    codes, *edges = text.spare(df, "_codes", "_lo1", "_hi1", "_lo2", "_hi2")
+    coded = df.withColumns({codes: text.first_letters(F.col(instances))} | dict(zip(edges, (lo1, hi1, lo2, hi2), strict=True)))
+    lo1, hi1, lo2, hi2 = map(F.col, edges)
+    one = lambda c: c.between(lo1, hi1)
+    count = lambda test: F.size(F.filter(codes, test)).cast("bigint")
+    counts = {"lang1_word_count": count(one), "lang2_word_count": count(lambda c: c.between(lo2, hi2) & ~one(c)), "unknown_words": F.size(codes).cast("bigint")}
+    counted = coded.withColumns(counts).drop(codes, *edges)
     counted = counted.withColumn("unknown_words", F.col("unknown_words") - F.col("lang1_word_count") - F.col("lang2_word_count"))
     return with_shares(counted, first, second)
 
@@ -46,6 +51,7 @@ def with_shares(counted: DataFrame, first: str = "first_language", second: str =
     share = lambda n: F.coalesce(F.try_divide(n.cast("double"), total.cast("double")) * 100, F.lit(0.0))
     shared = counted.withColumns({"lang1_percent": share(one), "lang2_percent": share(two), "total_words": F.when(total > 0, total), "unknown_words": F.when(total > 0, F.col("unknown_words"))})
     ratio = F.concat(text.one_decimal(F.col("lang2_percent")), F.lit("% "), F.col(second), F.lit(" : "), text.one_decimal(F.col("lang1_percent")), F.lit("% "), F.col(first))
+    # fixed values: the texts of details and of an empty ratio
     details = F.concat(F.lit("Counted "), one, F.lit(" "), F.col(first), F.lit(" words and "), two, F.lit(" "), F.col(second), F.lit(" words."))
     return shared.withColumns({"computed_ratio": F.when(total > 0, ratio).otherwise("0% : 0%"), "details": F.when(total > 0, details).otherwise("No words detected in text.")})
 
@@ -78,18 +84,19 @@ def script_majority(df: DataFrame, instances: str = "instances", first: str = "f
     A character of both scripts counts for the matrix language.  ``N/A`` and score 0
     where a script is unknown, both are one, or no word is of either.
     """
-    known = df.withColumns({"_m": scripts.script_of(F.col(first)), "_e": scripts.script_of(F.col(second))})
-    vote = lambda w: F.struct(scripts.characters_in(w, F.col("_m")).alias("m"), scripts.characters_in_either(w, F.col("_m"), F.col("_e")).alias("both"))
-    voted = known.withColumn("_votes", F.transform(_all(instances, text.word_characters), vote))
-    valid = (F.col("_m") != "unknown") & (F.col("_e") != "unknown") & (F.col("_m") != F.col("_e"))
-    size = lambda more: F.when(valid, F.size(F.filter("_votes", more))).otherwise(0).cast("bigint")
-    counted = voted.withColumns({"matrix_count": size(lambda v: v["m"] > v["both"] - v["m"]), "embedded_count": size(lambda v: v["both"] - v["m"] > v["m"])}).drop("_votes")
+    m, e, votes = text.spare(df, "_m", "_e", "_votes")
+    known = df.withColumns({m: scripts.script_of(F.col(first)), e: scripts.script_of(F.col(second))})
+    vote = lambda w: F.struct(scripts.characters_in(w, F.col(m)).alias("m"), scripts.characters_in_either(w, F.col(m), F.col(e)).alias("both"))
+    voted = known.withColumn(votes, F.transform(_all(instances, text.word_characters), vote))
+    valid = (F.col(m) != "unknown") & (F.col(e) != "unknown") & (F.col(m) != F.col(e))
+    size = lambda more: F.when(valid, F.size(F.filter(votes, more))).otherwise(0).cast("bigint")
+    counted = voted.withColumns({"matrix_count": size(lambda v: v["m"] > v["both"] - v["m"]), "embedded_count": size(lambda v: v["both"] - v["m"] > v["m"])}).drop(votes)
     share, total = matrix_percent(F.col("matrix_count"), F.col("embedded_count")), F.col("matrix_count") + F.col("embedded_count")
     notes = (  # fixed values
-        F.when((F.col("_m") == "unknown") | (F.col("_e") == "unknown"), "Unknown script mapping for one or both languages; deterministic ratio not computed.")
-        .when(F.col("_m") == F.col("_e"), "Both languages share the same script; deterministic script-based ratio not possible.")
+        F.when((F.col(m) == "unknown") | (F.col(e) == "unknown"), "Unknown script mapping for one or both languages; deterministic ratio not computed.")
+        .when(F.col(m) == F.col(e), "Both languages share the same script; deterministic script-based ratio not possible.")
         .when(total == 0, "No identifiable script characters found for either language.")
-        .otherwise(F.concat(F.lit("Deterministic script ratio using "), F.col(first), F.lit("/"), F.col(second), F.lit(" ("), F.col("_m"), F.lit("/"), F.col("_e"), F.lit(").")))
+        .otherwise(F.concat(F.lit("Deterministic script ratio using "), F.col(first), F.lit("/"), F.col(second), F.lit(" ("), F.col(m), F.lit("/"), F.col(e), F.lit(").")))
     )
     result = {"computed_ratio": F.coalesce(F.concat(share, F.lit("% : "), 100 - share, F.lit("%")), F.lit("N/A")), "ratio_score": F.when(share.isNull(), 0.0).otherwise(scoring.step_score(share.cast("double"), F.col(target))), "notes": notes}
-    return counted.withColumns(result).drop("_m", "_e")
+    return counted.withColumns(result).drop(m, e)

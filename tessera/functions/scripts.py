@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions import text
-
 # The range of a word's first letter, by language name.
 LANGUAGE_RANGES = {
     "Arabic": (0x0600, 0x06FF),
@@ -24,8 +22,6 @@ LANGUAGE_RANGES = {
     "Russian": (0x0400, 0x04FF),
 }
 DEFAULT_RANGE = (0x0000, 0x00FF)
-#: What precedes a word's first letter, from the word's beginning on.
-WORD_BEGINNING = rf"(?<![^{text.SPACES}])[^\p{{L}}{text.SPACES}]*"
 
 # Lower-case language names by script.
 SCRIPT_LANGUAGES = {
@@ -89,13 +85,12 @@ def character_class(script: str) -> str:
     return "".join(rf"\x{{{lo:04X}}}-\x{{{hi:04X}}}" for lo, hi in SCRIPT_RANGES[script])
 
 
-def words_led_by(lo: Column, hi: Column, but: tuple[Column, Column] | None = None) -> Column:
-    """Pattern of a word's beginning whose first letter is in a range, and not in the other one."""
-    point = lambda x: F.format_string(r"\x{%x}", x)
-    inside = F.concat(F.lit("["), point(lo), F.lit("-"), point(hi), F.lit(r"&&\p{L}"))
-    if but is not None:
-        inside = F.concat(inside, F.lit("&&[^"), point(but[0]), F.lit("-"), point(but[1]), F.lit("]"))
-    return F.concat(F.lit(WORD_BEGINNING), inside, F.lit("]"))
+def in_script(code: Column, script: str) -> Column:
+    """Whether a code point is in a range of the script, which is any but Latin."""
+    found = F.lit(False)
+    for lo, hi in SCRIPT_RANGES[script]:
+        found = found | code.between(lo, hi)
+    return found
 
 
 def characters_in(text: Column, script: Column) -> Column:

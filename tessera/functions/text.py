@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The 29 code points at which Python's str.split() splits.
@@ -17,7 +17,7 @@ def words(text: Column) -> Column:
 
 def count_words(instances: Column) -> Column:
     """Words of all sentences, those without letters included; 0 for none or null."""
-    return F.regexp_count(whole(instances), F.lit(f"[^{SPACES}]+")).cast("bigint")
+    return F.size(words(whole(instances))).cast("bigint")
 
 
 def whole(instances: Column) -> Column:
@@ -35,6 +35,22 @@ def first_letter(word: Column) -> Column:
     return F.ascii(F.regexp_extract(word, r"(\p{L})", 1))
 
 
+def first_letters(instances: Column) -> Column:
+    """``first_letter`` of each word of all sentences; an empty list for none or null."""
+    return F.transform(words(whole(instances)), first_letter)
+
+
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """Names that no column of ``df`` has, for columns that are dropped again."""
+    taken = {c.lower() for c in df.columns}
+    found = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        found.append(name)
+    return found
+
+
 def one_decimal(x: Column) -> Column:
     """A number with one decimal, ties to even."""
     return F.format_string("%.1f", F.bround(x, 1))
@@ -54,20 +70,31 @@ def one_line(text: Column, size: int = 200) -> Column:
     return F.substring(F.trim(F.replace(text, F.lit("\n"), F.lit(" "))), 1, size)
 
 
+def kind_of(raw: Column) -> Column:
+    """``list``, ``object``, ``number``, ``boolean``, ``text`` or ``null`` for a value of varying JSON type, given as raw text.
+
+    What is no JSON is the bare text of a string; null stays null.
+    """
+    shape = F.schema_of_variant(F.try_parse_json(raw))
+    of = F.when(shape.startswith("ARRAY"), "list").when(shape.startswith("OBJECT"), "object").when(shape == "BOOLEAN", "boolean").when(shape == "VOID", "null")
+    number = shape.isin("BIGINT", "DOUBLE", "FLOAT") | shape.startswith("DECIMAL")
+    return F.when(raw.isNotNull(), of.when(number, "number").otherwise("text"))
+
+
 def listed(raw: Column, compat: bool = False) -> Column:
     """One text for a value of varying JSON type (its raw JSON, or the bare text of a string).
 
     Items of a list are joined by ``; ``, of an object its keys.  A string stays as it
     is; with ``compat`` its characters are joined.  Null, empty and ``[]`` give ``''``.
     """
-    head = F.substring(F.ltrim(raw), 1, 1)
+    kind = kind_of(raw)
     items = F.array_join(F.from_json(raw, "array<string>"), "; ")
     keys = F.array_join(F.map_keys(F.from_json(raw, "map<string,string>")), "; ")
     plain = F.array_join(F.filter(F.split(raw, ""), lambda c: c != ""), "; ") if compat else raw
-    return F.coalesce(F.when(head == "[", items).when(head == "{", keys).otherwise(plain), F.lit(""))
+    return F.coalesce(F.when(kind == "list", items).when(kind == "object", keys).otherwise(plain), F.lit(""))
 
 
 def sentences(raw: Column) -> Column:
     """A list of sentences from raw JSON: a list as it is, a scalar as its only item, null for null."""
-    parsed = F.when(F.substring(F.ltrim(raw), 1, 1) == "[", F.from_json(raw, "array<string>"))
+    parsed = F.when(kind_of(raw) == "list", F.from_json(raw, "array<string>"))
     return F.coalesce(parsed, F.when(raw.isNotNull(), F.array(raw)))

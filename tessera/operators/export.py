@@ -67,3 +67,16 @@ def preview(exported: DataFrame, order: list[str], rows: int = 12, compat: bool
     notes = F.col("cs_ratio_notes").cast("string")
     notes = F.coalesce(notes, F.lit("nan")) if compat else notes
     return first.withColumns({"text": text.shortened(F.col("text")), "cs_ratio_notes": text.one_line(notes), "cs_ratio_score": text.two_decimals(F.col("cs_ratio_score"))})
+
+
+def items(df: DataFrame, key: str, raw: str) -> DataFrame:
+    """(key, kind, place, name, value): a row for each item of a list, each entry of an object, and each other value.
+
+    ``raw`` has values of varying JSON type as raw text (see ``text.kind_of``).  ``place`` counts items from 0, entries by name; ``name`` is
+    an entry's.  An empty list or object gives a row without them; null gives none.
+    """
+    typed = df.where(F.col(raw).isNotNull()).select(F.col(key).alias("of"), F.col(raw).alias("raw"), text.kind_of(F.col(raw)).alias("kind"), F.try_parse_json(raw).alias("parsed"))
+    shaped = typed.withColumn("parsed", F.when(F.col("kind").isin("list", "object"), F.col("parsed")))
+    each = shaped.lateralJoin(df.sparkSession.tvf.variant_explode_outer(F.col("parsed").outer()), how="left")
+    value = F.when(F.col("parsed").isNull(), F.col("raw")).otherwise(F.col("value").cast("string"))
+    return each.select(F.col("of").alias(key), "kind", F.col("pos").cast("bigint").alias("place"), F.col("key").alias("name"), value.alias("value"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text
-from tessera.functions.scripts import SCRIPT_RANGES, WORD_BEGINNING, character_class
+from tessera.functions.scripts import SCRIPT_RANGES, in_script
 
 
 def read_news(spark: SparkSession, path: str) -> DataFrame:
@@ -42,16 +42,49 @@ def with_news(scenarios: DataFrame, news: DataFrame) -> DataFrame:
 def words_by_script(df: DataFrame, key: str, instances: str = "instances") -> DataFrame:
     """(key, script, n_words): words whose first letter is in a range of the script.
 
-    A join on ranges would test every word against every range; a script's ranges are
-    one pattern instead, counted over all sentences, so that a row for each script, not
-    for each word, is summed by key.
+    The ranges are few and fixed, so each row tests the first letters of its words
+    itself, and a row for each script, not for each word, is summed by key.
     """
-    led_by = {name: F.lit(f"{WORD_BEGINNING}[{character_class(name)}&&\\p{{L}}]") for name in SCRIPT_RANGES}
-    counts = F.array(*(F.struct(F.lit(name).alias("script"), F.regexp_count(text.whole(F.col(instances)), p).cast("bigint").alias("n")) for name, p in led_by.items()))
-    scripts = df.select(key, F.inline(counts)).where("n > 0")
+    coded = df.select(key, text.first_letters(F.col(instances)).alias("codes"))
+    count = lambda name: F.size(F.filter("codes", lambda c: in_script(c, name))).cast("bigint")
+    counts = F.array(*(F.struct(F.lit(name).alias("script"), count(name).alias("n")) for name in SCRIPT_RANGES))
+    scripts = coded.select(key, F.inline(counts)).where("n > 0")
     return scripts.groupBy(key, "script").agg(F.sum("n").alias("n_words"))
 
 
+def within_ranges(points: DataFrame, ranges: DataFrame, point: str, lo: str = "lo", hi: str = "hi") -> DataFrame:
+    """Rows of ``points`` with each row of the table ``ranges`` that holds their whole number ``point`` (``lo`` to ``hi``, both included).
+
+    A range of up to 2^k numbers is in one or two bins of that size, whatever k is, so ranges of all widths
+    meet their points by equi-joins on (k, bin); a point looks at the sizes that occur, 64 at
+    most.  Empty ranges and nulls hold nothing.  Columns of both tables are kept; they must differ.
+    """
+    size, bin_, of, at = text.spare(points.crossJoin(ranges.limit(0)), "_size", "_bin", "_of", "_at")
+    width = F.col(hi).cast("decimal(20)") - F.col(lo).cast("decimal(20)")
+    # bits of the width; a wider range than 63 bits hold is one or two bins of the greatest size
+    power = F.when(width >= 2**62, 63).when(width > 0, F.length(F.bin(width.cast("bigint")))).otherwise(0)
+    sized = ranges.where(F.col(lo) <= F.col(hi)).withColumn(size, power.cast("int"))
+    sizes = sorted(r[0] for r in sized.select(size).distinct().collect())
+    bins = lambda x, k: F.expr(f"shiftright(cast(`{x}` as bigint), {k})")
+    binned = sized.withColumn(bin_, F.explode(F.sequence(bins(lo, f"`{size}`"), bins(hi, f"`{size}`"))))
+    looks = points.where(F.col(point).isNotNull()).withColumn(of, F.explode(F.array(*map(F.lit, sizes)).cast("array<int>"))).withColumn(at, bins(point, f"`{of}`"))
+    met = looks.join(binned, (F.col(of) == F.col(size)) & (F.col(at) == F.col(bin_)))
+    return met.where(F.col(point).between(F.col(lo), F.col(hi))).drop(size, bin_, of, at)
+
+
+def language_votes(df: DataFrame, ranges: DataFrame, key: str, instances: str = "instances") -> DataFrame:
+    """(key, language, n_words, most) by a table (language, lo, hi): words whose first letter is in a language's ranges.
+
+    A word counts once for each language whose ranges hold it; ``most`` is the language with most words, the first by name
+    of equals.  Letters are counted for each key before they meet the ranges.
+    """
+    letters = df.select(key, F.explode(text.first_letters(F.col(instances))).alias("code")).where("code > 0").groupBy(key, "code").agg(F.count("*").alias("n"))
+    hits = within_ranges(letters, ranges.select("language", "lo", "hi"), "code").select(key, "code", "n", "language").distinct()
+    votes = hits.groupBy(key, "language").agg(F.sum("n").alias("n_words"))
+    best = votes.groupBy(key).agg(F.min_by("language", F.struct(-F.col("n_words"), "language")).alias("most"))
+    return votes.join(best, key)
+
+
 def unseen(scenarios: DataFrame, seen: DataFrame) -> DataFrame:
     """The first scenario of each topic that ``seen`` doesn't have: those that add a topic to the set."""
     first = scenarios.groupBy("topic").agg(F.min("scenario_id").alias("scenario_id"))

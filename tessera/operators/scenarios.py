@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Mapping
 from math import prod
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import text
+
 #: Values of a list that is broadcast, at most.
 BROADCAST = 100_000
 #: Lists of a configuration by scenario column, the last of which changes fastest.
@@ -58,16 +60,40 @@ def product(spark: SparkSession, config: Mapping) -> DataFrame:
     return rows.withColumns(columns | constant)
 
 
-def cross_product(spark: SparkSession, lists: Mapping[str, list[str]]) -> DataFrame:
-    """The same product as joins of one-column tables, for lists that are tables already; no number.
+def values_of(column: DataFrame) -> list[str]:
+    """The different values of a table of one column, as texts in order; nulls aren't values.  More than ``BROADCAST`` are an error."""
+    found = [r[0] for r in column.toDF("value").select(F.col("value").cast("string").alias("value")).where("value is not null").distinct().orderBy("value").limit(BROADCAST + 1).collect()]
+    if len(found) > BROADCAST:
+        raise ValueError(f"more than {BROADCAST} values; use cross_product")
+    return found
+
+
+def config_of(columns: Mapping[str, DataFrame], first_language: str, second_language: str, use_tools: bool = False) -> dict:
+    """A configuration whose lists are the different values of tables of one column, by scenario column."""
+    made: dict = {"use_tools": use_tools, "character_setting": {"nationality": {"first_language": first_language, "second_language": second_language}}}
+    for column, path in LISTS.items():
+        inside = made
+        for step in path[:-1]:
+            inside = inside.setdefault(step, {})
+        inside[path[-1]] = values_of(columns[column])
+    return made
+
 
-    Lists of up to ``BROADCAST`` values are broadcast.
+def cross_product(columns: Mapping[str, DataFrame]) -> DataFrame:
+    """The same product, with ``scenario_id``, as joins of tables of one column, whose different values are the lists.
+
+    Lists of up to ``BROADCAST`` values are broadcast.  The values of each list are numbered by a window over
+    the list, and the numbers are the digits of ``scenario_id``.
     """
-    frames = [spark.createDataFrame([(v,) for v in values], f"`{name}` string") for name, values in lists.items()]
-    out = frames[0]
-    for frame, values in zip(frames[1:], list(lists.values())[1:], strict=True):
-        out = out.crossJoin(F.broadcast(frame) if len(values) <= BROADCAST else frame)
-    return out
+    out, number = None, F.lit(0).cast("bigint")
+    for name, column in columns.items():
+        values = column.toDF(name).select(F.col(name).cast("string").alias(name)).where(F.col(name).isNotNull()).distinct()
+        listed = values.withColumn(f"_{name}", F.row_number().over(Window.orderBy(name)).cast("bigint") - 1)
+        size = values.count()
+        number = number * size + F.col(f"_{name}")
+        listed = F.broadcast(listed) if size <= BROADCAST else listed
+        out = listed if out is None else out.crossJoin(listed)
+    return out.select(number.alias("scenario_id"), *columns)
 
 
 def first_of(df: DataFrame, key: str = "scenario_id") -> DataFrame:
@@ -84,9 +110,7 @@ def shuffled(df: DataFrame, key: str = "scenario_id", seed: str = "0") -> Column
 
 def batches(df: DataFrame, size: int = 40, limit: int = 8000, key: str = "scenario_id", seed: str = "0") -> DataFrame:
     """The first ``limit`` rows of a shuffle with ``batch_id``, ``size`` rows in each."""
-    from pyspark.sql import Window
-
-    order = shuffled(df, key, seed)
-    first = df.withColumn("_order", order).orderBy("_order", key).limit(limit)
-    number = F.row_number().over(Window.orderBy("_order", key))
-    return first.withColumn("batch_id", F.floor((number - 1) / size).cast("bigint")).drop("_order")
+    (place,) = text.spare(df, "_order")
+    first = df.withColumn(place, shuffled(df, key, seed)).orderBy(place, key).limit(limit)
+    number = F.row_number().over(Window.orderBy(place, key))
+    return first.withColumn("batch_id", F.floor((number - 1) / size).cast("bigint")).drop(place)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tessera.functions import ratio, scoring, text
 from tessera.plans import agents
 from tessera.plans import tools as registry
+from tessera.sources.storage import stored
 
 Stage = Callable[[DataFrame], DataFrame]
 
@@ -34,17 +35,23 @@ def with_ratio(df: DataFrame, method: str = "first_letter", notes: str | None =
         own = ["ratio_score", "computed_ratio", "notes", "matrix_count", "embedded_count"]
         if ask is None:
             return measured.withColumn("cs_ratio_result", F.struct("ratio_score", "computed_ratio", "notes")).drop(*own)
-        valid = F.col("computed_ratio") != "N/A"
-        asked = ask(measured.where(valid)).withColumn("cs_ratio_result", F.struct(F.col("cs_ratio_result.ratio_score").alias("ratio_score"), "computed_ratio", F.col("cs_ratio_result.notes").alias("notes")))
+        measured, valid = stored(measured, "measured"), F.col("computed_ratio") != "N/A"
+        # where the evaluator fails, what was measured stands
+        given = lambda part: F.coalesce(F.col("cs_ratio_result")[part], F.col(part)).alias(part)
+        asked = ask(measured.where(valid)).withColumn("cs_ratio_result", F.struct(given("ratio_score"), "computed_ratio", given("notes")))
         rest = measured.where(~valid).withColumn("cs_ratio_result", F.struct("ratio_score", "computed_ratio", "notes"))
-        return asked.drop(*own).unionByName(rest.drop(*own))
+        return asked.drop(*own).unionByName(rest.drop(*own), allowMissingColumns=True)
     if method != "first_letter":
         raise ValueError(f"unknown method {method!r}")
     own = ["lang1_word_count", "lang2_word_count", "unknown_words", "lang1_percent", "lang2_percent", "total_words", "computed_ratio", "details"]
     measured = ratio.first_letter(df)
     if ask is not None:
-        measured = ask(agents.ratio_context(measured)).withColumn("_said", F.col("cs_ratio_result.notes")).drop("cs_ratio_result")
-        notes, own = "_said", [*own, "_said", "actual_percent", "target_second_percent", "target_first_percent"]
+        answered = F.col("cs_ratio_result").isNotNull()
+        # a reply without notes gets the details, a failed call the details and the target
+        remark = F.coalesce(F.col("cs_ratio_result.notes"), F.when(answered, F.col("details")).otherwise(F.concat("details", F.lit(" Target: "), F.coalesce("cs_ratio", F.lit("")))))
+        (said_by,) = text.spare(measured, "_said")
+        measured = ask(agents.ratio_context(measured)).withColumn(said_by, remark).drop("cs_ratio_result")
+        notes, own = said_by, [*own, said_by, "actual_percent", "target_second_percent", "target_first_percent"]
     fallback = F.concat(F.lit("Target: "), F.coalesce("cs_ratio", F.lit("")), F.lit(", Actual: "), text.one_decimal(F.col("lang2_percent")), F.lit("%. "), F.col("details"))
     said = F.coalesce(F.col(notes), fallback) if notes else fallback
     score = scoring.linear_score(F.col("lang2_percent"), F.col("cs_ratio"))
@@ -90,13 +97,16 @@ def run(
         return scored(with_ratio(evaluate(df), method, notes, ask_ratio), weights)
 
     rows = judged(generate(scenarios)).withColumn("refine_count", F.lit(0))
-    decided = rows.withColumn("_decision", scoring.decision(F.col("score"), F.col("refine_count"), max_refine=max_refine))
+    decision = scoring.decision(F.col("score"), F.col("refine_count"), max_refine=max_refine)
     if refine_mode == "as_coded":
-        out = decided.withColumn("refine_count", F.when(F.col("_decision") == "REFINE", 3).otherwise(0)).drop("_decision")
+        out = rows.withColumn("refine_count", F.when(decision == "REFINE", 3).otherwise(0))
     else:
+        # both branches must see one evaluation: generators and evaluators may answer differently each time
+        (decided_by,) = text.spare(rows, "_decision")
+        decided = stored(rows.withColumn(decided_by, decision), "decided")
         results = ["instances", "fluency_result", "naturalness_result", "cs_ratio_result", "social_cultural_result", "score"]
-        again = decided.where("_decision = 'REFINE'").drop("_decision", *results)
+        again = decided.where(F.col(decided_by) == "REFINE").drop(decided_by, *results)
         redone = judged((refine or generate)(again)).withColumn("refine_count", F.lit(3))
-        out = decided.where("_decision <> 'REFINE'").drop("_decision").unionByName(redone)
+        out = decided.where(F.coalesce(F.col(decided_by) != "REFINE", F.lit(True))).drop(decided_by).unionByName(redone, allowMissingColumns=True)
     out = out.withColumn("summary", summary())
     return out.withColumn("mcp_result", registry.merged()) if tools else out

@@ -7,11 +7,16 @@ in SQL alike.  A document is a scenario and its lines are the generated sentence
 
 from __future__ import annotations
 
+import json
+import time
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import ratio, scoring, text
-from tessera.functions.scripts import SCRIPT_RANGES
+from tessera.functions.scripts import LANGUAGE_RANGES, SCRIPT_RANGES, ranges
 from tessera.operators import export, lookup, report, scenarios
 from tessera.plans import agents, pipeline, prompts, tools
 from tessera.sources import results
@@ -21,24 +26,29 @@ LATIN, ARABIC = "abcdefghijklmnopqrstuvwxyz", "ابتثجحخدذرزسشصضط
 #: The separators of text.WHITE_SPACE in the syntax of RE2.
 WS = text.WHITE_SPACE
 
-CONFIG = {
-    "topics": ["Travel", "Weather", "Market", "Kitchen", "School"],
-    "tense": ["Past", "Present", "Future"],
-    "perspective": ["First Person", "Third Person"],
-    "character_setting": {
-        "gender": ["Male", "Female"],
-        "age": ["8-17", "18-25", "26-35", "56-65", "66+"],
-        "education_level": ["High School", "College", "Master", "Doctor"],
-        "nationality": {"first_language": "Arabic", "second_language": "English"},
-    },
-    "cs_ratio": ["30%", "50%", "70%"],
-    "conversation_type": ["single_turn", "multi-turn"],
-    "cs_function": ["Directive", "Expressive", "Referential", "Phatic", "Metalinguistic", "Poetic"],
-    "cs_type": ["Intersentential", "Intrasentential", "Tag switching"],
-    "use_tools": True,
+#: The table and expression whose different values are the list of each scenario column.
+LISTS = {
+    "topic": ("region", "r_name"),
+    "tense": ("conversations", "role"),
+    "perspective": ("documents", "lang"),
+    "gender": ("labels", "quality"),
+    "age": ("customer", "c_mktsegment"),
+    "education_level": ("orders", "o_orderstatus"),
+    "cs_ratio": ("customer", "concat(20 * (c_custkey % 3) + 30, '%')"),
+    "conversation_type": ("lineitem", "l_linestatus"),
+    "cs_function": ("orders", "o_orderpriority"),
+    "cs_type": ("lineitem", "l_returnflag"),
 }
 
 
+def lists(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return {name: spark.read.parquet(f"{sf_dir}/{table}.parquet").selectExpr(f"{value} AS {name}") for name, (table, value) in LISTS.items()}
+
+
+def product(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scenarios.product(spark, scenarios.config_of(lists(spark, sf_dir), "Arabic", "English", use_tools=True))
+
+
 def mixed(line: Column) -> Column:
     """A line with every word of a length divisible by three in Arabic letters."""
     word = lambda w: F.when(F.length(w) % 3 == 0, F.translate(F.lower(w), LATIN, ARABIC)).otherwise(w)
@@ -136,24 +146,23 @@ STATES_SQL = f"""{MEASURED}, states AS (
 
 
 def q_scenario_product(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scenarios.product(spark, CONFIG)
+    return product(spark, sf_dir)
 
 
 def product_sql() -> str:
-    lists, joins, number = scenarios.lists_of(CONFIG), [], "0"
-    for name, values in lists.items():
-        array = "[" + ", ".join(f"'{v}'" for v in values) + "]"
-        joins.append(f"(SELECT unnest({array}) AS {name}, generate_subscripts({array}, 1) - 1 AS i_{name})")
-        number = f"({number}) * {len(values)} + i_{name}"
-    return f"SELECT ({number})::BIGINT AS scenario_id, {', '.join(lists)}, true AS use_tools, 'Arabic' AS first_language, 'English' AS second_language FROM {' CROSS JOIN '.join(joins)}"
+    joins, number = [], "0"
+    for name, (table, value) in LISTS.items():
+        joins.append(f"(SELECT v AS {name}, row_number() OVER (ORDER BY v) - 1 AS i_{name}, count(*) OVER () AS n_{name} FROM (SELECT DISTINCT ({value})::VARCHAR AS v FROM {table}) WHERE v IS NOT NULL)")
+        number = f"({number}) * n_{name} + i_{name}"
+    return f"SELECT ({number})::BIGINT AS scenario_id, {', '.join(LISTS)}, true AS use_tools, 'Arabic' AS first_language, 'English' AS second_language FROM {' CROSS JOIN '.join(joins)}"
 
 
 def q_scenario_cross_product(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scenarios.cross_product(spark, scenarios.lists_of(CONFIG))
+    return scenarios.cross_product(lists(spark, sf_dir))
 
 
 def q_scenario_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scenarios.batches(scenarios.product(spark, CONFIG)).select("scenario_id", "batch_id")
+    return scenarios.batches(product(spark, sf_dir)).select("scenario_id", "batch_id")
 
 
 def q_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -361,7 +370,7 @@ def q_ratio_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ratio.script_majority(fixture(spark, sf_dir)).select("scenario_id", "cs_ratio", "computed_ratio", F.floor("ratio_score").cast("double").alias("ratio_score"))
-    return report.lines(rows, "scenario_id", "matrix").where("part < 5").unionByName(report.lines(rows.withColumn("ratio_score", F.lit(4.0)), "scenario_id", "matrix").where("part = 5"))
+    return report.lines(rows, "scenario_id", "matrix")
 
 
 def q_report_sentence_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -373,9 +382,10 @@ def q_deviation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_parse_computed_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shapes = ["63% Arabic : 37% English", "65% : 35%", "54.7% English : 45.3% Arabic", "0% : 0%", "N/A"]
-    shape = F.element_at(F.array(*map(F.lit, shapes)), (F.col("scenario_id") % 5 + 1).cast("int"))
-    return fixture(spark, sf_dir).select("scenario_id", report.parsed(shape).alias("p")).select("scenario_id", "p.*")
+    """The ratio texts of both methods, read back."""
+    docs = fixture(spark, sf_dir)
+    texts = ratio.first_letter(docs).select("scenario_id", F.lit("first_letter").alias("method"), "computed_ratio").unionByName(ratio.script_majority(docs).select("scenario_id", F.lit("script_majority").alias("method"), "computed_ratio"))
+    return texts.select("scenario_id", "method", report.parsed(F.col("computed_ratio")).alias("p")).select("scenario_id", "method", "p.*")
 
 
 # --- lookups, prompts and the whole pipeline ---
@@ -413,7 +423,7 @@ def q_unseen_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_first_scenario(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scenarios.first_of(scenarios.product(spark, CONFIG)).select("scenario_id", "topic", "cs_type")
+    return scenarios.first_of(product(spark, sf_dir)).select("scenario_id", "topic", "cs_type")
 
 
 def q_distinct_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -479,7 +489,8 @@ def q_tools_update(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_summary_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fixture(spark, sf_dir).select("scenario_id", *(F.struct(F.col("topic").alias("summary")).alias(c) for c in ("fluency_result", "naturalness_result", "cs_ratio_result", "social_cultural_result")))
+    scores = {"fluency_result": "fluency_score", "naturalness_result": "naturalness_score", "cs_ratio_result": "fluency_score", "social_cultural_result": "socio_cultural_score"}
+    rows = fixture(spark, sf_dir).select("scenario_id", *(F.struct(F.col(score).alias("score"), F.col("topic").alias("summary")).alias(c) for c, score in scores.items()))
     return rows.select("scenario_id", pipeline.summary().alias("summary"))
 
 
@@ -500,12 +511,139 @@ def q_pipeline_reevaluate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("scenario_id", F.round("score", 6).alias("score"), "refine_count", F.size("instances").cast("bigint").alias("n_sentences"))
 
 
+# --- calls that fail, and calls that are kept ---
+
+
+def q_prompt_braces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Braces in a value are text, whatever stands in them."""
+    docs = fixture(spark, sf_dir).withColumn("remark", F.concat(F.lit("say {cs_ratio} of {topic} and {remark}, "), "topic"))
+    return docs.select("scenario_id", agents.rendered("{topic}: {remark} at {cs_ratio} {}", docs.columns).alias("prompt"))
+
+
+def q_failing_evaluator(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An evaluator that fails at some rows: the counted score stands there, with the details and the target as notes."""
+
+    def judge(prompt: str) -> str:
+        if prompt == "topic4":
+            raise TimeoutError("no answer")
+        return "{}" if prompt == "topic5" else json.dumps({"ratio_score": 1, "computed_ratio": "wrong", "notes": f"asked about {prompt}"})
+
+    asked = agents.Evaluator("cs_ratio_result", "{topic}", agents.CS_RATIO_REPLY, agents.called(judge, retries=1, error="failure"))
+    rows = pipeline.with_ratio(fixture(spark, sf_dir), ask=asked)
+    return rows.select("scenario_id", F.round("cs_ratio_result.ratio_score", 6).alias("ratio_score"), "cs_ratio_result.computed_ratio", "cs_ratio_result.notes", "failure")
+
+
+def q_resumable_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs that ask about every scenario, of which the first leaves failures: how many runs asked for each prompt, and its reply."""
+    docs = fixture(spark, sf_dir).withColumn("sentences", F.array_join("instances", " "))
+    log, template = agents.ReplyLog(results.folder(spark, "replies")), "{topic}: {sentences}"
+
+    def answer(prompt: str) -> str:
+        return f"{len(prompt)} characters"
+
+    def sometimes(prompt: str) -> str:
+        if prompt.startswith("topic4"):
+            raise ConnectionError("busy")
+        return answer(prompt)
+
+    prompt = agents.rendered(template, docs.columns)
+    log.ask(sometimes, retries=0)(docs, prompt, "reply")
+    second = log.ask(answer, retries=0)(docs, prompt, "reply")
+    log.ask(answer, retries=0)(docs, prompt, "reply")  # asks nobody
+    asked = log.entries(spark).groupBy("prompt_sha256").agg(F.countDistinct("job").alias("n_runs"), F.count("*").alias("n_calls"))
+    return second.withColumn("prompt_sha256", F.sha2(prompt, 256)).join(asked, "prompt_sha256").select("scenario_id", "reply", "n_runs", "n_calls")
+
+
+# --- values of varying type, and tables of ranges ---
+
+
+def q_variant_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists, objects, texts and numbers in one column, as rows."""
+    shapes = [F.to_json("instances"), F.to_json(F.create_map("topic", "cs_ratio")), F.col("topic"), F.col("fluency_score").cast("string")]
+    rows = fixture(spark, sf_dir).withColumn("raw", F.element_at(F.array(*shapes), (F.col("scenario_id") % 4 + 1).cast("int")))
+    return export.items(rows, "scenario_id", "raw")
+
+
+def q_range_join_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each line of an order, how many orders' totals begin a band that its price is in, and the widest of them.
+
+    A band is a hundredth of the total wide, so that bands have all widths.
+    """
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    bands = orders.select(F.col("o_orderkey").alias("band"), F.floor("o_totalprice").alias("lo"), F.floor(F.col("o_totalprice") * 1.01).alias("hi"))
+    prices = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", F.floor("l_extendedprice").alias("price"))
+    met = lookup.within_ranges(prices, bands, "price")
+    return met.groupBy("l_orderkey", "l_linenumber", "price").agg(F.count("*").alias("n_bands"), F.max(F.col("hi") - F.col("lo")).alias("widest"))
+
+
+def q_language_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each language by the table of its ranges, and the language with most."""
+    return lookup.language_votes(fixture(spark, sf_dir), ranges(spark), "scenario_id")
+
+
+# --- streams with a deadline, state and memory ---
+
+
+def _arriving(rows: DataFrame, parts: Column, n: int, source: str, first: int = 0) -> None:
+    """Write the rows of each part as one more file of a stream's source, in order."""
+    for k in range(first, n):
+        rows.where(parts == k).coalesce(1).write.mode("append").json(source)
+
+
+def q_stream_deadline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four batches, the third of which takes too long: its rows are noted as late, the others' are accepted."""
+    source, sink, late, notes = (results.folder(spark, n) for n in ("arriving", "in-time", "late", "notes"))
+    rows = _states(spark, sf_dir).select("scenario_id", "score")
+    _arriving(rows, F.col("scenario_id") % 4, 4, source)
+
+    def stuck(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows and batch.column(0)[0].as_py() % 4 == 2:
+                time.sleep(3600)
+            yield batch
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        batch.mapInArrow(stuck, batch.schema).write.mode("overwrite").json(f"{sink}/batch={batch_id}")
+
+    schema = "scenario_id bigint, score double"
+    arriving = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(source)
+    accept.timed_batches(arriving, handle, results.folder(spark, "progress"), 25.0, notes, late)
+    status = accept.noted(spark, notes).select("batch_id", "status")
+    done = spark.read.schema(schema).option("recursiveFileLookup", True).json(sink).withColumn("batch_id", F.regexp_extract(F.input_file_name(), "batch=([0-9]+)", 1).cast("bigint"))
+    both = done.unionByName(spark.read.schema(f"{schema}, batch_id bigint").json(late))
+    return both.join(status, "batch_id").select("scenario_id", "score", "batch_id", "status")
+
+
+def q_refine_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Refinements of each scenario as a stream's state: two batches, a restart, and one more."""
+    source, sink, progress = (results.folder(spark, n) for n in ("events", "states", "progress"))
+    rows = _states(spark, sf_dir).select("scenario_id", "refine_count", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("step"))
+    decision = F.when((F.col("scenario_id") + F.col("step")) % 2 == 0, "REFINE").otherwise("ACCEPT")
+    rows = rows.select("scenario_id", "step", (F.col("refine_count") + F.col("step")).alias("refine_count"), decision.alias("decision"))
+    schema = "scenario_id bigint, step int, refine_count int, decision string"
+    for first, n in ((0, 2), (2, 3)):
+        _arriving(rows, F.col("step"), n, source, first)
+        arriving = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(source)
+        accept.refine_states(spark, arriving, sink, progress)
+    return accept.refined(spark, sink)
+
+
+def q_new_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Topics that no earlier batch and no article had, over three batches and a restart."""
+    source, sink, progress = (results.folder(spark, n) for n in ("talks", "topics", "progress"))
+    rows, schema = fixture(spark, sf_dir).select("scenario_id", "topic"), "scenario_id bigint, topic string"
+    for first, n in ((0, 2), (2, 3)):
+        _arriving(rows, F.col("scenario_id") % 3, n, source, first)
+        arriving = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(source)
+        accept.new_topics(arriving, _news(spark, sf_dir), sink, progress)
+    return spark.read.schema(schema).json(sink).groupBy("topic").agg(F.count("*").alias("n_times"))
+
+
 QUERIES = {name.removeprefix("q_"): f for name, f in list(globals().items()) if name.startswith("q_")} | {"flagship": flagship}
 
 _COUNTS = f"SELECT {', '.join(COUNTS)} FROM measured"
 ORACLES = {
     "scenario_product": product_sql(),
-    "scenario_cross_product": "SELECT topic, tense, 5::BIGINT AS n_ages FROM (SELECT unnest(['Travel', 'Weather', 'Market', 'Kitchen', 'School']) AS topic) CROSS JOIN (SELECT unnest(['Past', 'Present', 'Future']) AS tense)",
     "scenario_batches": f"SELECT scenario_id, ((row_number() OVER (ORDER BY md5('0:' || scenario_id), scenario_id) - 1) // 40)::BIGINT AS batch_id FROM (SELECT scenario_id FROM ({product_sql()}) ORDER BY md5('0:' || scenario_id), scenario_id LIMIT 8000)",
     "progress": "SELECT * FROM (SELECT doc_id AS scenario_id, row_number() OVER (ORDER BY doc_id) AS n_done FROM documents) WHERE n_done % 10 = 0",
     "word_count_tool": f"WITH {FIXTURE} SELECT scenario_id, count(w) AS word_count FROM fixture LEFT JOIN words USING (scenario_id) GROUP BY scenario_id",
@@ -526,20 +664,16 @@ ORACLES = {
     "accept_refine": f"WITH {MEASURED} SELECT scenario_id, CASE WHEN score < 8 THEN 'REFINE' ELSE 'ACCEPT' END AS first_decision, CASE WHEN score < 8 THEN 3 ELSE 0 END AS refine_count, 'ACCEPT' AS final_decision FROM finished",
     "strict_gates": f"WITH {MEASURED} SELECT scenario_id, CASE WHEN score < 8 OR least(fluency_score, naturalness_score, ratio_score, socio_cultural_score) < 5 THEN 'REFINE' ELSE 'ACCEPT' END AS decision FROM finished",
     "accept_sink_roundtrip": f"WITH {STATES_SQL} SELECT scenario_id, topic, CASE WHEN scenario_id % 2 = 0 THEN 'Arabic' ELSE 'English' END AS first_language, round(score, 6) AS score, refine_count, array_to_string(kept, '|') AS sentences FROM states",
-    "stream_accept": f"WITH {STATES_SQL} SELECT scenario_id, 'Arabic' AS first_language, round(score, 6) AS score, (scenario_id % 2)::INT AS refine_count, CASE WHEN round(score, 6) < 8 AND scenario_id % 2 = 0 THEN 'REFINE' ELSE 'ACCEPT' END AS decision FROM states",
     "export_sentences": f"WITH {STATES_SQL}, rows AS (SELECT *, unnest(CASE WHEN len(kept) = 0 THEN [NULL] ELSE kept END) AS text, generate_subscripts(CASE WHEN len(kept) = 0 THEN [NULL] ELSE kept END, 1) - 1 AS sentence_index FROM states) SELECT topic, text, round(score, 6) AS score, fluency_score, round(ratio_score, 6) AS cs_ratio_score, fluency_errors, '' AS naturalness_observations, 'No' AS socio_cultural_issues, computed_ratio AS cs_ratio_computed, cs_ratio, refine_count, sentence_index, 'polite' AS socio_cultural_summary, 'Arabic' AS first_language, NULL::VARCHAR AS tense FROM rows",
     "export_scenarios": f"WITH {STATES_SQL} SELECT scenario_id, topic, round(score, 6) AS score, cs_ratio, 'Arabic' AS first_language, refine_count, to_json(kept)::VARCHAR AS instances FROM states",
-    "join_any": f"WITH {FIXTURE} SELECT scenario_id, CASE scenario_id % 4 WHEN 0 THEN array_to_string(list_filter(regexp_split_to_array(instances[1], '{WS}'), lambda w: w <> '')[1:3], '; ') WHEN 1 THEN 'a; b' WHEN 2 THEN topic ELSE '' END AS plain, CASE scenario_id % 4 WHEN 0 THEN array_to_string(list_filter(regexp_split_to_array(instances[1], '{WS}'), lambda w: w <> '')[1:3], '; ') WHEN 1 THEN 'a; b' WHEN 2 THEN array_to_string(string_split(topic, ''), '; ') ELSE '' END AS compat FROM fixture",
     "preview": f"WITH {STATES_SQL}, rows AS (SELECT *, topic || '-' || lpad(scenario_id::VARCHAR, 6, '0') AS name, unnest(CASE WHEN len(kept) = 0 THEN [NULL] ELSE kept END) AS text, generate_subscripts(CASE WHEN len(kept) = 0 THEN [NULL] ELSE kept END, 1) - 1 AS sentence_index FROM states) SELECT name AS topic, cs_ratio, computed_ratio AS cs_ratio_computed, printf('%.2f', round(ratio_score, 6)) AS cs_ratio_score, 'Target: ' || cs_ratio AS cs_ratio_notes, sentence_index, refine_count, CASE WHEN length(text) > 120 THEN substring(text, 1, 120) || '...' ELSE text END AS text FROM rows ORDER BY name, sentence_index LIMIT 12",
     "ratio_stats": f"WITH {MEASURED} SELECT count(*) AS n, round(min(ratio_score), 6) AS min_score, round(max(ratio_score), 6) AS max_score, round(avg(ratio_score), 6) AS mean_score FROM scored",
     "ratio_mismatch": "WITH " + SCRIPT_SQL.replace(" IN (7, 8)", " IN (10, 11)").rpartition("SELECT scenario_id, m AS")[0] + " SELECT scenario_id, coalesce(cs_ratio = 'Low' OR p <> target OR p IS NULL, true) AS mismatch FROM pct",
-    "parse_computed_ratio": "SELECT doc_id AS scenario_id, [63.0, 65.0, 54.7, 0.0, NULL][doc_id % 5 + 1]::DOUBLE AS first_percent, [37.0, 35.0, 45.3, 0.0, NULL][doc_id % 5 + 1]::DOUBLE AS second_percent, ['Arabic', NULL, 'English', NULL, NULL][doc_id % 5 + 1] AS first_language, ['English', NULL, 'Arabic', NULL, NULL][doc_id % 5 + 1] AS second_language FROM documents",
     "news_pick": f"WITH {FIXTURE}, {NEWS_SQL} SELECT * FROM picked",
     "news_lookup": f"WITH {FIXTURE}, {NEWS_SQL} SELECT scenario_id, topic, coalesce(article, '') AS article FROM fixture LEFT JOIN picked USING (topic)",
     "distinct_topics": "SELECT DISTINCT 'topic' || (doc_id % 9) AS topic FROM documents",
     "prompt_render": f"WITH {FIXTURE} SELECT scenario_id, 'Write about ' || topic || ' in Arabic with ' || cs_ratio || ' English; {{unknown}} stays.' AS prompt FROM fixture",
     "replay": f"WITH {FIXTURE} SELECT scenario_id, CASE WHEN topic <> 'topic4' THEN 'reply to ' || topic || ' ' || cs_ratio END AS answer FROM fixture",
-    "summary_text": "SELECT doc_id AS scenario_id, 'Fluency Result: {\"summary\":\"' || t || '\"}' || chr(10) || 'Naturalness Result: {\"summary\":\"' || t || '\"}' || chr(10) || 'CS Ratio Result: {\"summary\":\"' || t || '\"}' || chr(10) || 'Social Cultural Result: {\"summary\":\"' || t || '\"}' AS summary FROM (SELECT doc_id, 'topic' || (doc_id % 9) AS t FROM documents)",
     "pipeline_as_coded": f"WITH {MEASURED}, n AS (SELECT scenario_id, count(*) AS n FROM words GROUP BY ALL) SELECT scenario_id, round(score, 6) AS score, CASE WHEN score < 8 THEN 3 ELSE 0 END AS refine_count, 'Target: ' || cs_ratio || ', Actual: ' || printf('%.1f', lang2_percent) || '%. ' || details AS notes, coalesce(n, 0)::VARCHAR AS word_count FROM finished LEFT JOIN n USING (scenario_id)",
     "pipeline_reevaluate": f"WITH {MEASURED} SELECT scenario_id, round(CASE WHEN score < 8 THEN 9.0::DOUBLE * 0.3::DOUBLE + naturalness_score * 0.25::DOUBLE + CASE cs_ratio WHEN '50%' THEN 10.0 WHEN 'Low' THEN 5.0 ELSE 0.0 END * 0.2::DOUBLE + socio_cultural_score * 0.25::DOUBLE ELSE score END, 6) AS score, CASE WHEN score < 8 THEN 3 ELSE 0 END AS refine_count, CASE WHEN score < 8 THEN 1 ELSE len(instances) END AS n_sentences FROM finished",
     "flagship": f"WITH {MEASURED} SELECT scenario_id, topic, cs_ratio, lang1_word_count, lang2_word_count, computed_ratio, round(ratio_score, 6) AS ratio_score, round(score, 6) AS score, CASE WHEN score < 8 THEN 'REFINE' ELSE 'ACCEPT' END AS decision FROM finished",
@@ -550,14 +684,17 @@ _SHOWN = "coalesce(p || '% : ' || (100 - p) || '%', 'N/A')"
 _STEP = "CASE WHEN p IS NULL THEN 0 WHEN abs(p - target) <= 5 THEN 10 WHEN abs(p - target) <= 10 THEN 8 WHEN abs(p - target) <= 15 THEN 6 WHEN abs(p - target) <= 20 THEN 4 WHEN abs(p - target) <= 25 THEN 2 ELSE 0 END"
 _OFF = "coalesce(cs_ratio = 'Low' OR p <> target OR p IS NULL, true)"
 _TARGET = "coalesce(try_cast(rtrim(cs_ratio, '%') AS DOUBLE), 0.0)"
+_STREAMED = f"WITH {STATES_SQL} SELECT scenario_id, 'Arabic' AS first_language, round(score, 6) AS score, (scenario_id % 2)::INT AS refine_count, CASE WHEN round(score, 6) < 8 AND scenario_id % 2 = 0 THEN 'REFINE' ELSE 'ACCEPT' END AS decision FROM states"
 ORACLES |= {
-    "scenario_cross_product": f"SELECT {', '.join(scenarios.lists_of(CONFIG))} FROM ({product_sql()})",
+    "scenario_cross_product": f"SELECT scenario_id, {', '.join(LISTS)} FROM ({product_sql()})",
     "join_any": f"WITH {FIXTURE} SELECT scenario_id, {_ALL_WORDS} AS plain, {_ALL_WORDS} AS compat FROM fixture",
-    "stream_accept": ORACLES["stream_accept"] + " WHERE NOT (round(score, 6) < 8 AND scenario_id % 2 = 0)",
-    "stream_refine": ORACLES["stream_accept"] + " WHERE round(score, 6) < 8 AND scenario_id % 2 = 0",
+    "stream_accept": _STREAMED + " WHERE NOT (round(score, 6) < 8 AND scenario_id % 2 = 0)",
+    "stream_refine": _STREAMED + " WHERE round(score, 6) < 8 AND scenario_id % 2 = 0",
     "refine_counts": f"WITH {STATES_SQL} SELECT scenario_id, (2 * refine_count)::INT AS refine_count FROM states",
     "results_read": f"WITH {STATES_SQL}, rows AS (SELECT *, unnest(CASE WHEN scenario_id % 3 = 1 THEN [array_to_string(kept, chr(10))] ELSE kept END) AS text, generate_subscripts(CASE WHEN scenario_id % 3 = 1 THEN [''] ELSE kept END, 1) - 1 AS sentence_index FROM states) SELECT topic, text, round(score, 6) AS score, fluency_score, CASE scenario_id % 3 WHEN 0 THEN fluency_errors ELSE topic END AS fluency_errors, computed_ratio AS cs_ratio_computed, sentence_index, 'Arabic' AS first_language, NULL::VARCHAR AS tense FROM rows",
-    "report_lines": f"WITH {_MAJORITY}, c AS (SELECT *, {_OFF} AS off FROM pct) SELECT 0 AS part, NULL::BIGINT AS key, 'rows: ' || count(*) AS line FROM c UNION ALL SELECT 1, NULL, 'columns: scenario_id, cs_ratio, computed_ratio, ratio_score' UNION ALL SELECT 2, NULL, 'mismatch_count: ' || count(*) FROM c WHERE off UNION ALL SELECT 3, NULL, 'sample_mismatches:' UNION ALL SELECT 4, scenario_id, '- row ' || scenario_id || ': cs_ratio=' || cs_ratio || ' computed_ratio=' || {_SHOWN} || ' ratio_score=' || {_STEP} FROM c WHERE off UNION ALL SELECT 5, NULL, 'ratio_score stats: count=' || count(*) || ' min=4 max=4 mean=4' FROM c",
+    "report_lines": f"WITH {_MAJORITY}, c AS (SELECT *, {_OFF} AS off FROM pct) SELECT 0 AS part, NULL::BIGINT AS key, 'rows: ' || count(*) AS line FROM c UNION ALL SELECT 1, NULL, 'columns: scenario_id, cs_ratio, computed_ratio, ratio_score' UNION ALL SELECT 2, NULL, 'mismatch_count: ' || count(*) FROM c WHERE off UNION ALL SELECT 3, NULL, 'sample_mismatches:' UNION ALL SELECT 4, scenario_id, '- row ' || scenario_id || ': cs_ratio=' || cs_ratio || ' computed_ratio=' || {_SHOWN} || ' ratio_score=' || {_STEP} FROM c WHERE off UNION ALL SELECT 5, NULL, 'ratio_score stats: count=' || count(*) || ' min=' || min(s) || ' max=' || max(s) || ' mean=' || regexp_replace(avg(s)::VARCHAR, '[.]0$', '') FROM (SELECT {_STEP} AS s FROM c)",
+    "parse_computed_ratio": f"WITH {MEASURED}{_MAJORITY[len(FIXTURE) :]} SELECT scenario_id, 'first_letter' AS method, CASE WHEN total_words IS NULL THEN 0 ELSE printf('%.1f', lang2_percent)::DOUBLE END AS first_percent, CASE WHEN total_words IS NULL THEN 0 ELSE printf('%.1f', lang1_percent)::DOUBLE END AS second_percent, CASE WHEN total_words IS NOT NULL THEN 'English' END AS first_language, CASE WHEN total_words IS NOT NULL THEN 'Arabic' END AS second_language FROM measured UNION ALL SELECT scenario_id, 'script_majority', p, 100 - p, NULL, NULL FROM pct",
+    "summary_text": f"WITH {FIXTURE}, said AS (SELECT scenario_id, kind, score, ' Result: {{\"score\":' || score || ',\"summary\":\"' || topic || '\"}}' AS line FROM (SELECT scenario_id, topic, unnest(['Fluency', 'Naturalness', 'CS Ratio', 'Social Cultural']) AS kind, unnest([fluency_score, naturalness_score, fluency_score, socio_cultural_score]) AS score, FROM fixture)) SELECT scenario_id, string_agg(kind || line, chr(10) ORDER BY list_position(['Fluency', 'Naturalness', 'CS Ratio', 'Social Cultural'], kind)) AS summary FROM said GROUP BY scenario_id",
     "report_sentence_lines": f"WITH {FIXTURE}{SENTENCES_SQL} SELECT scenario_id, NULL::INT AS sentence, 'row ' || scenario_id || ':' AS line FROM (SELECT DISTINCT scenario_id FROM sentences) UNION ALL SELECT scenario_id, sentence, '  sentence ' || (sentence + 1) || ': matrix_pct=' || CASE WHEN matrix + embedded > 0 THEN round_even(100 * matrix / (matrix + embedded)::DOUBLE, 0)::INT::VARCHAR ELSE 'N/A' END || ' words=' || matrix || '/' || embedded FROM sentences",
     "deviation": f"WITH {MEASURED} SELECT scenario_id, round(lang2_percent - try_cast(rtrim(cs_ratio, '%') AS DOUBLE), 6) AS deviation FROM measured",
     "news_sample": f"WITH {FIXTURE}, {NEWS_SQL} SELECT topic, article FROM news ORDER BY md5('0:' || topic || ':' || article), topic, article LIMIT 1",
@@ -569,4 +706,13 @@ ORACLES |= {
     "ratio_evaluator_skipped": f"WITH {_MAJORITY}, c AS (SELECT *, scenario_id % 9 = 3 AS foreign_one FROM pct) SELECT scenario_id, CASE WHEN foreign_one OR p IS NULL THEN 0.0 ELSE 6.5 END::DOUBLE AS ratio_score, CASE WHEN foreign_one THEN 'N/A' ELSE {_SHOWN} END AS computed_ratio, CASE WHEN foreign_one THEN 'Unknown script mapping for one or both languages; deterministic ratio not computed.' WHEN p IS NULL THEN 'No identifiable script characters found for either language.' ELSE 'asked about topic' || (scenario_id % 9) END AS notes FROM c",
     "ratio_evaluator_notes": f"WITH {MEASURED} SELECT scenario_id, round(score, 6) AS score, computed_ratio, 'asked about ' || topic AS notes FROM finished",
     "tools_update": f"WITH {FIXTURE}, n AS (SELECT scenario_id, count(*) AS n FROM words GROUP BY ALL) SELECT scenario_id, coalesce(n, 0)::VARCHAR AS word_count, topic AS kept, CASE WHEN scenario_id % 3 = 0 THEN 'ERROR: integer division or modulo by zero' ELSE (scenario_id // (scenario_id % 3))::VARCHAR END AS third FROM fixture LEFT JOIN n USING (scenario_id)",
+    "prompt_braces": f"WITH {FIXTURE} SELECT scenario_id, topic || ': say {{cs_ratio}} of {{topic}} and {{remark}}, ' || topic || ' at ' || cs_ratio || ' {{}}' AS prompt FROM fixture",
+    "failing_evaluator": f"WITH {MEASURED} SELECT scenario_id, round(ratio_score, 6) AS ratio_score, computed_ratio, CASE topic WHEN 'topic4' THEN details || ' Target: ' || cs_ratio WHEN 'topic5' THEN details ELSE 'asked about ' || topic END AS notes, CASE topic WHEN 'topic4' THEN 'TimeoutError: no answer' END AS failure FROM scored",
+    "resumable_calls": f"WITH {FIXTURE}, asked AS (SELECT scenario_id, topic, topic || ': ' || array_to_string(instances, ' ') AS prompt FROM fixture) SELECT scenario_id, length(prompt) || ' characters' AS reply, CASE WHEN topic = 'topic4' THEN 2 ELSE 1 END::BIGINT AS n_runs, CASE WHEN topic = 'topic4' THEN 2 ELSE 1 END::BIGINT AS n_calls FROM asked",
+    "variant_items": f"WITH {FIXTURE}, rows AS (SELECT scenario_id, 'list' AS kind, unnest(instances) AS value, generate_subscripts(instances, 1) - 1 AS place, NULL::VARCHAR AS name FROM fixture WHERE scenario_id % 4 = 0 UNION ALL SELECT scenario_id, 'object', cs_ratio, 0, topic FROM fixture WHERE scenario_id % 4 = 1 UNION ALL SELECT scenario_id, 'text', topic, NULL, NULL FROM fixture WHERE scenario_id % 4 = 2 UNION ALL SELECT scenario_id, 'number', fluency_score::VARCHAR, NULL, NULL FROM fixture WHERE scenario_id % 4 = 3) SELECT * FROM rows",
+    "range_join_table": "SELECT l_orderkey, l_linenumber, price, count(*) AS n_bands, max(hi - lo) AS widest FROM (SELECT l_orderkey, l_linenumber, floor(l_extendedprice)::BIGINT AS price FROM lineitem) JOIN (SELECT floor(o_totalprice)::BIGINT AS lo, floor(o_totalprice * 1.01::DOUBLE)::BIGINT AS hi FROM orders) ON price BETWEEN lo AND hi GROUP BY ALL",
+    "language_votes": f"WITH {FIXTURE}, ranges(language, lo, hi) AS (VALUES {', '.join(f"('{n}', {lo}, {hi})" for n, (lo, hi) in LANGUAGE_RANGES.items())}), votes AS (SELECT scenario_id, language, count(*) AS n_words FROM coded JOIN ranges ON code BETWEEN lo AND hi GROUP BY ALL) SELECT *, first_value(language) OVER (PARTITION BY scenario_id ORDER BY n_words DESC, language) AS most FROM votes",
+    "stream_deadline": f"WITH {STATES_SQL} SELECT scenario_id, round(score, 6) AS score, scenario_id % 4 AS batch_id, CASE WHEN scenario_id % 4 = 2 THEN 'timed out' ELSE 'done' END AS status FROM states",
+    "refine_states": f"WITH {STATES_SQL} SELECT scenario_id, 3 * refine_count + 3 AS refine_count, 3 AS decisions, CASE WHEN scenario_id % 2 = 0 THEN 'REFINE' ELSE 'ACCEPT' END AS decision FROM states",
+    "new_topics": "SELECT 'topic' || (doc_id % 9) AS topic, 1::BIGINT AS n_times FROM documents WHERE doc_id % 9 >= 7 GROUP BY 1",
 }

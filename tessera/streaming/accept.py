@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import time
+import uuid
+from collections.abc import Callable, Iterator
+
+from pyspark import InheritableThread
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from tessera.functions import scoring
 
@@ -36,3 +41,103 @@ def refine_counts(events: DataFrame) -> DataFrame:
 
 def accepted(spark: SparkSession, sink: str, schema: str) -> DataFrame:
     return spark.read.schema(f"{schema}, decision string, language string").json(sink).drop("language")
+
+
+def timed_batches(rows: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, limit: float, notes: str, late: str | None = None) -> None:
+    """Hand a stream's micro-batches to ``handle``; one that isn't done after ``limit`` seconds is cancelled, and the stream goes on.
+
+    A batch's Spark jobs are cancelled by a tag of its own; work of ``handle`` outside of jobs is not.  Each batch is noted as
+    a row (batch_id, status, seconds, noted_at) in the folder ``notes``, ``done`` or ``timed out``; a batch that is handed out again is noted again, and
+    ``handle`` must bear that, as with any sink.  The rows of a cancelled batch are appended to ``late``, if given, with
+    their ``batch_id``.  Other failures end the stream.  Handles what is there and ends.
+    """
+
+    def one(batch: DataFrame, batch_id: int) -> None:
+        spark, tag, failed = batch.sparkSession, f"batch-{uuid.uuid4().hex}", []
+        context, began = spark.sparkContext, time.monotonic()
+
+        def work() -> None:
+            context.addJobTag(tag)
+            try:
+                handle(batch, batch_id)
+            except Exception as error:
+                failed.append(error)
+            finally:
+                context.removeJobTag(tag)
+
+        thread = InheritableThread(target=work)
+        thread.start()
+        thread.join(limit)
+        out_of_time = thread.is_alive()
+        while thread.is_alive():  # again, as its next job may have begun in between
+            context.cancelJobsWithTag(tag)
+            thread.join(1)
+        if failed and not out_of_time:
+            raise failed[0]
+        if out_of_time and late is not None:
+            batch.withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode("append").json(late)
+        status = "timed out" if out_of_time else "done"
+        spark.createDataFrame([(batch_id, status, time.monotonic() - began, time.time())], NOTES).coalesce(1).write.mode("append").json(notes)
+
+    rows.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+NOTES = "batch_id bigint, status string, seconds double, noted_at double"
+
+
+def noted(spark: SparkSession, notes: str) -> DataFrame:
+    """The last note of each batch."""
+    return spark.read.schema(NOTES).json(notes).groupBy("batch_id").agg(F.max_by(F.struct("status", "seconds"), "noted_at").alias("n")).select("batch_id", "n.*")
+
+
+class RefineState(StatefulProcessor):
+    """For each scenario the sum of its refinements, how often it was decided and its last decision, kept in the state store."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("refined", "refine_count int, decisions int, decision string")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:  # noqa: N802, N803
+        refined, decisions, last = self.state.get() or (0, 0, None)
+        for row in sorted(rows, key=lambda r: (r.step is not None, r.step)):
+            refined, decisions, last = refined + (row.refine_count or 0), decisions + 1, row.decision
+        self.state.update((refined, decisions, last))
+        yield Row(scenario_id=key[0], refine_count=refined, decisions=decisions, decision=last)
+
+    def close(self) -> None:
+        pass
+
+
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+REFINED = "scenario_id bigint, refine_count int, decisions int, decision string"
+
+
+def refine_states(spark: SparkSession, events: DataFrame, sink: str, checkpoint: str) -> None:
+    """Keep each scenario's refinements as state over a stream of (scenario_id, step, refine_count, decision), and append what changed.
+
+    Handles what is there and ends; a later call with the same checkpoint goes on with the state as it was.  Steps of a
+    scenario in one batch are taken in their order.  ``refined`` reads the last states.
+    """
+    before = spark.conf.get(STATE_STORE)
+    spark.conf.set(STATE_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        states = events.groupBy("scenario_id").transformWithState(RefineState(), REFINED, "Update", "None")
+        write = lambda batch, k: batch.withColumn("batch_id", F.lit(k).cast("bigint")).write.mode("overwrite").json(f"{sink}/batch={k}")
+        states.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(STATE_STORE, before)
+
+
+def refined(spark: SparkSession, sink: str) -> DataFrame:
+    """The last state of each scenario."""
+    states = spark.read.schema(f"{REFINED}, batch_id bigint").option("recursiveFileLookup", True).json(sink)
+    return states.groupBy("scenario_id").agg(F.max_by(F.struct("refine_count", "decisions", "decision"), "batch_id").alias("s")).select("scenario_id", "s.*")
+
+
+def new_topics(scenarios: DataFrame, seen: DataFrame, sink: str, checkpoint: str) -> None:
+    """Append the rows of a stream that are the first of their topic, over all batches and calls, and whose topic isn't in the table ``seen``.
+
+    Topics that came are state of the stream, so that a later call with the same checkpoint goes on from there; the table
+    is joined as it is when a batch runs.
+    """
+    fresh = scenarios.join(seen.select("topic").distinct(), "topic", "left_anti").dropDuplicates(["topic"])
+    fresh.writeStream.format("json").option("path", sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

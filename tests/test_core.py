@@ -300,7 +300,7 @@ def test_evaluators_and_generators_with_typed_replies(spark):
     assert tuple(row.cs_ratio_result) == (0.0, "54.7% English : 45.3% Arabic", "too much English")
     assert row.naturalness_result.observations == '{"sentence_1":"x"}' and row.social_cultural_result.issues == '["a",1]'
     said["ratio"] = "no JSON"
-    assert pipeline.run(base, generate, evaluate, ask_ratio=judges["cs_ratio_result"]).first().cs_ratio_result.notes.endswith("Counted 29 Arabic words and 35 English words.")
+    assert pipeline.run(base, generate, evaluate, ask_ratio=judges["cs_ratio_result"]).first().cs_ratio_result.notes == "Counted 29 Arabic words and 35 English words. Target: 30%"
     noted = pipeline.run(base.withColumn("remark", F.lit("fine")), generate, evaluate, notes="remark").first()
     assert noted.cs_ratio_result.notes == "fine"
     shown = agents.ratio_context(ratio.first_letter(talk(spark, ONE, target="30%"))).first()
