@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 from math import prod
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text
+from tessera.sources.storage import stored
 
 #: Values of a list that is broadcast, at most.
 BROADCAST = 100_000
@@ -60,22 +62,29 @@ def product(spark: SparkSession, config: Mapping) -> DataFrame:
     return rows.withColumns(columns | constant)
 
 
-def values_of(column: DataFrame) -> list[str]:
-    """The different values of a table of one column, as texts in order; nulls aren't values.  More than ``BROADCAST`` are an error."""
-    found = [r[0] for r in column.toDF("value").select(F.col("value").cast("string").alias("value")).where("value is not null").distinct().orderBy("value").limit(BROADCAST + 1).collect()]
+def different(columns: Mapping[str, DataFrame]) -> DataFrame:
+    """(list, value): the different values of tables of one column, as texts, in one pass; nulls aren't values."""
+    parts = [column.toDF("value").select(F.lit(name).alias("list"), F.col("value").cast("string").alias("value")) for name, column in columns.items()]
+    return reduce(DataFrame.unionByName, parts).where("value is not null").distinct()
+
+
+def values_of(columns: Mapping[str, DataFrame]) -> dict[str, list[str]]:
+    """The different values of tables of one column, in order; more than ``BROADCAST`` in all are an error."""
+    found = different(columns).limit(BROADCAST + 1).collect()
     if len(found) > BROADCAST:
         raise ValueError(f"more than {BROADCAST} values; use cross_product")
-    return found
+    return {name: sorted((r.value for r in found if r.list == name), key=str.encode) for name in columns}
 
 
 def config_of(columns: Mapping[str, DataFrame], first_language: str, second_language: str, use_tools: bool = False) -> dict:
     """A configuration whose lists are the different values of tables of one column, by scenario column."""
     made: dict = {"use_tools": use_tools, "character_setting": {"nationality": {"first_language": first_language, "second_language": second_language}}}
+    values = values_of({column: columns[column] for column in LISTS})
     for column, path in LISTS.items():
         inside = made
         for step in path[:-1]:
             inside = inside.setdefault(step, {})
-        inside[path[-1]] = values_of(columns[column])
+        inside[path[-1]] = values[column]
     return made
 
 
@@ -85,11 +94,12 @@ def cross_product(columns: Mapping[str, DataFrame]) -> DataFrame:
     Lists of up to ``BROADCAST`` values are broadcast.  The values of each list are numbered by a window over
     the list, and the numbers are the digits of ``scenario_id``.
     """
-    out, number = None, F.lit(0).cast("bigint")
-    for name, column in columns.items():
-        values = column.toDF(name).select(F.col(name).cast("string").alias(name)).where(F.col(name).isNotNull()).distinct()
-        listed = values.withColumn(f"_{name}", F.row_number().over(Window.orderBy(name)).cast("bigint") - 1)
-        size = values.count()
+    out, number, values = None, F.lit(0).cast("bigint"), stored(different(columns), "lists")
+    sizes = {r.list: r.n for r in values.groupBy("list").agg(F.count("*").alias("n")).collect()}
+    for name in columns:
+        own = values.where(F.col("list") == name).select(F.col("value").alias(name))
+        listed = own.withColumn(f"_{name}", F.row_number().over(Window.orderBy(name)).cast("bigint") - 1)
+        size = sizes.get(name, 0)
         number = number * size + F.col(f"_{name}")
         listed = F.broadcast(listed) if size <= BROADCAST else listed
         out = listed if out is None else out.crossJoin(listed)

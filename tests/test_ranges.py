@@ -50,7 +50,7 @@ def test_products_of_tables(spark):
 def test_too_many_values_for_a_list(spark, monkeypatch):
     monkeypatch.setattr(scenarios, "BROADCAST", 3)
     with pytest.raises(ValueError, match="more than 3"):
-        scenarios.values_of(spark.range(4))
+        scenarios.values_of({"a": spark.range(4)})
     assert scenarios.cross_product({"a": spark.range(4), "b": spark.range(5)}).count() == 20
 
 
