@@ -11,9 +11,25 @@ from pyspark.sql import functions as F
 from tessera.functions import ratio, scoring, scripts, text
 from tessera.operators import export, lookup, report, scenarios
 from tessera.plans import agents, pipeline, tools
-from tessera.queries import CONFIG
 from tessera.sources import config, results
 
+CONFIG = {
+    "topics": ["Travel", "Weather", "Market", "Kitchen", "School"],
+    "tense": ["Past", "Present", "Future"],
+    "perspective": ["First Person", "Third Person"],
+    "character_setting": {
+        "gender": ["Male", "Female"],
+        "age": ["8-17", "18-25", "26-35", "56-65", "66+"],
+        "education_level": ["High School", "College", "Master", "Doctor"],
+        "nationality": {"first_language": "Arabic", "second_language": "English"},
+    },
+    "cs_ratio": ["30%", "50%", "70%"],
+    "conversation_type": ["single_turn", "multi-turn"],
+    "cs_function": ["Directive", "Expressive", "Referential", "Phatic", "Metalinguistic", "Poetic"],
+    "cs_type": ["Intersentential", "Intrasentential", "Tag switching"],
+    "use_tools": True,
+}
+
 ONE = "الفريق بدأ المباراة بشكل قوي جدًا وحقق تقدم كبير في البداية. But then the defense couldn't keep up and things started to fall apart."
 TWO = "الجمهور كان متحمس جدًا في الربع الأول. The mood shifted quickly after halftime when the game got tense."
 THREE = "الخسارة كانت صعبة على الجميع، خصوصًا بعد الأداء القوي في البداية. It's frustrating to see them lose after such a promising start."
@@ -269,7 +285,7 @@ def test_whole_lists_news_and_product(spark, sf_dir):
     for r in queries.q_news_pick(spark, sf_dir).collect():
         title, _, content = r.article.partition("\n")
         assert content == "\n".join(docs[int(title.removeprefix("title "))])
-    assert queries.q_scenario_cross_product(spark, sf_dir).distinct().count() == scenarios.count(queries.CONFIG)
+    assert queries.q_scenario_cross_product(spark, sf_dir).distinct().count() == scenarios.count(scenarios.config_of(queries.lists(spark, sf_dir), "Arabic", "English"))
 
 
 def test_tools_that_fail_at_a_row_and_in_sql(spark):
