@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text
 from tessera.functions.scripts import SCRIPT_RANGES, in_script
 
+#: Rows that a task holds while it looks for the least of each key.
+HELD = 50_000
+
 
 def read_news(spark: SparkSession, path: str) -> DataFrame:
     """(topic, article) from JSON lines of news; blank lines give no row."""
@@ -27,6 +34,42 @@ def pick_one(news: DataFrame, seed: str = "0") -> DataFrame:
     return news.groupBy("topic").agg(F.min_by("article", F.struct(order, F.col("article"))).alias("article"))
 
 
+def least_of_each(df: DataFrame, key: str, order: list[str], k: int) -> DataFrame:
+    """The ``k`` least rows of each key in each partition, by ``order``; the ``k`` least of all are among them.
+
+    A task sorts what it holds and one batch of rows at a time.  Beyond ``HELD`` rows it hands on what it holds, so
+    that a partition of many keys gives some more rows.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in (b for b in batches if b.num_rows):
+            rows = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch])
+            rows = rows.sort_by([(c, "ascending") for c in [key, *order]])
+            codes = np.asarray(rows.column(key).combine_chunks().dictionary_encode(null_encoding="encode").indices)
+            starts = np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))
+            place = np.arange(len(codes)) - np.repeat(starts, np.diff(np.append(starts, len(codes))))
+            held = rows.filter(pa.array(place < k))
+            if len(held) > HELD:
+                yield from held.to_batches()
+                held = None
+        if held is not None:
+            yield from held.to_batches()
+
+    return df.mapInArrow(run, df.schema)
+
+
+def pick_some(news: DataFrame, k: int, seed: str = "0") -> DataFrame:
+    """(topic, place, article): ``k`` articles of each topic, the least by a seeded hash, numbered from 1; fewer where there are no more.
+
+    Repeated rows count each.  At most ``k`` rows of a topic leave a partition, unless it has more topics than it holds.
+    """
+    order = F.md5(F.concat_ws(":", F.lit(seed), F.col("article")).cast("binary"))
+    few = least_of_each(news.select("topic", "article", order.alias("order")), "topic", ["order", "article"], k)
+    placed = few.withColumn("place", F.row_number().over(Window.partitionBy("topic").orderBy("order", "article")))
+    return placed.where(F.col("place") <= k).select("topic", "place", "article")
+
+
 def sample_one(news: DataFrame, seed: str = "0") -> DataFrame:
     """One row of all, whatever its topic: the least by a seeded hash, found by aggregation."""
     order = F.md5(F.concat_ws(":", F.lit(seed), F.col("topic"), F.col("article")).cast("binary"))

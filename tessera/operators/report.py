@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import ratio, scoring
@@ -96,3 +96,26 @@ def sentence_lines(counts: DataFrame, key: str) -> DataFrame:
     each = counts.select(key, "sentence", F.concat(F.lit("  sentence "), (F.col("sentence") + 1).cast("string"), F.lit(": matrix_pct="), shown, F.lit(" words="), "matrix", F.lit("/"), "embedded").alias("line"))
     heads = counts.select(key).distinct().select(key, F.lit(None).cast("int").alias("sentence"), F.concat(F.lit("row "), F.col(key).cast("string"), F.lit(":")).alias("line"))
     return heads.unionByName(each)
+
+
+def write_sentences(counts: DataFrame, key: str, path: str) -> None:
+    """``sentence_lines`` as a text report, in order; all lines below a heading are in the heading's file."""
+    ordered = sentence_lines(counts, key).repartitionByRange(key).sortWithinPartitions(key, F.col("sentence").asc_nulls_first())
+    ordered.select("line").write.text(path)
+
+
+def read_sentences(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """(key, sentence, matrix, embedded, matrix_pct) of such a report: a heading's number goes to all lines below it.
+
+    A record reaches from one heading to the next, wherever files are split.  ``key`` comes back as text, the sentence counts from
+    0 again, and a percentage that was none is null.  Lines of no known form, and those before a first heading, are left out.
+    """
+    records = spark.read.option("lineSep", "\nrow ").text(path)
+    headed = F.regexp_replace("value", r"^row ", "")  # of a file's first record
+    found = F.split(headed, "\n")
+    heading = F.regexp_extract(found[0], r"^(.*):$", 1)
+    below = records.where(found[0].endswith(":")).select(heading.alias(key), F.explode(F.slice(found, 2, F.size(found))).alias("line"))
+    shape = r"^  sentence (\d+): matrix_pct=(\d+|N/A) words=(\d+)/(\d+)$"
+    part = lambda k, kind: F.regexp_extract("line", shape, k).try_cast(kind)
+    numbers = [(part(1, "int") - 1).alias("sentence"), part(3, "bigint").alias("matrix"), part(4, "bigint").alias("embedded"), part(2, "int").alias("matrix_pct")]
+    return below.where(F.col("line").rlike(shape)).select(key, *numbers)

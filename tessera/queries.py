@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from tessera.functions import ratio, scoring, text
 from tessera.functions.scripts import LANGUAGE_RANGES, SCRIPT_RANGES, ranges
 from tessera.operators import export, lookup, report, scenarios
-from tessera.plans import agents, pipeline, prompts, tools
-from tessera.sources import results
+from tessera.plans import agents, pipeline, prompts, tables, tools
+from tessera.sources import batches, results, storage
+from tessera.sources import lists as list_source
 from tessera.streaming import accept
 
 LATIN, ARABIC = "abcdefghijklmnopqrstuvwxyz", "ابتثجحخدذرزسشصضطظعغفقكلمنه"
@@ -638,6 +639,53 @@ def q_new_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
         accept.new_topics(arriving, _news(spark, sf_dir), sink, progress)
     return spark.read.schema(schema).json(sink).groupBy("topic").agg(F.count("*").alias("n_times"))
 
+# --- table functions, sources and sinks ---
+
+
+def q_sentences_by_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables.register(spark)
+    return spark.sql("SELECT scenario_id, topic, sentence_index, text FROM sentences(TABLE({talks}), 'instances')", talks=fixture(spark, sf_dir))
+
+
+def q_failing_tool_by_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tool that can't handle every third row: these get their error, the others their value."""
+    tables.register(spark, {"third": tools.FunctionTool("third", lambda n: n // (n % 3), "scenario_id")})
+    return spark.sql("SELECT scenario_id, value, error FROM third_rows(TABLE({talks}))", talks=fixture(spark, sf_dir).select("scenario_id"))
+
+
+def q_repeated_appends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four batches, of which two come again, one of them after it was compacted: each row is there once."""
+    rows, path = _states(spark, sf_dir).select("scenario_id", "topic", "first_language", "score"), results.folder(spark, "batches")
+    schema = "scenario_id bigint, topic string, first_language string, score double"
+    some = lambda k: rows.where(F.col("scenario_id") % 4 == k).withColumn("first_language", F.when(F.col("scenario_id") % 3 == 0, "Arabic").otherwise("English"))
+    for k in (0, 1, 1):
+        batches.append(some(k), path, k)
+    batches.compact(spark, path, schema)
+    for k in (0, 2, 3, 3):
+        batches.append(some(k), path, k)
+    return batches.read(spark, path, schema).groupBy("scenario_id", "topic", "first_language", "score").agg(F.count("*").alias("n_times"))
+
+
+def q_news_pick_three(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup.pick_some(_news(spark, sf_dir), 3)
+
+
+def q_report_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = results.folder(spark, "report")
+    report.write_sentences(ratio.per_sentence(fixture(spark, sf_dir), "scenario_id"), "scenario_id", path)
+    return report.read_sentences(spark, path, "scenario_id").withColumn("scenario_id", F.col("scenario_id").cast("bigint"))
+
+
+def q_scenario_lists_product(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Configuration files with the tables' different values, read as a table, and the product of their lists."""
+    path = results.folder(spark, "lists")
+    for name, values in lists(spark, sf_dir).items():
+        values.distinct().agg(F.collect_list(name).alias(name)).coalesce(1).write.mode("append").json(path)
+    list_source.register(spark)
+    found = storage.stored(spark.read.format("scenario_lists").load(path), "values")
+    return scenarios.cross_product({name: found.where(F.col("name") == name).select(F.col("value").alias(name)) for name in LISTS})
+
+
 
 QUERIES = {name.removeprefix("q_"): f for name, f in list(globals().items()) if name.startswith("q_")} | {"flagship": flagship}
 
@@ -715,4 +763,10 @@ ORACLES |= {
     "stream_deadline": f"WITH {STATES_SQL} SELECT scenario_id, round(score, 6) AS score, scenario_id % 4 AS batch_id, CASE WHEN scenario_id % 4 = 2 THEN 'timed out' ELSE 'done' END AS status FROM states",
     "refine_states": f"WITH {STATES_SQL} SELECT scenario_id, 3 * refine_count + 3 AS refine_count, 3 AS decisions, CASE WHEN scenario_id % 2 = 0 THEN 'REFINE' ELSE 'ACCEPT' END AS decision FROM states",
     "new_topics": "SELECT 'topic' || (doc_id % 9) AS topic, 1::BIGINT AS n_times FROM documents WHERE doc_id % 9 >= 7 GROUP BY 1",
+    "sentences_by_sql": f"WITH {FIXTURE} SELECT scenario_id, topic, sentence AS sentence_index, line AS text FROM lines JOIN fixture USING (scenario_id)",
+    "failing_tool_by_sql": "SELECT doc_id AS scenario_id, CASE WHEN doc_id % 3 <> 0 THEN (doc_id // (doc_id % 3))::VARCHAR END AS value, CASE WHEN doc_id % 3 = 0 THEN 'ZeroDivisionError: integer division or modulo by zero' END AS error FROM documents",
+    "repeated_appends": f"WITH {STATES_SQL} SELECT scenario_id, topic, CASE WHEN scenario_id % 3 = 0 THEN 'Arabic' ELSE 'English' END AS first_language, round(score, 6) AS score, 1::BIGINT AS n_times FROM states",
+    "news_pick_three": f"WITH {FIXTURE}, {NEWS_SQL} SELECT topic, row_number() OVER (PARTITION BY topic ORDER BY md5('0:' || article), article) AS place, article FROM news QUALIFY place <= 3",
+    "report_read_back": f"WITH {FIXTURE}{SENTENCES_SQL} SELECT scenario_id, sentence, matrix, embedded, CASE WHEN matrix + embedded > 0 THEN round_even(100 * matrix / (matrix + embedded)::DOUBLE, 0)::INT END AS matrix_pct FROM sentences",
 }
+ORACLES["scenario_lists_product"] = ORACLES["scenario_cross_product"]
