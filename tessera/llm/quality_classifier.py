@@ -43,6 +43,8 @@ N_FEATURES = N_FREQUENCIES + 6 + 1
 #: Bytes of text at which frequencies are trusted by half.
 HALF_TRUST = 8
 DECAY = 1e-2
+#: Partial sums that a task, or the driver, adds up.
+FAN = 64
 #: Shares of the positives between which thresholds are looked at for the prior, and bins of raw scores.
 TOP, NEARLY_ALL, BINS, FARTHEST = 0.4, 0.99, 4096, 32.0
 
@@ -114,7 +116,10 @@ def table_of(docs: DataFrame, labels: DataFrame, doc_id: str, text: str) -> Data
 
 
 def summed(table: DataFrame, of: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray | None:
-    """The sum over a table's rows of the vectors that ``of(x, positive)`` gives for blocks of them; partial sums are added in tasks."""
+    """The sum over a table's rows of the vectors that ``of(x, positive)`` gives for blocks of them.
+
+    A task gives one partial sum.  Tasks add up ``FAN`` of them each, and ``FAN`` of those, until the driver is left with as many at most.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
@@ -134,7 +139,11 @@ def summed(table: DataFrame, of: Callable[[np.ndarray, np.ndarray], np.ndarray])
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["v"])
 
-    parts = table.select("x", "positive").mapInArrow(tb.tidy(run), "v binary").repartition(8).mapInArrow(tb.tidy(add), "v binary").collect()
+    parts, n = table.select("x", "positive").mapInArrow(tb.tidy(run), "v binary"), table.rdd.getNumPartitions()
+    while n > FAN:
+        n = -(-n // FAN)
+        parts = parts.repartition(n).mapInArrow(tb.tidy(add), "v binary")
+    parts = parts.collect()
     return sum(np.frombuffer(r.v) for r in parts) if parts else None
 
 
