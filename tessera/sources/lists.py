@@ -7,8 +7,8 @@ gives (file, name, place, value): a row for each item of each list of each YAML
 and one with place 0 for each single value.  Names of nested mappings are joined by dots.  A file is a
 partition.  The options ``files`` and ``names`` read only files and lists of these names, separated by commas.
 
-They are options and no pushed filters, as Spark 4.1 keeps the filters pushed to such a source with the loaded table: one
-table with two different filters in a query would be read with the last one in both places.
+They are options and no pushed filters: with pushed filters in Spark 4.1, a union of one loaded table under different
+filters gave wrong rows, as if the filters of one use were applied to the others as well.
 """
 
 from __future__ import annotations
