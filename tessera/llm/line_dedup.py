@@ -8,12 +8,19 @@ first occurrence stays.
 Windows are the shortest runs of lines with ``min_words`` words, one for each line
 they can begin or end at.  A window selects its least line hash (the last of
 equals) as fingerprint, so that equal runs are sure to share one.  Fingerprints that
-occur once end there.  Where one recurs, the windows that selected it are grouped
-by two independent hashes of all their lines, 122 bits: equal windows at a later position
-are repeats, and those that touch are one run.  Nothing is extended from a match.
+occur once end there.  A position of another one is joined with the fingerprint's
+first position, and the match extended line by line both ways, as far as windows that selected it
+reach.  A match of ``min_words`` words or more is a repeated run, and settles all windows inside.
+
+One line may stand in different surroundings, so windows of a position that its match
+doesn't settle remain.  Equal windows remain together, as they match the first position alike;
+they are grouped by two hashes of all their lines, and all but the first of a group are
+repeats.  So no pairs of positions are made.  Lines and windows are told apart by two independent
+hashes, 122 bits.  Repeats that touch are one run.
 
 A line counts without the ASCII white space around it; lines without words are
-skipped, and deleted when inside a repeated run.  Null texts stay null.  Rows of
+skipped, and deleted when inside a repeated run (one between two lines of ``min_words`` words
+or more is between two runs, and stays).  Null texts stay null.  Rows of
 one id and text are one document at one place: neither is a repeat of the other.
 Null ids come first.  ``n_lines`` and ``n_removed`` replace columns of those names;
 others are carried along.
@@ -86,36 +93,100 @@ def fingerprints(docs: DataFrame, min_words: int, seed: int) -> DataFrame:
     return docs.select("text").mapInArrow(tb.tidy(run), "fingerprint bigint")
 
 
-def selections(docs: DataFrame, min_words: int, seed: int) -> DataFrame:
-    """(fingerprint, doc_id, key, windows) of (doc_id, key, text): selected lines with the windows that selected them."""
-    window = pa.struct([("hash", pa.int64()), ("more", pa.int64()), ("first", pa.int32()), ("last", pa.int32())])
+LINE = pa.struct([("hash", pa.int64()), ("more", pa.int64()), ("words", pa.int32()), ("number", pa.int32())])
+
+
+def positions(docs: DataFrame, min_words: int, seed: int) -> DataFrame:
+    """(fingerprint, doc_id, key, line, at, lines) of (doc_id, key, text): selected lines, each as number ``at`` of the lines that its windows reach."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashers = [tb.Hasher(seed), tb.Hasher(seed + 1)]
         for batch in tb.slices(batches, "text"):
             hashes, words, number, lines = lines_of(batch.column("text"), hashers)
-            first, last, chosen, whole = windows(hashes, words, lines, min_words)
+            first, last, chosen, _ = windows(hashes[:1], words, lines, min_words)
             order = np.argsort(chosen, kind="stable")
             line, start = np.unique(chosen[order], return_index=True)
+            low, high = (f.reduceat(x[order], start) if len(start) else line for f, x in ((np.minimum, first), (np.maximum, last)))
+            size = high - low + 1
+            offsets = np.concatenate([[0], np.cumsum(size)])
+            reached = np.repeat(low - offsets[:-1], size) + np.arange(offsets[-1])
+            parts = [*(pa.array(h[reached].view(np.int64)) for h in hashes), *(pa.array(x[reached].astype(np.int32)) for x in (words, number))]
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(parts, fields=list(LINE)))
             owner = pa.array(np.searchsorted(lines, line, "right") - 1)
-            parts = [*(pa.array(w[order].view(np.int64)) for w in whole), *(pa.array(number[x[order]].astype(np.int32)) for x in (first, last))]
-            lists = pa.ListArray.from_arrays(pa.array(np.append(start, len(order)), pa.int32()), pa.StructArray.from_arrays(parts, fields=list(window)))
-            yield pa.RecordBatch.from_arrays([pa.array(hashes[0][line].view(np.int64)), batch.column("doc_id").take(owner), batch.column("key").take(owner), lists], names=["fingerprint", "doc_id", "key", "windows"])
+            places = [pa.array(hashes[0][line].view(np.int64)), batch.column("doc_id").take(owner), batch.column("key").take(owner), pa.array(number[line].astype(np.int32)), pa.array((line - low).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([*places, lists], names=["fingerprint", "doc_id", "key", "line", "at", "lines"])
 
-    rest = StructType.fromDDL("fingerprint bigint, key bigint, windows array<struct<hash: bigint, more: bigint, first: int, last: int>>").fields
+    rest = StructType.fromDDL("fingerprint bigint, key bigint, line int, at int, lines array<struct<hash: bigint, more: bigint, words: int, number: int>>").fields
     return docs.select("doc_id", "key", "text").mapInArrow(tb.tidy(run), StructType([rest[0], field(docs, "doc_id", "doc_id"), *rest[1:]]))
 
 
+class Surroundings:
+    """The lines around a batch of positions: all on end, where each position's begin, and the positions themselves."""
+
+    def __init__(self, lines: pa.ListArray, at: pa.Array) -> None:
+        flat = lines.flatten()
+        self.hashes = [np.asarray(flat.field(i)).view(tb.U64) for i in (0, 1)]
+        self.words, self.number = (np.asarray(flat.field(i)).astype(np.int64) for i in (2, 3))
+        self.offsets = np.concatenate([[0], np.cumsum(np.asarray(lines.value_lengths(), np.int64))])
+        self.at = self.offsets[:-1] + np.asarray(at)
+
+    def equal(self, here: np.ndarray, other: Surroundings, there: np.ndarray) -> np.ndarray:
+        return np.logical_and(*(a[here] == b[there] for a, b in zip(self.hashes, other.hashes, strict=True)))
+
+    def extended(self, other: Surroundings, step: int) -> np.ndarray:
+        """How many lines beyond each position, in the direction of ``step``, equal those beyond the other's."""
+        count = np.zeros(len(self.at), np.int64)
+        going = np.arange(len(self.at))
+        while len(going):
+            here, there = (s.at[going] + step * (count[going] + 1) for s in (self, other))
+            inside = [(s.offsets[going] <= x) & (x < s.offsets[going + 1]) for s, x in ((self, here), (other, there))]
+            inside = inside[0] & inside[1]
+            going, here, there = going[inside], here[inside], there[inside]
+            going = going[self.equal(here, other, there)]
+            count[going] += 1
+        return count
+
+
+def matches(joined: DataFrame, min_words: int) -> DataFrame:
+    """(doc_id, key, first, last, hash, more) of positions (doc_id, key, at, lines) with another (later, other_at, other_lines).
+
+    Repeated runs, without hashes, and the windows that no match settles.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, other = (Surroundings(batch.column(x + "lines"), batch.column(x + "at")) for x in ("", "other_"))
+            begin, end = own.at - own.extended(other, -1), own.at + own.extended(other, 1)
+            sums = np.concatenate([[0], np.cumsum(own.words)])
+            matched = own.equal(own.at, other, other.at) & (sums[end + 1] - sums[begin] >= min_words)
+            run_of = np.flatnonzero(matched & np.asarray(batch.column("later").to_numpy(zero_copy_only=False), bool))
+            first, last, chosen, whole = windows(own.hashes, own.words, own.offsets, min_words)
+            of = np.searchsorted(own.offsets, first, "right") - 1
+            left = np.flatnonzero((chosen == own.at[of]) & ~(matched[of] & (begin[of] <= first) & (last <= end[of])))
+            owner = pa.array(np.concatenate([run_of, of[left]]))
+            spans = [pa.array(own.number[np.concatenate([x[run_of], y[left]])].astype(np.int32)) for x, y in ((begin, first), (end, last))]
+            hashes = [pa.concat_arrays([pa.nulls(len(run_of), pa.int64()), pa.array(h[left].view(np.int64))]) for h in whole]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(owner), batch.column("key").take(owner), *spans, *hashes], names=["doc_id", "key", "first", "last", "hash", "more"])
+
+    rest = StructType.fromDDL("key bigint, first int, last int, hash bigint, more bigint").fields
+    return joined.mapInArrow(tb.tidy(run), StructType([field(joined, "doc_id", "doc_id"), *rest]))
+
+
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, key, runs) of (doc_id, key, text): spans of lines of the later repeated runs of each document that has any."""
     seed = tb.draw()
-    selected = selections(docs, min_words, seed)
     shared = cut(fingerprints(docs, min_words, seed).groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").select("fingerprint"))
-    places = cut(selected.join(shared, "fingerprint", "left_semi").select("doc_id", "key", F.inline("windows")))
-    position = F.struct("doc_id", "key", "first")
-    earliest = cut(places.groupBy("hash", "more").agg(F.min(position).alias("earliest"), F.count("*").alias("n")).where("n > 1").select("hash", "more", "earliest"))
-    later = places.join(earliest, ["hash", "more"]).where(position > F.col("earliest"))
-    return later.groupBy("doc_id", "key").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("runs"))
+    places = cut(positions(docs, min_words, seed).join(shared, "fingerprint", "left_semi"))
+    place = F.struct("doc_id", "key", "line")
+    first = places.groupBy("fingerprint").agg(F.min(F.struct("doc_id", "key", "line", "at", "lines")).alias("other"))
+    later = place > F.struct("other.doc_id", "other.key", "other.line")
+    joined = places.join(first, "fingerprint").select("doc_id", "key", "at", "lines", later.alias("later"), F.col("other.at").alias("other_at"), F.col("other.lines").alias("other_lines"))
+    found = cut(matches(joined, min_words))
+    left, position = found.where("hash IS NOT NULL"), F.struct("doc_id", "key", "first")
+    earliest = cut(left.groupBy("hash", "more").agg(F.min(position).alias("earliest"), F.count("*").alias("n")).where("n > 1").select("hash", "more", "earliest"))
+    again = left.join(earliest, ["hash", "more"]).where(position > F.col("earliest"))
+    runs = found.where("hash IS NULL").select("doc_id", "key", "first", "last").unionByName(again.select("doc_id", "key", "first", "last"))
+    return runs.groupBy("doc_id", "key").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("runs"))
 
 
 def without(text: str, runs: list[dict[str, int]]) -> tuple[str, int]:
