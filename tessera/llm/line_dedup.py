@@ -178,7 +178,8 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     shared = cut(fingerprints(docs, min_words, seed).groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").select("fingerprint"))
     places = cut(positions(docs, min_words, seed).join(shared, "fingerprint", "left_semi"))
     place = F.struct("doc_id", "key", "line")
-    first = places.groupBy("fingerprint").agg(F.min(F.struct("doc_id", "key", "line", "at", "lines")).alias("other"))
+    # written, so that the join reads two exchanges and a common fingerprint's partition can be split
+    first = cut(places.groupBy("fingerprint").agg(F.min(F.struct("doc_id", "key", "line", "at", "lines")).alias("other")))
     later = place > F.struct("other.doc_id", "other.key", "other.line")
     joined = places.join(first, "fingerprint").select("doc_id", "key", "at", "lines", later.alias("later"), F.col("other.at").alias("other_at"), F.col("other.lines").alias("other_lines"))
     found = cut(matches(joined, min_words))
