@@ -175,17 +175,19 @@ def walks(subtrees: DataFrame, depth: int, close: float, joined: float) -> DataF
     return ordered.mapInArrow(tb.tidy(run), "a bigint, b bigint, leads boolean, node bigint, label bigint, labels array<bigint>")
 
 
-def candidates(alone: DataFrame, depth: int, threshold: float, close: float = 0.85) -> DataFrame:
-    """(a, b): links that hold together all documents (member, labels) that may be at the threshold."""
+def candidates(alone: DataFrame, depth: int, threshold: float, close: float = 0.85) -> tuple[DataFrame, int]:
+    """(a, b): links that hold together all documents (member, labels) that may be at the threshold; and a bound of their number."""
     prefix = F.shiftrightunsigned("label", 8 * (DEEPEST - depth))
     placed = alone.select("member", F.posexplode("labels").alias("tree", "label")).withColumn("node", F.xxhash64("tree", prefix))
-    crowded = cut(placed.groupBy("node").agg(F.count("*").alias("n")).where("n > 1"))
+    crowded = cut(placed.groupBy("node").agg(F.count("*").alias("n")).where("n > 1"), TREES * alone.count() // 2)
     part = F.pmod(F.xxhash64("member"), F.ceil(F.col("n") / F.lit(CROWD)))
     members = placed.join(crowded, "node").join(alone.select("member", "labels"), "member")
-    found = cut(walks(members.select("node", part.alias("part"), "label", "member", "labels"), depth, close, reach(threshold, close)))
+    walked = crowded.agg(F.sum("n")).first()[0] or 0
+    found = cut(walks(members.select("node", part.alias("part"), "label", "member", "labels"), depth, close, reach(threshold, close)), walked)
     leaders = found.where("leads").join(crowded.where(F.col("n") > CROWD).select("node"), "node", "left_semi")
     again = walks(leaders.select("node", F.lit(0).alias("part"), "label", F.col("a").alias("member"), "labels"), depth, 2.0, reach(threshold, close, 2))
-    return found.where("not leads").select("a", "b").unionByName(again.where("not leads").select("a", "b")).distinct()
+    links = found.where("not leads").select("a", "b").unionByName(again.where("not leads").select("a", "b")).distinct()
+    return links, 2 * found.count()  # fewer than two of a second walk for each leader that was found
 
 
 def overlaps(text: pa.Array, hasher: tb.Hasher, split: int) -> tuple[np.ndarray, np.ndarray]:
@@ -253,9 +255,10 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
     depth, seed, sets = depth_for(threshold, recall), tb.draw(), ["set_a", "set_b", "size"]
     signed = cut(signatures(docs, seed))
     one = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")
+    n = signed.count()
     copies = signed.groupBy(*sets).agg(F.min(one).alias("one"), F.first("labels").alias("labels"))
-    alone = cut(copies.withColumn("member", F.monotonically_increasing_id()))
-    groups = cut(components(candidates(alone, depth, threshold)))
+    alone = cut(copies.withColumn("member", F.monotonically_increasing_id()), n)
+    groups = cut(components(*candidates(alone, depth, threshold)), n)
     blocks = groups.groupBy("root").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
     side = F.pmod(F.xxhash64("node", F.lit(2)), F.col("blocks")).cast("int")
     sided = groups.join(blocks, "root").select("root", F.col("node").alias("member"), "blocks", side.alias("side")).join(alone.select("member", F.col("one.doc_id").alias("of"), F.col("one.key").alias("with")), "member")
@@ -264,9 +267,9 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
     pairs = other.select("root", F.least("side", "other").alias("first"), F.greatest("side", "other").alias("second"), "side", F.col("member").alias("key"), "text")
     links = cut(verified(pairs, threshold, seed))
     counts = links.groupBy(F.col("a").alias("member")).agg(F.sum("n").alias("n_links"))
-    roots = components(links.select("a", "b")).withColumnRenamed("node", "member")
+    roots = components(links.select("a", "b"), links.count()).withColumnRenamed("node", "member")
     known = alone.select(*sets, "one", "member").join(counts, "member", "left").join(roots, "member", "left")
-    known = cut(known.select(*sets, "one", F.coalesce("root", "member").alias("root"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links")))
+    known = cut(known.select(*sets, "one", F.coalesce("root", "member").alias("root"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links")), n)
     named = known.groupBy("root").agg(F.min("one").alias("least")).select("root", F.col("least.doc_id").alias("class_id"), F.col("least.key").alias("keeper"))
     results = known.join(named, "root").select(*sets, "class_id", "keeper", "n_links")
     return signed.select("doc_id", "key", *sets).distinct().join(results, sets).drop(*sets)

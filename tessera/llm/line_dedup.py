@@ -179,12 +179,12 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     places = cut(positions(docs, min_words, seed).join(shared, "fingerprint", "left_semi"))
     place = F.struct("doc_id", "key", "line")
     # written, so that the join reads two exchanges and a common fingerprint's partition can be split
-    first = cut(places.groupBy("fingerprint").agg(F.min(F.struct("doc_id", "key", "line", "at", "lines")).alias("other")))
+    first = cut(places.groupBy("fingerprint").agg(F.min(F.struct("doc_id", "key", "line", "at", "lines")).alias("other")), shared.count())
     later = place > F.struct("other.doc_id", "other.key", "other.line")
     joined = places.join(first, "fingerprint").select("doc_id", "key", "at", "lines", later.alias("later"), F.col("other.at").alias("other_at"), F.col("other.lines").alias("other_lines"))
     found = cut(matches(joined, min_words))
     left, position = found.where("hash IS NOT NULL"), F.struct("doc_id", "key", "first")
-    earliest = cut(left.groupBy("hash", "more").agg(F.min(position).alias("earliest"), F.count("*").alias("n")).where("n > 1").select("hash", "more", "earliest"))
+    earliest = cut(left.groupBy("hash", "more").agg(F.min(position).alias("earliest"), F.count("*").alias("n")).where("n > 1").select("hash", "more", "earliest"), found.count() // 2)
     again = left.join(earliest, ["hash", "more"]).where(position > F.col("earliest"))
     runs = found.where("hash IS NULL").select("doc_id", "key", "first", "last").unionByName(again.select("doc_id", "key", "first", "last"))
     return runs.groupBy("doc_id", "key").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("runs"))

@@ -31,10 +31,20 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and read it back."""
+#: Rows of a file of a table that is known to be small.
+ROWS = 1 << 15
+
+
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Write ``df`` to the reliable checkpoint folder and read it back.
+
+    ``rows``, where it is known, is how many rows ``df`` has at most: few are written as few files.
+    On a local folder without Hadoop's native library an executor starts a process for each
+    file (``chmod``), which counts with all of the executor's memory until it runs.
+    What is computed since the last shuffle is done by as many tasks, so it should be little.
+    """
     checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return (df if rows is None else df.coalesce(max(1, -(-rows // ROWS)))).checkpoint(eager=True)
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
