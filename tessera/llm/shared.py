@@ -74,6 +74,21 @@ def open_array(path: str) -> np.ndarray:
         return np.frombuffer(file.read(), np.int64)
 
 
+def write_batch(path: str, batch: pa.RecordBatch) -> None:
+    """Write columns to a new file of the shared folder."""
+    store, place = _place(path)
+    store.create_dir(place.rpartition("/")[0], recursive=True)
+    with store.open_output_stream(place) as out, pa.ipc.new_file(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as writer:
+        writer.write_batch(batch)
+
+
+def read_batch(path: str) -> pa.RecordBatch:
+    """The columns of such a file."""
+    store, place = _place(path)
+    with store.open_input_file(place) as file:
+        return pa.ipc.open_file(file).get_batch(0)
+
+
 def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 

@@ -4,13 +4,14 @@ Tokenizer A is a byte-level BPE of the tokenizers library, which encodes a space
 text; B is a sentencepiece model, which adds that space itself.  Both cut the same bytes.
 Where both cut, a group ends; tokens whose byte ranges overlap are linked.
 
-1. Each task counts the pairs of its texts as packed 64-bit keys (B's id above A's), by
-   ``np.unique`` over what it has gathered.
+1. Each task encodes its texts and writes their alignments: a table of its different units into the
+   folder that the cluster shares, and for each text the numbers of its units there.  It counts the
+   pairs of a table as packed 64-bit keys (B's id above A's), by ``np.unique``.
 2. Spark range-partitions the partial counts by B's id and sorts them; runs of equal keys are
    summed, and all pairs of a B id are in one range, so that its highest count is known.
-   Each range is written as sorted shards, into the folder that the cluster shares.
-3. A second pass over the texts maps the shards into memory and looks its pairs up by
-   ``searchsorted``.  Pages are shared by all tasks of a machine, none holds the table.
+   Each range is written as sorted shards, into the same folder.
+3. A pass over what was written maps the shards into memory and looks the pairs of each table up by
+   ``searchsorted``.  Pages are shared by all tasks of a machine, none holds all counts.
 
 Both tokenizers cut before a single space between visible characters (``separable`` reads
 that off their files), so a text is cut there, and each different unit is encoded and aligned
@@ -32,15 +33,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from tessera.llm import textbytes as tb
 from tessera.llm.bpe import load
-from tessera.llm.shared import Carried, cut, open_array, quoted, shared_folder, write_array
+from tessera.llm.shared import Carried, cut, open_array, quoted, read_batch, shared_folder, write_array, write_batch
 
 RESULTS = "n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups string"
 #: Bytes of units that are encoded at once.
 CALL = 4096
-#: Different units that a task remembers before it starts afresh, distinct pairs that it gathers, and pairs of a shard.
+#: Different units, and links of them, that a task remembers before it starts afresh, and pairs of a shard.
 REMEMBERED, GATHERED, SHARD = 300_000, 1 << 20, 1 << 20
 LOW32 = np.int64((1 << 32) - 1)
 #: Lead bytes of characters that might be white space; they are treated as such.
@@ -124,6 +126,9 @@ class Aligner:
         self.ok, self.keys = np.zeros(0, bool), none
         self.groups: list[bytes] = []
 
+    def full(self) -> bool:
+        return len(self.known) > REMEMBERED or len(self.keys) > GATHERED
+
     def encoded(self, units: list[bytes]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray], np.ndarray]:
         """An order of the units, A's and B's ids in it, how many of each a unit has, and which units they reproduce."""
         sizes = np.fromiter(map(len, units), np.int64, len(units))
@@ -203,8 +208,6 @@ class Aligner:
 
     def units(self, text: pa.Array, strings: bool) -> tuple[np.ndarray, np.ndarray]:
         """The known unit of each unit of the texts, and where each text's begin; texts without tokens have none."""
-        if len(self.known) > REMEMBERED:
-            self.forget()
         at, first = self._placed(text, self.cuts, strings)
         bad = tb.per_text(~self.ok[at], first) > 0
         if bad.any() and self.cuts:  # not reproduced in units: as a whole, then
@@ -233,12 +236,6 @@ class Aligner:
             self.learn(new, strings)
         return np.fromiter((self.known[u] for u in units), np.int64, len(units))[numbers], first
 
-    def links_of(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Keys of the links of units, and where each unit's begin."""
-        n = self.n_links[units]
-        bounds = np.concatenate([[0], np.cumsum(n)])
-        return self.keys[np.arange(bounds[-1]) + np.repeat(self.starts[units] - bounds[:-1], n)], bounds
-
 
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order, and the sum of each one's counts."""
@@ -248,27 +245,47 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return found, sums
 
 
-def partial_counts(texts: DataFrame, models, seed: int) -> DataFrame:
-    """(b, key, n): counts of the linked pairs of each task's texts."""
+def encoded(packed: DataFrame, models, seed: int, folder: str | None, keep_text: bool = True) -> DataFrame:
+    """(row, text, path, units, key, n) of (row, text): what texts have, and counts of linked pairs.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = Aligner(*models.value, seed)
-        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    Each text has a row with the file of a table of units, in ``folder``, and numbers of units there (32 bits each).
+    Each table has a row for each pair that its texts link, with ``key`` and ``n`` only.  Without a folder these are all.
+    """
+    kinds = packed.schema["row"].dataType, packed.schema["text"].dataType
+    names = ["row", "text", "path", "units", "key", "n"]
 
-        def flushed() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(keys >> 32), pa.array(keys), pa.array(counts)], names=["b", "key", "n"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        aligner, path, times, types = Aligner(*models.value, seed), "", np.zeros(0, np.int64), None
+
+        def ended() -> pa.RecordBatch:
+            seen = times > 0  # units of a text that was encoded whole in the end may be without a place
+            keys, n_links = aligner.keys[np.repeat(seen, aligner.n_links)], np.where(seen, aligner.n_links, 0)
+            if folder:
+                links = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_links)])), pa.array(keys))
+                columns = [*(pa.array(x.astype(np.int32)) for x in (aligner.n_a, aligner.n_b, aligner.n_groups)), pa.array(aligner.groups, pa.large_binary()), links]
+                write_batch(path, pa.RecordBatch.from_arrays(columns, names=["n_a", "n_b", "n_groups", "groups", "links"]))
+            found, n = summed(keys, np.repeat(times, n_links))
+            return pa.RecordBatch.from_arrays([*(pa.nulls(len(found), t) for t in (*types, pa.string(), pa.binary())), pa.array(found), pa.array(n)], names=names)
 
         for batch in tb.slices(batches, "text"):
-            at, _ = aligner.units(batch.column("text"), False)
-            units, times = np.unique(at, return_counts=True)
-            links, bounds = aligner.links_of(units)
-            keys, counts = summed(np.concatenate([keys, links]), np.concatenate([counts, np.repeat(times, np.diff(bounds))]))
-            if len(keys) >= GATHERED:
-                yield flushed()
-                keys, counts = keys[:0], counts[:0]
-        yield flushed()
-
-    return texts.select("text").mapInArrow(tb.tidy(run), "b bigint, key bigint, n bigint")
+            if not path or aligner.full():
+                if path:
+                    yield ended()
+                    aligner.forget()
+                path, times, types = f"{folder}/{uuid.uuid4().hex}", times[:0], (batch.column("row").type, batch.column("text").type)
+            at, first = aligner.units(batch.column("text"), bool(folder))
+            more = np.bincount(at, minlength=len(aligner.ok))
+            more[: len(times)] += times
+            times, n = more, batch.num_rows
+            if folder:
+                units = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((first * 4).astype(np.int32)), pa.py_buffer(at.astype(np.int32))])
+                text = batch.column("text") if keep_text else pa.nulls(n, types[1])
+                yield pa.RecordBatch.from_arrays([batch.column("row"), text, pa.array([path] * n), units, *(pa.nulls(n, pa.int64()) for _ in "kn")], names=names)
+        if path:
+            yield ended()
+
+    rest = StructType.fromDDL("path string, units binary, key bigint, n bigint").fields
+    return packed.mapInArrow(tb.tidy(run), StructType([StructField("row", kinds[0]), StructField("text", kinds[1]), *rest]))
 
 
 def count_shards(partial: DataFrame, folder: str) -> DataFrame:
@@ -309,6 +326,7 @@ def count_shards(partial: DataFrame, folder: str) -> DataFrame:
             yield written()
 
     n = int(partial.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    partial = partial.where("key is not null").select(F.shiftright("key", 32).alias("b"), "key", "n")
     ranges = partial.repartitionByRange(n, "b").sortWithinPartitions("key")
     return ranges.mapInArrow(tb.tidy(run), "path string, n bigint, low bigint, high bigint")
 
@@ -341,14 +359,14 @@ def _models(docs: DataFrame, model_a: str, model_b: str):
     return docs.sparkSession.sparkContext.broadcast((Path(model_a).read_text(), Path(model_b).read_bytes()))
 
 
-def _shards(texts: DataFrame, models, seed: int) -> list[tuple]:
-    partial = cut(partial_counts(texts, models, seed))
-    return [tuple(r) for r in cut(count_shards(partial, shared_folder(texts.sparkSession, "pair-counts"))).collect()]
+def _shards(partial: DataFrame) -> list[tuple]:
+    return [tuple(r) for r in cut(count_shards(partial, shared_folder(partial.sparkSession, "pair-counts"))).collect()]
 
 
 def pair_counts(docs: DataFrame, model_a: str, model_b: str, text: str = "text") -> DataFrame:
     """(a_id, b_id, n, best): how many links hold each pair, and whether no pair of the B id has more."""
-    shards = _shards(docs.select(quoted(text).alias("text")), _models(docs, model_a, model_b), tb.draw())
+    packed = docs.select(F.lit(0).alias("row"), quoted(text).alias("text"))
+    shards = _shards(cut(encoded(packed, _models(docs, model_a, model_b), tb.draw(), None)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -361,29 +379,39 @@ def pair_counts(docs: DataFrame, model_a: str, model_b: str, text: str = "text")
     return listed.mapInArrow(tb.tidy(run), "a_id bigint, b_id bigint, n bigint, best boolean")
 
 
-def align(docs: DataFrame, model_a: str, model_b: str, text: str = "text") -> DataFrame:
+def align(docs: DataFrame, model_a: str, model_b: str, text: str = "text", keep_text: bool = True) -> DataFrame:
     """Add tokens, groups and links of each text, the links of highest count, the sum of counts, and ``groups``.
 
     ``n_best`` counts the links whose pair no other pair of its B id exceeds in the corpus, ``count_sum``
     adds the corpus-wide counts of all links; ``groups`` spells the alignment as ``a1,a2|b1;a3|b2,b3``.
+    Rows are written once on the way, without the texts where they are not kept.
     The models' files are read on the driver.
     """
-    models, seed = _models(docs, model_a, model_b), tb.draw()
+    models, spark = _models(docs, model_a, model_b), docs.sparkSession
     carried = Carried(docs, RESULTS, text)
-    packed = carried.pack(docs)
-    shards = docs.sparkSession.sparkContext.broadcast(_shards(packed.select("text"), models, seed))
+    held = cut(encoded(carried.pack(docs), models, tb.draw(), shared_folder(spark, "units"), keep_text))
+    shards = spark.sparkContext.broadcast(_shards(held))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner, counts = Aligner(*models.value, seed), Counts(shards.value)
-        for batch in tb.slices(batches, "text"):
-            at, first = aligner.units(batch.column("text"), True)
-            units, again = np.unique(at, return_inverse=True)
-            links, bounds = aligner.links_of(units)
-            n, best = counts.find(links)
-            per_unit = [aligner.n_a[units], aligner.n_b[units], aligner.n_groups[units], aligner.n_links[units], tb.per_text(best, bounds), tb.per_text(n, bounds)]
-            spelled = [aligner.groups[u] for u in units.tolist()]
-            again = again.tolist()
-            groups = [b"".join(map(spelled.__getitem__, again[a:b]))[:-1].decode() for a, b in zip(first.tolist(), first[1:].tolist(), strict=False)]
-            yield carried.batch(batch, [*(pa.array(tb.per_text(x[again], first)) for x in per_unit), pa.array(groups, pa.string())])
-
-    return carried.unpack(carried.map(packed, run))
+        counts, of = Counts(shards.value), None
+        for whole in batches:
+            paths = whole.column("path").to_pylist()
+            edges = [*(i for i in range(len(paths)) if i == 0 or paths[i] != paths[i - 1]), len(paths)]
+            for lo, hi in zip(edges, edges[1:], strict=False):
+                batch = whole.slice(lo, hi - lo)
+                if paths[lo] != of:
+                    of = paths[lo]
+                    known = read_batch(of)
+                    bounds = np.asarray(known.column("links").offsets)
+                    n, best = counts.find(np.asarray(known.column("links").values))
+                    per_unit = [*(np.asarray(known.column(c)) for c in ("n_a", "n_b", "n_groups")), np.diff(bounds), tb.per_text(best, bounds), tb.per_text(n, bounds)]
+                    spelled = known.column("groups").to_pylist()
+                cells = batch.column("units").to_pylist()
+                units = np.frombuffer(b"".join(cells), np.int32)
+                first = np.concatenate([[0], np.cumsum([len(c) // 4 for c in cells], dtype=np.int64)])
+                numbers, ends = units.tolist(), first.tolist()
+                groups = [b"".join(map(spelled.__getitem__, numbers[a:b]))[:-1].decode() for a, b in zip(ends, ends[1:], strict=False)]
+                yield carried.batch(batch, [*(pa.array(tb.per_text(x[units], first)) for x in per_unit), pa.array(groups, pa.string())])
+
+    found = carried.unpack(carried.map(held.where("path is not null").select("row", "text", "path", "units"), run))
+    return found if keep_text else found.drop(text)

@@ -103,3 +103,21 @@ def test_empty_tables(spark):
     assert ta.pair_counts(df, A, B).count() == 0
     nothing = spark.createDataFrame([(1, None), (2, "")], "doc_id bigint, text string")
     assert [tuple(r)[2:] for r in ta.align(nothing, A, B).collect()] == [(0, 0, 0, 0, 0, 0, "")] * 2
+
+
+def test_texts_are_encoded_once(spark):
+    rows = spark.sparkContext.accumulator(0)
+
+    def counted(row):
+        rows.add(1)
+        return row
+
+    texts = [*TEXTS, *(f"some more of them, {i}" for i in range(30))]
+    made = spark.sparkContext.parallelize(list(enumerate(texts)), 3).map(counted)
+    df = spark.createDataFrame(made, "doc_id bigint, text string")
+    out = ta.align(df, A, B, keep_text=False)
+    assert out.columns == ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups"]
+    want = brute(texts)[0]
+    assert {r.doc_id: tuple(r)[1:] for r in out.collect()} == dict(enumerate(want))
+    assert rows.value == len(texts)  # twice as many when each pass read them
+    assert {r.doc_id: tuple(r)[1:] for r in ta.align(df, A, B).drop("text").collect()} == dict(enumerate(want))
