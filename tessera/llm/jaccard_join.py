@@ -37,7 +37,7 @@ from pyspark.sql.types import StructType
 from tessera.llm import textbytes as tb
 from tessera.llm.components import components
 from tessera.llm.decontaminate import FOLD
-from tessera.llm.shared import Carried, cut, field, quoted
+from tessera.llm.shared import Carried, cut, field, free_shuffles, quoted
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.9999
 #: Trees, and values of a label, of which a byte each is kept.
@@ -259,6 +259,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
     copies = signed.groupBy(*sets).agg(F.min(one).alias("one"), F.first("labels").alias("labels"))
     alone = cut(copies.withColumn("member", F.monotonically_increasing_id()), n)
     groups = cut(components(*candidates(alone, depth, threshold)), n)
+    free_shuffles(docs.sparkSession)
     blocks = groups.groupBy("root").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
     side = F.pmod(F.xxhash64("node", F.lit(2)), F.col("blocks")).cast("int")
     sided = groups.join(blocks, "root").select("root", F.col("node").alias("member"), "blocks", side.alias("side")).join(alone.select("member", F.col("one.doc_id").alias("of"), F.col("one.key").alias("with")), "member")
@@ -266,6 +267,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
     other = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pairs = other.select("root", F.least("side", "other").alias("first"), F.greatest("side", "other").alias("second"), "side", F.col("member").alias("key"), "text")
     links = cut(verified(pairs, threshold, seed))
+    free_shuffles(docs.sparkSession)
     counts = links.groupBy(F.col("a").alias("member")).agg(F.sum("n").alias("n_links"))
     roots = components(links.select("a", "b"), links.count()).withColumnRenamed("node", "member")
     known = alone.select(*sets, "one", "member").join(counts, "member", "left").join(roots, "member", "left")

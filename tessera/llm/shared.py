@@ -47,6 +47,14 @@ def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     return (df if rows is None else df.coalesce(max(1, -(-rows // ROWS)))).checkpoint(eager=True)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files that no table needs any more.
+
+    It does when the driver's JVM collects garbage, which jobs of few tasks put off.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new name for files of tasks below the checkpoint folder."""
     return f"{checkpoint_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
