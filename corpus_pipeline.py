@@ -56,10 +56,8 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and the digest of what they decode to; a row for each row."""
     import public_tokenizers
 
-    model = public_tokenizers.path("word_bpe_49k.json")
-    encoded = bpe.encode(docs.select(COLUMNS), model).drop("text")
-    decoded = F.sha2("decoded", 256).alias("decoded_sha256")
-    return bpe.decode(encoded, model).select("doc_id", "lang", "source", "n_chars", F.size("ids").cast("bigint").alias("n_tokens"), "ids", decoded)
+    found = bpe.round_trip(docs.select(COLUMNS), public_tokenizers.path("word_bpe_49k.json"))
+    return found.select("doc_id", "lang", "source", "n_chars", F.size("ids").cast("bigint").alias("n_tokens"), "ids", "decoded_sha256")
 
 
 STAGES = [("quality", quality), ("lines", lines), ("near_copies", near_copies), ("decontamination", decontamination), ("tokens", tokens)]

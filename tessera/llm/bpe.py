@@ -29,7 +29,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import textbytes as tb
@@ -213,10 +213,9 @@ class Encoder:
         return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
 
 
-def encode(docs: DataFrame, model_file: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """Add ``ids``, the token ids of each whole text, by the tokenizer in ``model_file`` (read on the driver)."""
+def _encoded(docs: DataFrame, model_file: str, carried: Carried, begin: Callable[[], Callable[[pa.RecordBatch, pa.Array], pa.RecordBatch]]) -> DataFrame:
+    """What a task's function, which it gets by ``begin()``, makes of each batch and its texts' ids."""
     model, seed = docs.sparkSession.sparkContext.broadcast(Path(model_file).read_text()), tb.draw()
-    carried = Carried(docs, f"`{ids}` array<int>", text)
     packed, runs = carried.pack(docs), F.lit(None).cast("map<string,array<int>>").alias("runs")
     spread = cut(spread_runs(packed.select("text"), model)) if drops_white_space(load(model.value)) else None
     if spread is None or spread.isEmpty():
@@ -229,15 +228,21 @@ def encode(docs: DataFrame, model_file: str, text: str = "text", ids: str = "ids
         packed = packed.where(~has).select("row", "text", runs).unionByName(some.join(held, "of").select("row", "text", "runs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(model.value, seed)
+        encoder, finish = Encoder(model.value, seed), begin()
         for batch in tb.slices(batches, "text"):
             column = batch.column("runs")
             long = {} if column.null_count == len(column) else {k: v for row in column.to_pylist() if row for k, v in row}
-            yield carried.batch(batch, [encoder.encode(batch.column("text"), long)])
+            yield finish(batch, encoder.encode(batch.column("text"), long))
 
     return carried.unpack(carried.map(packed, run))
 
 
+def encode(docs: DataFrame, model_file: str, text: str = "text", ids: str = "ids") -> DataFrame:
+    """Add ``ids``, the token ids of each whole text, by the tokenizer in ``model_file`` (read on the driver)."""
+    carried = Carried(docs, f"`{ids}` array<int>", text)
+    return _encoded(docs, model_file, carried, lambda: lambda batch, found: carried.batch(batch, [found]))
+
+
 def _rows(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Record batches cut so that each has about ``limit`` list items, or one row."""
     for batch in batches:
@@ -249,39 +254,65 @@ def _rows(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 20)
             at = to
 
 
-def decode(encoded: DataFrame, model_file: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
-    """Add ``decoded``, what the tokenizer's ``decode(ids, skip_special_tokens=False)`` gives.
+def _joiner(spark: SparkSession, model_file: str) -> Callable[[], Callable[[pa.Array], list[str]]]:
+    """Gives a task its function from ids to decoded texts.
 
     Without a decoder in its file a tokenizer joins its tokens by spaces; for others
     its own ``decode`` is called for each row.
     """
-    context, model = encoded.sparkSession.sparkContext, Path(model_file).read_text()
+    model = Path(model_file).read_text()
     tokenizer = load(model)
     vocabulary = tokenizer.get_vocab()
     strings = [""] * (max(vocabulary.values()) + 1)
     for token, i in vocabulary.items():
         strings[i] = token
     plain = tokenizer.decoder is None
-    shared = context.broadcast(strings if plain else model)
+    shared = spark.sparkContext.broadcast(strings if plain else model)
 
-    carried = Carried(encoded, f"`{decoded}` string", ids)
-
-    def joiner() -> Callable[[pa.Array], pa.Array]:
+    def begin() -> Callable[[pa.Array], list[str]]:
         if not plain:
             tokenizer = load(shared.value)
-            return lambda column: pa.array([tokenizer.decode(x or [], skip_special_tokens=False) for x in column.to_pylist()], pa.string())
+            return lambda column: [tokenizer.decode(x or [], skip_special_tokens=False) for x in column.to_pylist()]
         tokens = np.array(shared.value, object)
 
-        def joined(column: pa.Array) -> pa.Array:
+        def joined(column: pa.Array) -> list[str]:
             strings = tokens[np.asarray(column.flatten())]
             ends = np.cumsum(np.asarray(pa.compute.fill_null(pa.compute.list_value_length(column), 0)), dtype=np.int64).tolist()
-            return pa.array([" ".join(strings[a:b]) for a, b in zip([0, *ends], ends, strict=False)], pa.string())
+            return [" ".join(strings[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
 
         return joined
 
+    return begin
+
+
+def decode(encoded: DataFrame, model_file: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """Add ``decoded``, what the tokenizer's ``decode(ids, skip_special_tokens=False)`` gives."""
+    carried, begin = Carried(encoded, f"`{decoded}` string", ids), _joiner(encoded.sparkSession, model_file)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        join = joiner()
+        join = begin()
         for batch in _rows(batches, "text"):
-            yield carried.batch(batch, [join(batch.column("text"))])
+            yield carried.batch(batch, [pa.array(join(batch.column("text")), pa.string())])
 
     return carried.unpack(carried.map(carried.pack(encoded), run))
+
+
+def round_trip(docs: DataFrame, model_file: str, text: str = "text", ids: str = "ids", digest: str = "decoded_sha256") -> DataFrame:
+    """Put ``ids`` as by ``encode``, and ``digest``, the sha256 of what ``decode`` makes of them, in place of the text.
+
+    Both are done by one Python worker of each task, and no text leaves it.
+    """
+    carried, joiner = Carried(docs, f"`{ids}` array<int>, `{digest}` string", text), _joiner(docs.sparkSession, model_file)
+
+    def begin() -> Callable[[pa.RecordBatch, pa.Array], pa.RecordBatch]:
+        join = joiner()
+
+        def finish(batch: pa.RecordBatch, found: pa.Array) -> pa.RecordBatch:
+            digests = pa.array([hashlib.sha256(t.encode()).hexdigest() for t in join(found)], pa.string())
+            at = batch.schema.get_field_index("text")
+            gone = pa.nulls(batch.num_rows, batch.schema.field(at).type)
+            return carried.batch(batch.set_column(at, "text", gone), [found, digests])
+
+        return finish
+
+    return _encoded(docs, model_file, carried, begin).drop(text)

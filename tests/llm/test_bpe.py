@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from tessera.llm import bpe, queries
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -79,3 +80,24 @@ def test_structured_words_are_told_apart(spark):
     texts = [w + " " + w.translate(str.maketrans("ab", "ba")) + " " + w for w in words[9:]]
     got = {r.doc_id: r.ids for r in bpe.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), PATH).collect()}
     assert got == {i: want(t)[0] for i, t in enumerate(texts)}
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_round_trip_by_one_worker(spark, name):
+    path, run = public_tokenizers.path(name), "xy'z" * (bpe.SPREAD // 4 + 9)
+    library, texts = Tokenizer.from_file(path), [*TEXTS, f"ab {run} cd"]
+    df = spark.createDataFrame([(i, t, "x", "y") for i, t in enumerate(texts)], "doc_id bigint, text string, IDS string, `row` string")
+    out = bpe.round_trip(df, path)
+    assert out.columns == ["doc_id", "row", "ids", "decoded_sha256"]
+    got = {r.doc_id: r for r in out.collect()}
+    for i, t in enumerate(texts):
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        text = library.decode(ids, skip_special_tokens=False)
+        assert (got[i].row, got[i].ids, got[i].decoded_sha256) == ("y", ids, hashlib.sha256(text.encode()).hexdigest())
+    assert len(got) == len(texts)
+
+
+def test_tokens_stage_has_one_worker_a_task(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    plan = corpus_pipeline.tokens(spark, docs, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
