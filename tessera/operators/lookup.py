@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text
@@ -95,6 +95,12 @@ def words_by_script(df: DataFrame, key: str, instances: str = "instances") -> Da
     return scripts.groupBy(key, "script").agg(F.sum("n").alias("n_words"))
 
 
+def _bits_of_width(lo: str, hi: str) -> Column:
+    """Bits of the width of a range that isn't empty; 63 if they are more."""
+    width = F.col(hi).cast("decimal(20)") - F.col(lo).cast("decimal(20)")
+    return F.when(width >= 2**62, 63).when(width > 0, F.length(F.bin(width.cast("bigint")))).otherwise(0).cast("int")
+
+
 def within_ranges(points: DataFrame, ranges: DataFrame, point: str, lo: str = "lo", hi: str = "hi") -> DataFrame:
     """Rows of ``points`` with each row of the table ``ranges`` that holds their whole number ``point`` (``lo`` to ``hi``, both included).
 
@@ -103,10 +109,8 @@ def within_ranges(points: DataFrame, ranges: DataFrame, point: str, lo: str = "l
     most.  Empty ranges and nulls hold nothing.  Columns of both tables are kept; they must differ.
     """
     size, bin_, of, at = text.spare(points.crossJoin(ranges.limit(0)), "_size", "_bin", "_of", "_at")
-    width = F.col(hi).cast("decimal(20)") - F.col(lo).cast("decimal(20)")
-    # bits of the width; a wider range than 63 bits hold is one or two bins of the greatest size
-    power = F.when(width >= 2**62, 63).when(width > 0, F.length(F.bin(width.cast("bigint")))).otherwise(0)
-    sized = ranges.where(F.col(lo) <= F.col(hi)).withColumn(size, power.cast("int"))
+    # a wider range than 63 bits hold is one or two bins of the greatest size
+    sized = ranges.where(F.col(lo) <= F.col(hi)).withColumn(size, _bits_of_width(lo, hi))
     sizes = sorted(r[0] for r in sized.select(size).distinct().collect())
     bins = lambda x, k: F.expr(f"shiftright(cast(`{x}` as bigint), {k})")
     binned = sized.withColumn(bin_, F.explode(F.sequence(bins(lo, f"`{size}`"), bins(hi, f"`{size}`"))))
@@ -115,6 +119,28 @@ def within_ranges(points: DataFrame, ranges: DataFrame, point: str, lo: str = "l
     return met.where(F.col(point).between(F.col(lo), F.col(hi))).drop(size, bin_, of, at)
 
 
+def range_totals(points: DataFrame, ranges: DataFrame, point: str, most: str, lo: str = "lo", hi: str = "hi") -> DataFrame:
+    """(point, n_ranges, most): how many rows of the table ``ranges`` hold a whole number, and the greatest ``most`` of them.
+
+    A row for each different ``point`` that a range holds.  The pairs that ``within_ranges`` gives aren't made, as they grow with the
+    product of both tables: a range is cut into two blocks at most of each size 2^k, block b being the numbers from b 2^k to
+    (b + 1) 2^k - 1, the ranges of a block are added up, and a point meets its one block of each size.  Empty ranges and nulls hold nothing.
+    """
+    held = ranges.where(F.col(lo) <= F.col(hi)).groupBy(F.col(lo).cast("bigint").alias("lo"), F.col(hi).cast("bigint").alias("hi")).agg(F.count("*").alias("n"), F.max(most).alias("most"))
+    held = held.withColumn("size", _bits_of_width("lo", "hi"))
+    greatest = held.agg(F.max("size")).first()[0]
+    sizes = range(0 if greatest is None else greatest + 1)
+    # the first and the last block of a size that lie wholly in a range; of all of them only an odd first and an even last have no part in a greater one that does
+    first = "shiftright(lo, k) + IF(shiftleft(shiftright(lo, k), k) = lo, 0, 1)"
+    last = "shiftright(hi, k) - IF(shiftleft(shiftright(~hi, k), k) = ~hi, 0, 1)"
+    cut = held.withColumn("k", F.explode(F.sequence(F.lit(0), "size"))).selectExpr("k", f"{first} AS first", f"{last} AS last", "n", "most").where("first <= last")
+    blocks = cut.selectExpr("k", "explode(filter(array(IF(first & 1 = 1, first, NULL), IF(last & 1 = 0, last, NULL)), b -> b IS NOT NULL)) AS block", "n", "most")
+    blocks = blocks.groupBy("k", "block").agg(F.sum("n").alias("n"), F.max("most").alias("most"))
+    looks = points.select(point).where(F.col(point).isNotNull()).distinct().select(F.col(point).alias("point"), F.explode(F.array(*map(F.lit, sizes)).cast("array<int>")).alias("k"))
+    met = looks.withColumn("block", F.expr("shiftright(cast(point as bigint), k)")).join(blocks, ["k", "block"])
+    return met.groupBy(F.col("point").alias(point)).agg(F.sum("n").alias("n_ranges"), F.max("most").alias(most))
+
+
 def language_votes(df: DataFrame, ranges: DataFrame, key: str, instances: str = "instances") -> DataFrame:
     """(key, language, n_words, most) by a table (language, lo, hi): words whose first letter is in a language's ranges.
 

@@ -571,10 +571,10 @@ def q_range_join_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     A band is a hundredth of the total wide, so that bands have all widths.
     """
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    bands = orders.select(F.col("o_orderkey").alias("band"), F.floor("o_totalprice").alias("lo"), F.floor(F.col("o_totalprice") * 1.01).alias("hi"))
+    bands = orders.select(F.floor("o_totalprice").alias("lo"), F.floor(F.col("o_totalprice") * 1.01).alias("hi")).withColumn("widest", F.col("hi") - F.col("lo"))
     prices = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", F.floor("l_extendedprice").alias("price"))
-    met = lookup.within_ranges(prices, bands, "price")
-    return met.groupBy("l_orderkey", "l_linenumber", "price").agg(F.count("*").alias("n_bands"), F.max(F.col("hi") - F.col("lo")).alias("widest"))
+    met = prices.join(lookup.range_totals(prices, bands, "price", "widest"), "price")
+    return met.groupBy("l_orderkey", "l_linenumber", "price").agg(F.sum("n_ranges").alias("n_bands"), F.max("widest").alias("widest"))
 
 
 def q_language_votes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Joins with tables of ranges, scenarios from tables, and values of varying type as rows."""
 
 import random
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -25,6 +26,35 @@ def test_ten_thousand_ranges_of_all_widths(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_totals_of_ranges_of_all_widths(spark):
+    random.seed(2)
+    ends = [-(1 << 63), (1 << 63) - 1, -1, 0, 1]
+    number = lambda: random.choice([random.randint(-40, 40), random.randint(-(1 << 40), 1 << 40), random.choice(ends)])
+    ranges = [(number(), number(), random.randint(0, 9)) for _ in range(600)] + [(x, x, None) for x in ends]
+    ranges += [(lo, min(lo + random.choice([0, 1, 2, 3, 5, 8, 13, 30]), ends[1]), 5) for lo in (number() for _ in range(600))] + [(None, 3, 1), (1, None, 1), (ends[0], ends[1], 7)]
+    points = [number() for _ in range(200)] + list(range(-45, 45)) + ends + [None]
+    p, r = spark.createDataFrame([(x,) for x in points], "k bigint"), spark.createDataFrame(ranges, "from bigint, to bigint, most int")
+    met = [(x, [m for lo, hi, m in ranges if None not in (lo, hi) and lo <= x <= hi]) for x in set(points) - {None}]
+    want = {x: (len(m), max((v for v in m if v is not None), default=None)) for x, m in met if m}
+    assert {row.k: (row.n_ranges, row.most) for row in lookup.range_totals(p, r, "k", "most", "from", "to").collect()} == want
+    assert lookup.range_totals(p, r.limit(0), "k", "most", "from", "to").count() == 0
+
+
+def test_bands_are_counted_without_making_pairs(spark, tmp_path):
+    from tessera import queries
+
+    n = 100_000  # ten thousand million pairs
+    spark.range(n).selectExpr("id AS o_orderkey", "1000.0D + id % 2 AS o_totalprice").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(n).selectExpr("id div 2 AS l_orderkey", "1 AS l_linenumber", "1005.5D AS l_extendedprice").write.parquet(f"{tmp_path}/lineitem.parquet")
+    limit = threading.Timer(60, spark.sparkContext.cancelAllJobs)
+    limit.start()
+    try:
+        found = queries.q_range_join_table(spark, str(tmp_path)).groupBy("price", "n_bands", "widest").count().collect()
+    finally:
+        limit.cancel()
+    assert list(map(tuple, found)) == [(1005, 2 * n, 10, n // 2)]
+
+
 def test_no_ranges(spark):
     none = spark.createDataFrame([], "lo int, hi int")
     assert lookup.within_ranges(spark.createDataFrame([(1,)], "x int"), none, "x").count() == 0
