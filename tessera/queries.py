@@ -585,10 +585,15 @@ def q_language_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- streams with a deadline, state and memory ---
 
 
-def _arriving(rows: DataFrame, parts: Column, n: int, source: str, first: int = 0) -> None:
-    """Write the rows of each part as one more file of a stream's source, in order."""
+#: Rows of a file of a stream's source.
+FILE_ROWS = 1_000_000
+
+
+def _arriving(rows: DataFrame, parts: Column, n: int, source: str, first: int = 0, files: int = 1) -> None:
+    """Write the rows of each part as one more file of a stream's source, or as so many, in order."""
     for k in range(first, n):
-        rows.where(parts == k).coalesce(1).write.mode("append").json(source)
+        some = rows.where(parts == k)
+        (some.repartition(files) if files > 1 else some.coalesce(1)).write.mode("append").json(source)
 
 
 def q_stream_deadline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -618,13 +623,15 @@ def q_stream_deadline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_refine_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Refinements of each scenario as a stream's state: two batches, a restart, and one more."""
     source, sink, progress = (results.folder(spark, n) for n in ("events", "states", "progress"))
-    rows = _states(spark, sf_dir).select("scenario_id", "refine_count", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("step"))
+    rows = storage.stored(_states(spark, sf_dir).select("scenario_id", "refine_count"), "counts")
+    files = rows.count() // FILE_ROWS + 1  # each has rows, so that a batch is a part
+    rows = rows.select("scenario_id", "refine_count", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("step"))
     decision = F.when((F.col("scenario_id") + F.col("step")) % 2 == 0, "REFINE").otherwise("ACCEPT")
     rows = rows.select("scenario_id", "step", (F.col("refine_count") + F.col("step")).alias("refine_count"), decision.alias("decision"))
     schema = "scenario_id bigint, step int, refine_count int, decision string"
     for first, n in ((0, 2), (2, 3)):
-        _arriving(rows, F.col("step"), n, source, first)
-        arriving = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(source)
+        _arriving(rows, F.col("step"), n, source, first, files)
+        arriving = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).json(source)
         accept.refine_states(spark, arriving, sink, progress)
     return accept.refined(spark, sink)
 

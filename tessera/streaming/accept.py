@@ -6,10 +6,12 @@ import time
 import uuid
 from collections.abc import Callable, Iterator
 
-from pyspark import InheritableThread
-from pyspark.sql import DataFrame, Row, SparkSession
+import pyarrow as pa
+from pyspark import InheritableThread, TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tessera.functions import scoring
 
@@ -90,21 +92,17 @@ def noted(spark: SparkSession, notes: str) -> DataFrame:
     return spark.read.schema(NOTES).json(notes).groupBy("batch_id").agg(F.max_by(F.struct("status", "seconds"), "noted_at").alias("n")).select("batch_id", "n.*")
 
 
-class RefineState(StatefulProcessor):
-    """For each scenario the sum of its refinements, how often it was decided and its last decision, kept in the state store."""
+#: Spark's local property of the number of a stream's batch.
+BATCH = "streaming.sql.batchId"
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("refined", "refine_count int, decisions int, decision string")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:  # noqa: N802, N803
-        refined, decisions, last = self.state.get() or (0, 0, None)
-        for row in sorted(rows, key=lambda r: (r.step is not None, r.step)):
-            refined, decisions, last = refined + (row.refine_count or 0), decisions + 1, row.decision
-        self.state.update((refined, decisions, last))
-        yield Row(scenario_id=key[0], refine_count=refined, decisions=decisions, decision=last)
-
-    def close(self) -> None:
-        pass
+def _with_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with the number of their batch as the last column; it doesn't change if a batch comes again."""
+    number = TaskContext.get().getLocalProperty(BATCH)
+    if number is None:
+        raise RuntimeError(f"{BATCH} isn't set: without the order of batches a last decision can't be told")
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([int(number)] * batch.num_rows, pa.int64())], [*batch.schema.names, "batch"])
 
 
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
@@ -114,13 +112,17 @@ REFINED = "scenario_id bigint, refine_count int, decisions int, decision string"
 def refine_states(spark: SparkSession, events: DataFrame, sink: str, checkpoint: str) -> None:
     """Keep each scenario's refinements as state over a stream of (scenario_id, step, refine_count, decision), and append what changed.
 
-    Handles what is there and ends; a later call with the same checkpoint goes on with the state as it was.  Steps of a
-    scenario in one batch are taken in their order.  ``refined`` reads the last states.
+    State are the sum of refinements, the number of decisions and the last decision.  Handles what is there and ends; a later
+    call with the same checkpoint goes on with the state as it was.  Steps of a scenario in one batch are taken in their
+    order, those without one first, and of equal ones the greatest decision last.  ``refined`` reads the last states.
     """
     before = spark.conf.get(STATE_STORE)
     spark.conf.set(STATE_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        states = events.groupBy("scenario_id").transformWithState(RefineState(), REFINED, "Update", "None")
+        kept = events.select("scenario_id", "step", "refine_count", "decision")
+        numbered = kept.mapInArrow(_with_batch, StructType([*kept.schema, StructField("batch", LongType())]))
+        last = F.max_by("decision", F.struct("batch", F.col("step").isNotNull(), "step", "decision"))
+        states = numbered.groupBy("scenario_id").agg(F.sum(F.coalesce("refine_count", F.lit(0))).cast("int").alias("refine_count"), F.count("*").cast("int").alias("decisions"), last.alias("decision"))
         write = lambda batch, k: batch.withColumn("batch_id", F.lit(k).cast("bigint")).write.mode("overwrite").json(f"{sink}/batch={k}")
         states.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     finally:

@@ -1,5 +1,6 @@
 """Streams with a deadline for each batch, state for each scenario, and topics seen so far; each ends and goes on."""
 
+import os
 import random
 import time
 
@@ -54,6 +55,40 @@ def test_states_survive_a_restart(spark):
     assert spark.conf.get(accept.STATE_STORE).endswith("HDFSBackedStateStoreProvider")
 
 
+def test_last_decisions_by_batch_then_step(spark):
+    source, sink, progress = (storage.folder(spark, n) for n in ("events", "states", "progress"))
+    schema = "scenario_id bigint, step int, refine_count int, decision string"
+    parts = [[(1, 9, 1, "a"), (1, 2, 1, "z"), (2, None, 1, "n"), (3, 1, None, "x")], [(1, 3, 1, "b"), (1, 1, 1, "y"), (2, None, 0, "m"), (2, 0, 2, "l")], [(3, 0, 5, None), (None, 1, 4, "q")]]
+    for some in parts:
+        spark.createDataFrame(some, schema).repartition(2).write.mode("append").json(source)
+        accept.refine_states(spark, spark.readStream.schema(schema).json(source), sink, progress)
+    assert {r.scenario_id: (r.refine_count, r.decisions, r.decision) for r in accept.refined(spark, sink).collect()} == {1: (4, 4, "b"), 2: (3, 3, "l"), 3: (5, 2, None), None: (4, 1, "q")}
+
+
+def test_states_of_many_scenarios(spark):
+    n, schema = 200_000, "scenario_id bigint, step int, refine_count int, decision string"
+    source, sink, progress = (storage.folder(spark, n) for n in ("events", "states", "progress"))
+    spark.range(n).selectExpr("id AS scenario_id", "1 AS step", "2 AS refine_count", "'d' AS decision").write.json(source)
+    began = time.monotonic()
+    accept.refine_states(spark, spark.readStream.schema(schema).json(source), sink, progress)
+    assert time.monotonic() - began < 60
+    assert list(map(tuple, accept.refined(spark, sink).groupBy("refine_count", "decisions", "decision").count().collect())) == [(2, 1, "d", n)]
+
+
+def test_parts_of_several_files_are_a_batch_each(spark, sf_dir, monkeypatch):
+    from tessera import queries
+
+    sinks, folder = [], storage.folder
+    monkeypatch.setattr(queries, "FILE_ROWS", 60)
+    monkeypatch.setattr(queries.results, "folder", lambda spark, name: sinks.append(folder(spark, name)) or sinks[-1])
+    found = queries.q_refine_states(spark, sf_dir)
+    n = spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+    assert found.count() == n and found.where("decisions = 3").count() == n
+    (sink,) = (path for path in sinks if "/states-" in path)
+    assert [spark.read.json(f"{sink}/batch={k}").count() for k in range(3)] == [n, n, n]
+    assert not any(name.endswith("batch=3") for name in os.listdir(sink))
+
+
 def test_topics_come_once(spark):
     source, sink, progress = (storage.folder(spark, n) for n in ("talks", "topics", "progress"))
     schema, seen = "scenario_id bigint, topic string", spark.createDataFrame([("b",), ("b",)], "topic string")
