@@ -52,8 +52,15 @@ def spare(df: DataFrame, *names: str) -> list[str]:
 
 
 def one_decimal(x: Column) -> Column:
-    """A number with one decimal, ties to even."""
-    return F.format_string("%.1f", F.bround(x, 1))
+    """A number with one decimal, ties to even.
+
+    Rounded is the exact value, as C and Python do, not its shortest decimal form: 63.55 is a little less than that, and gives 63.5.
+    """
+    ten = x * 8 + x * 2  # both are exact, so that what their sum lacks is so too
+    lacks = x * 2 - (ten - x * 8)
+    tie = ten - F.floor(ten) == 0.5
+    tenths = F.when(tie & (lacks < 0), F.floor(ten)).when(tie & (lacks > 0), F.ceil(ten)).otherwise(F.bround(ten, 0))
+    return F.format_string("%.1f", F.when(F.abs(x) < 1e15, tenths / 10).otherwise(x))
 
 
 def two_decimals(x: Column) -> Column:

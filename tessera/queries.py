@@ -56,6 +56,14 @@ def mixed(line: Column) -> Column:
     return F.array_join(F.transform(F.split(line, " "), word), " ")
 
 
+def rounded(x: Column) -> Column:
+    """A number with six decimals, as SQL rounds it: a million times it as a double, to the nearest whole number.
+
+    Spark's own ``round`` takes the shortest decimal form for the number, so that 4.0296875, which is a little less, is rounded up.
+    """
+    return F.round(x * 1e6) / 1e6
+
+
 def fixture(spark: SparkSession, sf_dir: str, first: str = "Arabic", second: str = "English") -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     if tasks := spark.conf.get("spark.tessera.scanTasks", None):  # for files of one row group, as the benchmark's are
@@ -120,7 +128,7 @@ def finished(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = finished(spark, sf_dir).withColumn("decision", scoring.decision(F.col("score"), F.lit(0)))
-    return done.select("scenario_id", "topic", "cs_ratio", "lang1_word_count", "lang2_word_count", "computed_ratio", F.round("ratio_score", 6).alias("ratio_score"), F.round("score", 6).alias("score"), "decision")
+    return done.select("scenario_id", "topic", "cs_ratio", "lang1_word_count", "lang2_word_count", "computed_ratio", rounded(F.col("ratio_score")).alias("ratio_score"), rounded(F.col("score")).alias("score"), "decision")
 
 
 def _states(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,12 +136,12 @@ def _states(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = finished(spark, sf_dir)
     errors = F.to_json(F.array("topic", "cs_ratio"))
     return rows.select(
-        "scenario_id", "topic", "cs_ratio", "first_language", "second_language", F.round("score", 6).alias("score"),
+        "scenario_id", "topic", "cs_ratio", "first_language", "second_language", rounded(F.col("score")).alias("score"),
         F.when(F.col("score") < 8, 3).otherwise(0).alias("refine_count"),
         "instances",
         F.struct("fluency_score", errors.alias("errors"), F.lit("fluent").alias("summary")).alias("fluency_result"),
         F.struct("naturalness_score", F.lit("{}").alias("observations"), F.lit("natural").alias("summary")).alias("naturalness_result"),
-        F.struct(F.round("ratio_score", 6).alias("ratio_score"), "computed_ratio", F.concat(F.lit(" Target:\n"), "cs_ratio").alias("notes")).alias("cs_ratio_result"),
+        F.struct(rounded(F.col("ratio_score")).alias("ratio_score"), "computed_ratio", F.concat(F.lit(" Target:\n"), "cs_ratio").alias("notes")).alias("cs_ratio_result"),
         F.struct("socio_cultural_score", F.lit("No").alias("issues"), F.lit("polite").alias("summary")).alias("social_cultural_result"),
     )
 
@@ -258,7 +266,7 @@ RANGES_SQL = ", ".join(f"('{s}', {lo}, {hi})" for s, rs in SCRIPT_RANGES.items()
 
 
 def q_score_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return finished(spark, sf_dir).select("scenario_id", "cs_ratio", F.round("ratio_score", 6).alias("ratio_score"))
+    return finished(spark, sf_dir).select("scenario_id", "cs_ratio", rounded(F.col("ratio_score")).alias("ratio_score"))
 
 
 def q_score_step(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -266,12 +274,12 @@ def q_score_step(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_weighted_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return finished(spark, sf_dir).select("scenario_id", F.round("score", 6).alias("score"))
+    return finished(spark, sf_dir).select("scenario_id", rounded(F.col("score")).alias("score"))
 
 
 def q_score_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = finished(spark, sf_dir).select("scenario_id", F.inline(scoring.contributions()))
-    return rows.select("scenario_id", "dimension", F.round("score", 6).alias("score"), "weight", F.round("contribution", 6).alias("contribution"))
+    return rows.select("scenario_id", "dimension", rounded(F.col("score")).alias("score"), "weight", rounded(F.col("contribution")).alias("contribution"))
 
 
 def q_accept_refine(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -361,7 +369,7 @@ def q_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_ratio_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = report.statistics(finished(spark, sf_dir))
-    return stats.select("n", *(F.round(c, 6).alias(c) for c in ("min_score", "max_score", "mean_score")))
+    return stats.select("n", *(rounded(F.col(c)).alias(c) for c in ("min_score", "max_score", "mean_score")))
 
 
 def q_ratio_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -379,7 +387,7 @@ def q_report_sentence_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_deviation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.deviation(ratio.first_letter(fixture(spark, sf_dir))).select("scenario_id", F.round("deviation", 6).alias("deviation"))
+    return report.deviation(ratio.first_letter(fixture(spark, sf_dir))).select("scenario_id", rounded(F.col("deviation")).alias("deviation"))
 
 
 def q_parse_computed_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -478,7 +486,7 @@ def q_ratio_evaluator_skipped(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_ratio_evaluator_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The counted score and ratio with an evaluator's notes, through the whole pipeline."""
     rows = pipeline.run(fixture(spark, sf_dir), lambda df: df, _evaluated, ask_ratio=_ratio_judge)
-    return rows.select("scenario_id", F.round("score", 6).alias("score"), "cs_ratio_result.computed_ratio", "cs_ratio_result.notes")
+    return rows.select("scenario_id", rounded(F.col("score")).alias("score"), "cs_ratio_result.computed_ratio", "cs_ratio_result.notes")
 
 
 def q_tools_update(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -501,7 +509,7 @@ def _evaluated(df: DataFrame) -> DataFrame:
 
 def q_pipeline_as_coded(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pipeline.run(fixture(spark, sf_dir), lambda df: df, _evaluated, tools=True)
-    return rows.select("scenario_id", F.round("score", 6).alias("score"), "refine_count", F.col("cs_ratio_result.notes").alias("notes"), F.col("mcp_result")["word_count"].alias("word_count"))
+    return rows.select("scenario_id", rounded(F.col("score")).alias("score"), "refine_count", F.col("cs_ratio_result.notes").alias("notes"), F.col("mcp_result")["word_count"].alias("word_count"))
 
 
 def q_pipeline_reevaluate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -509,7 +517,7 @@ def q_pipeline_reevaluate(spark: SparkSession, sf_dir: str) -> DataFrame:
         return df.withColumns({"instances": F.array(F.lit("مرحبا hello")), "fluency_score": F.lit(9.0)})
 
     rows = pipeline.run(fixture(spark, sf_dir).withColumn("instances_", F.col("instances")), lambda df: df.withColumn("instances", F.col("instances_")), _evaluated, refine_mode="reevaluate", refine=shorter)
-    return rows.select("scenario_id", F.round("score", 6).alias("score"), "refine_count", F.size("instances").cast("bigint").alias("n_sentences"))
+    return rows.select("scenario_id", rounded(F.col("score")).alias("score"), "refine_count", F.size("instances").cast("bigint").alias("n_sentences"))
 
 
 # --- calls that fail, and calls that are kept ---
@@ -531,7 +539,7 @@ def q_failing_evaluator(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     asked = agents.Evaluator("cs_ratio_result", "{topic}", agents.CS_RATIO_REPLY, agents.called(judge, retries=1, error="failure"))
     rows = pipeline.with_ratio(fixture(spark, sf_dir), ask=asked)
-    return rows.select("scenario_id", F.round("cs_ratio_result.ratio_score", 6).alias("ratio_score"), "cs_ratio_result.computed_ratio", "cs_ratio_result.notes", "failure")
+    return rows.select("scenario_id", rounded(F.col("cs_ratio_result.ratio_score")).alias("ratio_score"), "cs_ratio_result.computed_ratio", "cs_ratio_result.notes", "failure")
 
 
 def q_resumable_calls(spark: SparkSession, sf_dir: str) -> DataFrame:

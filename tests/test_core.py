@@ -1,6 +1,7 @@
 """Golden values and properties of the bilingual operators."""
 
 import json
+import math
 import unicodedata
 
 import pytest
@@ -143,6 +144,45 @@ def test_rounding_ties_to_even(spark):
     assert got[0] == "6.2" and got[3] == "12.5" and got[4] == "93.8"
 
 
+def test_rounding_of_exact_values(spark):
+    values = [n / total * 100 for total in (16, 80, 400, 625, 2000) for n in range(total + 1)] + [k / 20 for k in range(-200, 200, 2)] + [x for k in range(1, 4001, 2) for x in (math.nextafter(k / 20, 0), k / 20, math.nextafter(k / 20, 999))]
+    values += [1e9 + 0.05, 123456789.25, 2.0**52 + 1, 1e-320, float("nan"), None]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "x double").select(text.one_decimal(F.col("x"))).collect()]
+    assert got[:-2] == [f"{v:.1f}" for v in values[:-2]] and got[-2] == "NaN"
+
+
+def halves(spark, tmp_path):
+    """Documents of 2000 words, with shares whose second decimal is a five."""
+    rows = [(k, " ".join(["ab"] * n + ["abc"] * (2000 - n)), f"{n / 2000 * 100:.1f}% English : {(2000 - n) / 2000 * 100:.1f}% Arabic") for k, n in enumerate(range(1241, 1301, 6))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, ratio string")
+    docs.select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    return sorted(r.ratio for r in docs.collect())
+
+
+def test_exported_ratios_round_as_their_sql(spark, tmp_path):
+    from tessera import queries
+
+    want = halves(spark, tmp_path)
+    assert "63.5% English : 36.4% Arabic" in want
+    assert sorted(r.cs_ratio_computed for r in queries.q_export_sentences(spark, str(tmp_path)).collect()) == want
+
+
+def near_half(spark, tmp_path):
+    """A document with a score of 4.0296875, which as a double is a little less."""
+    spark.createDataFrame([(65, " ".join(["ab"] * 149 + ["abc"] * 107))], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+
+
+def test_exported_scores_round_as_their_sql(spark, tmp_path):
+    from tessera import queries
+
+    near_half(spark, tmp_path)
+    row = queries.q_export_sentences(spark, str(tmp_path)).first()
+    assert (row.score, row.cs_ratio_score, row.cs_ratio_computed) == (4.029687, 5.898438, "58.2% English : 41.8% Arabic")
+    values = [4.0296875, -4.0296875, 9.1953125, 0.0, 1.0000005, 2.5e-7, 5e-7, None]
+    want = [None if v is None else math.copysign(math.floor(abs(v) * 1e6 + 0.5), v) / 1e6 for v in values]
+    assert [r[0] for r in spark.createDataFrame([(v,) for v in values], "x double").select(queries.rounded(F.col("x"))).collect()] == want
+
+
 @pytest.mark.parametrize("shape,want", [("63% Arabic : 37% English", (63.0, 37.0, "Arabic", "English")), ("65% : 35%", (65.0, 35.0, None, None)), ("54.7% English : 45.3% Arabic", (54.7, 45.3, "English", "Arabic")), ("0% : 0%", (0.0, 0.0, None, None)), ("N/A", None), (None, None)])
 def test_parsed_ratios(spark, shape, want):
     p = spark.createDataFrame([(shape,)], "c string").select(report.parsed(F.col("c")).alias("p")).first().p
