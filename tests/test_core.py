@@ -183,6 +183,16 @@ def test_exported_scores_round_as_their_sql(spark, tmp_path):
     assert [r[0] for r in spark.createDataFrame([(v,) for v in values], "x double").select(queries.rounded(F.col("x"))).collect()] == want
 
 
+def test_results_that_are_read_round_as_their_sql(spark, tmp_path):
+    from tessera import queries
+
+    want = halves(spark, tmp_path / "ratios")
+    assert sorted(r.cs_ratio_computed for r in queries.q_results_read(spark, str(tmp_path / "ratios")).collect()) == want
+    near_half(spark, tmp_path / "score")
+    (row,) = queries.q_results_read(spark, str(tmp_path / "score")).collect()
+    assert (row.score, row.cs_ratio_computed, row.fluency_errors) == (4.029687, "58.2% English : 41.8% Arabic", "topic2")
+
+
 @pytest.mark.parametrize("shape,want", [("63% Arabic : 37% English", (63.0, 37.0, "Arabic", "English")), ("65% : 35%", (65.0, 35.0, None, None)), ("54.7% English : 45.3% Arabic", (54.7, 45.3, "English", "Arabic")), ("0% : 0%", (0.0, 0.0, None, None)), ("N/A", None), (None, None)])
 def test_parsed_ratios(spark, shape, want):
     p = spark.createDataFrame([(shape,)], "c string").select(report.parsed(F.col("c")).alias("p")).first().p
